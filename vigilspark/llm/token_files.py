@@ -20,10 +20,11 @@ gives an empty manifest.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,23 +56,51 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
 
 class LibraryEncoder:
     """The tokenizers library behind a cache of words: its split never joins what white space separates,
-    so each distinct word is encoded once by the library and a text is the sequence of its words' ids."""
+    so each distinct word is encoded once by the library and a text is the sequence of its words' ids, which are
+    kept as the bytes that go to the file."""
 
     CACHE_WORDS = 600_000
     CACHE_LENGTH = 48
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
-
-    def encode_batch(self, texts: list[bytes]) -> list[list[int]]:
+        size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.end = self.packed([end_id])
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.lowers = all(ids(w) == ids(w.lower()) for w in ("The", "QUICK", "bRoWn", "I'LL"))
+        marked = ids("7")
+        self.mark = marked[0] if len(marked) == 1 and ids("a. 7 b") == [*ids("a."), *marked, *ids("b")] else None
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words. Words without the digit of the mark go to the library many at a time, joined by it."""
+        out: dict[bytes, bytes] = {}
+        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        plain = [w for w in words if b"7" not in w and b"<|" not in w] if self.mark is not None else []
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for group, e in zip(groups, encode([" 7 ".join([w.decode() for w in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts, flat = np.flatnonzero(ids == self.mark).tolist(), ids.tobytes()
+            step = self.dtype.itemsize
+            begins = [0, *(step * (c + 1) for c in cuts)]
+            out.update(zip(group, [flat[x:y] for x, y in zip(begins, [*(step * c for c in cuts), len(flat)], strict=True)], strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, [self.packed(e.ids) for e in encode([w.decode() for w in rest], add_special_tokens=False)], strict=True))
+        return [out[w] for w in words]
+
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        if self.lowers:  # fewer distinct words; special tokens are told apart before the library lower-cases
+            texts = [t if b"<|" in t else t.lower() for t in texts]
         split = [t.split() for t in texts]
         now = self.words
         missing = set().union(*split).difference(now) if split else set()
@@ -79,11 +108,8 @@ class LibraryEncoder:
             kept = {w: self.older[w] for w in missing if w in self.older}
             now.update(kept)
             fresh = [w for w in missing if w not in kept]
-            encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-            for at in range(0, len(fresh), 50_000):
-                part = fresh[at : at + 50_000]
-                now.update(zip(part, (tuple(e.ids) for e in encode([w.decode() for w in part], add_special_tokens=False)), strict=True))
-        ids = [list(chain.from_iterable(map(now.__getitem__, s))) for s in split]
+            now.update(zip(fresh, self.encode_words(fresh), strict=True))
+        ids = [b"".join(map(now.__getitem__, s)) for s in split]
         for w in missing:
             if len(w) > self.CACHE_LENGTH:
                 del now[w]
@@ -92,13 +118,13 @@ class LibraryEncoder:
         return ids
 
 
-_LOADED: dict[str, LibraryEncoder] = {}
+_LOADED: dict[tuple[str, int], LibraryEncoder] = {}
 
 
-def _encoder(path: str) -> LibraryEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = LibraryEncoder(path)
-    return _LOADED[path]
+def _encoder(path: str, end_id: int) -> LibraryEncoder:
+    if (path, end_id) not in _LOADED:
+        _LOADED[path, end_id] = LibraryEncoder(path, end_id)
+    return _LOADED[path, end_id]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, parts: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,8 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(tokenizer_path)
-        dtype = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
+        encoder = _encoder(tokenizer_path, end_id)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs, top = _opened(folder)
@@ -121,11 +146,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         with fs.open_output_stream(f"{top}/{name}.ids") as ids_file, fs.open_output_stream(f"{top}/{name}.loc") as off_file, fs.open_output_stream(f"{top}/{name}.key") as key_file:
             for whole in batches:
                 for batch in steps(whole, text):
-                    ids = encoder.encode_batch([(t or "").encode() for t in batch.column(text).to_pylist()])
-                    for i in ids:
-                        i.append(end_id)
-                    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                    ids_file.write(np.fromiter(chain.from_iterable(ids), dtype, int(lengths.sum())).tobytes())
+                    ids = encoder.encode_batch([t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()])
+                    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.dtype.itemsize + 1
+                    ids_file.write(encoder.end.join([*ids, b""]))
                     off_file.write((n_ids + np.cumsum(lengths) - lengths).astype("<u8").tobytes())
                     key_file.write(np.asarray(batch.column(key).fill_null(NULL_KEY).to_numpy(zero_copy_only=False), "<i8").tobytes())
                     n_docs, n_ids = n_docs + len(ids), n_ids + int(lengths.sum())
