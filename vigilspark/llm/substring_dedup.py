@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, stretch: int = 12, key: st
     """The columns of docs besides the text, and any of: n_words, n_removed, kept_text (kept words joined by one
     space; a text that loses nothing stays as it is), kept_sha256 (of the kept words joined by one space)."""
     spans = repeated_windows(docs, window, stretch, key, text)
-    spans = spans.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = spans.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.expr("shiftleft(bigint(start), 32) | stop")).alias("_spans"))
     joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col("_key")), "left").drop("_key")
     others = [f for f in docs.schema.fields if f.name != text]
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType(), "kept_sha256": T.StringType()}
@@ -304,9 +304,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, stretch: int = 12, key: st
                     words = (t or "").encode().split()
                     n, kept = len(words), words
                     if s.is_valid and n:
-                        pairs = s.values
-                        begins = np.minimum(pairs.field("start").to_numpy(), n)
-                        ends = np.minimum(pairs.field("stop").to_numpy() + window, n)
+                        packed = s.values.to_numpy()
+                        begins = np.minimum(packed >> 32, n)
+                        ends = np.minimum((packed & 0xFFFFFFFF) + window, n)
                         depth = np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n]
                         kept = [words[i] for i in np.flatnonzero(depth == 0)]
                     for name, make in (
