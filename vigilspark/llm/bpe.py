@@ -269,7 +269,7 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_
         arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         for whole in batches:
             for batch in steps(whole, text):
-                texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+                texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
                 ids = bpe.encode_batch(texts)
                 columns = {"n_tokens": [len(i) for i in ids]}
                 if "ids" in outputs:

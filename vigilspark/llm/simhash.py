@@ -82,7 +82,7 @@ def simhash(docs: DataFrame, width: int = 3, seed: int = 42, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, text):
-                fp = fingerprints([(t or "").encode() for t in batch.column(text).to_pylist()], width, seed)
+                fp = fingerprints([t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()], width, seed)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc_id long, fp long")
