@@ -87,8 +87,12 @@ def canonical_json(df: DataFrame, key: str = "conv_id", column: str = "record")
     """key, layout, turns for JSON records of any layouts; the fingerprint of each record's known paths selects the
     mapping, and records of none keep null turns. A record's lists are judged by their first element."""
     top = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    nested = [F.coalesce(F.transform(F.json_object_keys(F.get_json_object(column, f"$.{p}[0]")), lambda k, p=p: F.concat(F.lit(f"{p}."), k)), F.array().cast("array<string>")) for p in ("messages", "conversations")]
-    known = F.filter(F.concat(top, *nested), lambda p: p.isin(_KNOWN))
+
+    def inner(list_: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(column, f"$.{list_}[0]"))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{list_}."), k)), F.array().cast("array<string>"))
+
+    known = F.filter(F.concat(top, inner("messages"), inner("conversations")), lambda p: p.isin(_KNOWN))
     print_ = F.sha2(F.array_join(F.sort_array(known), "\n"), 256)
     layout = F.element_at(F.create_map(*(F.lit(v) for pair in FINGERPRINTS.items() for v in pair)), print_)
     rows = df.select(key, column).withColumn("layout", layout)

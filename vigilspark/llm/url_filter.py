@@ -26,7 +26,7 @@ from vigilspark.llm.util import checkpointed, mix64
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 5
 #: Counters of each order and class: the model's size whatever the number of URLs.
-SLOTS = 1 << 18
+SLOTS = 1 << 17
 HELD_OUT = 5
 #: Bins of the held-out scores' histogram, over [-4, 4] nats a character.
 BINS = 8000
@@ -66,28 +66,27 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def ngram_counts(labelled: DataFrame) -> DataFrame:
-    """label, kind (0 n-gram, 1 context), order, slot, n over all rows of `labelled` (label, text)."""
+    """code, n over all rows of `labelled` (label, text); a code is the place in a Model's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), np.int64)
             grams, befores, row = contexts([t.encode() for t in batch.column("text").to_pylist()])
             for kind, slots in enumerate((grams, befores)):
-                code = (labels[row][None] * ORDER + np.arange(ORDER)[:, None]) * SLOTS + slots
+                code = ((kind * 2 + labels[row][None]) * ORDER + np.arange(ORDER)[:, None]) * SLOTS + slots
                 code, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code // SLOTS // ORDER), pa.array(np.full(len(code), kind)), pa.array(code // SLOTS % ORDER), pa.array(code % SLOTS), pa.array(n)], names=["label", "kind", "order", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    sent = labelled.select("label", "text").mapInArrow(run, "label long, kind long, order long, slot long, n long")
-    return sent.groupBy("label", "kind", "order", "slot").agg(F.sum("n").alias("n"))
+    return labelled.select("label", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Counts of both classes as arrays [label, order, slot]; at most 2 x 2 x ORDER x SLOTS numbers."""
+    """Counts [n-grams or contexts, label, order, slot] of both classes: 4 x ORDER x SLOTS numbers, whatever the corpus."""
 
     def __init__(self, counts: pa.Table):
-        self.counts = np.zeros((2, 2, ORDER, SLOTS), np.float32)
-        at = tuple(counts.column(c).to_numpy() for c in ("kind", "label", "order", "slot"))
-        self.counts[at] = counts.column("n").to_numpy()
+        self.counts = np.zeros(4 * ORDER * SLOTS, np.float32)
+        self.counts[counts.column("code").to_numpy()] = counts.column("n").to_numpy()
+        self.counts = self.counts.reshape(2, 2, ORDER, SLOTS)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Mean over the characters of log P(accepted) - log P(rejected)."""
@@ -135,7 +134,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("decided", verdict).withColumn("text", F.concat("host", "path"))
     labelled = rows.where("decided is not null").select((F.col("decided") == "allow").cast("long").alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0).alias("held"))
-    counts = ngram_counts(labelled.where("not held")).toArrow()  # at most 4 x ORDER x SLOTS rows
+    counts = ngram_counts(labelled.where("not held")).toArrow()  # at most 4 x ORDER x SLOTS rows of two numbers
     model = pages.sparkSession.sparkContext.broadcast(Model(counts))
     b = F.least(F.greatest(F.floor((F.col("score") + 4) * (BINS / 8)), F.lit(0)), F.lit(BINS)).cast("int")
     cut = threshold([tuple(r) for r in scored(labelled.where("held"), model, ["label"]).groupBy("label", b.alias("b")).agg(F.count(F.lit(1))).collect()])
