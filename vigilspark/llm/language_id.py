@@ -9,7 +9,7 @@ The posterior is the normalised product.
 
 A row is accepted if its language is a wanted one with a posterior of at least `least`; "und" never is.
 
-Cases: null and empty texts and those under three bytes have no text evidence, suggest "und" and are never accepted;
+Cases: null and empty texts and those without letters have no text evidence, suggest "und" and are never accepted;
 null or empty declared languages, suffixes and hosts give no evidence (the host's prior is then the global one); repeated
 rows are independent; other columns are dropped; an empty table gives an empty result; without labelled rows all
 languages are alike and nothing is accepted.
@@ -32,28 +32,35 @@ LANGUAGES = ("de", "en", "es", "fr")
 TRAIN_ROWS = 8_000
 SLOTS = 1 << 17
 TEXT_WEIGHT = 150
+#: Share of trigrams that any language may have from nowhere.
+UNSEEN = 0.02
 HOST_PRIOR, DECLARED_PRIOR = 50.0, 50.0
 LEAST = 0.5
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_WORD = _LETTER.copy()
+_WORD[[9, 10, 11, 12, 13, 32]] = True
 
 
 def trigram_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all byte trigrams, and each row's offsets into them; none spans two rows."""
-    b = _FOLD[data]
-    lengths = np.maximum(np.diff(offsets) - 2, 0)
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    if len(b) < 3:
-        return np.zeros(0, np.int64), ends
-    code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)
-    inside = np.ones(len(code), bool)
+    """Slots of the byte trigrams of letters and spaces around a letter, and each row's offsets into them; none spans two
+    rows. Digits and signs say nothing about a language, so numbers, addresses and keys in a text don't count."""
+    n = len(data) - 2
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    word = _WORD[data]
+    kept = word[:-2] & _LETTER[data[1:-1]] & word[2:]
     for k in (1, 2):  # starts too near a row's end
         cut = offsets[1:-1] - k
-        inside[cut[(cut >= 0) & (cut < len(code))]] = False
-    # an empty or short row lets the cuts of its neighbours fall together, never apart
-    return (code[inside] >> np.uint32(32 - (SLOTS.bit_length() - 1))).astype(np.int64), ends
+        kept[cut[(cut >= 0) & (cut < n)]] = False
+    at = np.flatnonzero(kept)
+    b = _FOLD[data]
+    code = ((b[at] << np.uint32(16)) | (b[at + 1] << np.uint32(8)) | b[at + 2]) * np.uint32(2654435761)
+    return (code >> np.uint32(32 - (SLOTS.bit_length() - 1))).astype(np.int64), np.searchsorted(at, offsets)
 
 
 def fit_text(labelled: DataFrame, languages=LANGUAGES, rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -78,6 +85,7 @@ def fit_text(labelled: DataFrame, languages=LANGUAGES, rows: int = TRAIN_ROWS) -
     pooled = (table.sum(0) + 0.01) / (table.sum() + 0.01 * SLOTS)
     weight = 200.0
     known = (table + weight * pooled) / (table.sum(1, keepdims=True) + weight)
+    known = (1 - UNSEEN) * known + UNSEEN / SLOTS  # a few odd words make no text foreign
     return np.log(np.vstack([known, np.full(SLOTS, 1.0 / SLOTS)])).T.astype(np.float32)
 
 
