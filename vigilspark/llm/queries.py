@@ -79,4 +79,47 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_hnsw_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+          links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+          reach AS (SELECT vec_id, vec_id AS y FROM v UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.y),
+          least AS (SELECT vec_id, min(y) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)""",
+    "op5_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+          words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM w),
+          windows AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM words),
+          repeated AS (SELECT doc_id, p FROM windows WHERE p + 19 <= n QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+          gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM repeated),
+          kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op7_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+          e AS (SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?INST\]|/?s>)', '\1\\\2\3', 'g')) + length(regexp_replace(role, '([\[<])(\\*)(/?INST\]|/?s>)', '\1\\\2\3', 'g')) + 17 AS f FROM c),
+          g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS t, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(f) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op9_source_mix": f"""
+        WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR))) AS place FROM documents),
+          s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+          s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM s0),
+          s2 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM s1),
+          s3 AS (SELECT *, cap / weight AS level FROM s2),
+          s4 AS (SELECT *, CAST(sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (ORDER BY level, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / sum(weight) OVER (ORDER BY level, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM s3),
+          s5 AS (SELECT *, (SELECT try FROM s4 z WHERE try <= level ORDER BY level, sid LIMIT 1) AS water FROM s4),
+          s6 AS (SELECT sid, source, source_size, least(coalesce(water * weight, CAST(cap AS DOUBLE)), CAST(cap AS DOUBLE)) AS target, least(source_size, greatest(CAST(ceil(source_size / 256) AS BIGINT), 256)) AS blocks FROM s5),
+          s7 AS (SELECT *, CASE WHEN blocks > 0 THEN target * blocks / source_size ELSE 0.0 END AS want FROM s6),
+          s8 AS (SELECT *, sum(want) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(want) OVER () AS high, sum(want) OVER () AS slots FROM s7),
+          s9 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0.0) AS low FROM s8),
+          points AS (SELECT i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u FROM range((SELECT CAST(round(coalesce(max(slots), 0)) AS BIGINT) FROM s9)) t(i)),
+          hits AS (SELECT s.sid, s.blocks, row_number() OVER (PARTITION BY s.sid ORDER BY p.slot) - 1 AS turn FROM points p JOIN s9 s ON s.want > 0 AND p.u >= s.low AND p.u < s.high),
+          turns AS (SELECT sid, turn % blocks AS block, count(*) AS times FROM hits WHERE turn < 2 * blocks GROUP BY 1, 2),
+          placed AS (SELECT d.doc_id, d.size, s.*, s.source_size // greatest(s.blocks, 1) AS q, s.source_size % greatest(s.blocks, 1) AS r,
+            CAST(sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start, row_number() OVER () AS rid FROM d JOIN s9 s ON d.source IS NOT DISTINCT FROM s.source),
+          cut AS (SELECT rid, sid, size, start, q, r, unnest(range(CASE WHEN start < r * (q + 1) THEN start // (q + 1) ELSE r + (start - r * (q + 1)) // greatest(q, 1) END,
+            CASE WHEN start + size - 1 < r * (q + 1) THEN (start + size - 1) // (q + 1) ELSE r + (start + size - 1 - r * (q + 1)) // greatest(q, 1) END + 1)) AS block FROM placed WHERE size > 0),
+          taken AS (SELECT rid, CAST(sum(times * (least(start + size, (c.block + 1) * q + least(c.block + 1, r)) - greatest(start, c.block * q + least(c.block, r)))) AS BIGINT) AS taken FROM cut c JOIN turns t ON t.sid = c.sid AND t.block = c.block GROUP BY rid)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rid)""",
+}
