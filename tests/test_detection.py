@@ -160,3 +160,44 @@ def test_class_files(spark):
     assert {(r.path, r.rule) for r in classfile.structural(found).collect()} == {("/a.war", "javadisk:class-hook-registration-structure"), ("/c.class", "javadisk:class-hook-registration-structure")}
     assert {(r.artifact, r.code) for r in problems.collect()} == {("/a.war!/../x.class", "archive-unsafe-name"), ("/a.war!/bad.class", "class-malformed"), ("/a.war!/big.class", "archive-budget"), ("/b.jar", "archive-malformed")}
     assert classfile.exploded(classfile.RATIO_FLOOR * 300, classfile.RATIO_FLOOR) and not classfile.exploded(classfile.RATIO_FLOOR * 200, classfile.RATIO_FLOOR)
+
+
+def test_resolved_calls():
+    got = dict(layers.decode(b"<?php $a = 'sys' . 'tem'; $a($_GET['x']); ?>").found)
+    assert b"system($_GET['x'])" in got["php-resolved:system"]
+    assert "php-resolved:system" not in dict(layers.decode(b"<?php $a = 'system'; $a = 'x'; $a(1);").found)
+
+
+def test_rescan(spark):
+    from vigilspark.operators import scan
+
+    inner = base64.b64encode(b"this holds the secret marker, and more").decode()
+    found = [Rule("marker", {"a": Text("secret marker")}, rules.any_of(), lang="php"), Rule("plain", {"a": Text("decode")}, rules.any_of())]
+    files = spark.createDataFrame([("/a.php", f"<?php eval(base64_decode('{inner}'));"), ("/a.jsp", f"eval(base64_decode('{inner}'))"), ("/b.php", "secret marker")], "path string, content string")
+    got = {(r.path, r.rule, r.decoded, r.method) for r in scan.rescan(files, found).collect()}
+    assert got == {("/a.php", "marker", True, "base64"), ("/a.php", "plain", False, None), ("/a.jsp", "plain", False, None), ("/b.php", "marker", False, None)}
+
+
+def test_clones(spark):
+    from vigilspark.operators import clones
+
+    files = spark.createDataFrame([("a", "if (x == 1) { y('q'); }"), ("b", "if (foo==22){bar(\"z\");} /* c */"), ("c", "while (x) { y(); }"), ("d", "")], "path string, text string")
+    g = clones.groups(clones.fingerprints(files)).collect()
+    assert [(r.first_path, r.files, r.variants) for r in g] == [("a", 2, 2)]
+
+
+def test_builds_and_settings(spark):
+    from vigilspark.operators import scan
+
+    always = spark.createDataFrame([("core",)], "file string")
+    parts = spark.createDataFrame([("disk", "binary", "d", True), ("disk", "data", "rules.dat", True), ("mem", "binary", "m", False), ("mem", "data", "m.dat", False)], "view string, kind string, file string, rules boolean")
+    files, needs = scan.build_files(always, parts, ["disk", "mem"])
+    assert [r.file for r in files.collect()] == ["core", "d", "m", "m.dat"] and needs
+    for views in ([], ["other"]):
+        with pytest.raises(ValueError):
+            scan.build_files(always, parts, views)
+    with pytest.raises(ValueError):
+        scan.build_files(spark.createDataFrame([("../x",)], "file string"), parts, ["mem"])
+    assert scan.configure({"a": 1}, {"a": 2, "b": 3}, {"a": 0, "b": 0, "c": None}) == {"a": 1, "b": 3, "c": None}
+    with pytest.raises(ValueError):
+        scan.configure({"z": 1}, {}, {"a": 0})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.checkpoints import checkpointed
+
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
     """Each rule's highest revision; combined before the shuffle."""
@@ -49,16 +51,21 @@ def exclusion_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before, key, "left_anti").select("rule_id", F.lit("added").alias("change")).union(before.join(after, key, "left_anti").select("rule_id", F.lit("removed").alias("change")))
 
 
-def dependency_closure(references: DataFrame, depth: int = 12) -> DataFrame:
+def dependency_closure(references: DataFrame, depth: int = 1 << 20) -> DataFrame:
     """rule_id, depends_on for all rules reachable along references (rule_id, depends_on); a cycle reaches its own members.
 
-    Pairs double their reach in each round, and only new pairs travel on, so rounds grow with the logarithm of the longest chain."""
-    from functools import reduce
-
-    known = references.select("rule_id", "depends_on").distinct()
-    rounds = max(1, (depth - 1).bit_length())
-    step = lambda k, _: k.union(k.alias("x").join(k.alias("y"), F.col("x.depends_on") == F.col("y.rule_id")).select("x.rule_id", "y.depends_on")).distinct()
-    return reduce(step, range(rounds), known)
+    Pairs double their reach in each round until none is new, so rounds grow with the logarithm of the longest chain (at most
+    `depth`)."""
+    known = checkpointed(references.select("rule_id", "depends_on").distinct())
+    n = known.count()
+    for _ in range(max(1, (depth - 1).bit_length())):
+        further = known.alias("x").join(known.alias("y"), F.col("x.depends_on") == F.col("y.rule_id")).select("x.rule_id", "y.depends_on")
+        known = checkpointed(known.union(further).distinct())
+        now = known.count()
+        if now == n:
+            break
+        n = now
+    return known
 
 
 def orphaned_by_exclusion(exclusions: DataFrame, references: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def exclusion_upsert(spark, d):
 
 
 def dependency_closure(spark, d):
-    return library.dependency_closure(_refs(spark, d), 16).where("rule_id % 25 = 0")
+    return library.dependency_closure(_refs(spark, d)).where("rule_id % 25 = 0")
 
 
 def facet_layers(spark, d):
