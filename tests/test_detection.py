@@ -150,6 +150,12 @@ def class_file(owner, name, own="Evil"):
 def test_class_files(spark):
     data = class_file("javax/servlet/ServletContext", "addFilter")
     assert classfile.read_class(data) == ("Evil", [("go()V", "javax/servlet/ServletContext", "addFilter", "()V")])
+    # goto past a call; a return before one; a handler
+    assert [a for a, _ in classfile.reachable(b"\xa7\x00\x06\xb8\x00\x0a\xb1", [])] == [0, 6]
+    assert [a for a, _ in classfile.reachable(b"\x00\xb1\xb8\x00\x0a\xb1", [])] == [0, 1]
+    assert [a for a, _ in classfile.reachable(b"\x00\xb1\xb8\x00\x0a\xb1", [(0, 1, 2)])] == [0, 1, 2, 5]
+    switch = b"\xaa\x00\x00\x00" + struct.pack(">iiiii", 24, 0, 1, 25, 26) + b"\xb1\xb1\xb1"
+    assert [a for a, _ in classfile.reachable(switch, [])] == [0, 24, 25, 26]
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         z.writestr("WEB-INF/classes/Evil.class", data)

@@ -145,3 +145,38 @@ def test_stream(spark, tmp_path):
     (source / "8.json").write_text(json.dumps(report("r3")))
     run()
     assert sorted(r.run_id for r in spark.read.parquet(table).collect()) == ["r1", "r2", "r3"]
+
+
+def test_run_folder(spark, tmp_path):
+    from vigilspark.operators import fusion, outputs
+    from vigilspark.plans.projections import view
+
+    d = "/root/testdata/sf0.001"
+    scored = fusion.assess(view(spark, d, "v_finding").where("ord < 200")).cache()
+    coverage = view(spark, d, "v_coverage")
+    verdicts = fusion.host_verdicts(scored, coverage)
+    path = str(tmp_path / "run")
+    manifest = sinks.write_run(scored, coverage, verdicts, path)
+    files = readers.files(spark, f"{path}/report", f"{path}/summary", f"{path}/findings").select(F.regexp_extract("path", r"(?:report|summary|findings)/.*$", 0).alias("name"), "content")
+    states = {r.state for r in outputs.verify_manifest(manifest, outputs.manifest(files)).collect()}
+    assert states == {"ok"} and spark.read.text(f"{path}/findings").count() == scored.count()
+
+
+def test_freeze_and_identifiers(spark):
+    resolved = spark.createDataFrame([(1, 10, 3), (2, 11, 1)], "set_id int, rule_id int, revision int")
+    sets = spark.createDataFrame([(1,), (2,), (3,)], "set_id int")
+    add, refused = library.freeze(sets, resolved, spark.createDataFrame([(2, 11, 1)], "set_id int, rule_id int, revision int"))
+    assert [tuple(r) for r in add.collect()] == [(1, 10, 3)] and sorted(r.set_id for r in refused.collect()) == [2, 3]
+    texts = spark.createDataFrame([("rule a { }",), ("private rule b : t { }\nrule c { }",), ("no",), ("  global rule d\n{",)], "t string")
+    assert [r.n for r in texts.select(library.rule_identifier(F.col("t")).alias("n")).collect()] == ["a", None, None, "d"]
+
+
+def test_settings():
+    import pytest
+
+    from vigilspark.operators import scan
+
+    assert scan.load_settings('{"a": "x", "b": null}', {"a": ("x", "y"), "b": ()}) == {"a": "x", "b": None}
+    for text in ('{"a": "x", "a": "y"}', '{"z": 1}', '{"a": "q"}', "[1]"):
+        with pytest.raises(ValueError):
+            scan.load_settings(text, {"a": ("x", "y")})

@@ -144,3 +144,22 @@ def rule_meta(rules: DataFrame, body: str = "body") -> DataFrame:
     first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)  # repeated keys: the first
     out = rules.withColumn("meta", F.map_from_entries(first))
     return out.withColumn("meta_score", F.when(F.col("meta")["score"].rlike(r"^[+-]?[0-9]+$"), F.col("meta")["score"].try_cast("int")))
+
+
+RULE_HEAD = r"(?m)^[ \t]*(?:(?:private|global)[ \t]+)*rule[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+
+
+def rule_identifier(text: Column) -> Column:
+    """The name of the one rule that a text declares; null where it declares none or several."""
+    names = F.regexp_extract_all(text, F.lit(RULE_HEAD), F.lit(1))
+    return F.when(F.size(names) == 1, F.get(names, 0))
+
+
+def freeze(sets: DataFrame, resolved: DataFrame, frozen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members to add, sets refused) when sets (set_id) are frozen at their resolved revisions. A set that is frozen already,
+    or resolves to nothing, is refused; members keep the revision they had, whatever the rules become."""
+    done = frozen.select("set_id").distinct()
+    some = resolved.select("set_id").distinct()
+    ready = sets.select("set_id").distinct().join(done, "set_id", "left_anti").join(some, "set_id", "left_semi")
+    refused = sets.select("set_id").distinct().join(ready, "set_id", "left_anti")
+    return resolved.join(ready, "set_id", "left_semi").select("set_id", "rule_id", "revision"), refused

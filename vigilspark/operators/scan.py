@@ -26,6 +26,27 @@ def configure(command_line: dict, file: dict, default: dict) -> dict:
     return {k: next(s[k] for s in (command_line, file, default) if s.get(k) is not None) if any(s.get(k) is not None for s in (command_line, file, default)) else None for k in default}
 
 
+def load_settings(text: str, choices: dict[str, tuple]) -> dict:
+    """A configuration file, strictly: an object without repeated or unknown names and with allowed values only. A name that
+    is absent isn't in the result; one that is null is there with None."""
+    import json
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) != len(pairs):
+            raise ValueError("a name stands twice")
+        return dict(pairs)
+
+    found = json.loads(text, object_pairs_hook=once)
+    if not isinstance(found, dict):
+        raise ValueError("settings are an object")
+    for name, value in found.items():
+        if name not in choices:
+            raise ValueError(f"unknown setting: {name}")
+        if value is not None and choices[name] and value not in choices[name]:
+            raise ValueError(f"{name}: {value!r} is none of {choices[name]}")
+    return found
+
+
 def rescan(files: DataFrame, found_rules: list[Rule]) -> DataFrame:
     """Rule matches of files (path, content) and of their decoded layers, which are judged by their origin's name. Layers are
     rows like files, so one pass over the rules serves both; no layer is ever a file."""

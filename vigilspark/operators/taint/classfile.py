@@ -54,7 +54,7 @@ def modified_utf8(raw: bytes) -> str:
 
 
 def read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
-    """(class name, [(method, owner, name, descriptor) of every call])."""
+    """(class name, [(method, owner, name, descriptor) of every call that control can reach])."""
     try:
         return _read_class(data)
     except (struct.error, IndexError, KeyError, TypeError, UnicodeError) as e:
@@ -109,29 +109,62 @@ def _read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
             for name, raw in attributes():
                 if kind == "methods" and name == "Code":
                     size = struct.unpack(">I", raw[4:8])[0]
-                    calls += [(member, *r) for r in _invoked(raw[8 : 8 + size], pool, text, class_name)]
+                    table = raw[8 + size :]
+                    rows = struct.unpack(">H", table[:2])[0]
+                    handlers = [struct.unpack(">HHH", table[2 + 8 * k : 8 + 8 * k]) for k in range(rows)]
+                    calls += [(member, *r) for r in _invoked(raw[8 : 8 + size], handlers, pool, text, class_name)]
     return this, calls
 
 
-def _invoked(code: bytes, pool: dict, text, class_name) -> Iterator[tuple[str, str, str]]:
+def _instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int], bool]]:
+    """(offset, opcode, end, branch targets, whether the next instruction follows) of a method's code."""
     at = 0
+    short = lambda k: struct.unpack(">h", code[k : k + 2])[0]
+    long = lambda k: struct.unpack(">i", code[k : k + 4])[0]
     while at < len(code):
-        op = code[at]
-        if op in (182, 183, 184, 185):
-            ref = pool[int.from_bytes(code[at + 1 : at + 3], "big")]
-            name_type = pool[ref[2]]
-            yield class_name(ref[1]), text(name_type[1]), text(name_type[2])
+        op, targets = code[at], []
         if op in (170, 171):
             base = at + 4 - at % 4
-            word = lambda k, b=base: struct.unpack(">i", code[b + 4 * k : b + 4 * k + 4])[0]
-            count = word(2) - word(1) + 1 + 3 if op == 170 else 2 + 2 * word(1)
-            if count < 2:
+            n = long(base + 8) - long(base + 4) + 1 if op == 170 else long(base + 4)
+            if not 0 <= n <= len(code):
                 raise Malformed("class-malformed: switch")
-            at = base + 4 * count
+            first, width = (base + 12, 4) if op == 170 else (base + 12, 8)
+            targets = [at + long(base), *(at + long(first + width * k) for k in range(n))]
+            end = base + (12 + 4 * n if op == 170 else 8 + 8 * n)
         elif op == 196:
-            at += 6 if code[at + 1] == 132 else 4
+            end = at + (6 if code[at + 1] == 132 else 4)
         else:
-            at += 1 + _OPERANDS.get(op, 0)
+            end = at + 1 + _OPERANDS.get(op, 0)
+            if 153 <= op <= 168 or op in (198, 199):
+                targets = [at + short(at + 1)]
+            elif op in (200, 201):
+                targets = [at + long(at + 1)]
+        yield at, op, end, targets, op not in (167, 169, 170, 171, 172, 173, 174, 175, 176, 177, 191, 200)
+        at = end
+
+
+def reachable(code: bytes, handlers: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(offset, opcode) of the instructions that control can reach from the method's start; handlers (from, to, at) are
+    reached from within their range."""
+    flow = {at: (op, [*targets, *([end] if falls else [])]) for at, op, end, targets, falls in _instructions(code)}
+    seen: set[int] = set()
+    waiting = [0] if flow else []
+    while waiting:
+        at = waiting.pop()
+        if at in seen or at not in flow:
+            continue
+        seen.add(at)
+        waiting += flow[at][1]
+        waiting += [h for a, b, h in handlers if a <= at < b]
+    return [(at, flow[at][0]) for at in sorted(seen)]
+
+
+def _invoked(code: bytes, handlers: list[tuple[int, int, int]], pool: dict, text, class_name) -> Iterator[tuple[str, str, str]]:
+    for at, op in reachable(code, handlers):
+        if op in (182, 183, 184, 185):
+            ref = pool[int.from_bytes(code[at + 1 : at + 3], "big")]
+            name_type = pool[ref[2]]
+            yield class_name(ref[1]), text(name_type[1]), text(name_type[2])
 
 
 def safe_member(name: str) -> bool:

@@ -20,6 +20,21 @@ def write_report_tables(scored: DataFrame, coverage: DataFrame, verdicts: DataFr
         rows.write.partitionBy("host").mode(mode).parquet(f"{path}/{name}")
 
 
+def write_run(scored: DataFrame, coverage: DataFrame, verdicts: DataFrame, path: str) -> DataFrame:
+    """A run's folders by host: report (JSON), summary (text), findings (NDJSON) and a manifest with the SHA-256 of every file
+    that was written, which is returned as well."""
+    spark = scored.sparkSession
+    verdicts.write.partitionBy("host").json(f"{path}/report")
+    lines = outputs.summary(scored).join(scored.select("fingerprint", "host"), "fingerprint").select("host", F.col("line").alias("value"))
+    cover = outputs.coverage_lines(coverage).select("host", F.col("line").alias("value"))
+    lines.unionByName(cover).write.partitionBy("host").text(f"{path}/summary")
+    write_events(scored, verdicts, f"{path}/findings")
+    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{kind}") for kind in ("report", "summary", "findings")]
+    files = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    outputs.manifest(files.select(F.regexp_extract("path", r"(?:report|summary|findings)/.*$", 0).alias("name"), "content")).write.json(f"{path}/manifest")
+    return spark.read.schema("name string, sha256 string").json(f"{path}/manifest")
+
+
 def put_blobs(blobs: DataFrame, path: str) -> DataFrame:
     """Adds contents (content) that aren't there yet under their SHA-256, sharded by its first two digits; returns the new
     ones' digests."""
