@@ -207,3 +207,63 @@ def test_builds_and_settings(spark):
     assert scan.configure({"a": 1}, {"a": 2, "b": 3}, {"a": 0, "b": 0, "c": None}) == {"a": 1, "b": 3, "c": None}
     with pytest.raises(ValueError):
         scan.configure({"z": 1}, {}, {"a": 0})
+
+
+def assembled(own, methods):
+    """A class from [(flags, name, descriptor, locals, code with ("owner", "name", "descriptor") for references and str for
+    class names)]."""
+    pool, at = [], {}
+
+    def add(entry):
+        if entry not in at:
+            pool.append(entry)
+            at[entry] = len(pool)
+        return at[entry]
+
+    def text(x):
+        return add(utf(x))
+
+    def named(x):
+        return add(b"\x07" + struct.pack(">H", text(x)))
+
+    def ref(owner, name, descriptor):
+        pair = add(b"\x0c" + struct.pack(">HH", text(name), text(descriptor)))
+        return add(b"\x0a" + struct.pack(">HH", named(owner), pair))
+
+    this, parent, code_name = named(own), named("java/lang/Object"), text("Code")
+    out = b""
+    for flags, name, descriptor, max_locals, parts in methods:
+        code = b"".join(struct.pack(">H", ref(*p)) if isinstance(p, tuple) else struct.pack(">H", named(p)) if isinstance(p, str) else p for p in parts)
+        attribute = struct.pack(">HHI", 8, max_locals, len(code)) + code + b"\x00\x00\x00\x00"
+        out += struct.pack(">HHHH", flags, text(name), text(descriptor), 1) + struct.pack(">HI", code_name, len(attribute)) + attribute
+    return b"\xca\xfe\xba\xbe\x00\x00\x00\x34" + struct.pack(">H", len(pool) + 1) + b"".join(pool) + struct.pack(">HHHHHH", 1, this, parent, 0, 0, len(methods)) + out + b"\x00\x00"
+
+
+REQUEST = ("javax/servlet/http/HttpServletRequest", "getParameter", "(Ljava/lang/String;)Ljava/lang/String;")
+EXEC = ("java/lang/Runtime", "exec", "(Ljava/lang/String;)Ljava/lang/Process;")
+BUILDER = "java/lang/StringBuilder"
+APPEND = (BUILDER, "append", "(Ljava/lang/String;)Ljava/lang/StringBuilder;")
+
+
+def test_bytecode_taint(spark):
+    from vigilspark.operators.taint import bytecode
+
+    taken = [b"\x2b\x01\xb6", REQUEST]  # request.getParameter(null)
+    direct = assembled("A", [(1, "go", "(LR;)V", 3, [*taken, b"\x4d\x01\x2c\xb6", EXEC, b"\x57\xb1"])])
+    fixed = assembled("A", [(1, "go", "(LR;)V", 3, [*taken, b"\x4d\x01\x01\xb6", EXEC, b"\x57\xb1"])])
+    built = assembled("A", [(1, "go", "(LR;)V", 4, [b"\xbb", BUILDER, b"\x59\xb7", (BUILDER, "<init>", "()V"), b"\x4e\x2d", *taken, b"\xb6", APPEND, b"\x57\x01\x2d\xb6", (BUILDER, "toString", "()Ljava/lang/String;"), b"\xb6", EXEC, b"\x57\xb1"])])
+    through = [
+        assembled("A", [(1, "go", "(LR;)V", 2, [*taken, b"\xb8", ("B", "pass", "(Ljava/lang/String;)Ljava/lang/String;"), b"\xb8", ("B", "run", "(Ljava/lang/String;)V"), b"\xb1"])]),
+        assembled("B", [(9, "pass", "(Ljava/lang/String;)Ljava/lang/String;", 1, [b"\x2a\xb0"]), (9, "run", "(Ljava/lang/String;)V", 1, [b"\x01\x2a\xb6", EXEC, b"\x57\xb1"])]),
+    ]
+    branch = assembled("A", [(1, "go", "(LR;)V", 3, [b"\x01\x4d\x2b\xc6\x00\x09", *taken, b"\x4d\x01\x2c\xb6", EXEC, b"\x57\xb1"])])
+    sinks = lambda classes: {(c, s) for c, _, s, _ in bytecode.analyse(classes)}
+    assert sinks([direct]) == sinks([built]) == sinks([branch]) == {("A", "exec")} and sinks([fixed]) == set()
+    assert sinks(through) == {("A", "exec")} and sinks(through[1:]) == set()
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for i, c in enumerate(through):
+            z.writestr(f"{i}.class", c)
+    df = spark.createDataFrame([("/a.jar", bytearray(held.getvalue())), ("/f.class", bytearray(fixed)), ("/x.class", bytearray(direct[:60]))], "path string, content binary")
+    assert [(r.path, r.rule, r["class"], r.score) for r in bytecode.semantic(df).collect()] == [("/a.jar", "javadisk:class-request-exec", "A", 85)]
+    assert bytecode.slots("(J[D[[Ljava/lang/String;I)D") == ([2, 1, 1, 1], 2)

@@ -53,15 +53,8 @@ def modified_utf8(raw: bytes) -> str:
     return raw.replace(b"\xc0\x80", b"\x00").decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
-    """(class name, [(method, owner, name, descriptor) of every call that control can reach])."""
-    try:
-        return _read_class(data)
-    except (struct.error, IndexError, KeyError, TypeError, UnicodeError) as e:
-        raise Malformed(f"class-malformed: {e}") from e
-
-
-def _read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
+def parse(data: bytes) -> tuple[dict[int, tuple], str, list[tuple[int, str, str, bytes | None]]]:
+    """(constant pool, class name, [(flags, method, descriptor, Code attribute or None)]) of a class file."""
     s = io.BytesIO(data)
 
     def u(n: int) -> int:
@@ -85,35 +78,43 @@ def _read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
         else:
             raise Malformed(f"class-malformed: tag {tag}")
         i += 2 if tag in (5, 6) else 1
-    text = lambda k: pool[k][1]
-    class_name = lambda k: text(pool[k][1])
     u(2)
-    this = class_name(u(2))
+    this = pool[pool[u(2)][1]][1]
     u(2)
     for _ in range(u(2)):
         u(2)
-
-    def attributes() -> Iterator[tuple[str, bytes]]:
-        for _ in range(u(2)):
-            name, size = text(u(2)), u(4)
-            raw = s.read(size)
-            if len(raw) < size:
-                raise struct.error("an attribute ends early")
-            yield name, raw
-
-    calls = []
+    members = []
     for kind in ("fields", "methods"):
         for _ in range(u(2)):
-            u(2)
-            member = text(u(2)) + text(u(2))
-            for name, raw in attributes():
-                if kind == "methods" and name == "Code":
-                    size = struct.unpack(">I", raw[4:8])[0]
-                    table = raw[8 + size :]
-                    rows = struct.unpack(">H", table[:2])[0]
-                    handlers = [struct.unpack(">HHH", table[2 + 8 * k : 8 + 8 * k]) for k in range(rows)]
-                    calls += [(member, *r) for r in _invoked(raw[8 : 8 + size], handlers, pool, text, class_name)]
-    return this, calls
+            flags, name, descriptor, code = u(2), pool[u(2)][1], pool[u(2)][1], None
+            for _ in range(u(2)):
+                attribute, size = pool[u(2)][1], u(4)
+                raw = s.read(size)
+                if len(raw) < size:
+                    raise struct.error("an attribute ends early")
+                code = raw if attribute == "Code" else code
+            if kind == "methods":
+                members.append((flags, name, descriptor, code))
+    return pool, this, members
+
+
+def body(raw: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """(instructions, exception handlers) of a Code attribute."""
+    size = struct.unpack(">I", raw[4:8])[0]
+    table = raw[8 + size :]
+    rows = struct.unpack(">H", table[:2])[0]
+    return raw[8 : 8 + size], [struct.unpack(">HHH", table[2 + 8 * k : 8 + 8 * k]) for k in range(rows)]
+
+
+def read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """(class name, [(method, owner, name, descriptor) of every call that control can reach])."""
+    try:
+        pool, this, members = parse(data)
+        text = lambda k: pool[k][1]
+        class_name = lambda k: text(pool[k][1])
+        return this, [(name + descriptor, *call) for _, name, descriptor, raw in members if raw is not None for call in _invoked(*body(raw), pool, text, class_name)]
+    except (struct.error, IndexError, KeyError, TypeError, UnicodeError) as e:
+        raise Malformed(f"class-malformed: {e}") from e
 
 
 def _instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int], bool]]:
