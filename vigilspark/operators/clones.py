@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LEXEME = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[0-9]+(?:\.[0-9]+)?|[A-Za-z_$][0-9A-Za-z_$]*|[^\s0-9A-Za-z_$]"
+_LEXEME = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[0-9]+(?:\.[0-9]+)?|[A-Za-z_$][0-9A-Za-z_$]*|[^\s0-9A-Za-z_$]"
 KEYWORDS = ("if", "else", "for", "while", "return", "new", "try", "catch", "class", "import", "function", "echo", "eval", "exec", "system", "request", "response", "public", "static", "void", "include", "require")
 
 

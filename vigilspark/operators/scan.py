@@ -50,18 +50,15 @@ def load_settings(text: str, choices: dict[str, tuple]) -> dict:
 def rescan(files: DataFrame, found_rules: list[Rule]) -> DataFrame:
     """Rule matches of files (path, content) and of their decoded layers, which are judged by their origin's name. Layers are
     rows like files, so one pass over the rules serves both; no layer is ever a file."""
-    raw = files.select("path", F.decode(F.col("content").cast("binary"), "ISO-8859-1").alias("text"), F.lit(None).cast("string").alias("method"), F.lit(-1).alias("ordinal"))
-    decoded = layers.decoded_layers(files.select("path", "content")).select("path", F.decode("data", "ISO-8859-1").alias("text"), "method", "ordinal")
-    both = raw.unionByName(decoded).withColumn("path", F.concat_ws("\x00", "path", F.col("ordinal").cast("string"), "method"))
-    # the synthetic name carries the layer through the rules; the context comes from the origin's name in front of it
+    raw = files.select("path", F.col("content").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("method"), F.lit(-1).alias("ordinal"))
+    decoded = layers.decoded_layers(files.select("path", "content")).select("path", F.col("data").alias("bytes"), "method", "ordinal")
     compiled = rules.compile_rules(found_rules)
-    rows = both.withColumn("origin", F.split("path", "\x00")[0]).withColumn("context", rules.file_context(F.col("origin"))).withColumn("is_binary", F.contains(F.substring(F.col("text").cast("binary"), 1, 8000), F.lit(b"\x00")))
-    rows = rows.withColumn("signs", rules.classify.signs(F.col("text"), F.col("is_binary")))
+    rows = rules.with_context(raw.unionByName(decoded).withColumn("text", F.decode("bytes", "ISO-8859-1")))
     hits = [F.when(compiled[r.name], F.lit(r.name)) for r in found_rules if not r.private]
-    out = rows.select("origin", "method", "ordinal", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+    out = rows.select("path", "method", "ordinal", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
     # a file's own hit says it all; of several layers the first
-    first = out.groupBy("origin", "rule").agg(F.min(F.struct("ordinal", "method")).alias("m"))
-    return first.select(F.col("origin").alias("path"), "rule", (F.col("m.ordinal") >= 0).alias("decoded"), F.col("m.method").alias("method"))
+    first = out.groupBy("path", "rule").agg(F.min(F.struct("ordinal", "method")).alias("m"))
+    return first.select("path", "rule", (F.col("m.ordinal") >= 0).alias("decoded"), F.col("m.method").alias("method"))
 
 
 def cells(found: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -9,6 +9,11 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch, unless the session or the cluster says otherwise: texts are long, and a batch is held by the
+#: executor's JVM and by its Python worker at the same time.
+BATCH_ROWS = "2000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _lock = threading.Lock()
 _shipped: set[str] = set()
 
@@ -16,6 +21,8 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the application's Python files, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == "10000" and sc.getConf().get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     with _lock:
         if sc.applicationId not in _shipped:
             top = os.path.dirname(os.path.abspath(__file__))
