@@ -39,7 +39,7 @@ RANGE_CELLS = 1 << 22
 #: The sketch's width stays between these; beyond the largest more windows pass, none is lost.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 34
 #: Stretches that a task gathers before it sends their cells.
-GATHER = 4_000_000
+GATHER = 1_000_000
 #: Frequent windows that a task keeps in mind to settle later ones at once.
 FREQUENT = 1 << 18
 NULL_KEY = -(1 << 63)
@@ -120,6 +120,17 @@ def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return mix64(hashes ^ _SEEDS[row]) >> np.uint64(64 - (cells.bit_length() - 1))
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells as the gaps between them, which are small and compress well."""
+    gaps = np.diff(cells, prepend=0)
+    kind = "<u2" if not len(gaps) or gaps.max() < 1 << 16 else "<u4"
+    return kind.encode() + gaps.astype(kind).tobytes()
+
+
+def _ungapped(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob[3:], blob[:3].decode()), dtype=np.int64)
+
+
 def sketch_width(docs: DataFrame, text: str, window: int, stretch: int) -> int:
     """Cells for a sketch row: some eight for each stretch to be counted, estimated from the bytes of text."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -142,9 +153,9 @@ def merged_sketch(docs: DataFrame, folder: str, cells: int, window: int, stretch
             for row in range(SKETCH_ROWS):
                 cell, times = np.unique(_cells(flat, row, cells), return_counts=True)
                 part = (cell // np.uint64(size)).astype(np.int64)
-                local = (cell % np.uint64(size)).astype("<u4")
+                local = (cell % np.uint64(size)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part)) + 1
-                blocks = [(p[0], x[t == 1].tobytes(), x[t > 1].tobytes()) for p, x, t in zip(*(np.split(v, cuts) for v in (part, local, times)), strict=True) if len(p)]
+                blocks = [(p[0], _gaps(x[t == 1]), _gaps(x[t > 1])) for p, x, t in zip(*(np.split(v, cuts) for v in (part, local, times)), strict=True) if len(p)]
                 yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(blocks), pa.int32()), "range": pa.array([b[0] for b in blocks], pa.int64()), "once": pa.array([b[1] for b in blocks], pa.binary()), "more": pa.array([b[2] for b in blocks], pa.binary())})
 
         for whole in batches:
@@ -162,7 +173,7 @@ def merged_sketch(docs: DataFrame, folder: str, cells: int, window: int, stretch
         seen, twice = np.zeros(size, bool), np.zeros(size, bool)
         for block in blocks:
             for once, more in zip(block.column("once"), block.column("more"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (once, more))
+                x, y = (_ungapped(v.as_py()) for v in (once, more))
                 twice[x] |= seen[x]
                 seen[x] = True
                 twice[y] = True
@@ -247,7 +258,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, stretch: int = 12, key:
                     f = np.minimum(np.searchsorted(frequent, h1), len(frequent) - 1)
                     covered |= (frequent[f] == h1) & (second[f] == h2) & (doc > earliest[f])
                 times = np.bincount(group)
-                many = head[(times > 2) & ~covered[head]]
+                many = head[(times > 1) & ~covered[head]]
                 if len(many) and len(frequent) < FREQUENT:
                     frequent, second, earliest = np.concatenate([frequent, h1[many]]), np.concatenate([second, h2[many]]), np.concatenate([earliest, doc[many]])
                     o = np.lexsort((earliest, frequent))
