@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one vectorised step takes at once; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
