@@ -13,6 +13,7 @@ other columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -155,12 +156,9 @@ def forest(n: int, pairs) -> np.ndarray:
 def trie_links(classes: DataFrame, budget: int) -> DataFrame:
     """Links a, b between the nodes of classes (columns fp, node; fingerprints distinct) that join all
     fingerprints within `budget` differing bits: a spanning forest for each pair of subtrees."""
-    spark = classes.sparkSession
     n = classes.count()
     depth = max(2, min((n >> 14).bit_length(), max(8, (n >> 18).bit_length())))
-    masks = [m for m in ([0] + [1 << i for i in range(depth)] + [(1 << i) | (1 << j) for i in range(depth) for j in range(i)]) if m.bit_count() <= budget]
-    if budget > 2:  # prefixes that differ in more bits
-        masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
+    masks = [sum(1 << i for i in chosen) for k in range(min(budget, depth) + 1) for chosen in combinations(range(depth), k)]
 
     def run(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
@@ -179,7 +177,6 @@ def trie_links(classes: DataFrame, budget: int) -> DataFrame:
     prefix = F.shiftrightunsigned(F.col("fp"), 64 - depth)
     dealt = classes.select("fp", "node", prefix.alias("p"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
     dealt = dealt.select("fp", "node", "mask", F.least("p", F.col("p").bitwiseXOR(F.col("mask"))).alias("low"), (F.col("p") > F.col("p").bitwiseXOR(F.col("mask"))).cast("int").alias("other"))
-    del spark
     return dealt.groupBy("low", "mask").applyInArrow(run, "a long, b long")
 
 

@@ -19,6 +19,7 @@ gives an empty manifest.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -219,8 +220,6 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, folder: st
     """Writes the files into the shared folder and reads every document back from them."""
     folder = folder or fresh_path(docs.sparkSession, "token-files")
     write_token_files(docs, folder, tokenizer_path, end_id)
-    import json
-
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
     vocabulary = max(end_id + 1, len(spec["model"]["vocab"]) + len(spec["added_tokens"]))

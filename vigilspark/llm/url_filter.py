@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.util import checkpointed, mix64
+from vigilspark.llm.util import mix64
 
 #: (verdict, host, beginning of the path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -110,7 +110,7 @@ def scored(rows: DataFrame, model, keep: list[str]) -> DataFrame:
             score = model.value.scores([t.encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{schema}, score double") if "text" not in keep else rows.select(keep).mapInArrow(run, f"{schema}, score double")
+    return rows.select(*keep, "text").mapInArrow(run, f"{schema}, score double")
 
 
 def threshold(histogram: list[tuple[int, int, int]]) -> float:
