@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -68,8 +69,10 @@ class WordBpe:
         self.symbols = byte_symbols()
         self._rank_tables(merges)
         self.decimal = np.array([str(i) for i in range(self.size)], dtype=object)
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.texts = np.array(self.token, dtype=object)
+        self.gaps = "" in self.token
+        self.words: dict[bytes, bytes] = {}  # packed ids
+        self.older: dict[bytes, bytes] = {}
         self.speculated = self.merged = 0
 
     # -- tables -----------------------------------------------------------------------------
@@ -108,7 +111,12 @@ class WordBpe:
             sound[z] = whole[z] and sound[self.left[z]] and sound[self.right[z]] and not twice[z]
         self.sound = sound
         self.greedy = {t: i for t, i in v.items() if sound[i]}
-        self.longest = max((len(t) for t in self.greedy), default=1)
+        # how far a proposal that begins with these symbols can reach
+        self.reach: dict[str, int] = {}
+        for t in self.greedy:
+            n_symbols = len(t) - len(self.suffix) if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else len(t)
+            if self.reach.get(t[:3], 0) < n_symbols > 2:
+                self.reach[t[:3]] = n_symbols
 
     def _compatible(self, a: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Whether each pair of adjacent tokens encodes to itself, by undoing merges next to the
@@ -136,9 +144,9 @@ class WordBpe:
 
     def propose(self, piece: str) -> list[int]:
         """Greedy longest match from the left over a piece in byte symbols."""
-        got, at, n, find = [], 0, len(piece), self.greedy
+        got, at, n, find, reach = [], 0, len(piece), self.greedy, self.reach
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + reach.get(piece[at : at + 3], 2))
             if end == n and (i := find.get(piece[at:] + self.suffix)) is not None:
                 got.append(i)
                 break
@@ -156,6 +164,8 @@ class WordBpe:
         ids = [self.vocab.get(s) for s in [*piece[:-1], piece[-1] + self.suffix]] if piece else []
         ids = [i for i in ids if i is not None]
         n = len(ids)
+        if n <= 32:
+            return self._exact_short(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -174,6 +184,22 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], before[i], ids[before[i]], z, m[1]))
         return [i for i in ids if i >= 0]
 
+    def _exact_short(self, ids: list[int]) -> list[int]:
+        none, merge = (1 << 60, -1), self.merge
+        pairs = [merge.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            i = pairs.index(best)
+            ids[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = merge.get((ids[i], ids[i + 1]), none)
+            if i:
+                pairs[i - 1] = merge.get((ids[i - 1], ids[i]), none)
+        return ids
+
     # -- many words --------------------------------------------------------------------------
 
     def split(self, word: str) -> list[str | int]:
@@ -219,9 +245,10 @@ class WordBpe:
         tokens = dict(zip(new, proposed, strict=True))
         return [tuple(chain.from_iterable((p,) if isinstance(p, int) else tokens[p] for p in s)) for s in split]
 
-    def encode_batch(self, texts: Iterable[bytes]) -> list[list[int]]:
+    def encode_batch(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """Token ids of whole texts in UTF-8."""
-        split = [t.split() for t in texts]
+        # ASCII capitals differ in nothing but special tokens; fewer distinct words
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         now = self.words
         missing = set().union(*split).difference(now) if split else set()
         if missing:
@@ -230,8 +257,8 @@ class WordBpe:
             fresh = [w for w in missing if w not in kept]
             for at in range(0, len(fresh), 20_000):
                 part = fresh[at : at + 20_000]
-                now.update(zip(part, self.encode_words(part), strict=True))
-        ids = [list(chain.from_iterable(map(now.__getitem__, s))) for s in split]
+                now.update(zip(part, [struct.pack(f"<{len(i)}i", *i) for i in self.encode_words(part)], strict=True))
+        ids = [np.frombuffer(b"".join(map(now.__getitem__, s)), "<i4") for s in split]
         if any(len(w) > self.CACHE_LENGTH for w in missing):
             for w in [w for w in missing if len(w) > self.CACHE_LENGTH]:
                 del now[w]
@@ -241,8 +268,10 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode without a decoder: tokens joined by one space, special ones too; unknown ids are left out."""
-        table, n = self.token, self.size
-        return " ".join([table[i] for i in ids if 0 <= i < n and table[i]])
+        at = np.asarray(ids, np.int64)
+        known = (at >= 0) & (at < self.size)
+        texts = self.texts[at if known.all() else at[known]].tolist()
+        return " ".join([t for t in texts if t] if self.gaps else texts)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -273,15 +302,16 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_
                 ids = bpe.encode_batch(texts)
                 columns = {"n_tokens": [len(i) for i in ids]}
                 if "ids" in outputs:
-                    columns["ids"] = ids
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 if "ids_sha256" in outputs:
                     decimal = bpe.decimal
-                    columns["ids_sha256"] = [hashlib.sha256(" ".join(decimal[i].tolist() if i else []).encode()).hexdigest() for i in ids]
+                    columns["ids_sha256"] = [hashlib.sha256(" ".join(decimal[i].tolist()).encode()).hexdigest() for i in ids]
                 if "decoded" in outputs or "decoded_sha256" in outputs:
                     decoded = [bpe.decode(i) for i in ids]
                     columns["decoded"] = decoded
                     columns["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
-                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(columns[o], arrow[o]) for o in outputs)], names=[key, *outputs])
+                yield pa.RecordBatch.from_arrays([batch.column(key), *(columns[o] if isinstance(columns[o], pa.Array) else pa.array(columns[o], arrow[o]) for o in outputs)], names=[key, *outputs])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
