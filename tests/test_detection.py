@@ -164,7 +164,7 @@ def test_class_files(spark):
         z.writestr("big.class", b"\x00" * (2 << 20), zipfile.ZIP_DEFLATED)
     found, problems = classfile.calls(spark.createDataFrame([("/a.war", bytearray(held.getvalue())), ("/b.jar", bytearray(b"junk")), ("/c.class", bytearray(data))], "path string, content binary"))
     assert {(r.path, r.rule) for r in classfile.structural(found).collect()} == {("/a.war", "javadisk:class-hook-registration-structure"), ("/c.class", "javadisk:class-hook-registration-structure")}
-    assert {(r.artifact, r.code) for r in problems.collect()} == {("/a.war!/../x.class", "archive-unsafe-name"), ("/a.war!/bad.class", "class-malformed"), ("/a.war!/big.class", "archive-budget"), ("/b.jar", "archive-malformed")}
+    assert {(r.artifact, r.code) for r in problems.collect()} == {("/a.war!/../x.class", "java-artifact-read-failed"), ("/a.war!/bad.class", "java-class-malformed"), ("/a.war!/big.class", "java-archive-budget-exhausted"), ("/b.jar", "java-artifact-read-failed")}
     assert classfile.exploded(classfile.RATIO_FLOOR * 300, classfile.RATIO_FLOOR) and not classfile.exploded(classfile.RATIO_FLOOR * 200, classfile.RATIO_FLOOR)
 
 

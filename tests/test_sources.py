@@ -47,7 +47,7 @@ def test_events(spark, tmp_path):
     p.write_text(event.format(4688, "Security", "C:\\Windows\\cmd.exe") + event.format(1316, "Application", "") + "<Event>broken</Event>")
     good, bad = readers.events(spark, str(p))
     e = good.withColumn("ord", F.monotonically_increasing_id()).cache()
-    assert {(r.knowledge_ref, r.identity) for r in behaviour.detect(e).collect()} == {("kb:behavioral/w3wp-child", "proc:w3wp->cmd.exe"), ("kb:behavioral/viewstate", "asp.net:viewstate-mac-failure")}
+    assert {(r.knowledge_ref, r.identity) for r in behaviour.detect(e).collect()} == {("kb:behavioral/w3wp-child-process", "proc:w3wp->cmd.exe"), ("kb:behavioral/viewstate-mac-failure", "asp.net:viewstate-mac-failure")}
     assert bad.count() == 1
     one = readers.events_from_text(spark.createDataFrame([(event.format(1, "S", "x\x01y"),)], "value string")).first()
     assert one.data["NewProcessName"] == "xy" and one["values"][2] == "ViewState bad"
@@ -67,9 +67,10 @@ def test_files_blobs_and_facts(spark, tmp_path):
     (tmp_path / "claims.tsv").write_text("name\ta.B\ncodesource\t/x.jar\niface\tI\niface\tJ\nname\tc.D\nout_of_contract\ttrue\n")
     c = {r.class_name: (r.code_source, r.out_of_contract, list(r.contracts)) for r in readers.claims(spark, str(tmp_path / "claims.tsv")).collect()}
     assert c == {"a.B": ("/x.jar", False, ["I", "J"]), "c.D": ("", True, [])}
-    lines = spark.createDataFrame([(1, "7f r-xp 00 /tmp/x.so (deleted)"), (1, "-javaagent:/a.jar"), (1, "-javaagent:/a.jar"), (2, "plain")], "pid int, line string")
-    s = readers.external_findings(readers.process_signals(lines)).collect()
-    assert sorted((r.signal, r.score) for r in s) == [("deleted-code-mapping", 40), ("java-agent", 25)]
+    facts = [(1, "maps", "7f-80 r-xp 00 08:01 12 /tmp/x y.so (deleted)"), (1, "maps", "7f-80 r--p 00 08:01 12 /tmp/z (deleted)"), (1, "maps", "7f-80 r-xp 00 08:01 12 /lib/a.so"), (1, "fd", "/tmp/a.jar (deleted)"), (1, "fd", "/tmp/a.jar (deleted)"), (1, "cmdline", "-javaagent:/a.jar"), (1, "tmp", ".java_pid1"), (2, "tmp", ".java_pid1")]
+    s = readers.process_signals(spark.createDataFrame(facts, "pid int, kind string, line string"))
+    assert sorted((r.pid, r.signal, r.severity, r.detail) for r in s.collect()) == [(1, "attach-listener-already-started", "weak", ".java_pid1"), (1, "deleted-fd", "strong", "/tmp/a.jar"), (1, "deleted-mapping", "strong", "/tmp/x y.so"), (1, "deleted-mapping", "weak", "/tmp/z"), (1, "startup-javaagent", "info", "/a.jar")]
+    assert sorted(r.score for r in readers.external_findings(s).collect()) == [25, 25, 40, 40]
     g = readers.listing_gaps(spark.createDataFrame([("a", "file", True, True), ("b", "fifo", True, True), ("c", "link", True, False), ("d", "link", True, True), ("e", "file", False, True)], "path string, kind string, readable boolean, inside boolean"))
     assert {r.path: r.gap for r in g.collect()} == {"a": None, "b": "not-regular", "c": "outside-root", "d": None, "e": "unreadable"}
     p = readers.java_processes(spark.createDataFrame([("java", ["x"], True), ("sh", ["/usr/bin/java"], True), ("sh", ["sh"], True), ("java", ["java"], False)], "comm string, argv array<string>, readable boolean"))
@@ -84,19 +85,22 @@ def test_probe_output(spark):
 
 def test_discovery(spark):
     configs = [
-        ("h", "apache-config", 'DocumentRoot "/var/www/html"\n# DocumentRoot /no\nAlias /x /srv/x/\n'), ("h", "nginx-config", "server { root /var/www/html/sub; }\n"), ("h", "iis-config", '<virtualDirectory physicalPath="%SystemDrive%\\inetpub" />'),
-        ("h", "tomcat-server-xml", '<Host name="x" appBase="webapps">'), ("h", "process-table", "java -Dcatalina.base=/opt/t x"), ("h", "apache-dump", 'Main DocumentRoot: "/var/www/html"'),
+        ("h", "apache-config", 'DocumentRoot "/var/www/html"\n# DocumentRoot /no\n  documentroot /srv/x/  # here\n'), ("h", "nginx-config", "server {\n root /var/www/html/sub;\n}\n"), ("h", "iis-config", '<virtualDirectory physicalPath="%SystemDrive%\\inetpub" />'),
+        ("h", "tomcat-server-xml", '<Host name="x" appBase="webapps">'), ("h", "tomcat-process", "java -Dcatalina.base=/opt/t x"), ("h", "apache-dump", 'Main DocumentRoot: "/var/www/html"'), ("h", "other", "x"),
     ]
     p = discovery.proposals(spark.createDataFrame(configs, "host string, mechanism string, text string"))
     s = discovery.subsume(discovery.merge(p))
     got = {r.path: (r.provenance, r.covered_by, list(r.mechanisms)) for r in s.collect()}
     assert got["/var/www/html"] == ("config", None, ["apache-config", "apache-dump"])
-    assert got["/var/www/html/sub"][1] == "/var/www/html" and got["/opt/t"][0] == "explicit" and "/no" not in got and "/srv/x" in got and "C:\\inetpub" in got
+    assert set(got) == {"/var/www/html", "/var/www/html/sub", "/srv/x", "C:\\inetpub", "webapps", "/opt/t"} and got["/var/www/html/sub"][1] == "/var/www/html"
     assert {r.mechanism: r.roots for r in discovery.credit(s).collect()}["nginx-config"] == 1
     only = discovery.with_explicit(p, spark.createDataFrame([("h", "/mine")], "host string, path string"))
     assert [r.path for r in only.collect()] == ["/mine"]
     assert discovery.refuse(p, ["apache-config"]).where("mechanism = 'apache-config'").count() == 0
     assert discovery.listed(s).first().total == 5
+    bases = spark.createDataFrame([("h", "/opt/jb", "appserver-process"), ("h", "/opt/wl", "appserver-convention")], "host string, path string, mechanism string")
+    listing = spark.createDataFrame([("h", x) for x in ("/opt/jb/standalone/deployments", "/opt/jb/deployments/x", "/opt/wl/servers/s1/stage", "/opt/wl/servers/a/b/stage", "/x/apps")], "host string, path string")
+    assert {(r.path, r.provenance) for r in discovery.deployments(bases, listing).collect()} == {("/opt/jb/standalone/deployments", "config"), ("/opt/wl/servers/s1/stage", "convention")}
 
 
 def test_library(spark):

@@ -62,13 +62,21 @@ def signs(text: Column, binary: Column) -> Column:
     return F.when(binary & ~text.rlike(STRONG_MARKER), F.array().cast("array<string>")).otherwise(found)
 
 
+#: Reads of the variables that a web server hands to a CGI program (fixed values).
+CGI_VARIABLE = (
+    r"(?:\$ENV[\t\n\f\r ]*\{[\t\n\f\r ]*['\"]?|environ[\t\n\f\r ]*[\[(][\t\n\f\r ]*['\"])(?:QUERY_STRING|REQUEST_METHOD|CONTENT_LENGTH|CONTENT_TYPE|PATH_INFO|PATH_TRANSLATED"
+    r"|REMOTE_ADDR|REMOTE_HOST|REMOTE_IDENT|REMOTE_USER|AUTH_TYPE|SCRIPT_NAME|GATEWAY_INTERFACE|HTTP_[A-Z0-9_]+)"
+)
+
+
 def dialect(path: Column, text: Column) -> Column:
-    """Perl or Python for files of the scripting pass, null for others: by language, else by shebang, else Perl for CGI;
-    a name without language needs a CGI variable in its text as well."""
+    """Perl or Python for files of the scripting pass, null for others: by language; CGI by its shebang, else Perl; a name
+    without extension by its shebang, if it reads a CGI variable."""
     lang = language(path)
-    shebang = F.when(text.rlike(r"(?di)\A#![^\n]*python"), "python").when(text.rlike(r"(?di)\A#![^\n]*perl"), "perl")
-    cgi = text.rlike(r"REQUEST_METHOD|QUERY_STRING|CONTENT_LENGTH|HTTP_[A-Z]")
-    return F.when(lang.isin("perl", "python"), lang).when(lang == "cgi", F.coalesce(shebang, F.lit("perl"))).when((lang == "unknown") & cgi, shebang)
+    first = F.lower(F.regexp_extract(F.substring(text, 1, 256), r"\A#!([^\r\n]*)", 1))
+    shebang = F.when(F.contains(first, F.lit("python")), "python").when(F.contains(first, F.lit("perl")), "perl")
+    bare = ~F.contains(basename(path), F.lit("."))
+    return F.when(lang.isin("perl", "python"), lang).when(lang == "cgi", F.coalesce(shebang, F.lit("perl"))).when((lang == "unknown") & bare & text.rlike(CGI_VARIABLE), shebang)
 
 
 def tier_of_score(score: Column) -> Column:

@@ -19,13 +19,13 @@ def _finding(rows: DataFrame, basis: str, ref: Column, identity: Column, evidenc
 def view_state(events: DataFrame) -> DataFrame:
     """Failed view-state validation, as context. events: host, ord, event_id, channel, provider, values."""
     hit = (F.col("event_id") == 1316) & F.lower("provider").startswith("asp.net") & F.exists("values", lambda v: F.contains(F.lower(v), F.lit("viewstate")))
-    return _finding(events.where(hit), "behavioral-context", F.lit("kb:behavioral/viewstate"), F.lit("asp.net:viewstate-mac-failure"), F.lit("view-state validation failed"))
+    return _finding(events.where(hit), "behavioral-context", F.lit("kb:behavioral/viewstate-mac-failure"), F.lit("asp.net:viewstate-mac-failure"), F.lit("view-state validation failed"))
 
 
 def iis_config(events: DataFrame) -> DataFrame:
     hit = (F.col("channel") == IIS_CHANNEL) & F.col("event_id").isin(29, 50)
     evidence = F.concat(F.lit("server configuration changed, event "), F.col("event_id").cast("string"))
-    return _finding(events.where(hit), "behavioral-context", F.lit("kb:behavioral/iis-config"), F.lit("iis:config-change"), evidence)
+    return _finding(events.where(hit), "behavioral-context", F.lit("kb:behavioral/iis-config-change"), F.lit("iis:config-change"), evidence)
 
 
 def with_process(events: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def worker_children(events: DataFrame) -> DataFrame:
     p = with_process(events).withColumn("c", windows_basename(F.col("child_image")))
     p = p.where(F.lower("parent_image").endswith("\\w3wp.exe") & (F.coalesce("c", F.lit("")) != "") & ~F.col("c").isin(*EXPECTED_CHILDREN))
     shell = F.col("c").isin(*SHELL_CHILDREN)
-    ref = F.when(shell, "kb:behavioral/w3wp-child").otherwise("kb:behavioral/w3wp-anomalous-child")
+    ref = F.when(shell, "kb:behavioral/w3wp-child-process").otherwise("kb:behavioral/w3wp-anomalous-child")
     return _finding(p, "behavioral", ref, F.concat(F.lit("proc:w3wp->"), "c"), F.concat(F.lit("worker process started "), "c", F.when(shell, " (shell)").otherwise(" (unexpected)")))
 
 

@@ -11,15 +11,29 @@ from vigilspark.functions.tables import PROVENANCE_RANK, STATUS_RANK, rank
 
 MAX_LISTED = 100
 _S = r"[\t\n\f\r ]"
-IIS_PATH = rf"(?i)physicalPath{_S}*={_S}*\"([^\"]+)\""
-APACHE_ROOT = r"(?im)^[ \t]*(?:DocumentRoot|Alias[ \t]+\S+|ScriptAlias[ \t]+\S+|<Directory)[ \t]+\"?([^\"\s>]+)\"?"
-NGINX_ROOT = r"(?im)(?:^|[;{])[ \t]*(?:root|alias)[ \t]+\"?([^\";\s]+)\"?[ \t]*;"
-APACHE_DUMP = r"(?im)^Main DocumentRoot:[ \t]*\"([^\"]+)\""
+IIS_PATH = r"physicalPath=\"([^\"]+)\""
+APACHE_ROOT = r"(?im)^[ \t]*DocumentRoot[ \t]+\"?([^\"#\n\r]+?)\"?[ \t]*(?:#.*)?$"
+NGINX_ROOT = r"(?im)^[ \t]*root[ \t]+\"?([^\";#\n\r]+?)\"?[ \t]*;"
+APACHE_DUMP = r"(?m)^[\t\n\f\r ]*Main DocumentRoot:[\t\n\f\r ]*\"?([^\"\r\n]+?)\"?[\t\n\f\r ]*$"
 TOMCAT_HOST = r"(?i)<Host\b[^>]*\bappBase[ \t]*=[ \t]*\"([^\"]+)\""
 TOMCAT_CONTEXT = r"(?i)<Context\b[^>]*\bdocBase[ \t]*=[ \t]*\"([^\"]+)\""
-JVM_PROPERTY = r"(?:^|\s)-D(?:catalina\.base|catalina\.home|jetty\.base|jboss\.server\.base\.dir|weblogic\.home|com\.sun\.aas\.instanceRoot)=(\S+)"
-CONVENTIONS = ("/var/www/html", "/var/www", "/usr/share/nginx/html", "/srv/www", "/srv/http", "/usr/local/apache2/htdocs", "/opt/tomcat/webapps", "/var/lib/tomcat9/webapps", "/inetpub/wwwroot")
-MECHANISMS = {"iis-config": (IIS_PATH, "config"), "apache-config": (APACHE_ROOT, "config"), "nginx-config": (NGINX_ROOT, "config"), "apache-dump": (APACHE_DUMP, "config"), "nginx-dump": (NGINX_ROOT, "config"), "tomcat-server-xml": (TOMCAT_HOST, "config"), "tomcat-context": (TOMCAT_CONTEXT, "config"), "process-table": (JVM_PROPERTY, "explicit")}
+TOMCAT_PROPERTY = r"(?:^|\s)-Dcatalina\.(?:base|home)=(\S+)"
+TOMCAT_VARIABLE = r"(?m)^CATALINA_(?:BASE|HOME)=(.+)$"
+SERVER_PROPERTY = r"(?:^|\s)-D(?:jboss\.home\.dir|jboss\.server\.base\.dir|jboss\.server\.home\.dir|weblogic\.RootDirectory|domain\.home|weblogic\.home|server\.root|was\.install\.root|user\.install\.root)=(\S+)"
+#: Folders below an application server's base that deployments stand in.
+DEPLOYMENTS = ("standalone/deployments", "deployments", "domain/servers/*/data/content", "server/*/deploy", "autodeploy", "servers/*/stage", "servers/*/tmp/_WL_user", "applications", "installedApps", "installableApps", "apps", "dropins")
+SERVER_BASES = ("/usr/local/tomcat", "/var/lib/tomcat[0-9]*", "/opt/bitnami/tomcat", "/opt/jboss/wildfly", "/u01/oracle/user_projects/domains/*", "/opt/ibm/wlp/usr/servers/*", "/opt/ol/wlp/usr/servers/*", "/opt/IBM/WebSphere/AppServer/profiles/*")
+CONVENTIONS = ("/var/www/html", "/var/www", "/srv/www", "/srv/http", "/usr/share/nginx/html")
+MECHANISMS = {
+    "iis-config": IIS_PATH, "apache-config": APACHE_ROOT, "nginx-config": NGINX_ROOT, "apache-dump": APACHE_DUMP, "nginx-dump": NGINX_ROOT, "tomcat-env": TOMCAT_VARIABLE,
+    "tomcat-process": TOMCAT_PROPERTY, "tomcat-server-xml": TOMCAT_HOST, "tomcat-context": TOMCAT_CONTEXT, "appserver-process": SERVER_PROPERTY,
+}
+BY_CONVENTION = ("convention", "iis-default", "tomcat-convention", "appserver-convention")
+
+
+def provenance_of(mechanism: Column) -> Column:
+    """What an operator names beats what a configuration says, which beats a guess."""
+    return F.when(mechanism == "explicit", "explicit").when(mechanism.isin(*BY_CONVENTION), "convention").when(mechanism != "", "config").otherwise("")
 
 
 def clean_path(path: Column) -> Column:
@@ -31,17 +45,24 @@ def clean_path(path: Column) -> Column:
 
 def proposals(configs: DataFrame) -> DataFrame:
     """host, mechanism, provenance, path from texts (host, mechanism, text); mechanisms without a pattern propose nothing.
-    Variables of IIS are expanded for the system drive."""
+    Of IIS's variables the system drive is expanded."""
     found = F.lit(None).cast("array<string>")
-    provenance = F.lit(None).cast("string")
-    for name, (pattern, kind) in MECHANISMS.items():
-        hit = F.col("mechanism") == name
+    for name, pattern in MECHANISMS.items():
         text = F.regexp_replace("text", r"(?i)%SystemDrive%", "C:") if name == "iis-config" else F.col("text")
-        if name in ("apache-config", "nginx-config"):
-            text = F.regexp_replace(text, r"(?m)^[ \t]*#.*$", "")
-        found, provenance = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(found), F.when(hit, F.lit(kind)).otherwise(provenance)
-    rows = configs.withColumn("provenance", provenance).withColumn("path", F.explode(found))
-    return rows.select("host", "mechanism", "provenance", clean_path(F.col("path")).alias("path")).where("path <> ''")
+        found = F.when(F.col("mechanism") == name, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(found)
+    rows = configs.withColumn("path", F.explode(found))
+    return rows.select("host", "mechanism", provenance_of(F.col("mechanism")).alias("provenance"), clean_path(F.trim("path")).alias("path")).where("path <> ''")
+
+
+def deployments(bases: DataFrame, listing: DataFrame) -> DataFrame:
+    """host, mechanism, provenance, path: folders of a listing (host, path) that stand below an application server's base
+    (host, path, mechanism) where deployments do; a star is any one name."""
+    up = F.explode(F.transform(F.array(*map(F.lit, DEPLOYMENTS)), lambda x: F.struct(x.alias("tail"), F.size(F.split(x, "/")).alias("n"))))
+    split = listing.select("host", F.col("path").alias("found"), F.split("path", "/").alias("_p")).withColumn("_t", up)
+    split = split.where("size(_p) > _t.n").withColumn("path", F.expr("array_join(slice(_p, 1, size(_p) - _t.n), '/')")).withColumn("_end", F.expr("array_join(slice(_p, size(_p) - _t.n + 1, _t.n), '/')"))
+    fits = split.where(F.regexp(F.col("_end"), F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("_t.tail", r"\.", "[.]"), r"\*", "[^/]+"), F.lit("$"))))
+    hit = bases.join(fits.select("host", "path", "found"), ["host", "path"])
+    return hit.select("host", "mechanism", provenance_of(F.col("mechanism")).alias("provenance"), F.col("found").alias("path")).distinct()
 
 
 def conventional(hosts: DataFrame) -> DataFrame:
@@ -102,7 +123,7 @@ def diagnostic_summary(diagnostics: DataFrame) -> DataFrame:
     return total.select("code", F.least(F.col("n"), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long").alias("count"))
 
 
-def artifact_status(artifacts: DataFrame, diagnostics: DataFrame, failing: tuple[str, ...] = ("archive-malformed", "class-malformed", "artifact-read")) -> DataFrame:
+def artifact_status(artifacts: DataFrame, diagnostics: DataFrame, failing: tuple[str, ...] = ("java-artifact-read-failed",)) -> DataFrame:
     """path, status, codes for artifacts (path, read_ok) under diagnostics (artifact, code, count).
 
     A diagnostic concerns the artifact it names; one about a directory all artifacts below; one that names neither, or counts
@@ -110,7 +131,7 @@ def artifact_status(artifacts: DataFrame, diagnostics: DataFrame, failing: tuple
     implied = F.when(F.col("code").isin(*failing), "failed").otherwise("degraded")
     d = diagnostics.select(F.substring_index("artifact", "!/", 1).alias("named"), F.contains("artifact", F.lit("!/")).alias("member"), "code", F.greatest("count", F.lit(1)).alias("n"), implied.alias("implied"))
     own = artifacts.select("path").distinct()
-    archive = F.lower("named").rlike(r"\.(?:jar|war|ear|zip)$")
+    archive = F.lower("named").rlike(r"\.(?:jar|war)$")
     known = d.join(own.withColumn("_known", F.lit(True)), F.col("named") == F.col("path"), "left").drop("path").withColumn("_known", F.coalesce("_known", F.lit(False)))
     exact = known.where(F.col("_known") & ((F.col("n") == 1) | F.col("member") | archive)).select(F.col("named").alias("path"), "code", "implied")
     rest = known.where(~(F.col("_known") & ((F.col("n") == 1) | F.col("member") | archive)))

@@ -21,7 +21,7 @@ def family_label(family: Column, evidence: Column) -> Column:
     return label
 
 
-def mitre_tags(view: Column, knowledge_ref: Column, evidence: Column, iis_config_ref: str = "kb:behavioral/iis-config") -> Column:
+def mitre_tags(view: Column, knowledge_ref: Column, evidence: Column, iis_config_ref: str = "kb:behavioral/iis-config-change") -> Column:
     wired = F.exists(F.array(*map(F.lit, t.IIS_CONTRACTS)), lambda c: F.contains(evidence, c))
     ids = lambda *x: F.array(*map(F.lit, x))
     return (

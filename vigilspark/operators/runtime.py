@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from vigilspark.checkpoints import checkpointed
 
 # Words in constant pools that give a tool or a capability away, in the order in which the first counts.
-FAMILY_MARKERS = (("e45e329feb5d925b", "Behinder"), ("3c6e0b8a9c15224a", "Godzilla"), ("suo5", "Suo5"), ("regeorg", "reGeorg"), ("neoregeorg", "Neo-reGeorg"), ("asoutput", "AntSword"))
-CAPABILITY_NEEDLES = (("exec", "java/lang/Runtime"), ("exec", "java/lang/ProcessBuilder"), ("tunnel", "java/net/Socket"), ("tunnel", "java/nio/channels/SocketChannel"), ("crypto", "javax/crypto/Cipher"), ("define", "defineClass"), ("reflect", "java/lang/reflect/Method"))
+FAMILY_MARKERS = (("e45e329feb5d925b", "behinder", 0.9), ("3c6e0b8a9c15224a", "godzilla", 0.9), ("X-Accel-Buffering", "suo5", 0.85))
+CAPABILITY_NEEDLES = (
+    ("exec", ("java/lang/Runtime", "java/lang/ProcessBuilder", "cmd.exe", "/bin/sh", "/bin/bash")), ("tunnel", ("X-Accel-Buffering",)), ("crypto", ("javax/crypto/Cipher", "javax/crypto/spec/SecretKeySpec")),
+    ("loader", ("java/lang/ClassLoader",)), ("reflect", ("java/lang/reflect/Method",)), ("script", ("javax/script/ScriptEngine",)), ("jndi", ("javax/naming/InitialContext",)),
+)
 ACTION_CAPABILITIES = ("exec", "tunnel")
 
 
@@ -63,20 +66,20 @@ def wired_elements(elements: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def family_of(strings: Column) -> Column:
-    """The first marker's family that any of the strings holds."""
-    hit = lambda needle: F.exists(strings, lambda s: F.contains(F.lower(s), F.lit(needle)))
-    return F.coalesce(*(F.when(hit(needle), F.lit(family)) for needle, family in FAMILY_MARKERS))
+    """The first marker that is one of the string constants: struct of family and confidence, null without one."""
+    return F.coalesce(*(F.when(F.array_contains(strings, needle), F.struct(F.lit(family).alias("family"), F.lit(sure).alias("confidence"))) for needle, family, sure in FAMILY_MARKERS))
 
 
 def capabilities_of(strings: Column) -> Column:
     """Sorted capabilities of which any needle occurs."""
-    hit = lambda needle: F.exists(strings, lambda s: F.contains(s, F.lit(needle)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(hit(n), F.lit(c)) for c, n in CAPABILITY_NEEDLES)))))
+    hit = lambda needles: F.exists(strings, lambda s: s.rlike("|".join(n.replace(".", "[.]") for n in needles)))
+    return F.array_sort(F.array_compact(F.array(*(F.when(hit(n), F.lit(c)) for c, n in CAPABILITY_NEEDLES))))
 
 
 def constant_facts(pools: DataFrame) -> DataFrame:
-    """pools (class_name, strings) with family and capabilities."""
-    return pools.select(*pools.columns, family_of(F.col("strings")).alias("family"), capabilities_of(F.col("strings")).alias("capabilities"))
+    """pools (class_name, strings) with family, confidence and capabilities."""
+    rows = pools.withColumn("_f", family_of(F.col("strings")))
+    return rows.select(*pools.columns, "_f.family", "_f.confidence", capabilities_of(F.col("strings")).alias("capabilities"))
 
 
 def chain_positions(nodes: DataFrame, rounds: int = 40) -> DataFrame:

@@ -64,7 +64,7 @@ def parse(data: bytes) -> tuple[dict[int, tuple], str, list[tuple[int, str, str,
         return int.from_bytes(raw, "big")
 
     if u(4) != 0xCAFEBABE:
-        raise Malformed("class-malformed: magic")
+        raise Malformed("java-class-malformed: magic")
     u(4)
     pool: dict[int, tuple] = {}
     i, n = 1, u(2)
@@ -76,7 +76,7 @@ def parse(data: bytes) -> tuple[dict[int, tuple], str, list[tuple[int, str, str,
             raw = s.read(_FIXED[tag])
             pool[i] = (tag, int.from_bytes(raw[:2], "big"), int.from_bytes(raw[2:4], "big"))
         else:
-            raise Malformed(f"class-malformed: tag {tag}")
+            raise Malformed(f"java-class-malformed: tag {tag}")
         i += 2 if tag in (5, 6) else 1
     u(2)
     this = pool[pool[u(2)][1]][1]
@@ -114,7 +114,7 @@ def read_class(data: bytes) -> tuple[str, list[tuple[str, str, str, str]]]:
         class_name = lambda k: text(pool[k][1])
         return this, [(name + descriptor, *call) for _, name, descriptor, raw in members if raw is not None for call in _invoked(*body(raw), pool, text, class_name)]
     except (struct.error, IndexError, KeyError, TypeError, UnicodeError) as e:
-        raise Malformed(f"class-malformed: {e}") from e
+        raise Malformed(f"java-class-malformed: {e}") from e
 
 
 def _instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int], bool]]:
@@ -128,7 +128,7 @@ def _instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int], bool]
             base = at + 4 - at % 4
             n = long(base + 8) - long(base + 4) + 1 if op == 170 else long(base + 4)
             if not 0 <= n <= len(code):
-                raise Malformed("class-malformed: switch")
+                raise Malformed("java-class-malformed: switch")
             first, width = (base + 12, 4) if op == 170 else (base + 12, 8)
             targets = [at + long(base), *(at + long(first + width * k) for k in range(n))]
             end = base + (12 + 4 * n if op == 170 else 8 + 8 * n)
@@ -188,7 +188,7 @@ def classes_in(data: bytes, artifact: str, depth: int = 0) -> Iterator[tuple[str
         z = zipfile.ZipFile(io.BytesIO(data))
         members = sorted(z.infolist(), key=lambda m: (not m.filename.endswith(".class"), m.filename))
     except (zipfile.BadZipFile, ValueError, NotImplementedError, struct.error):
-        yield artifact, None, "archive-malformed"
+        yield artifact, None, "java-artifact-read-failed"
         return
     names = [m.filename.replace("\\", "/").lower() for m in members]
     total = 0
@@ -198,23 +198,23 @@ def classes_in(data: bytes, artifact: str, depth: int = 0) -> Iterator[tuple[str
         if m.is_dir() or not (low.endswith(".class") or nested):
             continue
         if not safe_member(m.filename) or names.count(low) > 1:
-            yield inner, None, "archive-unsafe-name"
+            yield inner, None, "java-artifact-read-failed"
         elif m.flag_bits & 1 or m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-            yield inner, None, "archive-unsupported"
+            yield inner, None, "java-class-version-unsupported"
         elif exploded(m.file_size, m.compress_size) or m.file_size > (MAX_TOTAL if nested else MAX_CLASS) or total + m.file_size > MAX_TOTAL:
-            yield inner, None, "archive-budget"
+            yield inner, None, "java-archive-budget-exhausted"
         elif nested and depth >= MAX_DEPTH:
-            yield inner, None, "archive-depth"
+            yield inner, None, "java-archive-budget-exhausted"
         else:
             total += m.file_size
             try:
                 raw = z.read(m)
             except (zipfile.BadZipFile, ValueError, OSError, EOFError, RuntimeError):
-                yield inner, None, "archive-malformed"
+                yield inner, None, "java-artifact-read-failed"
                 continue
             yield from classes_in(raw, inner, depth + 1)
     if len(members) > MAX_MEMBERS:
-        yield artifact, None, "archive-budget"
+        yield artifact, None, "java-archive-budget-exhausted"
 
 
 def calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +232,7 @@ def calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                         name, found = read_class(raw)
                         rows += [(path, artifact, name, *c) for c in found]
                     except Malformed:
-                        rows.append((path, artifact, None, "class-malformed", None, None, None))
+                        rows.append((path, artifact, None, "java-class-malformed", None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names=["path", "artifact", "class", "method", "owner", "name", "descriptor"])
 
     rows = files.select("path", "content").mapInArrow(run, CALLS)

@@ -56,9 +56,9 @@ def ingest(existing: DataFrame, incoming: DataFrame, key: str = "run_id") -> Dat
 
 
 def run_folders(files: DataFrame) -> DataFrame:
-    """dir, state from a flat list of files (path): run (a report is there), incomplete (other parts of a run only), ignored."""
-    name = F.regexp_extract("path", "[^/]*$", 0)
+    """dir, state from a flat list of files (path): run (a report is there), incomplete (a manifest only), ignored."""
+    name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    part = name.isin("manifest.json", "summary.txt", "findings.ndjson")
+    part = name == "manifest.json"
     g = files.groupBy(folder.alias("dir")).agg(F.bool_or(name == "report.json").alias("r"), F.bool_or(part).alias("p"), F.count(F.lit(1)).alias("files"))
     return g.select("dir", F.when(F.col("r"), "run").when(F.col("p"), "incomplete").otherwise("ignored").alias("state"), "files")

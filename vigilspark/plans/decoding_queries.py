@@ -98,7 +98,7 @@ def diagnostic_summary(spark, d):
 
 def artifact_status(spark, d):
     a = table(spark, d, "part").select(F.concat(F.lit("/a/"), (F.col("p_partkey") % 9).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".class")).alias("path"), (F.col("p_partkey") % 31 != 0).alias("read_ok"))
-    x = a.where("path like '%5.class'").select(F.col("path").alias("artifact"), F.lit("class-malformed").alias("code"), F.lit(1).cast("long").alias("count"))
+    x = a.where("path like '%5.class'").select(F.col("path").alias("artifact"), F.lit("java-artifact-read-failed").alias("code"), F.lit(1).cast("long").alias("count"))
     x = x.unionByName(spark.createDataFrame([("/a/3", "slow", 1)], "artifact string, code string, count long"))
     return discovery.artifact_status(a, x).select("path", "status", F.array_join("codes", ",").alias("codes"))
 
@@ -149,6 +149,6 @@ ORACLES = {
     "mechanism_credit": with_views(("v_root",), f"WITH {_SUBSUMED} SELECT host, mechanism, count(DISTINCT root) AS roots FROM (SELECT host, coalesce(covered_by, path) AS root, unnest(string_split(mechanisms, ',')) AS mechanism FROM subsumed) GROUP BY 1, 2"),
     "discovery_gate": with_views(("v_root",), "SELECT DISTINCT CAST(c_custkey % 40 AS VARCHAR) AS host, CASE WHEN CAST(c_custkey % 40 AS VARCHAR) IN (SELECT host FROM v_root) THEN 'ran' ELSE 'failed' END AS status FROM customer"),
     "diagnostic_summary": "WITH e AS (SELECT l_partkey % 50 AS a, l_linenumber % 3 = 0 AS m, l_suppkey % 6 AS c, l_linenumber % 2 AS d, max(greatest(CAST(l_quantity AS BIGINT) - 3, 1)) AS n FROM lineitem GROUP BY ALL) SELECT 'code-' || c AS code, CAST(sum(n) AS BIGINT) AS count FROM e GROUP BY 1",
-    "artifact_status": "WITH a AS (SELECT p_partkey AS k, '/a/' || (p_partkey % 9) || '/' || p_partkey || '.class' AS path FROM part) SELECT path, CASE WHEN k % 31 = 0 OR k % 10 = 5 THEN 'failed' WHEN k % 9 = 3 THEN 'degraded' ELSE 'complete' END AS status, concat_ws(',', CASE WHEN k % 10 = 5 THEN 'class-malformed' END, CASE WHEN k % 9 = 3 THEN 'slow' END) AS codes FROM a",
+    "artifact_status": "WITH a AS (SELECT p_partkey AS k, '/a/' || (p_partkey % 9) || '/' || p_partkey || '.class' AS path FROM part) SELECT path, CASE WHEN k % 31 = 0 OR k % 10 = 5 THEN 'failed' WHEN k % 9 = 3 THEN 'degraded' ELSE 'complete' END AS status, concat_ws(',', CASE WHEN k % 10 = 5 THEN 'java-artifact-read-failed' END, CASE WHEN k % 9 = 3 THEN 'slow' END) AS codes FROM a",
     "exact_duplicate_documents": "SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
 }

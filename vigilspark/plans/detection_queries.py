@@ -279,7 +279,7 @@ ORACLES = {
     "file_drop_paths": with_views(("v_file",), "SELECT path, concat_ws(',', " + ", ".join(f"CASE WHEN path = '{r}' OR path = '{r.rstrip('/')}' OR starts_with(path, '{r.rstrip('/')}/') THEN '{r}' END" for r in ["/srv", "/srv/d1", "/www/", "/ww", "/srv/d10.txt"]) + ") AS roots FROM v_file"),
     "behaviour_viewstate": with_views(("v_event",), "SELECT ord, host, 'behavioral-context' AS basis, 'asp.net:viewstate-mac-failure' AS identity FROM v_event WHERE event_id = 1316 AND starts_with(lower(provider), 'asp.net') AND contains(lower(detail), 'viewstate')"),
     "behaviour_iis": with_views(("v_event",), "SELECT ord, host, 'server configuration changed, event ' || event_id AS evidence FROM v_event WHERE channel = 'Microsoft-IIS-Configuration/Operational' AND event_id IN (29, 50)"),
-    "behaviour_w3wp_child": with_views(("v_event",), f"WITH {_PROC} SELECT ord, host, CASE WHEN c IN ({_in(SHELL_CHILDREN)}) THEN 'kb:behavioral/w3wp-child' ELSE 'kb:behavioral/w3wp-anomalous-child' END AS knowledge_ref, 'proc:w3wp->' || c AS identity FROM proc WHERE c <> '' AND c NOT IN ({_in(EXPECTED_CHILDREN)})"),
+    "behaviour_w3wp_child": with_views(("v_event",), f"WITH {_PROC} SELECT ord, host, CASE WHEN c IN ({_in(SHELL_CHILDREN)}) THEN 'kb:behavioral/w3wp-child-process' ELSE 'kb:behavioral/w3wp-anomalous-child' END AS knowledge_ref, 'proc:w3wp->' || c AS identity FROM proc WHERE c <> '' AND c NOT IN ({_in(EXPECTED_CHILDREN)})"),
     "telemetry_coverage": with_views(("v_event",), "SELECT host, bool_or(event_id = 4688) AS has_4688, bool_or(event_id = 4688 AND coalesce(parent, '') <> '') AS has_parent, bool_or(event_id = 1) AS has_sysmon, CASE WHEN bool_or(event_id = 1) OR bool_or(event_id = 4688 AND coalesce(parent, '') <> '') THEN 'ran' ELSE 'degraded' END AS status FROM v_event GROUP BY host"),
     "events_top_per_channel": with_views(("v_event",), "SELECT ord, host, channel FROM v_event QUALIFY row_number() OVER (PARTITION BY host, channel ORDER BY time DESC, ord DESC) <= 20"),
     "thread_range_join": with_views(("v_region", "v_thread"), "SELECT r.pid, r.region_no, t.thread_id FROM v_region r JOIN v_thread t ON t.pid = r.pid AND t.start_address >= r.base AND t.start_address < r.base + r.size"),

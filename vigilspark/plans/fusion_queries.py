@@ -13,7 +13,7 @@ from vigilspark.plans.projections import view, with_views
 _LABEL = """CASE WHEN family IS NOT NULL AND family <> '' THEN family WHEN contains(lower(evidence), 'e45e329feb5d925b') THEN 'Behinder'
   WHEN contains(lower(evidence), '3c6e0b8a9c15224a') THEN 'Godzilla' ELSE family END"""
 _MITRE = """CASE WHEN view = 'disk' THEN 'T1505.003' WHEN view = 'java-mem' THEN 'T1505.003,T1620' WHEN view = 'dotnet-mem' AND contains(evidence, 'IHttpModule') THEN 'T1505.003,T1505.004,T1620'
-  WHEN view = 'dotnet-mem' THEN 'T1505.003,T1620' WHEN view = 'behavioral' AND knowledge_ref = 'kb:behavioral/iis-config' THEN 'T1505.003,T1505.004' WHEN view = 'behavioral' THEN 'T1505.003' END"""
+  WHEN view = 'dotnet-mem' THEN 'T1505.003,T1620' WHEN view = 'behavioral' AND knowledge_ref = 'kb:behavioral/iis-config-change' THEN 'T1505.003,T1505.004' WHEN view = 'behavioral' THEN 'T1505.003' END"""
 _ATTR = "coalesce(family IN ('Behinder', 'Godzilla', 'AntSword', 'ChinaChopper', 'IceScorpion'), false)"
 _NORM = f"""norm0 AS (SELECT ord, host, view, basis, knowledge_ref, evidence, {_LABEL} AS family, tier, score, allowlisted, path, pid, identity, {_MITRE} AS mitre,
     CASE WHEN path IS NOT NULL THEN 'file:' || path WHEN pid IS NOT NULL THEN 'proc:' || pid || ':' || identity ELSE identity END AS target_key, 'incident-' || host AS correlation_id FROM v_finding),

@@ -28,7 +28,7 @@ PROJECTIONS: dict[str, str] = {
     "v_finding": f"""
         SELECT event_id AS ord, concat('host-', CAST(user_id % 40 AS STRING)) AS host, {_VIEWS} AS view,
           {pick("event_id", _BASES)} AS basis,
-          CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'kb:behavioral/iis-config' ELSE concat('kb:rule/', CAST(event_id % 6 AS STRING)) END AS knowledge_ref,
+          CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'kb:behavioral/iis-config-change' ELSE concat('kb:rule/', CAST(event_id % 6 AS STRING)) END AS knowledge_ref,
           concat('rule ', CAST(event_id % 3 AS STRING), CASE WHEN event_id % 29 = 0 THEN ' key E45E329FEB5D925B' WHEN event_id % 31 = 0 THEN ' key 3c6e0b8a9c15224a' WHEN event_id % 5 = 0 THEN ' IHttpModule' ELSE '' END) AS evidence,
           {pick("event_id", _FAMILIES)} AS family,
           CASE WHEN event_id % 13 = 0 THEN '' ELSE {_TIER.format("(event_id * 7 % 101)")} END AS tier,

@@ -33,9 +33,9 @@ def wired_elements(spark, d):
 
 
 def constant_facts(spark, d):
-    words = F.array(*map(F.lit, ["java/lang/Runtime", "x", "SUO5 tunnel", "javax/crypto/Cipher", "java/net/Socket", "asoutput", "defineClass"]))
+    words = F.array(*map(F.lit, ["java/lang/Runtime", "x", "X-Accel-Buffering", "javax/crypto/Cipher", "javax/naming/InitialContext", "e45e329feb5d925b", "run /bin/sh now"]))
     pools = table(spark, d, "part").select("p_partkey", F.array(F.get(words, (F.col("p_partkey") % 7).cast("int")), F.get(words, (F.col("p_size") % 7).cast("int")), F.lit("plain")).alias("strings"))
-    return runtime.constant_facts(pools).select("p_partkey", "family", F.array_join("capabilities", ",").alias("capabilities"))
+    return runtime.constant_facts(pools).select("p_partkey", "family", "confidence", F.array_join("capabilities", ",").alias("capabilities"))
 
 
 def chain_positions(spark, d):
@@ -117,8 +117,8 @@ ORACLES = {
         SELECT pid, class_name, code_source, code_source <> '' AND EXISTS (SELECT 1 FROM r WHERE r.pid = c.pid AND application) AND NOT EXISTS (SELECT 1 FROM r WHERE r.pid = c.pid AND starts_with(c.code_source, r.prefix || '/')) AS out_of_contract FROM c""",
     "wired_elements": """WITH l AS (SELECT DISTINCT 'C' || (p_partkey % 900) AS class_name, true AS w FROM part WHERE p_partkey % 2 = 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 3 <> 0), r AS (SELECT DISTINCT 'C' || (p_partkey % 900) AS class_name, true AS f FROM part WHERE p_partkey % 3 = 0)
         SELECT class_name, coalesce(w, false) AS wired, coalesce(f, false) AS found FROM l FULL OUTER JOIN r USING (class_name)""",
-    "constant_facts": """WITH i AS (SELECT p_partkey, p_partkey % 7 AS x, p_size % 7 AS y FROM part) SELECT p_partkey, CASE WHEN 2 IN (x, y) THEN 'Suo5' WHEN 5 IN (x, y) THEN 'AntSword' END AS family,
-        concat_ws(',', CASE WHEN 3 IN (x, y) THEN 'crypto' END, CASE WHEN 6 IN (x, y) THEN 'define' END, CASE WHEN 0 IN (x, y) THEN 'exec' END, CASE WHEN 4 IN (x, y) THEN 'tunnel' END) AS capabilities FROM i""",
+    "constant_facts": """WITH i AS (SELECT p_partkey, p_partkey % 7 AS x, p_size % 7 AS y FROM part) SELECT p_partkey, CASE WHEN 5 IN (x, y) THEN 'behinder' WHEN 2 IN (x, y) THEN 'suo5' END AS family, CASE WHEN 5 IN (x, y) THEN 0.9::DOUBLE WHEN 2 IN (x, y) THEN 0.85::DOUBLE END AS confidence,
+        concat_ws(',', CASE WHEN 3 IN (x, y) THEN 'crypto' END, CASE WHEN 0 IN (x, y) OR 6 IN (x, y) THEN 'exec' END, CASE WHEN 4 IN (x, y) THEN 'jndi' END, CASE WHEN 2 IN (x, y) THEN 'tunnel' END) AS capabilities FROM i""",
     "chain_positions": """WITH RECURSIVE n AS (SELECT p_partkey % 7 AS chain, p_partkey AS address, CASE WHEN p_partkey % 70 < 56 THEN p_partkey + 7 END AS next FROM part),
         walk AS (SELECT chain, address, 0 AS position FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.chain = a.chain AND b.next = a.address) UNION ALL SELECT w.chain, n.next, w.position + 1 FROM walk w JOIN n ON n.chain = w.chain AND n.address = w.address WHERE EXISTS (SELECT 1 FROM n z WHERE z.chain = n.chain AND z.address = n.next))
         SELECT chain, address, CAST(position AS BIGINT) AS position FROM walk""",

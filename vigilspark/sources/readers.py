@@ -150,25 +150,36 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
     return numbered.groupBy("file", "n").agg(one("name").alias("class_name"), F.coalesce(one("codesource"), F.lit("")).alias("code_source"), flag("out_of_contract").alias("out_of_contract"), flag("loader_read_ok").alias("loader_read_ok"), flag("verified_generated").alias("generated"), many("iface").alias("contracts"), many("capability").alias("capabilities"))
 
 
-#: Attach and injection signals of process facts: name, severity, pattern over a line of the process's maps, descriptors or arguments.
-PROCESS_SIGNALS = (
-    ("deleted-code-mapping", "strong", r"r-xp.*\.(?:so|jar)[^\n]*\(deleted\)"),
-    ("deleted-jar-descriptor", "strong", r"\.jar \(deleted\)$"),
-    ("java-agent", "weak", r"-javaagent:\S+"),
-    ("attach-socket", "weak", r"\.java_pid[0-9]+"),
-    ("attach-enabled", "info", r"-XX:\+StartAttachListener"),
-)
-
-
-def process_signals(lines: DataFrame) -> DataFrame:
-    """pid, signal, severity, detail from fact lines (pid, line); each signal and detail once per process."""
-    arms = [F.when(F.regexp_extract("line", p, 0) != "", F.struct(F.lit(n).alias("signal"), F.lit(s).alias("severity"), F.regexp_extract("line", p, 0).alias("detail"))) for n, s, p in PROCESS_SIGNALS]
-    return lines.select("pid", F.explode(F.array_compact(F.array(*arms))).alias("s")).select("pid", "s.*").dropDuplicates(["pid", "signal", "detail"])
+def process_signals(facts: DataFrame) -> DataFrame:
+    """pid, signal, severity, detail from facts of processes (pid, kind, line): lines of maps, targets of descriptors (fd),
+    arguments (cmdline), names in the temporary folder (tmp). Each signal and detail once per process.
+
+    Fixed values: signal names, severities, the ends of names that mean code."""
+    kind, line = F.col("kind"), F.col("line")
+    gone = line.endswith("(deleted)")
+    mapped = F.trim(F.regexp_extract(line, r"^(?:\S+\s+){5}(.*)\(deleted\)$", 1))
+    opened = F.trim(F.regexp_replace(line, r"\(deleted\)$", ""))
+    code = lambda p: p.endswith(".jar") | p.endswith(".so") | p.endswith(".class") | F.contains(p, F.lit(".so."))
+    weight = lambda p: F.when(code(p), "strong").otherwise("weak")
+    signal = lambda name, severity, detail: F.struct(F.lit(name).alias("signal"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), detail.alias("detail"))
+    pid = F.col("pid").cast("string")
+    s = (
+        F.when((kind == "maps") & gone & (mapped != ""), signal("deleted-mapping", weight(mapped), mapped))
+        .when((kind == "fd") & gone & (opened != ""), signal("deleted-fd", weight(opened), opened))
+        .when((kind == "cmdline") & line.startswith("-javaagent:"), signal("startup-javaagent", "info", F.substr(line, F.lit(len("-javaagent:") + 1))))
+        .when((kind == "cmdline") & (line == "-XX:+DisableAttachMechanism"), signal("attach-disabled", "info", line))
+        .when((kind == "cmdline") & (line == "-XX:-EnableDynamicAgentLoading"), signal("dynamic-agent-load-disabled", "info", line))
+        .when((kind == "tmp") & (line == F.concat(F.lit(".java_pid"), pid)), signal("attach-listener-already-started", "weak", line))
+        .when((kind == "tmp") & (line == F.concat(F.lit(".attach_pid"), pid)), signal("attach-sentinel-present", "weak", line))
+    )
+    return facts.select("pid", s.alias("s")).where("s is not null").select("pid", "s.*").dropDuplicates(["pid", "signal", "detail"])
 
 
 def external_findings(signals: DataFrame) -> DataFrame:
-    """Strong signals score 40, weak ones 25; informational ones are no finding."""
-    return signals.where("severity <> 'info'").withColumn("score", F.when(F.col("severity") == "strong", 40).otherwise(25)).withColumn("tier", F.lit("suspicious"))
+    """Strong signals score 40, weak ones 25; informational ones are no finding. A finding's id is stable over signal and detail."""
+    rows = signals.where("severity <> 'info'").withColumn("score", F.when(F.col("severity") == "strong", 40).otherwise(25)).withColumn("tier", F.lit("suspicious"))
+    ident = F.substring(F.sha2(F.concat("signal", F.lit("\x00"), "detail"), 256), 1, 16)
+    return rows.withColumn("id", F.concat(F.lit("jvm-"), F.col("pid").cast("string"), F.lit("-"), ident)).withColumn("knowledge_ref", F.concat(F.lit("kb:java-mem/"), "signal"))
 
 
 def java_processes(processes: DataFrame) -> DataFrame:
