@@ -127,9 +127,9 @@ def test_memory(spark):
     assert sorted((r.l_start, r.r_start) for r in memory.overlap_join(a, b, ["pid"]).collect()) == [(0, 9), (70000, 9)]
     d = spark.createDataFrame([("k", i) for i in (1, 2, 3, 7, 8, 20)], "k string, rva long")
     assert tuple(memory.byte_runs(d, ["k"]).first()[1:]) == (6, 3)
-    m = spark.createDataFrame([(1, True, ["a"]), (2, False, []), (3, False, ["x"])], "image_base int, on_disk boolean, capabilities array<string>")
-    w = memory.wired_components(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 9)], "component string, module_base int"), m)
-    assert {r.component: r.score for r in w.collect()} == {"a": 0, "b": 85, "c": 95, "d": 55}
+    m = spark.createDataFrame([(1, True, ["a"]), (2, False, []), (3, False, ["x"])], "image_base int, benign boolean, capabilities array<string>")
+    w = memory.wired_components(spark.createDataFrame([("a", 1, 1), ("b", 2, 0), ("c", 3, 0), ("d", 9, 0), ("e", 2, 1)], "component string, module_base int, field_hits int"), m)
+    assert {r.component: (r.score, r.suppressed) for r in w.collect()} == {"a": (0, True), "b": (85, False), "c": (95, False), "d": (55, False), "e": (95, False)}
 
 
 def test_triage(spark):

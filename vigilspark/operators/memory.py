@@ -131,7 +131,10 @@ def verify_claims(claims: DataFrame, entries: DataFrame, files: DataFrame) -> Da
         .when(F.coalesce("_in", F.lit(False)), "corroborated")
         .otherwise("spoofed")
     )
-    return j.select(*claims.columns, status.alias("status"))
+    out = j.select(*claims.columns, status.alias("status"))
+    if "loader_read_ok" in claims.columns:  # the JVM read bytes that the disk doesn't back
+        out = out.withColumn("contradiction", (F.col("status") == "spoofed") & F.coalesce("loader_read_ok", F.lit(False)))
+    return out
 
 
 def module_ladder(modules: DataFrame) -> DataFrame:
@@ -177,11 +180,12 @@ def merge_modules(scanned: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def wired_components(components: DataFrame, modules: DataFrame) -> DataFrame:
-    """Components on the request path with their backing module: none found 55, on disk suppressed, path-less 85, with
-    capabilities 95."""
-    j = components.join(modules.select(F.col("image_base").alias("module_base"), "on_disk", F.size("capabilities").alias("_n")), "module_base", "left")
-    score = F.when(F.col("on_disk").isNull(), 55).when(F.col("on_disk"), 0).when(F.col("_n") > 0, 95).otherwise(85)
-    return j.select(*components.columns, score.alias("score"), (score > 0).alias("reported"))
+    """Components on the request path (component, module_base, field_hits) with their backing module (image_base, benign,
+    capabilities): none found 55, benign suppressed, else 85, and 95 where fields or module show a capability."""
+    j = components.join(modules.select(F.col("image_base").alias("module_base"), "benign", F.size("capabilities").alias("_n")), "module_base", "left")
+    score = F.when(F.col("benign").isNull(), 55).when(F.col("benign"), 0).when((F.col("_n") > 0) | (F.col("field_hits") > 0), 95).otherwise(85)
+    tier = F.when(score == 0, "clean").when(score == 55, "suspicious").otherwise("likely-malicious")
+    return j.select(*components.columns, score.alias("score"), tier.alias("tier"), (score == 0).alias("suppressed"))
 
 
 def probe_status(targets: DataFrame) -> DataFrame:

@@ -58,9 +58,14 @@ def ocsf_json(events: DataFrame, product: str = "vigilspark", time_millis: Colum
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    who = F.coalesce("path", "identity", F.lit("(unidentified target)"))
-    family = F.when(F.coalesce("family", F.lit("")) != "", F.concat(F.lit(" ("), "family", F.lit(")"))).otherwise("")
-    return scored.select("fingerprint", F.concat(F.lit("["), "tier", F.lit("] "), F.lpad(F.col("score").cast("string"), 3, " "), F.lit(" "), "view", F.lit(" "), who, family).alias("line"))
+    """fingerprint, line: a finding's lines in the text summary."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    who = F.coalesce(F.nullif("path", F.lit("")), F.nullif("identity", F.lit("")), F.lit("(unidentified target)"))
+    head = F.concat(F.lit("  ["), "tier", F.lit("] "), "view", F.lit(" score="), F.col("score").cast("string"), F.lit(" — "), who)
+    family = F.when(filled("family"), F.concat(F.lit("family="), "family"))
+    mitre = F.when(F.size("mitre") > 0, F.concat(F.lit("["), F.array_join("mitre", ","), F.lit("]")))
+    detail = F.concat(F.lit("      "), F.concat_ws("  ", F.concat(F.lit("rule="), "knowledge_ref"), F.concat(F.lit("basis="), "basis"), family, mitre))
+    return scored.select("fingerprint", F.concat_ws("\n", head, detail, F.when(filled("evidence"), F.concat(F.lit("      "), "evidence"))).alias("line"))
 
 
 def coverage_lines(coverage: DataFrame) -> DataFrame:

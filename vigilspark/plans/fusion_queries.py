@@ -143,7 +143,8 @@ ORACLES = {
         CAST(CASE s.tier WHEN 'confirmed' THEN 3 WHEN 'likely-malicious' THEN 3 WHEN 'suspicious' THEN 2 ELSE 1 END AS INT) AS confidence_id, 1 AS status_id, s.view || ': ' || s.identity AS title,
         concat_ws(';', 'device.hostname=' || s.host, 'file.name=' || s.path, 'process.pid=' || CASE WHEN s.path IS NULL THEN s.pid END) AS observables,
         CASE WHEN s.mitre IS NULL THEN NULL ELSE regexp_replace(regexp_replace(s.mitre, 'T1505[.]00[34]', 'TA0003', 'g'), 'T1620', 'TA0005', 'g') END AS tactics, v.incomplete FROM scored s JOIN verdict v USING (host)"""),
-    "summary_lines": with_views(_F, f"{_ALL} SELECT fingerprint, '[' || tier || '] ' || lpad(CAST(score AS STRING), 3, ' ') || ' ' || view || ' ' || coalesce(path, identity, '(unidentified target)') || CASE WHEN family IS NOT NULL AND family <> '' THEN ' (' || family || ')' ELSE '' END AS line FROM scored"),
+    "summary_lines": with_views(_F, f"""{_ALL} SELECT fingerprint, concat_ws(chr(10), '  [' || tier || '] ' || view || ' score=' || score || ' — ' || coalesce(path, identity, '(unidentified target)'),
+        '      ' || concat_ws('  ', 'rule=' || knowledge_ref, 'basis=' || basis, CASE WHEN family <> '' THEN 'family=' || family END, CASE WHEN mitre IS NOT NULL THEN '[' || mitre || ']' END), CASE WHEN evidence <> '' THEN '      ' || evidence END) AS line FROM scored"""),
     "coverage_lines": with_views(("v_coverage",), "SELECT host, view, view || ': ' || status || ', ' || targets || ' targets' || CASE WHEN unreadable IS NOT NULL OR not_regular IS NOT NULL THEN ', skipped ' || (coalesce(unreadable, 0) + coalesce(not_regular, 0)) ELSE '' END || CASE WHEN truncated THEN ', stopped early' ELSE '' END AS line FROM v_coverage"),
     "skip_totals": with_views(("v_coverage",), "SELECT view, CAST(sum(unreadable) AS BIGINT) AS unreadable, CAST(sum(not_regular) AS BIGINT) AS not_regular, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (truncated) AS truncated FROM v_coverage GROUP BY view"),
 }
