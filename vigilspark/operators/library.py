@@ -75,14 +75,15 @@ def orphaned_by_exclusion(exclusions: DataFrame, references: DataFrame) -> DataF
 
 
 def facet_counts(rules: DataFrame, column: str) -> DataFrame:
-    return rules.groupBy(F.coalesce(F.col(column), F.lit("(none)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("(none)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rule_filter(rules: DataFrame, needle: str = "", layers: tuple = (), packs: tuple = (), least_score: int | None = None) -> DataFrame:
+def rule_filter(rules: DataFrame, identifier: str = "", description: str = "", layers: tuple = (), packs: tuple = (), least_score: int | None = None) -> DataFrame:
     """All conditions hold; an empty one holds always. A rule without score fails any least score."""
     out = rules
-    if needle.strip():
-        out = out.where(F.contains(F.lower("identifier"), F.lit(needle.strip().lower())) | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(needle.strip().lower())))
+    for column, needle in (("identifier", identifier), ("description", description)):
+        if needle.strip():
+            out = out.where(F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(needle.strip().lower())))
     if layers:
         out = out.where(F.col("layer").isin(*layers))
     if packs:
@@ -92,6 +93,11 @@ def rule_filter(rules: DataFrame, needle: str = "", layers: tuple = (), packs: t
     return out
 
 
+def unjudged_by_score(rules: DataFrame) -> DataFrame:
+    """How many rules a least score leaves out for want of one."""
+    return rules.agg(F.count_if(F.col("score").isNull()).alias("unjudged"))
+
+
 def page(rows: DataFrame, size: int, number: int, order: list[Column]) -> DataFrame:
     """A page of rows with their position; the number is moved into the pages there are. One sort, no rank over all rows."""
     total = rows.count()

@@ -87,7 +87,11 @@ def facet_packs(spark, d):
 
 
 def rule_filter(spark, d):
-    return library.rule_filter(view(spark, d, "v_rule"), needle=" RULE_1 ", layers=("own", "community"), least_score=20).select("rule_id", "score")
+    return library.rule_filter(view(spark, d, "v_rule"), identifier=" RULE_1 ", description="1", layers=("own", "community"), least_score=20).select("rule_id", "score")
+
+
+def unjudged_by_score(spark, d):
+    return library.unjudged_by_score(view(spark, d, "v_rule"))
 
 
 def paginate(spark, d):
@@ -172,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_revision, next_revision, rule_index, resolve_selection, resolved_count, frozen_members, rule_diff, exclusion_diff, exclusions_named, exclusion_orphans, exclusion_upsert, dependency_closure,
-        facet_layers, facet_packs, rule_filter, paginate, paginate_clamped, meta_coverage, newest_scans, triage_groups, triage_order, triage_decisions, decisions_with_case, scan_findings_ordered,
+        facet_layers, facet_packs, rule_filter, unjudged_by_score, paginate, paginate_clamped, meta_coverage, newest_scans, triage_groups, triage_order, triage_decisions, decisions_with_case, scan_findings_ordered,
         content_key_groups, integrity_label, ingest_idempotent, run_folders, manifest_hash, manifest_verify, build_ids,
     )
 }
@@ -204,7 +208,8 @@ ORACLES = {
     "dependency_closure": f"WITH RECURSIVE refs AS ({_REFS_DUCK}), c AS (SELECT rule_id, depends_on FROM refs UNION SELECT c.rule_id, r.depends_on FROM c JOIN refs r ON r.rule_id = c.depends_on) SELECT DISTINCT rule_id, depends_on FROM c WHERE rule_id % 25 = 0",
     "facet_layers": with_views(("v_rule",), "SELECT coalesce(layer, '(none)') AS value, count(*) AS n FROM v_rule GROUP BY 1"),
     "facet_packs": with_views(("v_rule",), "SELECT coalesce(source_pack, '(none)') AS value, count(*) AS n FROM v_rule GROUP BY 1"),
-    "rule_filter": with_views(("v_rule",), "SELECT rule_id, score FROM v_rule WHERE (contains(lower(identifier), 'rule_1') OR contains(lower(description), 'rule_1')) AND layer IN ('own', 'community') AND score >= 20"),
+    "rule_filter": with_views(("v_rule",), "SELECT rule_id, score FROM v_rule WHERE contains(lower(identifier), 'rule_1') AND contains(lower(description), '1') AND layer IN ('own', 'community') AND score >= 20"),
+    "unjudged_by_score": with_views(("v_rule",), "SELECT count(*) FILTER (score IS NULL) AS unjudged FROM v_rule"),
     "paginate": with_views(("v_rule",), "SELECT * FROM (SELECT rule_id, identifier, CAST(row_number() OVER (ORDER BY rule_id) AS INT) AS position, count(*) OVER () AS n FROM v_rule) WHERE (position - 1) // 25 + 1 = least(7, (n + 24) // 25)").replace("SELECT * FROM (SELECT rule_id, identifier, CAST(row", "SELECT rule_id, identifier, position FROM (SELECT rule_id, identifier, CAST(row"),
     "paginate_clamped": with_views(("v_rule",), "SELECT rule_id, position FROM (SELECT rule_id, CAST(row_number() OVER (ORDER BY rule_id DESC) AS INT) AS position, count(*) OVER () AS n FROM v_rule) WHERE (position - 1) // 30 + 1 = (n + 29) // 30"),
     "meta_coverage": with_views(("v_revision",), f"WITH {_LATEST} SELECT count(*) AS revisions, count(*) FILTER (NOT has_meta) AS no_meta, count(*) FILTER (has_description) AS with_description, count(meta_score) AS with_score FROM latest"),
