@@ -32,6 +32,8 @@ from vigilspark.llm.util import checkpointed, fresh_path
 
 #: Vectors of a shard; fewer shards than LEAST_SHARDS only where they would hold under LEAST_ROWS vectors.
 SHARD_ROWS, LEAST_SHARDS, LEAST_ROWS = 200_000, 8, 400
+#: Bytes of a shard's vectors in double precision, so that long vectors make smaller shards.
+SHARD_BYTES = 128 << 20
 #: Links of a node (twice as many on the ground layer), beam while building, beams to begin with.
 M, BUILD_BEAM, BEAM = 12, 48, 24
 #: Audits: perturbed copies, sampled queries, the share that must be found.
@@ -265,7 +267,8 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     folder = fresh_path(spark, "hnsw")
     n = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = {d: max(min(LEAST_SHARDS, c // LEAST_ROWS), -(-c // SHARD_ROWS), 1) for d, c in n.items()}
+    most = {d: max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * d))) for d in n}
+    shards = {d: max(min(LEAST_SHARDS, c // LEAST_ROWS), -(-c // most[d]), 1) for d, c in n.items()}
     if not shards:
         return spark.createDataFrame([], "node long, n long, label long")
 
