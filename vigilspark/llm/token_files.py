@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from vigilspark.llm.util import fresh_path, steps
 
 NULL_KEY = -(1 << 63)
+#: Bytes of stored input for each part, where that makes more parts than the session's shuffles have.
+PART_BYTES = 128 << 20
 _MANIFEST = "part int, name string, n_docs long, n_ids long"
 
 
@@ -133,7 +135,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Returns the manifest, also written to folder/manifest: part, name, n_docs, n_ids, base."""
     spark = docs.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if parts is None:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, by the planner
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES) if size < 1 << 60 else 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
