@@ -110,6 +110,12 @@ _LADDER = """WITH c AS (SELECT l_partkey, l_partkey % 4 = 0 AS w, l_partkey % 3
   s AS (SELECT l_partkey, CASE WHEN o AND w AND NOT g THEN 90 WHEN o AND x THEN 80 WHEN o AND NOT g THEN 55 WHEN t AND NOT w AND NOT a THEN 0 WHEN g AND NOT w AND NOT a AND n = 0 THEN 0
     WHEN a AND n > 0 AND (NOT m OR x) THEN CASE WHEN w THEN 92 ELSE 80 END WHEN a AND n > 0 THEN 65 WHEN a AND w AND NOT m THEN 92 WHEN a AND w THEN 60 WHEN a THEN 65 WHEN w THEN CASE WHEN n > 0 THEN 95 ELSE 85 END WHEN n >= 2 THEN 80 WHEN n = 1 THEN 55 ELSE 50 END AS score FROM c)
   SELECT l_partkey, CASE WHEN score = 0 THEN 'clean' WHEN score >= 80 THEN 'likely-malicious' ELSE 'suspicious' END AS tier, CAST(score AS INT) AS score, count(*) AS n FROM s GROUP BY ALL"""
+_LEXEMES = r"""'"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|[0-9]+(?:\.[0-9]+)?|[A-Za-z_$][0-9A-Za-z_$]*|[^\s0-9A-Za-z_$]'"""
+_KEYWORDS = ", ".join(f"'{k}'" for k in clones.KEYWORDS)
+_CLONES = rf"""WITH t AS (SELECT path, regexp_extract_all(regexp_replace(content, '(?s)/\*.*?\*/|<!--.*?-->', ' ', 'g'), {_LEXEMES}) AS k FROM v_file),
+    s AS (SELECT path, len(k) AS n, sha256(array_to_string([CASE WHEN regexp_matches(x, '^["'']') THEN 'S' WHEN regexp_matches(x, '^[0-9]') THEN 'N' WHEN lower(x) IN ({_KEYWORDS}) THEN lower(x) WHEN regexp_matches(x, '^[A-Za-z_$]') THEN 'I' ELSE x END FOR x IN k], ' ')) AS structure,
+      sha256(array_to_string(list_sort(list_distinct([x FOR x IN k IF regexp_matches(x, '^["''0-9]')])), ' ')) AS literal FROM t)
+    SELECT structure, min(path) AS first_path, count(*) AS files, count(DISTINCT literal) AS variants FROM s WHERE n > 0 GROUP BY structure HAVING count(*) > 1"""
 ORACLES = {
     "class_ladder": _LADDER,
     "repositories": """WITH c AS (SELECT p_partkey % 20 AS pid, 'C' || p_partkey AS class_name, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '/opt/app' || (p_partkey % 6) || '/lib/' || (p_partkey % 50) || '.jar' END AS code_source FROM part),
@@ -131,6 +137,7 @@ ORACLES = {
         SELECT path, coalesce(app, path) AS application, sum(size) OVER (PARTITION BY coalesce(app, path) ORDER BY path ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM c""",
     "view_selection": """SELECT 'h' || c_custkey AS host, v AS view, CASE WHEN c_custkey % 2 = 0 AND v IN ('dotnet-mem', 'native-mem', 'behavioral') THEN 'n/a' WHEN v IN ('dotnet-mem', 'native-mem') THEN 'failed' ELSE 'run' END AS status
         FROM customer, (VALUES ('disk'), ('java-mem'), ('dotnet-mem'), ('native-mem'), ('behavioral')) t(v)""",
+    "clone_groups": with_views(("v_file",), _CLONES),
     "technique_cells": with_views(("v_scan_finding",), "WITH b AS (SELECT 'r' || n_nationkey AS rule, 'c' || (n_nationkey % 4) AS cell FROM nation UNION SELECT 'r' || n_nationkey, 'c' || (n_nationkey % 3) FROM nation) SELECT cell, count(*) AS detections FROM v_scan_finding f JOIN b ON b.rule = 'r' || (f.scan_id % 9) GROUP BY 1"),
     "base64_and_rot": with_views(("v_snippet",), "SELECT doc_id, CAST(len([r FOR r IN regexp_extract_all(content, '[A-Za-z0-9+/]{24,}={0,2}') IF length(r) % 4 = 0 AND regexp_full_match(r, '(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)')]) AS INT) AS runs, substr(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm'), 1, 12) AS head FROM v_snippet"),
 }
