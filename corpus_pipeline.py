@@ -5,6 +5,10 @@
 3. substring dedup: words of passages that also start earlier are cut; a document that loses all its words goes.
 4. mixing: sources are brought to their target weights with whole documents, which may come twice or not at all.
 5. BPE: each document of the mix is encoded, and decoded again.
+
+Cases: null, empty and letterless texts go in stage 1; a null lang or source is no evidence, and the null source comes last in
+stage 4; rows that repeat a doc_id stay or go together, a null doc_id is an id like any other; n_chars changes only where
+words were cut; further columns pass through stages 1 to 4, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations

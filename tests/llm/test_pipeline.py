@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import PATH, prints, reach, split, without_repeats
+from test_operators import DOCS, LONG, PATH, prints, reach, split, without_repeats
 from vigilspark.llm import language_id, mixing
 
 DIR = "/root/testdata/sf0.001"
@@ -69,3 +69,18 @@ def test_registered():
 
     assert "pipeline" in e.queries() and public_tokenizers.path(corpus_pipeline.TOKENIZER)
     assert sorted(int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    good = [f"the thing and the other {w} with some words of the text" for w in ("one", "two", "three")]
+    rows = [(i, t, "en", "s", len(t), 1, 2, "q", "k", 3, 4, 5, 6) for i, t in enumerate([*good, LONG])]
+    rows += [rows[0], (None, "a row without an id but with some words of the text", None, None, None, *[None] * 8), (7, None, None, None, None, *[None] * 8), (8, "", "en", "s", 0, *[None] * 8), (9, "12 34 56", "en", None, 8, *[None] * 8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if name == "language ID":
+            assert {r.doc_id for r in out.collect()} & {7, 8, 9} == set()
+        if name != "BPE":
+            assert out.columns == docs.columns
+        docs = out
