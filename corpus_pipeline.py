@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each of which reads what the one before kept.
 
 1. language ID: documents that no wanted language claims go.
-2. SimHash near-dedup: of each group linked by fingerprints the document with the smallest id stays.
+2. SimHash near-dedup: of each group linked by fingerprints, or by a five-word similarity of 0.8 or more, the document with
+   the smallest id stays.
 3. substring dedup: words of passages that also start earlier are cut; a document that loses all its words goes.
 4. mixing: sources are brought to their target weights with whole documents, which may come twice or not at all.
 5. BPE: each document of the mix is encoded, and decoded again.
@@ -17,9 +18,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bpe, language_id, mixing, simhash, substring_dedup
+from vigilspark.llm import bpe, language_id, mixing, near_copies, simhash, substring_dedup
+from vigilspark.llm.components import connected_components
 from vigilspark.llm.queries import TOKENIZER
-from vigilspark.llm.util import fresh_path
+from vigilspark.llm.util import checkpointed, fresh_path
 from vigilspark.shipping import ship
 
 
@@ -30,8 +32,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    prints = checkpointed(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct())
+    similar = checkpointed(near_copies.similar_links(docs))
+    of_null = F.col("b") == near_copies.NULL_KEY  # the largest key, so it is never a
+    links = prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    later = connected_components(links.unionAll(similar.where(~of_null))).where("node <> component").select(F.col("node").alias("_id"))
+    nulls = prints.where("doc_id is null and component_id is not null").select("doc_id").unionAll(similar.where(of_null).select(F.lit(None).cast("long")))
+    return docs.join(later.unionAll(nulls.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import random
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -84,3 +85,28 @@ def test_stages_take_odd_rows(spark, tmp_path):
         if name != "BPE":
             assert out.columns == docs.columns
         docs = out
+
+
+def test_near_copies_go(spark):
+    """Five-word similarity of 0.8 or more, fingerprints beyond two bits; and pairs just under 0.8 stay."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, kept = [], set()
+    for k in range(40):
+        base = [word() for _ in range(200)]
+        near = base.copy()
+        for at in range(10, 10 + (4 if k % 2 else 5) * 30, 30):
+            near[at] = word()
+        texts += [" ".join(base), " ".join(near)]
+        sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in (base, near)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        assert alike == bool(k % 2)
+        kept |= {2 * k} if alike else {2 * k, 2 * k + 1}
+    fp = [prints(t) for t in texts]
+    assert all((fp[i] ^ fp[i + 1]).bit_count() > 2 for i in range(2, 80, 4))
+    group = [word() for _ in range(200)]
+    for k in range(30):  # each one word from the first
+        texts.append(" ".join(group[: 5 * k] + [word()] + group[5 * k + 1 :]))
+    kept.add(80)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()} == kept
