@@ -527,6 +527,31 @@ def test_op8_held_out_accuracy(spark):
     assert np.mean([got[i] == ("allow" if good else "block") for i, u, good in rows if i % 2 == 0]) > 0.95
 
 
+def test_op8_scores_by_exact_counts(spark):
+    """More n-grams than any fixed number of counters: scores are those of a dictionary of n-grams."""
+    rng = random.Random(9)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(5000)]
+    urls = [f"http://x.{('net/de/', 'org/es/', 'info/')[i % 3]}{u}" for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    held = {r.text for r in spark.createDataFrame([(u[7:],) for u in urls], "text string").where("pmod(xxhash64(text), 5) = 0").collect()}
+    seen, before = Counter(), Counter()
+    steps = lambda t: ((n, (("",) * 4 + tuple(t))[i + 4 - n : i + 4], c) for i, c in enumerate(t) for n in range(5))
+    for i, u in enumerate(urls):
+        if i % 3 < 2 and u[7:] not in held:
+            for n, context, c in steps(u[7:]):
+                seen[i % 3, n, context, c] += 1
+                before[i % 3, n, context] += 1
+    assert len(seen) > 1 << 18
+    for i in range(2, 5000, 150):
+        total, text = 0.0, urls[i][7:]
+        p = [0.0, 0.0]
+        for n, context, c in steps(text):
+            for k in (0, 1):
+                p[k] = (seen[k, n, context, c] + 2 * (p[k] if n else 1 / 256)) / (before[k, n, context] + 2)
+            total += math.log(p[0] / p[1]) if n == 4 else 0
+        assert abs(got[i].score - total / len(text)) < 1e-9
+
+
 # -- op9 -------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 Rules are a host (with all its subdomains) and the beginning of a path; the longest that fits decides. URLs that a rule
 decides are the labelled examples: variable-order Markov models over the host's and path's characters are counted for
-accepted and rejected ones, from all of them, by grouped aggregation into hashed counters of fixed number, and smoothed
+accepted and rejected ones, exactly, by grouped aggregation of packed n-grams that are joined with those to score, and smoothed
 from each order to the next shorter context. Every fifth labelled URL (by hash) is held out of the counts and fixes the
 threshold: the length-normalised log-likelihood difference that splits the held-out classes best.
 
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.util import mix64
+from vigilspark.llm.util import STEP_BYTES, checkpointed, steps
 
 #: (verdict, host, beginning of the path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 5
-#: Counters of each order and class: the model's size whatever the number of URLs.
-SLOTS = 1 << 17
+#: Bits of a symbol in a packed n-gram.
+SYMBOL = 9
 HELD_OUT = 5
 #: Bins of the held-out scores' histogram, over [-4, 4] nats a character.
 BINS = 8000
@@ -48,69 +48,54 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all texts: slots of the n-grams that end there and of their contexts (ORDER x bytes), and the row."""
+def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all bytes of all texts: the last ORDER symbols as one number (byte + 1 in SYMBOL bits each, the last one lowest, 0
+    before the text's start), so unlike n-grams are never equal; and the row."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     row = np.repeat(np.arange(len(texts)), lengths)
     place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    grams, befores = [], []
-    history = np.zeros(len(data), np.uint64)  # of the n - 1 bytes before; the text's start counts as byte 256
-    for n in range(ORDER):
-        if n:
-            earlier = np.where(place >= n, np.concatenate([np.zeros(min(n, len(data)), np.uint64), data[:-n] if n < len(data) else data[:0]])[: len(data)], np.uint64(256))
-            history = mix64(history * np.uint64(1_000_003) + earlier + np.uint64(n))
-        befores.append(history % np.uint64(SLOTS))
-        grams.append(mix64(history + (data + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SLOTS))
-    return np.array(grams, np.int64).reshape(ORDER, -1), np.array(befores, np.int64).reshape(ORDER, -1), row
+    gram = data.copy()
+    for n in range(1, ORDER):
+        gram[n:] |= np.where(place[n:] >= n, data[:-n], 0) << (SYMBOL * n)
+    return gram, row
 
 
-def ngram_counts(labelled: DataFrame) -> DataFrame:
-    """code, n over all rows of `labelled` (label, text); a code is the place in a Model's counts."""
+def positions(texts: DataFrame) -> DataFrame:
+    """id, gram, n0, n1, held: a row for each byte of each of the texts (id, text, n0, n1, held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), np.int64)
-            grams, befores, row = contexts([t.encode() for t in batch.column("text").to_pylist()])
-            for kind, slots in enumerate((grams, befores)):
-                code = ((kind * 2 + labels[row][None]) * ORDER + np.arange(ORDER)[:, None]) * SLOTS + slots
-                code, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-    return labelled.select("label", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Counts [n-grams or contexts, label, order, slot] of both classes: 4 x ORDER x SLOTS numbers, whatever the corpus."""
-
-    def __init__(self, counts: pa.Table):
-        self.counts = np.zeros(4 * ORDER * SLOTS, np.float32)
-        self.counts[counts.column("code").to_numpy()] = counts.column("n").to_numpy()
-        self.counts = self.counts.reshape(2, 2, ORDER, SLOTS)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Mean over the characters of log P(accepted) - log P(rejected)."""
-        grams, befores, row = contexts(texts)
-        p = [np.full(len(row), 1 / 256.0), np.full(len(row), 1 / 256.0)]
-        for n in range(ORDER):
-            for label in (0, 1):
-                seen, before = self.counts[0, label, n, grams[n]], self.counts[1, label, n, befores[n]]
-                p[label] = (seen + 2.0 * p[label]) / (before + 2.0)  # the shorter context's estimate weighs like two characters
-        total = np.bincount(row, np.log(p[1]) - np.log(p[0]), len(texts))
-        lengths = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)
-        return total / lengths
-
-
-def scored(rows: DataFrame, model, keep: list[str]) -> DataFrame:
-    """`keep` and score; model: a broadcast Model."""
-    schema = ", ".join(f"{n} {t}" for n, t in rows.select(keep).dtypes)
+        for whole in batches:
+            for batch in steps(whole, "text", STEP_BYTES // 8):
+                gram, row = packed([t.encode() for t in batch.column("text").to_pylist()])
+                rest = [batch.column(c).take(pa.array(row)) for c in ("id", "n0", "n1", "held")]
+                yield pa.RecordBatch.from_arrays([rest[0], pa.array(gram), *rest[1:]], names=["id", "gram", "n0", "n1", "held"])
+
+    return texts.mapInArrow(run, "id long, gram long, n0 long, n1 long, held boolean")
+
+
+def terms(known: DataFrame, seen: tuple[str, str]) -> DataFrame:
+    """gram, term: log P(accepted) - log P(rejected) of the last symbol of each n-gram in `known` (gram, and how often each
+    class has it, in the columns `seen`). Exact counts of all orders; each is smoothed by the next shorter context's estimate."""
+    shorter = None
+    for n in range(ORDER):
+        low = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << (SYMBOL * k)) - 1))
+        grams = known.groupBy(low("gram", n + 1).alias("g")).agg(F.sum(seen[0]).alias("s0"), F.sum(seen[1]).alias("s1"))
+        grams = grams.withColumn("c", F.shiftright("g", SYMBOL))
+        before = grams.groupBy("c").agg(F.sum("s0").alias("b0"), F.sum("s1").alias("b1"))
+        grams = grams.join(F.broadcast(before) if n < 2 else before, "c")  # at most 257 contexts
+        if shorter is None:
+            grams = grams.withColumn("q0", F.lit(1 / 256.0)).withColumn("q1", F.lit(1 / 256.0))
+        else:
+            grams = grams.withColumn("g1", low("g", n)).join(F.broadcast(shorter) if n < 2 else shorter, "g1")
+        p = [((F.col(f"s{k}") + 2.0 * F.col(f"q{k}")) / (F.col(f"b{k}") + 2.0)).alias(f"q{k}") for k in (0, 1)]  # weighs like two characters
+        shorter = grams.select(F.col("g").alias("g1"), *p)
+    return shorter.select(F.col("g1").alias("gram"), (F.log("q1") - F.log("q0")).alias("term"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.value.scores([t.encode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{schema}, score double")
+def scored(chars: DataFrame, model: DataFrame) -> DataFrame:
+    """id, score: the mean of the model's terms over the positions of each text."""
+    return checkpointed(chars.select("id", "gram").join(model, "gram").groupBy("id").agg(F.avg("term").alias("score")))
 
 
 def threshold(histogram: list[tuple[int, int, int]]) -> float:
@@ -133,11 +118,18 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url")
     rows = pages.select(key, host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("decided", verdict).withColumn("text", F.concat("host", "path"))
-    labelled = rows.where("decided is not null").select((F.col("decided") == "allow").cast("long").alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0).alias("held"))
-    counts = ngram_counts(labelled.where("not held")).toArrow()  # at most 4 x ORDER x SLOTS rows of two numbers
-    model = pages.sparkSession.sparkContext.broadcast(Model(counts))
+    label = lambda what: F.count_if(F.col("decided") == what)
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    texts = rows.groupBy("text").agg(label("block").alias("n0"), label("allow").alias("n1"))
+    texts = checkpointed(texts.select(F.monotonically_increasing_id().alias("id"), "text", "n0", "n1", held.alias("held")))
+    chars = checkpointed(positions(texts))
+    counted = F.when(~F.col("held"), F.col("n0")).otherwise(0), F.when(~F.col("held"), F.col("n1")).otherwise(0)
+    known = checkpointed(chars.groupBy("gram").agg(*(F.sum(c).alias(f"t{k}") for k, c in enumerate(counted))))
+    model = checkpointed(terms(known, ("t0", "t1")))
+    scores = texts.join(scored(chars, model), "id", "left").select("text", "n0", "n1", "held", F.coalesce("score", F.lit(0.0)).alias("score"))
     b = F.least(F.greatest(F.floor((F.col("score") + 4) * (BINS / 8)), F.lit(0)), F.lit(BINS)).cast("int")
-    cut = threshold([tuple(r) for r in scored(labelled.where("held"), model, ["label"]).groupBy("label", b.alias("b")).agg(F.count(F.lit(1))).collect()])
-    out = scored(rows, model, [key, "host", "path", "rule", "decided"])
+    bins = scores.where("held").groupBy(b.alias("b")).agg(F.sum("n0"), F.sum("n1")).collect()
+    cut = threshold([(label, r[0], r[1 + label]) for r in bins for label in (0, 1)])
+    out = rows.join(scores.select("text", "score"), "text")
     method = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return out.select(key, "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "score", F.lit(cut).alias("threshold"))
