@@ -3,7 +3,8 @@
 MinHash bands propose pairs, the sets decide. Each document gets 96 minima under as many permutations, in 24 bands of four;
 a pair at exactly 0.8 shares no band with a probability of 3 in a million. Documents with equal sets are one node. In each
 bucket all nodes are first compared with one of them, another in each band; then the pairs of a bucket that no link has yet
-brought together are compared as well, so a large group of near copies costs its size and not its square.
+brought together are compared as well. That spares a large group of near copies most of its square, but a bucket of many
+unlike documents is compared in full; what this costs on a table with large groups is not measured.
 
 Cases: null and empty texts have no runs and no links; fewer than five words are one run; a null key is kept as NULL_KEY.
 """
