@@ -2,16 +2,24 @@
 
 Vectors that are equal make one class. Classes are dealt to shards by hash; a task builds a shard's graph and
 writes it with its vectors to the shared folder. A second set of tasks takes pairs of shards: the vectors of one
-query the graph of the other (each unordered pair of shards once). Beams widen until an audit passes: perturbed
-copies of indexed vectors, turned away up to the threshold, must be found, and so must every link that brute force
-finds for a sample of the queries. A query whose beam holds nothing but links is asked again with a wider one.
-Cosines are verified in double precision. A task returns a count of links and a spanning forest, never all pairs.
+query the graph of the other (each unordered pair of shards once). Beams widen until an audit passes: of the links
+that brute force finds for a sample of the queries and for perturbed copies of indexed vectors, turned away up to the
+threshold, the searches must find all, or at the widest beam a share of LEAST_RECALL; a pair of shards that fails
+there is answered by exact products. A query whose beam holds nothing but links is asked again with a wider one; one
+with more links than DENSE is answered by exact products, block by block. Nodes that no path of the graph reaches are
+kept in a list that every query looks through. Cosines are verified in double precision, by one routine.
 
-Shards hold a bounded number of vectors, so a task's memory is bounded; vectors grow beyond that by more shards.
+A task holds at most PAIRS links of sparse queries and one block of a dense query's product at a time, and returns
+counts of links and a spanning forest, so a group of near copies never has all its pairs in memory. Counting the
+links of each member of such a group takes work in proportion to members times vectors, in products of matrices.
+
+Shards hold a bounded number of vectors, so a task's memory is bounded; vectors grow beyond that by more shards, and
+the longer the vectors, the fewer a shard holds. What the driver sees is a row per shard and per vector length.
 
 Cases: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
-different lengths don't link; repeated rows are other vectors with cosine 1; null ids keep null results unless a
-class names them; other columns are dropped; an empty table gives an empty result.
+different lengths don't link; repeated rows are other vectors with cosine 1; a vec_id that names different vectors
+gives each of its rows that row's own count; a null id counts as a vector, its component is the smallest id reachable
+(null if there is none, and then the row is kept); other columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,27 +27,33 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.components import connected_components
 from vigilspark.llm.simhash import forest
-from vigilspark.llm.util import checkpointed, fresh_path
+from vigilspark.llm.util import arrow_folder, checkpointed, discard, fresh_path
 
 #: Vectors of a shard; fewer shards than LEAST_SHARDS only where they would hold under LEAST_ROWS vectors.
 SHARD_ROWS, LEAST_SHARDS, LEAST_ROWS = 200_000, 8, 400
 #: Bytes of a shard's vectors in double precision, so that long vectors make smaller shards.
 SHARD_BYTES = 128 << 20
-#: Links of a node (twice as many on the ground layer), beam while building, beams to begin with.
-M, BUILD_BEAM, BEAM = 12, 48, 24
-#: Audits: perturbed copies, sampled queries, the share that must be found.
-AUDIT, AUDIT_QUERIES, FOUND = 256, 64, 1.0
+#: Links of a node (twice as many on the ground layer), beam while building, beams to begin with and at the widest.
+M, BUILD_BEAM, BEAM, WIDEST = 12, 48, 24, 192
+#: Audits: perturbed copies, sampled queries, the share of their links to be found at the widest beam.
+AUDIT, AUDIT_QUERIES, LEAST_RECALL = 256, 256, 0.99
 #: Nodes of the beam that are expanded at once.
 EXPAND = 4
+#: Links of one query beyond which it is answered by exact products; links of sparse queries that a task holds.
+DENSE, PAIRS = 256, 16_000_000
+#: Entries of a block of an exact product; new links that a full neighbour list weighs at once.
+BLOCK, WEIGHED = 4_000_000, 48
+#: Tasks that pairs of shards are dealt to, at most.
+MOST_TASKS = 20_000
 
 
 class Hnsw:
@@ -88,22 +102,53 @@ class Hnsw:
             width = self.links[layer].shape[1]
             links = self.links[layer]
             links[batch[rows], :M] = chosen
-            for node, neighbours in zip(batch[rows].tolist(), chosen.tolist(), strict=True):
-                for other in neighbours:
-                    if other < 0:
-                        break
-                    slots = links[other]
-                    if node in slots:
-                        continue
-                    free = np.flatnonzero(slots < 0)
-                    if len(free):
-                        slots[free[0]] = node
-                    else:
-                        held = np.append(slots, node)
-                        s = self.x[held] @ self.x[other]
-                        o = np.argsort(-s, kind="stable")
-                        kept = self._diverse(held[o][None], s[o][None], width)[0]
-                        links[other] = kept
+            self._link_back(links, np.repeat(batch[rows], M), chosen.ravel().astype(np.int64))
+
+    def _link_back(self, links: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+        """Adds the sources to their targets' lists; full lists keep the diverse ones of all."""
+        fresh = target >= 0
+        fresh &= ~(links[np.maximum(target, 0)] == source[:, None]).any(1)
+        source, target = source[fresh], target[fresh]
+        if not len(source):
+            return
+        order = np.argsort(target, kind="stable")
+        source, target = source[order], target[order]
+        heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        count = np.diff(np.r_[heads, len(target)])
+        place = np.arange(len(target)) - np.repeat(heads, count)
+        node, width = target[heads], links.shape[1]
+        used = (links[node] >= 0).sum(1)
+        room = np.repeat(used + count <= width, count)
+        # lists are filled from the left, so free slots follow the used ones
+        links[target[room], (np.repeat(used, count) + place)[room]] = source[room]
+        full = np.flatnonzero(used + count > width)
+        full = full[np.argsort(count[full], kind="stable")]
+        while len(full):
+            most = int(count[full[0]])
+            step = max(1, BLOCK // ((width + 4 * most) * self.x.shape[1]))
+            part = full[:step]
+            part = part[count[part] <= 4 * most]
+            full = full[len(part) :]
+            new = np.full((len(part), int(count[part].max())), -1, np.int64)
+            for k, g in enumerate(part.tolist()):
+                new[k, : count[g]] = source[heads[g] : heads[g] + count[g]]
+            held = np.concatenate([links[node[part]].astype(np.int64), new], 1)
+            sims = np.matmul(self.x[np.maximum(held, 0)], self.x[node[part]][:, :, None])[:, :, 0]
+            sims = np.where(held >= 0, sims, -np.inf)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, : width + WEIGHED]
+            links[node[part]] = self._diverse(np.take_along_axis(held, best, 1), np.take_along_axis(sims, best, 1), width)
+
+    def strays(self) -> np.ndarray:
+        """Nodes that no path on the ground layer reaches from where searches start there."""
+        n = len(self.x)
+        reached = np.zeros(n + 1, bool)
+        reached[n] = True
+        front = np.flatnonzero(self.level >= 1) if self.top else np.array([self.entry][:n])
+        while len(front):
+            reached[front] = True
+            around = np.unique(self.links[0][front])
+            front = around[~reached[around]]
+        return np.flatnonzero(~reached[:n])
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Of candidates sorted by similarity: those nearer to the vector than to any chosen before; then the nearest others."""
@@ -193,147 +238,240 @@ def perturbed(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndar
     return unit(c * x + np.sqrt(1 - c * c) * away)
 
 
-def audited_beam(index: Hnsw, x: np.ndarray, q: np.ndarray, threshold: float, rng: np.random.Generator) -> int:
-    """The beam from which on perturbed copies of indexed vectors and the sample's links are all found."""
-    n = len(x)
-    picked = rng.choice(n, min(n, AUDIT), replace=False)
-    copies = perturbed(x[picked], threshold, rng)
-    asked = q[rng.choice(len(q), min(len(q), AUDIT_QUERIES), replace=False)]
-    truth = asked @ x.T >= threshold
-    ef = BEAM
-    while ef < n:
-        ids, _ = index.search(copies, ef)
-        good = (ids == picked[:, None]).any(1) | ((copies[:, None, :] * x[np.maximum(ids, 0)]).sum(2) >= (copies * x[picked]).sum(1)[:, None]).all(1)
-        links = linked(index, x, asked, threshold, ef)
-        if good.mean() >= FOUND and len(links[0]) >= FOUND * truth.sum():
-            return ef
-        ef *= 2
-    return max(n, 1)
-
-
-def linked(index: Hnsw, x: np.ndarray, q: np.ndarray, threshold: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, indexed vector) with cosine >= threshold. Beams full of links widen."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = np.arange(len(q))
-    while len(rows):
-        again = []
-        for part in np.array_split(rows, max(1, -(-len(rows) * ef // 200_000))):
-            ids, sims = index.search(q[part], ef)
-            maybe = sims >= threshold - 1e-4
-            full = maybe.all(1) & (ids.shape[1] < len(x))
-            again.append(part[full])
-            r, c = np.nonzero(maybe & ~full[:, None])
-            i, j = part[r], ids[r, c]
-            exact = np.concatenate([(q[a] * x[b]).sum(1) for a, b in zip(np.array_split(i, len(i) // 100_000 + 1), np.array_split(j, len(j) // 100_000 + 1), strict=True)]) >= threshold
-            found.append((i[exact], j[exact]))
-        rows, ef = np.concatenate(again), 2 * ef
-    return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _fs(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-
-
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    fs, top = _fs(folder)
-    fs.create_dir(top, recursive=True)
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    own = f"{top}/{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        f.write(held.getvalue())
-    fs.move(own, f"{top}/{name}")
-
-
-def _load(folder: str, name: str) -> dict[str, np.ndarray] | None:
-    fs, top = _fs(folder)
-    if fs.get_file_info(f"{top}/{name}").type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_file(f"{top}/{name}") as f, np.load(io.BytesIO(f.read())) as z:
-        return dict(z)
-
-
-def _loaded_index(parts: dict[str, np.ndarray]) -> Hnsw:
-    index = Hnsw.__new__(Hnsw)
-    index.x = parts["x"].astype(np.float32)
-    index.level, index.top, index.entry = parts["level"], int(parts["top"]), int(parts["entry"])
-    index.links = [parts[f"links{k}"] for k in range(index.top + 1)]
-    return index
-
-
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with the same row of b."""
+    return (a * b).sum(1)
+
+
+def within(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of a and b have a cosine of at least the threshold: a product, settled by `cosines` where it is close."""
+    s = a @ b.T
+    near = s >= threshold
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+    near[i, j] = cosines(a[i], b[j]) >= threshold
+    return near
+
+
+class Shard:
+    """A graph with its vectors in double precision, the ids and sizes of their classes and the nodes off all paths."""
+
+    def __init__(self, index: Hnsw, x: np.ndarray, node: np.ndarray, size: np.ndarray, strays: np.ndarray):
+        self.index, self.x, self.node, self.size, self.strays = index, x, node, size, strays
+
+    @staticmethod
+    def build(x: np.ndarray, node: np.ndarray, size: np.ndarray) -> Shard:
+        index = Hnsw(x)
+        return Shard(index, x, node, size, index.strays())
+
+    def save(self, folder: str, name: str) -> None:
+        held, index = io.BytesIO(), self.index
+        links = {f"links{k}": v for k, v in enumerate(index.links)}
+        np.savez(held, x=self.x, node=self.node, size=self.size, strays=self.strays, level=index.level, top=np.array(index.top), entry=np.array(index.entry), **links)
+        fs, top = arrow_folder(folder)
+        fs.create_dir(top, recursive=True)
+        with fs.open_output_stream(f"{top}/{name}") as f:
+            f.write(held.getbuffer())
+
+    @staticmethod
+    def load(folder: str, name: str) -> Shard:
+        """A missing file is an error: an empty shard has no name in the manifest."""
+        fs, top = arrow_folder(folder)
+        with fs.open_input_file(f"{top}/{name}") as f, np.load(io.BytesIO(f.read())) as z:
+            parts = dict(z)
+        index = Hnsw.__new__(Hnsw)
+        index.x = parts["x"].astype(np.float32)
+        index.level, index.top, index.entry = parts["level"], int(parts["top"]), int(parts["entry"])
+        index.links = [parts[f"links{k}"] for k in range(index.top + 1)]
+        return Shard(index, parts["x"], parts["node"], parts["size"], parts["strays"])
+
+    def sparse_links(self, q: np.ndarray, threshold: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, indexed vector) found by the graph, and the queries left to exact products."""
+        n = len(self.x)
+        most = max(BEAM, min(DENSE, PAIRS // max(len(q), 1)))
+        i, j, dense, rows = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], np.arange(len(q))
+        while len(rows):
+            again = [np.zeros(0, int)]
+            for part in np.array_split(rows, max(1, -(-len(rows) * ef // 200_000))):
+                ids, sims = self.index.search(q[part], ef)
+                maybe = sims >= threshold - 1e-4
+                full = maybe.all(1) & (ids.shape[1] < n)
+                again.append(part[full])
+                r, c = np.nonzero(maybe & ~full[:, None])
+                r, c = part[r], ids[r, c]
+                if len(self.strays):
+                    a, b = np.nonzero(q[part[~full]].astype(np.float32) @ self.index.x[self.strays].T >= threshold - 1e-4)
+                    codes = np.unique(np.concatenate([r * n + c, part[~full][a] * n + self.strays[b]]))
+                    r, c = codes // n, codes % n
+                for at in np.array_split(np.arange(len(r)), len(r) // 100_000 + 1):
+                    exact = cosines(q[r[at]], self.x[c[at]]) >= threshold
+                    i.append(r[at][exact])
+                    j.append(c[at][exact])
+            rows, ef = np.concatenate(again), 2 * ef
+            if ef > most or ef >= n:
+                dense.append(rows)
+                break
+        return np.concatenate(i), np.concatenate(j), np.concatenate(dense)
+
+    def audited_beam(self, q: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[int, float]:
+        """The beam from which on the sample's links are found, and the share that was; beam 0: ask by exact products."""
+        asked = q[rng.choice(len(q), min(len(q), AUDIT_QUERIES), replace=False)]
+        asked = np.concatenate([asked, perturbed(self.x[rng.choice(len(self.x), min(len(self.x), AUDIT), replace=False)], threshold, rng)])
+        truth = np.concatenate([within(part, self.x, threshold).sum(1) for part in np.array_split(asked, max(1, len(asked) * len(self.x) // BLOCK))])
+        ef, some = BEAM, truth > 0
+        while ef < len(self.x):
+            i, _, dense = self.sparse_links(asked, threshold, ef)
+            found = np.bincount(i, minlength=len(asked))
+            found[dense] = truth[dense]
+            recall = float((found[some] / truth[some]).mean()) if some.any() else 1.0
+            if recall >= 1.0 or (ef >= WIDEST and recall >= LEAST_RECALL):
+                return ef, recall
+            if ef >= WIDEST:
+                break
+            ef *= 2
+        return 0, 1.0
+
+    def fold(self, mine: Shard, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Counts of links and component labels of the other shard's nodes followed by this one's (of this shard's own
+        where the two are the same), and how many queries were answered by exact products."""
+        same, q, n = mine is self, mine.x, len(self.x)
+        i, j, dense = self.sparse_links(q, threshold, beam) if beam else (np.zeros(0, int), np.zeros(0, int), np.arange(len(q)))
+        offset = 0 if same else len(q)
+        count = np.zeros(offset + n, np.int64)
+        if same:
+            i, j = i[i != j], j[i != j]
+            held = np.sort(i * n + j)
+            is_dense = np.zeros(n, bool)
+            is_dense[dense] = True
+
+        def unseen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether sparse a, asked itself, has missed b."""
+            code = a * n + b
+            at = np.minimum(np.searchsorted(held, code), max(len(held) - 1, 0))
+            return held[at] != code if len(held) else np.ones(len(code), bool)
+
+        def add(node: np.ndarray, size: np.ndarray) -> None:
+            count[:] += np.bincount(node, size, len(count)).astype(np.int64)
+
+        def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            add(i, self.size[j])
+            if same:
+                missed = ~is_dense[j]
+                missed[missed] = unseen(j[missed], i[missed])
+                add(j[missed], self.size[i[missed]])
+            else:
+                add(j + offset, mine.size[i])
+            yield i, j + offset
+            for rows in np.array_split(dense, max(1, -(-len(dense) * n // BLOCK))):
+                if not len(rows):
+                    continue
+                near = within(q[rows], self.x, threshold)
+                if same:
+                    near[np.arange(len(rows)), rows] = False
+                r, c = np.nonzero(near)
+                r = rows[r]
+                add(r, self.size[c])
+                if same:
+                    missed = ~is_dense[c]
+                    missed[missed] = unseen(c[missed], r[missed])
+                    add(c[missed], self.size[r[missed]])
+                else:
+                    add(c + offset, mine.size[r])
+                yield r, c + offset
+
+        label = forest(len(count), links())
+        return count, label, len(dense)
+
+
+_FOUND = "node long, n long, label long, query long, shard long, beam long, recall double, exact long"
+
+
+def searched(classes: DataFrame, threshold: float) -> DataFrame:
     """classes: node, size, dim, embedding. Returns node, n (links to members of other classes found by one task), label
-    (a node of the same component)."""
+    (a node of the same component); and for each pair of shards a row without a node: its beam (0: exact products), the
+    audited recall and how many queries were answered by exact products."""
     spark = classes.sparkSession
     folder = fresh_path(spark, "hnsw")
     n = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = {d: max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * d))) for d in n}
     shards = {d: max(min(LEAST_SHARDS, c // LEAST_ROWS), -(-c // most[d]), 1) for d, c in n.items()}
     if not shards:
-        return spark.createDataFrame([], "node long, n long, label long")
+        return spark.createDataFrame([], _FOUND)
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
         dim, shard = (k.as_py() for k in key)
         order = np.argsort(group.column("node").to_numpy(), kind="stable")
-        x = unit(np.array(group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)[order])
-        index = Hnsw(x)
-        links = {f"links{k}": v for k, v in enumerate(index.links)}
-        _save(folder, f"{dim}-{shard}", x=x, node=group.column("node").to_numpy()[order], size=group.column("size").to_numpy()[order], level=index.level, top=np.array(index.top), entry=np.array(index.entry), **links)
-        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(x)], pa.int64())})
+        x = np.array(group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+        x = unit(x / np.abs(x).max(1, keepdims=True))[order]
+        name = f"{dim}-{shard}-{uuid.uuid4().hex}"  # an attempt's own; the rows collected below are the manifest
+        Shard.build(x, group.column("node").to_numpy()[order], group.column("size").to_numpy()[order]).save(folder, name)
+        return pa.table({"dim": pa.array([dim], pa.int64()), "name": [name]})
 
     count = F.create_map(*(F.lit(v) for d, s in shards.items() for v in (d, s)))[F.col("dim")]
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), count))
-    dealt.groupBy("dim", "shard").applyInArrow(build, "shard long, n long").agg(F.sum("n")).collect()
+    names: dict[int, list[str]] = {}
+    for row in dealt.groupBy("dim", "shard").applyInArrow(build, "dim long, name string").orderBy("name").collect():
+        names.setdefault(row["dim"], []).append(row["name"])
+    dims = list(names)
+    ends = list(accumulate(len(names[d]) * (len(names[d]) + 1) // 2 for d in dims))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, Shard | None] = ("", None)
         for batch in batches:
-            for row in batch.to_pylist():
-                mine, theirs = (_load(folder, f"{row['dim']}-{s}") for s in (row["query"], row["shard"]))
-                if mine is None or theirs is None:
-                    continue
-                same = row["query"] == row["shard"]
-                index, x, q = _loaded_index(theirs), theirs["x"], mine["x"]
-                beam = audited_beam(index, x, q, threshold, np.random.default_rng(row["query"]))
-                i, j = linked(index, x, q, threshold, beam)
-                if same:  # both directions were asked: each pair once
-                    i, j = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)])[:, i != j], axis=1)
-                node = np.concatenate([mine["node"], theirs["node"]])
-                size = np.concatenate([mine["size"], theirs["size"]])
-                j = j + len(q)
-                links = np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))
-                if same:  # the shard's nodes stand there twice
-                    links = np.concatenate([links[: len(q)] + links[len(q) :], np.zeros(len(q))])
-                    j = j - len(q)
-                label = forest(len(node), [(i, j)])
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(links[at].astype(np.int64)), pa.array(node[label[at]])], names=["node", "n", "label"])
-
-    rows = None
-    for dim, s in shards.items():
-        half = s // 2 + 1
-        pairs = spark.range(s * half).select(F.lit(dim).alias("dim"), F.expr(f"id % {s}").alias("query"), F.expr(f"(id % {s} + id div {s}) % {s}").alias("shard"))
-        if s % 2 == 0:  # the opposite shard is met from both sides
-            pairs = pairs.where(f"not (shard = query - {s // 2})")
-        pairs = pairs.repartition(s * half, "query", "shard")
-        rows = pairs if rows is None else rows.unionAll(pairs)
-    return rows.mapInArrow(ask, "node long, n long, label long")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept."""
+            for at in batch.column("id").to_pylist():
+                k = next(k for k, end in enumerate(ends) if at < end)
+                own, at = names[dims[k]], at - (ends[k - 1] if k else 0)
+                shard = int(((8 * at + 1) ** 0.5 - 1) / 2)
+                shard += (shard + 1) * (shard + 2) // 2 <= at
+                shard -= shard * (shard + 1) // 2 > at
+                query = at - shard * (shard + 1) // 2
+                theirs = held[1] if held[0] == own[shard] else Shard.load(folder, own[shard])
+                held = (own[shard], theirs)
+                mine = theirs if query == shard else Shard.load(folder, own[query])
+                beam, recall = theirs.audited_beam(mine.x, threshold, np.random.default_rng(query))
+                links, label, exact = theirs.fold(mine, threshold, beam)
+                node = theirs.node if mine is theirs else np.concatenate([mine.node, theirs.node])
+                has = np.flatnonzero(links)
+                none = lambda kind, m=len(has): pa.nulls(m, kind)
+                whole, real = pa.int64(), pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(links[has]), pa.array(node[label[has]]), none(whole), none(whole), none(whole), none(real), none(whole)], names=_NAMES)
+                report = [pa.array([v], t) for v, t in ((None, whole), (None, whole), (None, whole), (query, whole), (shard, whole), (beam, whole), (recall, real), (exact, whole))]
+                yield pa.RecordBatch.from_arrays(report, names=_NAMES)
+
+    found = checkpointed(spark.range(0, ends[-1], 1, min(ends[-1], MOST_TASKS)).mapInArrow(ask, _FOUND))
+    discard(spark, folder)
+    return found
+
+
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", embedding: str = "embedding", audits: str | None = None) -> DataFrame:
+    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept.
+
+    audits: a folder for the beam and audited recall of each pair of shards, as Parquet."""
+    spark = vectors.sparkSession
     e = F.col("embedding")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     fine = F.size(e) > 0
     fine &= ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     keyed = rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64(e))).withColumn("k2", F.when(F.col("fine"), F.xxhash64(F.lit(1), F.reverse(e))))
-    classes = keyed.where("fine and vec_id is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding"))
-    classes = classes.withColumn("dim", F.size("embedding"))
-    found = checkpointed(class_links(classes.select("node", "size", "dim", "embedding"), threshold))
-    reached = connected_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    links = found.groupBy("node").agg(F.sum("n").alias("n"))
-    named = classes.drop("embedding", "dim").join(links, "node", "left").join(reached, "node", "left")
-    named = named.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    classes = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding"))
+    path = fresh_path(spark, "vectors")
+    classes.select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "*").write.parquet(path)
+    classes = spark.read.parquet(path)
+    found = searched(classes.select("node", "size", "dim", "embedding"), threshold)
+    if audits:
+        found.where("node is null").select("query", "shard", "beam", "recall", "exact").write.parquet(audits)
+    links = found.where("node is not null")
+    reached = connected_components(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    links = links.groupBy("node").agg(F.sum("n").alias("n"))
+    ids = classes.select("node", "k1", "k2", "size", "least")
+    least = ids.join(reached, "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    reached = reached.join(least, "component").select("node", "smallest")
+    named = ids.join(links, "node", "left").join(reached, "node", "left")
+    named = checkpointed(named.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id")))
+    discard(spark, path)
     out = keyed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -143,9 +143,11 @@ def forest(n: int, pairs) -> np.ndarray:
     for i, j in pairs:
         while True:
             x, y = label[i], label[j]
-            low = np.minimum(x, y)
-            if (x == y).all():
+            apart = x != y
+            if not apart.any():
                 break
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            low = np.minimum(x, y)
             np.minimum.at(label, x, low)
             np.minimum.at(label, y, low)
             while (label[label] != label).any():

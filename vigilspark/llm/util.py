@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Whitespace that separates words: space and the ASCII controls tab to carriage return.
@@ -17,26 +18,66 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share, as a full address: spark.checkpoint.dir as Spark's own file system
+    resolves it (a path without a scheme is on the default file system). Where it is unset, a local master takes a
+    temporary folder; on a cluster that would be some machine's own, so there it is an error."""
     sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigilspark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigilspark-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's full address, as Spark's file systems resolve it."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one whose contents nothing reads any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def arrow_folder(address: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path by which a task's Python reads and writes a full address from `fresh_path`."""
+    scheme, _, rest = address.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):  # Hadoop's names for what Arrow calls s3
+        address = "s3:" + rest
+    return pafs.FileSystem.from_uri(address)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows go to the shared folder once, and survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, one for each of names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = f"_{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)
