@@ -6,32 +6,39 @@ count of the stretch is never below the window's. Each task counts its stretches
 it sends the cells that it touched; cells are dealt by range and added up, and what is left of the merged sketch
 is a bit a cell: two or more. The sketch's width follows the corpus.
 
-Pass 2 reads the texts again, keeps the windows estimated to occur twice or more and groups them exactly, by a
-128-bit hash of their words: a window's first place is the smallest document (in it, the smallest start). Before
-the shuffle each task settles what it can: of equal windows in its text only the first stays open. So a passage
-that a third of all documents share costs a row or so for each task.
+Pass 2 reads the texts again, keeps the windows estimated to occur twice or more and groups them by 128 bits of hash:
+two 64-bit halves from word hashes of their own, so that unlike words agree in both by chance alone (2**-128 for a
+pair). A window's first place is the smallest document (in it, the smallest start). Before the shuffle each task
+settles what it can: of equal windows in its text only the first stays open. So a passage that a third of all
+documents share costs a row or so for each task.
 
 Pass 3 joins the settled windows to their documents and cuts the words out.
 
-Cases: null texts have no words; texts shorter than a window lose nothing; equal starts (repeated rows of one
-doc_id) are one place, so neither copy precedes the other; a null doc_id comes before all others; other columns
-pass through; an empty table gives an empty result.
+A lost file of the sketch is an error, as its windows would pass for unrepeated; a range without a file is one that
+the merge has named no file for.
+
+Cases: null texts have no words; texts shorter than a window lose nothing; a very long text is one step of a task,
+whole; rows that repeat a doc_id are told apart by a hash of the text: none of them precedes another, each loses what
+starts earlier in itself or in a smaller doc_id; a null doc_id comes before all others; other columns pass through,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilspark.llm.util import fresh_path, mix64, steps, text_bytes
+from vigilspark.llm.util import arrow_folder, fresh_path, mix64, steps, text_bytes, unused
 
 #: Rows of the sketch, and the most cells that one merging task holds.
 SKETCH_ROWS = 2
@@ -66,7 +73,11 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS, _AGAIN = _Powers(0x2545F4914F6CDD1D), _Powers(0x9FB21C651E98DF25), _Powers(0xD6E8FEB86659FD93)
+_WORDS, _AGAIN = _Powers(0x9FB21C651E98DF25), _Powers(0xD6E8FEB86659FD93)
+#: Words up to so many bytes are hashed by tables, longer ones by XXH3.
+TABLED = 32
+#: For each half of the hash: a random number for each place in a word and each byte there.
+_TABLES = [np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, (TABLED, 256), np.uint64).reshape(-1) for seed in (1, 2)]
 
 
 def _runs(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +101,34 @@ class Words:
             starts[cuts] |= inside[cuts]
             ends[cuts - 1] |= inside[cuts - 1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        total, down = _runs(data.astype(np.uint64) + np.uint64(1), _BYTES)
-        self.hash = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _SEEDS[0])
+        self.lengths = e - s
+        self.ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths)])
+        place = np.arange(self.ends[-1]) - np.repeat(self.ends[:-1], self.lengths)
+        self.codes = np.minimum(place, TABLED - 1) << 8 | data[inside]
+        long = np.flatnonzero(self.lengths > TABLED)
+        self.long = long, [xxhash.xxh3_128_intdigest(data[s[i] : e[i]].tobytes()) for i in long.tolist()]
         self.first = np.searchsorted(s, offsets)  # of each row, and the end of the last
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.left = self.first[1:][self.row] - np.arange(len(s)) if len(s) else np.zeros(0, np.int64)
 
+    def _hash(self, half: int) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES[half][self.codes], dtype=np.uint64)])
+        out = mix64(total[self.ends[1:]] - total[self.ends[:-1]] + self.lengths.astype(np.uint64) * _SEEDS[half])
+        long, digests = self.long
+        out[long] = np.array([d >> (64 * half) & (1 << 64) - 1 for d in digests], np.uint64)
+        return out
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hash(0)
+
+    @cached_property
+    def other(self) -> np.ndarray:
+        return self._hash(1)
+
     def windows(self, size: int, again: bool = False) -> np.ndarray:
-        """A hash of the run of `size` words from each word on; runs over a row's end mean nothing."""
-        h = mix64(self.hash ^ _SEEDS[2]) if again else self.hash
+        """A hash of the run of `size` words from each word on; runs over a row's end mean nothing. again: the other half."""
+        h = self.other if again else self.hash
         total, down = _runs(h, _AGAIN if again else _WORDS)
         n = max(0, len(h) - size + 1)
         return mix64((total[size : size + n] - total[:n]) * down[:n])
@@ -106,7 +136,7 @@ class Words:
     def leading(self, window: int, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of all windows, the place of each one's leading stretch, and the hashes of all stretches."""
         runs = self.windows(stretch)
-        n = max(0, len(self.hash) - window + 1)
+        n = max(0, len(self.lengths) - window + 1)
         least, place = runs[:n].copy(), np.arange(n)
         for j in range(1, window - stretch + 1):
             lower = runs[j : j + n] < least
@@ -141,7 +171,7 @@ def sketch_width(docs: DataFrame, text: str, window: int, stretch: int) -> int:
 def merged_sketch(docs: DataFrame, folder: str, cells: int, window: int, stretch: int, text: str) -> DataFrame:
     """Counts the stretches and writes the cells counted twice or more as bits, a file for each range of cells.
 
-    Returns a row for each file: row, range, ones."""
+    Returns a row for each file: row, range, name. Each attempt of a task writes a name of its own."""
     size = min(cells, RANGE_CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,56 +208,52 @@ def merged_sketch(docs: DataFrame, folder: str, cells: int, window: int, stretch
                 seen[x] = True
                 twice[y] = True
         row, part = (k.as_py() for k in key)
-        fs, top = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        fs, top = arrow_folder(folder)
         fs.create_dir(top, recursive=True)
-        from pyspark import TaskContext
-
-        name = f"{top}/sketch-{row}-{part}"
-        own = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(own) as f:
+        name = f"sketch-{row}-{part}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{top}/{name}") as f:
             f.write(np.packbits(twice, bitorder="little").tobytes())
-        fs.move(own, name)
-        yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "range": pa.array([part], pa.int64()), "ones": pa.array([int(twice.sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "range": pa.array([part], pa.int64()), "name": [name]})
 
     sent = docs.select(text).mapInArrow(count, "row int, range long, once binary, more binary")
-    return sent.groupBy("row", "range").applyInArrow(merge, "row int, range long, ones long")
+    return sent.groupBy("row", "range").applyInArrow(merge, "row int, range long, name string")
 
 
 @lru_cache(maxsize=4096)
-def _bits(folder: str, row: int, part: int) -> np.ndarray | None:
-    """A range of the merged sketch: mapped where the folder is local, else read; None: nothing was counted there."""
-    fs, top = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-    path = f"{top}/sketch-{row}-{part}"
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return None
+def _bits(folder: str, name: str) -> np.ndarray:
+    """A range of the merged sketch: mapped where the folder is local, else read."""
+    fs, top = arrow_folder(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r")
-    with fs.open_input_file(path) as f:
+        return np.memmap(f"{top}/{name}", np.uint8, "r")
+    with fs.open_input_file(f"{top}/{name}") as f:
         return np.frombuffer(f.read(), np.uint8)
 
 
-def estimated_repeated(hashes: np.ndarray, folder: str, cells: int) -> np.ndarray:
-    """Whether the sketch's estimate for each stretch is two or more."""
+def estimated_repeated(hashes: np.ndarray, folder: str, names: dict[tuple[int, int], str], cells: int) -> np.ndarray:
+    """Whether the sketch's estimate for each stretch is two or more. names: the files, by row and range of the sketch."""
     good = np.ones(len(hashes), bool)
     size = min(cells, RANGE_CELLS)
     for row in range(SKETCH_ROWS):
         at = np.flatnonzero(good)
+        if not len(at):
+            break
         cell = _cells(hashes[at], row, cells)
         part, local = (cell // np.uint64(size)).astype(np.int64), (cell % np.uint64(size)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         ranges, begins = np.unique(part[order], return_index=True)
         for p, own in zip(ranges.tolist(), np.split(order, begins[1:]), strict=True):
-            bits = _bits(folder, row, p)
-            x = local[own]
+            name, x = names.get((row, p)), local[own]
+            bits = None if name is None else _bits(folder, name)
             good[at[own]] = False if bits is None else (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
     return good
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, stretch: int = 12, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, stop: windows from start to stop (inclusive) of a document whose word sequence also starts earlier."""
+    """doc_id, text_hash, start, stop: windows from start to stop (inclusive) of a document whose word sequence also starts
+    earlier; text_hash tells rows of one doc_id apart."""
     folder = fresh_path(docs.sparkSession, "sketch")
     cells = sketch_width(docs, text, window, stretch)
-    merged_sketch(docs, folder, cells, window, stretch, text).agg(F.sum("ones")).collect()
+    names = {(r["row"], r["range"]): r["name"] for r in merged_sketch(docs, folder, cells, window, stretch, text).collect()}
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.zeros(0, np.uint64)  # first halves of the hashes, sorted
@@ -240,20 +266,23 @@ def repeated_windows(docs: DataFrame, window: int = 20, stretch: int = 12, key:
                 if not len(starts):
                     continue
                 places, back = np.unique(place, return_inverse=True)
-                at = starts[estimated_repeated(runs[places], folder, cells)[back]]
+                at = starts[estimated_repeated(runs[places], folder, names, cells)[back]]
                 if not len(at):
                     continue
                 h1, h2 = words.windows(window)[at], words.windows(window, again=True)[at]
                 row = words.row[at]
                 doc = np.asarray(batch.column(key).fill_null(NULL_KEY).to_numpy(zero_copy_only=False), np.int64)[row]
                 start = at - words.first[row]
-                order = np.lexsort((start, doc, h2, h1))
-                h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+                mark = batch.column("text_hash").to_numpy()[row]
+                order = np.lexsort((start, mark, doc, h2, h1))
+                h1, h2, doc, mark, start = h1[order], h2[order], doc[order], mark[order], start[order]
                 new = np.ones(len(h1), bool)
                 new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
                 group = np.cumsum(new) - 1
                 head = np.flatnonzero(new)
-                covered = (doc > doc[head][group]) | (start > start[head][group])
+                new[1:] |= (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+                own = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first of the same window in the same row
+                covered = (doc > doc[head][group]) | (start > start[own])
                 if len(frequent):
                     f = np.minimum(np.searchsorted(frequent, h1), len(frequent) - 1)
                     covered |= (frequent[f] == h1) & (second[f] == h2) & (doc > earliest[f])
@@ -268,13 +297,13 @@ def repeated_windows(docs: DataFrame, window: int = 20, stretch: int = 12, key:
                     frequent, second, earliest = frequent[keep], second[keep], earliest[keep]
                 # settled windows, as runs
                 o = np.flatnonzero(covered)
-                o = o[np.lexsort((start[o], doc[o]))]
-                d, s = doc[o], start[o]
+                o = o[np.lexsort((start[o], mark[o], doc[o]))]
+                d, m, s = doc[o], mark[o], start[o]
                 first = np.ones(len(o), bool)
-                first[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+                first[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (s[1:] > s[:-1] + 1)
                 last = np.ones(len(o), bool)
                 last[:-1] = first[1:]
-                d, s, e = d[first], s[first], s[last]
+                d, m, s, e = d[first], m[first], s[first], s[last]
                 # open ones: the first of their kind here
                 o = np.flatnonzero(~covered)
                 yield pa.RecordBatch.from_arrays(
@@ -282,26 +311,29 @@ def repeated_windows(docs: DataFrame, window: int = 20, stretch: int = 12, key:
                         pa.array(np.concatenate([h1[o].view(np.int64), d])),
                         pa.array(np.concatenate([h2[o].view(np.int64), s])),
                         pa.array(np.concatenate([doc[o], d])),
+                        pa.array(np.concatenate([mark[o], m])),
                         pa.array(np.concatenate([start[o], s]).astype(np.int32)),
                         pa.array(np.concatenate([np.full(len(o), -1), e]).astype(np.int32)),
                     ],
-                    names=["h1", "h2", "doc", "start", "stop"],
+                    names=["h1", "h2", "doc", "text_hash", "start", "stop"],
                 )
 
-    found = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(settle, "h1 long, h2 long, doc long, start int, stop int")
+    found = docs.select(F.col(key).cast("long").alias(key), text, F.hash(text).alias("text_hash")).mapInArrow(settle, "h1 long, h2 long, doc long, text_hash int, start int, stop int")
     # Settled runs travel with the open windows (one read of the texts) under their document's key.
     dealt = found.withColumn("settled", F.col("stop") >= 0)
     first = F.expr("min(doc) over (partition by h1, h2, settled)")
     places = dealt.withColumn("first", first).where("settled or doc > first")
-    return places.select(F.when(F.col("doc") != NULL_KEY, F.col("doc")).alias(key), "start", F.when(F.col("settled"), F.col("stop")).otherwise(F.col("start")).alias("stop"))
+    return places.select(F.when(F.col("doc") != NULL_KEY, F.col("doc")).alias("doc_id"), "text_hash", "start", F.when(F.col("settled"), F.col("stop")).otherwise(F.col("start")).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, stretch: int = 12, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
     """The columns of docs besides the text, and any of: n_words, n_removed, kept_text (kept words joined by one
     space; a text that loses nothing stays as it is), kept_sha256 (of the kept words joined by one space)."""
-    spans = repeated_windows(docs, window, stretch, key, text)
-    spans = spans.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.expr("shiftleft(bigint(start), 32) | stop")).alias("_spans"))
-    joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col("_key")), "left").drop("_key")
+    spans = repeated_windows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), window, stretch)
+    own_key, own_hash, packed = unused(docs, "key", "hash", "spans")
+    spans = spans.groupBy(F.col("doc_id").alias(own_key), F.col("text_hash").alias(own_hash)).agg(F.collect_list(F.expr("shiftleft(bigint(start), 32) | stop")).alias(packed))
+    same = docs[key].cast("long").eqNullSafe(F.col(own_key)) & (F.hash(docs[text]) == F.col(own_hash))
+    joined = docs.join(spans, same, "left").drop(own_key, own_hash)
     others = [f for f in docs.schema.fields if f.name != text]
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType(), "kept_sha256": T.StringType()}
     arrow = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "kept_sha256": pa.string()}
@@ -311,13 +343,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, stretch: int = 12, key: st
         for whole in batches:
             for batch in steps(whole, text):
                 out: dict[str, list] = {o: [] for o in outputs}
-                for t, s in zip(batch.column(text).to_pylist(), batch.column("_spans"), strict=True):
+                for t, s in zip(batch.column(text).to_pylist(), batch.column(packed), strict=True):
                     words = (t or "").encode().split()
                     n, kept = len(words), words
                     if s.is_valid and n:
-                        packed = s.values.to_numpy()
-                        begins = np.minimum(packed >> 32, n)
-                        ends = np.minimum((packed & 0xFFFFFFFF) + window, n)
+                        held = s.values.to_numpy()
+                        begins = np.minimum(held >> 32, n)
+                        ends = np.minimum((held & 0xFFFFFFFF) + window, n)
                         depth = np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n]
                         kept = [words[i] for i in np.flatnonzero(depth == 0)]
                     for name, make in (
