@@ -1,7 +1,9 @@
 """Names, signs, rules, decoded layers and taint passes."""
 
 import base64
+import hashlib
 import io
+import random
 import struct
 import zipfile
 import zlib
@@ -10,8 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions import classify
-from vigilspark.operators import layers, rules
-from vigilspark.operators.rules import Hex, Regex, Rule, Text
+from vigilspark.operators import folding, layers, rules
 from vigilspark.operators.taint import classfile, scripts, ssi
 
 
@@ -38,33 +39,213 @@ def test_binary_needs_a_strong_marker(spark):
     assert got == [[], ["php"], ["php"], ["php"]]
 
 
+RULES = """
+private rule base { strings: $a = "alpha" condition: $a }
+rule word { strings: $a = "cat" fullword nocase condition: $a }
+rule wide { strings: $a = "ab" wide condition: $a }
+rule hex { strings: $a = { 61 ?? 63 } condition: any of them }
+rule twice { strings: $a = /x+/ condition: #a == 3 }
+rule refers { strings: $b = "beta" condition: base and not any of them }
+rule placed { strings: $a = "zz" condition: $a at 3 or $a in (5..7) }
+rule number { condition: uint16(0) == 0x5A4D }
+rule php { meta: lang = "php" strings: $a = "q" condition: $a }
+"""
+
+
 def test_rule_algebra(spark):
-    found = [
-        Rule("base", {"a": Text("alpha")}, rules.any_of(), private=True),
-        Rule("word", {"a": Text("cat", fullword=True, nocase=True)}, rules.any_of()),
-        Rule("wide", {"a": Text("ab", wide=True)}, rules.any_of()),
-        Rule("hex", {"a": Hex("61 ?? 63")}, rules.any_of()),
-        Rule("twice", {"a": Regex("x+")}, rules.count("a", lambda n: n == 2)),
-        Rule("refers", {"b": Text("beta")}, rules.rule("base") & ~rules.any_of()),
-        Rule("placed", {"a": Text("zz")}, rules.at("a", 3) | rules.within("a", 5, 7)),
-        Rule("number", {}, rules.unsigned(0, 2, lambda v: v == 0x5A4D)),
-        Rule("php", {"a": Text("q")}, rules.any_of(), lang="php"),
-    ]
+    found = rules.rule_set(RULES)
     texts = {"a Cat.": {"word"}, "concat": set(), "xa\x00b\x00": {"wide"}, "1abc2": {"hex"}, "xx-x": {"twice"}, "alpha": {"refers"}, "alpha beta": set(), "012zz": {"placed"}, "01234567zz": set(), "0123456zz": {"placed"}, "MZ..": {"number"}, "q": set()}
-    df = spark.createDataFrame([(f"/{i}.txt", t) for i, t in enumerate(texts)] + [("/q.php", "q"), ("/q.bin", "<?php q"), ("/q.jsp", "<?php q")], "path string, text string")
-    got = {}
+    df = spark.createDataFrame([(f"/{i}.txt", t) for i, t in enumerate(texts)] + [("/q.php", "q"), ("/q.bin", "<?php q"), ("/q.jsp", "<?php q"), ("/null.php", None)], "path string, text string")
+    got, how = {}, {}
     for r in rules.matches(df, found).collect():
         got.setdefault(r.path, set()).add(r.rule)
+        how[r.path, r.rule] = r.admission
     assert [got.get(f"/{i}.txt", set()) for i in range(len(texts))] == list(texts.values())
-    assert got["/q.php"] == {"php"} and got["/q.bin"] == {"php"} and "/q.jsp" not in got
-    with pytest.raises(ValueError):
-        rules.compile_rules([found[0], found[0]])
+    assert got["/q.php"] == {"php"} and got["/q.bin"] == {"php"} and "/q.jsp" not in got and "/null.php" not in got
+    assert how["/q.php", "php"] == "declared" and how["/q.bin", "php"] == "unknown-language" and how["/0.txt", "word"] == "undeclared"
+
+
+PROBE = b"MZ hello World hello xhello <?php eval($_POST['a']); \x00w\x00i\x00d\x00e\x00"
+CONDITIONS = [
+    ('$a = "hello"', "#a == 3 and @a[2] == 15 and !a[1] == 5 and not defined @a[9]", True),
+    ('$a = "hello" fullword', "#a == 2", True),
+    ('$a = "HELLO"', "$a", False),
+    ('$a = "HELLO" nocase', "$a", True),
+    ('$a = "wide" wide', "$a", True),
+    ('$a = "wide" ascii', "$a", False),
+    ('$a = /w.d[e]/ wide', "$a", True),
+    (r"$a = /ev[a]l\s*\(\$_(GET|POST)/", "$a", True),
+    (r"$a = /WORLD/i $b = /\;\s$/", "$a and not $b", True),
+    ('$a = "hello"', "$a in (10..20) and $a at 3 and for any i in (1..#a) : (@a[i] > 20)", True),
+    ('$a = "hello" $b = "nope"', "1 of them and not all of them and 50% of them and none of ($b)", True),
+    ('$a = "hello" $b = "World"', "for all of ($a, $b) : ($ at 3 or # == 1)", True),
+    ('$a = { 4D 5A ?? 6? [0-4] (6C | 00) }', "$a at 0", True),
+    ('$a = { 4D 5A ~20 }', "$a", False),
+    ('$a = { ( 4D | 5A ) 5A [-] 65 6C }', "$a", True),
+    ('$a = "idmmn" xor(1)', "$a", True),
+    ('$a = "x"', "$a and filesize < 1KB and 2 + 3 * 2 == 8 and 7 % 4 == 3 and 9 \\ 2 == 4 and 1 << 4 == 16 and (5 & 3 | 8) == 9", True),
+    ("", "uint32(1000) == 0 or defined uint8(2000)", False),
+    ("", "uint16be(0) == 0x4D5A and int8(2) == 0x20", True),
+    ("", "yes and not no and 1 of (y*) and all of (yes, also) and not all of (y*, no)", True),
+    ("", f'hash.md5(0, 2) == "{hashlib.md5(b"MZ").hexdigest()}" and math.entropy(0, 1) == 0.0 and pe.is_pe == 0 and not defined pe.machine', True),
+    ("", "for all i in (0, 1) : (uint8(i) > 0x40) and for 2 j in (1..3) : (j > 1)", True),
+]
+
+
+@pytest.mark.parametrize("i", range(len(CONDITIONS)))
+def test_rule_conditions(i):
+    strings, condition, holds = CONDITIONS[i]
+    text = 'import "hash" import "math" import "pe" rule yes { condition: filesize > 2 } rule also { condition: true } rule no { condition: false } rule t { ' + (f"strings: {strings} " if strings else "") + f"condition: {condition} }}"
+    pack = rules.rule_set(text).pack
+    assert pack.holds(PROBE)[3] is holds
+    assert ("t" in [pack.rules[k].name for k, _ in pack.scan(PROBE)]) is holds
+
+
+BROKEN = [
+    ("rule a { condition: $x }", "no string \\$x"),
+    ('rule a { strings: $a = "x" condition: true }', "not used"),
+    ("rule a { strings: $a = /(/ condition: $a }", "line 1: regex of \\$a"),
+    ('rule a {\n strings:\n  $a = ""\n condition: $a }', "line 3: string \\$a is empty"),
+    ("rule a { condition: b }", "no rule b"),
+    ("rule a { condition: true } rule a { condition: true }", "declared twice"),
+    ("rule a { condition: b } rule b { condition: a }", "refers to itself"),
+    ('import "cuckoo" rule a { condition: true }', "not supported"),
+    ("rule a { condition: entrypoint == 0 }", "not supported"),
+    ("rule a { condition: true", "expected '}'"),
+    ('rule a { strings: $a = { [2] 41 } condition: $a }', "begins and ends with bytes"),
+    ('rule a { strings: $a = "x" base64("abc") condition: $a }', "not supported"),
+]
+
+
+@pytest.mark.parametrize("i", range(len(BROKEN)))
+def test_broken_rules_say_why(i):
+    with pytest.raises(ValueError, match=BROKEN[i][1]):
+        rules.rule_set(BROKEN[i][0])
+
+
+def test_global_rules_gate_and_references_come_in_any_order():
+    pack = rules.rule_set('global rule small { condition: filesize < 10 } rule a { condition: b and c } rule b { strings: $x = "b" condition: $x } private rule c { condition: true }').pack
+    names = lambda data: [pack.rules[k].name for k, _ in pack.scan(data)]
+    assert sorted(names(b"abc")) == ["a", "b", "small"] and names(b"abc" * 9) == []
+
+
+def test_atoms_lose_nothing(monkeypatch):
+    """Matches with atoms are those without: every string of random packs over random data, by brute force of its pattern."""
+    from vigilspark.operators.signatures import matcher
+
+    rng = random.Random(3)
+    parts = ["ab", "[cd]e", "(fg|hi)", "j+", "k{2,3}", "l?m", "(n|op)q", ".r", "s*"]
+    for _ in range(30):
+        strings = [("/" + "".join(rng.choices(parts, k=rng.randint(1, 4))) + "/" + rng.choice(["", "i"])) for _ in range(6)] + ['"' + "".join(rng.choices("abcdehk", k=rng.randint(1, 4))) + '"' + rng.choice(["", " nocase", " wide", " fullword"]) for _ in range(6)]
+        strings = [s for s in strings if s not in ("/s*/", "/s*/i", "/s*s*/")]
+        text = " ".join(f"rule r{i} {{ strings: $a = {s} condition: $a }} rule n{i} {{ strings: $a = {s} condition: not $a }}" for i, s in enumerate(strings))
+        data = ["".join(rng.choices("abcdefghijklmnopqrs\x00AB", k=rng.randint(0, 60))).encode() for _ in range(20)]
+        with_atoms = rules.rule_set(text).pack
+        monkeypatch.setattr(matcher, "LEAST_ATOM", 99)
+        without = rules.RuleSet((text,)).pack
+        monkeypatch.undo()
+        monkeypatch.setattr(matcher, "ahocorasick", None)
+        one_by_one = rules.RuleSet((text,)).pack
+        monkeypatch.undo()
+        for d in data:
+            want = [(k, s) for k, s in without.scan(d)]
+            assert [(k, s) for k, s in with_atoms.scan(d)] == want == [(k, s) for k, s in one_by_one.scan(d)]
+            assert with_atoms.holds(d) == without.holds(d)
+
+
+def test_a_pack_file_end_to_end(spark, tmp_path):
+    """Lines of a pack file → split → checked → a set → matches → findings."""
+    from vigilspark.operators import library
+
+    pack = 'import "hash"\n\nrule one : tag\n{\n meta:\n  score = 88\n  family = "F"\n  author = "me"\n  reference = "r"\n  own_cells = "A, B"\n strings:\n  $a = "needle"\n condition:\n  $a and two\n}\n\nprivate rule two { condition: filesize > 0 }\nrule three { condition: nobody }\nrule four { condition: }\n'
+    lines = spark.createDataFrame([("p", i, line) for i, line in enumerate(pack.split("\n"))], "pack string, pos int, line string")
+    split = library.split_pack(lines)
+    status = {r.identifier or r.rule_no: (r.status, r.error) for r in rules.compile_status(split, "rule_no").collect()}
+    assert status["one"] == status["two"] == ("ok", None) and status["three"] == ("unresolved", "no rule nobody") and status[4][0] == "failed"
+    found = rules.rule_set_of(split.where("identifier in ('one', 'two')"))
+    files = spark.createDataFrame([("/a.txt", "a needle"), ("/b.txt", "none")], "path string, text string")
+    r = rules.findings(rules.matches(files, found), found).collect()
+    assert [(x.path, x.rule, x.score, x.tier, x.family, x.author, x.reference, x.cells) for x in r] == [("/a.txt", "one", 88, "confirmed", "F", "me", "r", "A,B")]
+    checked = rules.validate(files, found)
+    assert {x.rule: x.hits for x in checked.collect()} == {"one": 1, "two": 2}
+    assert rules.verdict(checked) == 1 and rules.verdict(None) == 3 and rules.verdict(checked.limit(0)) == 0 and rules.verdict(None, "broken") == 1
+
+
+def test_own_pack(spark):
+    from vigilspark.packs import own_rules
+
+    found = own_rules()
+    assert sum(not r.private for r in found.rules) >= 57 and not found.pack.always
+    samples = {
+        "a.php": ("<?php @eval($_POST['x']); ?>", "php_request_evaluated"),
+        "b.php": ("<?php $f = 'sys' . 'tem'; $f($_GET['c']);", "php_name_from_pieces"),
+        "c.jsp": ('<% Runtime.getRuntime().exec(request.getParameter("c")); %>', "jsp_request_to_process"),
+        "d.aspx": ('<%@ Page Language="Jscript"%><%eval(Request.Item["x"],"unsafe");%>', "aspx_chopper_line"),
+        "e.asp": ('<% Execute(Request("x")) %>', "asp_evaluates_request"),
+        "f.pl": ("use CGI; my $c = param('c'); system(param('c'));", "perl_request_to_shell"),
+        "g.py": ("import cgi, os\nos.system(cgi.FieldStorage()['c'].value)", "python_request_to_shell"),
+        "h.shtml": ('<!--#exec cmd="$QUERY_STRING" -->', "ssi_command"),
+        "i.txt": ("<?php system($_GET['c']);", "php_request_to_shell"),
+        "j.php": ("<?php echo htmlspecialchars($_GET['name']); include 'header.php';", None),
+        "k.jsp": ('<% out.println(request.getParameter("x")); %>', None),
+    }
+    files = spark.createDataFrame([(f"/{n}", t) for n, (t, _) in samples.items()], "path string, text string")
+    got = {}
+    for r in rules.matches(files, found).collect():
+        got.setdefault(r.path[1:], set()).add(r.rule)
+    for name, (_, rule) in samples.items():
+        assert rule in got.get(name, set()) if rule else name not in got, (name, got.get(name))
 
 
 def found_in(data):
     return [(m, d) for m, d in layers.decode(data).found]
 
 
+FOLDS = [
+    (b"a='sy'.'stem'; b", b"a='system'; b"),
+    (b"x = 'ev' + \"al\" + 'x'", b"x = 'evalx'"),
+    (b"chr(101).chr(0x76).'al'", b"'eval'"),
+    (b"'x'.chr(101).chr(118)", b"'xev'"),
+    (b"chr(101)", b"chr(101)"),
+    (b"chr(300).chr(65)", b"chr(300).chr(65)"),
+    (b"scalar reverse(\"metsys\") . 'x'", b"'systemx'"),
+    (b"('l' . 'ave')[::-1]", b"('lave')[::-1]"),
+    (b"'lave'[::-1]", b"'eval'"),
+    (b"base64.b64decode('c3lzdGVt').decode()", b"'system'"),
+    (b"__import__('base64').b64decode('c3lzdGVt')", b"'system'"),
+    (b"b64decode('c3lzdGVt')", b"b64decode('c3lzdGVt')"),
+    (b"decode_base64('c3lzdGVt')", b"'system'"),
+    (b"bytes.fromhex('73797374656d').decode()", b"'system'"),
+    (b"pack('H*', '73797374656d')", b"'system'"),
+    (b"pack('H*', '7379737465')", b"'syste'"),
+    (b"pack('N*', '73')", b"pack('N*', '73')"),
+    (b"getattr(os, 'sys' + 'tem')(x)", b"os.system(x)"),
+    (b"getattr(__import__('o' + 's'), 'system')('id')", b"os.system('id')"),
+    (b"f = 'system'\nf('id')\n", b"f = 'system'\nsystem('id')\n"),
+    (b"my $f = 'system';\n$f('x');\n", b"my $f = 'system';\nsystem('x');\n"),
+    (b"n='system'\ngetattr(os, n)('x')\n", b"n='system'\nos.system('x')\n"),
+    (b"f='system'\nf='other'\nf(1)\n", b"f='system'\nf='other'\nf(1)\n"),
+    (b"don't 'a'.'b' isn't", b"don't 'ab' isn't"),
+    (b"'a\\'b'.'c'", b"'a\\'bc'"),
+    (b"decode_base64('AAAA')", b"decode_base64('AAAA')"),
+    (b"", b""),
+]
+
+
+@pytest.mark.parametrize("i", range(len(FOLDS)))
+def test_folding(i):
+    assert folding.folded(FOLDS[i][0]) == FOLDS[i][1]
+
+
+def test_folding_takes_anything():
+    rng = random.Random(4)
+    bits = [b"'", b'"', b".", b"+", b"(", b")", b"[", b"]", b":", b"-", b"1", b"chr", b"reverse", b"getattr", b"a", b"=", b"\n", b" ", b"\\", b"\xff", b",", b"$", b"65", b"0x41"]
+    for _ in range(3000):
+        data = b"".join(rng.choices(bits, k=rng.randint(0, 30)))
+        assert isinstance(folding.folded(data), bytes)
+    assert folding.folded(b"'a'." * 20_000 + b"'a'") == b"'" + b"a" * 20_001 + b"'"
+
+
 def test_layers():
     inner = b"print('hello there, this is long enough')"
     b64 = base64.b64encode(inner)
@@ -84,7 +265,7 @@ def test_layers():
         deep = b"eval(base64_decode('" + base64.b64encode(deep) + b"'))"
     r = layers.decode(deep)
     assert r.truncated and len(r.found) <= layers.MAX_LAYERS
-    assert layers.strict_base64(b"YWJ") is None and layers.decode(b"").found == []
+    assert folding.strict_base64(b"YWJ") is None and layers.decode(b"").found == []
 
 
 def test_layers_table(spark):
@@ -178,7 +359,7 @@ def test_rescan(spark):
     from vigilspark.operators import scan
 
     inner = base64.b64encode(b"this holds the secret marker, and more").decode()
-    found = [Rule("marker", {"a": Text("secret marker")}, rules.any_of(), lang="php"), Rule("plain", {"a": Text("decode")}, rules.any_of())]
+    found = rules.rule_set('rule marker { meta: lang = "php" strings: $a = "secret marker" condition: $a } rule plain { strings: $a = "decode" condition: $a }')
     files = spark.createDataFrame([("/a.php", f"<?php eval(base64_decode('{inner}'));"), ("/a.jsp", f"eval(base64_decode('{inner}'))"), ("/b.php", "secret marker")], "path string, content string")
     got = {(r.path, r.rule, r.decoded, r.method) for r in scan.rescan(files, found).collect()}
     assert got == {("/a.php", "marker", True, "base64"), ("/a.php", "plain", False, None), ("/a.jsp", "plain", False, None), ("/b.php", "marker", False, None)}

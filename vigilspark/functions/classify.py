@@ -79,6 +79,32 @@ def dialect(path: Column, text: Column) -> Column:
     return F.when(lang.isin("perl", "python"), lang).when(lang == "cgi", F.coalesce(shebang, F.lit("perl"))).when((lang == "unknown") & bare & text.rlike(CGI_VARIABLE), shebang)
 
 
+def shows(text: Column, languages: tuple[str, ...]) -> Column:
+    """Whether text content shows the sign of one of the languages, by the order of `signs`."""
+    found = F.lit(False)
+    for lang in languages:
+        for source in DERIVED_SIGNS.get(lang, (lang,)):
+            found = found | text.rlike(SIGNS[source])
+    binary = F.contains(F.substring(text, 1, BINARY_PREFIX), F.lit("\x00"))
+    return found & (~binary | text.rlike(STRONG_MARKER))
+
+
+def admits(path: Column, text: Column, languages: tuple[str, ...]) -> Column:
+    """Whether a pass for the languages examines a file: its name says one of them, or says nothing and the content shows one."""
+    lang = language(path)
+    return lang.isin(*languages) | ((lang == "unknown") & shows(text, languages))
+
+
+def pass_dialect(path: Column, text: Column) -> Column:
+    """Perl or Python for files that the CGI pass examines: also a name that says nothing over a text that shows the sign, by
+    its shebang, else Perl."""
+    lang = language(path)
+    first = F.lower(F.regexp_extract(F.substring(text, 1, 256), r"\A#!([^\r\n]*)", 1))
+    python = F.contains(first, F.lit("python"))
+    shown = (lang == "unknown") & shows(text, ("cgi",))
+    return F.coalesce(dialect(path, text), F.when(shown, F.when(python, "python").otherwise("perl")))
+
+
 def tier_of_score(score: Column) -> Column:
     return F.when(score >= 85, "confirmed").when(score >= 60, "likely-malicious").when(score >= 40, "suspicious").otherwise("clean")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vigilspark.functions.tables import PROVENANCE_RANK, STATUS_RANK, rank
 
 MAX_LISTED = 100
+#: Diagnostic codes are a fixed vocabulary; a table with more is refused, as their set travels with every task.
+MOST_CODES = 1000
 _S = r"[\t\n\f\r ]"
 IIS_PATH = r"physicalPath=\"([^\"]+)\""
 APACHE_ROOT = r"(?im)^[ \t]*DocumentRoot[ \t]+\"?([^\"#\n\r]+?)\"?[ \t]*(?:#.*)?$"
@@ -141,6 +143,8 @@ def artifact_status(artifacts: DataFrame, diagnostics: DataFrame, failing: tuple
     under = rest.where("_dir").join(below, "named").select("path", "code", F.lit("degraded").alias("implied"))
     # what concerns every artifact: a few codes, joined as one small list
     everywhere = rest.where("not _dir").agg(F.collect_set("code").alias("_codes"))
+    few = F.size("_codes") <= MOST_CODES
+    everywhere = everywhere.select(F.when(few, F.col("_codes")).otherwise(F.raise_error(F.lit(f"more than {MOST_CODES} diagnostic codes"))).alias("_codes"))
     named_rest = rest.where("not _dir and _known").select(F.col("named").alias("path"), "code", "implied")
     hits = exact.unionByName(under).unionByName(named_rest).groupBy("path").agg(F.max(rank("implied", STATUS_RANK)).alias("_r"), F.collect_set("code").alias("_own"))
     out = artifacts.join(hits, "path", "left").join(F.broadcast(everywhere), F.lit(True))

@@ -56,7 +56,8 @@ def normalise(findings: DataFrame) -> DataFrame:
 def dedup_fingerprint(findings: DataFrame) -> DataFrame:
     """One row per fingerprint: the highest score, the earliest of equals, at the first one's place.
 
-    A struct maximum needs no sort and is combined before the shuffle, so a fingerprint that fills a table is no hot key."""
+    The maximum is combined in each task before the shuffle (by sorting the task's rows, as a struct is no mutable buffer), so
+    a fingerprint that fills a table is no hot key."""
     others = [x for x in findings.columns if x not in ("fingerprint", "ord")]
     best = F.max_by(F.struct(*others), F.struct("score", -F.col("ord")))
     return findings.groupBy("fingerprint").agg(best.alias("b"), F.min("ord").alias("ord")).select("fingerprint", "ord", "b.*")
@@ -72,8 +73,8 @@ def credible(allowlisted: Column, family: Column, basis: Column) -> Column:
 
 def corroborate(findings: DataFrame) -> DataFrame:
     """Adds corroborated: another row of the host is credible and either from another view, or of an attributed family on
-    the same target. Counted on two small aggregates (views of a host, targets of a host and view) and joined back, so a
-    host with most of the rows is never sorted in one task."""
+    the same target. Counted on two aggregates (views of a host, targets of a host and view) and joined back: where these are
+    small they are broadcast, and where not the adaptive planner splits the rows of a host that has most of them."""
     f = findings.withColumn("_cred", credible(F.col("allowlisted"), F.col("family"), F.col("basis"))).withColumn("_attr", attributed(F.col("family")) & ~F.col("allowlisted"))
     views = f.where("_cred").groupBy("host").agg(F.collect_set("view").alias("_views"))
     peers = f.where("_attr").groupBy("host", "view", "target_key").agg(F.count(F.lit(1)).alias("_peers"))

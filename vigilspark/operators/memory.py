@@ -10,7 +10,8 @@ from vigilspark.functions.tables import PIPELINE_CONTRACTS
 # Page protection bits.
 EXECUTABLE, WRITABLE_EXECUTABLE = 0x10 | 0x20 | 0x40 | 0x80, 0x40 | 0x80
 STOMP_FRACTION, STOMP_RUN = 0.05, 256
-BUCKET = 1 << 16
+#: The smallest bucket of addresses, how many of a level make one of the next, and how many levels there are.
+BUCKET, SPREAD, LEVELS = 1 << 16, 16, 12
 
 
 def executable(protect: Column) -> Column:
@@ -25,20 +26,64 @@ def protection_name(protect: Column) -> Column:
     return F.when(writable_executable(protect), "RWX").when(executable(protect), "RX").otherwise("non-exec")
 
 
+def _level(size: str, bucket: int) -> Column:
+    """The level whose buckets are at least as large as an interval; buckets of a level are SPREAD times those below."""
+    over = F.lit(0)
+    for level in range(LEVELS - 1):
+        over = over + (F.expr(size) > bucket * SPREAD**level).cast("int")
+    return over
+
+
+def _bucket(address: str, bucket: int, level: Column) -> Column:
+    return F.floor(F.expr(f"cast({address} as decimal(20,0))") / F.element_at(F.array(*(F.lit(bucket * SPREAD**k).cast("decimal(20,0)") for k in range(LEVELS))), level + 1)).cast("long")
+
+
+def _levels_of(sized: DataFrame, level: str) -> Column:
+    """The levels in use, LEVELS of them at most, as an array."""
+    return F.array(*(F.lit(x) for x in sorted(r[0] for r in sized.select(level).distinct().collect())))
+
+
 def interval_join(intervals: DataFrame, points: DataFrame, on: list[str], start: str, size: str, point: str, bucket: int = BUCKET) -> DataFrame:
-    """Pairs with start <= point < start + size, as an equi-join on buckets of addresses: an interval goes to every bucket it
-    touches, a point to one, so each pair is met once."""
-    a = intervals.where(F.col(size) > 0).withColumn("_b", F.explode(F.expr(f"sequence(bigint({start} div {bucket}), bigint(({start} + {size} - 1) div {bucket}))")))
-    b = points.withColumn("_b", F.expr(f"bigint({point} div {bucket})"))
-    return a.join(b, [*on, "_b"]).where(f"{point} >= {start} and {point} < {start} + {size}").drop("_b")
+    """Pairs with start <= point < start + size, as an equi-join on buckets of addresses. An interval goes to the one or two
+    buckets that it touches at the level of its size, however large it is, a point to one bucket of each level in use; so
+    each pair is met once."""
+    level, at = unused(intervals, points, names=("level", "bucket"))
+    a = intervals.where(F.col(size) > 0).withColumn(level, _level(size, bucket))
+    levels = _levels_of(a, level)
+    first, last = _bucket(start, bucket, F.col(level)), _bucket(f"{start} + {size} - 1", bucket, F.col(level))
+    a = a.withColumn(at, F.explode(F.sequence(first, last)))
+    b = points.withColumn(level, F.explode(levels)).withColumn(at, _bucket(point, bucket, F.col(level)))
+    return a.join(b, [*on, level, at]).where(f"{point} >= {start} and {point} < {start} + {size}").drop(level, at)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], bucket: int = BUCKET) -> DataFrame:
-    """Pairs of intervals (l_start, l_end) and (r_start, r_end) that overlap; met in the first bucket they share."""
-    a = left.where("l_end > l_start").withColumn("_b", F.explode(F.expr(f"sequence(bigint(l_start div {bucket}), bigint((l_end - 1) div {bucket}))")))
-    b = right.where("r_end > r_start").withColumn("_b", F.explode(F.expr(f"sequence(bigint(r_start div {bucket}), bigint((r_end - 1) div {bucket}))")))
-    both = a.join(b, [*on, "_b"]).where("l_start < r_end and r_start < l_end")
-    return both.where(f"_b = bigint(greatest(l_start, r_start) div {bucket})").drop("_b")
+    """Pairs of intervals (l_start, l_end) and (r_start, r_end) that overlap; met at the larger one's level, in the first
+    bucket that they share."""
+    level, at, own_l, own_r = unused(left, right, names=("level", "bucket", "left", "right"))
+    a = left.where("l_end > l_start").withColumn(own_l, _level("l_end - l_start", bucket))
+    b = right.where("r_end > r_start").withColumn(own_r, _level("r_end - r_start", bucket))
+    levels = _levels_of(a.select(F.col(own_l).alias(level)).unionAll(b.select(F.col(own_r))), level)
+
+    def dealt(rows: DataFrame, own: str, start: str, end: str) -> DataFrame:
+        up = rows.withColumn(level, F.explode(F.filter(levels, lambda k: k >= F.col(own))))
+        return up.withColumn(at, F.explode(F.sequence(_bucket(start, bucket, F.col(level)), _bucket(f"{end} - 1", bucket, F.col(level)))))
+
+    both = dealt(a, own_l, "l_start", "l_end").join(dealt(b, own_r, "r_start", "r_end"), [*on, level, at])
+    both = both.where("l_start < r_end and r_start < l_end").where(F.col(level) == F.greatest(own_l, own_r))
+    return both.where(F.col(at) == _bucket("greatest(l_start, r_start)", bucket, F.col(level))).drop(level, at, own_l, own_r)
+
+
+def unused(*frames: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Column names that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    out = []
+    for name in names:
+        free = f"_{name}"
+        while free in taken:
+            free += "_"
+        taken.add(free)
+        out.append(free)
+    return out
 
 
 def mark_thread_starts(regions: DataFrame, threads: DataFrame) -> DataFrame:

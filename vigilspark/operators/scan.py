@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.operators import layers, rules
-from vigilspark.operators.rules import Rule
+from vigilspark.operators.rules import RuleSet
 
 
 def select_views(requested: DataFrame, capabilities: DataFrame, packaged: DataFrame) -> DataFrame:
@@ -47,15 +47,12 @@ def load_settings(text: str, choices: dict[str, tuple]) -> dict:
     return found
 
 
-def rescan(files: DataFrame, found_rules: list[Rule]) -> DataFrame:
+def rescan(files: DataFrame, found: RuleSet) -> DataFrame:
     """Rule matches of files (path, content) and of their decoded layers, which are judged by their origin's name. Layers are
     rows like files, so one pass over the rules serves both; no layer is ever a file."""
     raw = files.select("path", F.col("content").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("method"), F.lit(-1).alias("ordinal"))
     decoded = layers.decoded_layers(files.select("path", "content")).select("path", F.col("data").alias("bytes"), "method", "ordinal")
-    compiled = rules.compile_rules(found_rules)
-    rows = rules.with_context(raw.unionByName(decoded).withColumn("text", F.decode("bytes", "ISO-8859-1")))
-    hits = [F.when(compiled[r.name], F.lit(r.name)) for r in found_rules if not r.private]
-    out = rows.select("path", "method", "ordinal", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+    out = rules.matches(raw.unionByName(decoded).withColumn("text", F.decode("bytes", "ISO-8859-1")), found, ("method", "ordinal"))
     # a file's own hit says it all; of several layers the first
     first = out.groupBy("path", "rule").agg(F.min(F.struct("ordinal", "method")).alias("m"))
     return first.select("path", "rule", (F.col("m.ordinal") >= 0).alias("decoded"), F.col("m.method").alias("method"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: rule, family, score, evidence
+Found = Iterator[tuple[str, str, int, str]]
 FINDING = "path string, rule string, family string, score int, evidence string"
 
 
@@ -45,10 +47,17 @@ def pattern(text: str, flags: int = 0) -> re.Pattern[str]:
     return re.compile(text, flags | re.ASCII)
 
 
+def over_limit(files: DataFrame, name: str, most: int) -> DataFrame:
+    """path, pass, bytes, reason of the files that `run_pass` leaves out for their size."""
+    size = F.octet_length("text").cast("long")
+    return files.where(size > most).select("path", F.lit(name).alias("pass"), size.alias("bytes"), F.lit("over the pass's size limit").alias("reason"))
+
+
 def run_pass(files: DataFrame, analyse: Callable[[str, dict], Iterable[tuple[str, str, int, str]]], columns: tuple[str, ...] = (), most: int = 2 << 20, hint: str | None = None) -> DataFrame:
     """path, rule, family, score, evidence of files (path, text and more columns) by a per-file analysis of latin-1 text.
 
-    A hint that every file with findings matches is tested on the JVM, so that others never reach Python."""
+    A hint that every file with findings matches is tested on the JVM, so that others never reach Python. Files over the limit
+    are rows of `over_limit`."""
     rows = files.where((F.octet_length("text") > 0) & (F.octet_length("text") <= most))
     if hint:
         rows = rows.where(F.col("text").rlike(hint))

@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES, SCORE = 2 << 20, 85
+from vigilspark.functions.classify import admits
+
+MAX_TEXT, SCORE = 2 << 20, 85
 SOURCES = ("QUERY_STRING_UNESCAPED", "DOCUMENT_ARGS", "DOCUMENT_PATH_INFO", "QUERY_STRING", "REQUEST_URI", "PATH_INFO", "PATH_TRANSLATED", "CONTENT_TYPE", "CONTENT_LENGTH")
 SINKS = (
     ("exec", "cmd", "SSIExec", "ssitaint:exec-cmd-on-request"),
@@ -43,9 +45,13 @@ def _reaches(value: Column, tainted: Column) -> Column:
     return F.get(hit, 0)
 
 
+def admitted(files: DataFrame) -> DataFrame:
+    return files.where(admits(F.col("path"), F.col("text"), ("shtml",)))
+
+
 def findings(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, family, rule, via, score: per file and family the first sink that request data reaches."""
-    out = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where((F.octet_length("text") <= MAX_BYTES) & F.contains("text", F.lit("<!--")))
+    out = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where((F.octet_length("text") <= MAX_TEXT) & F.contains("text", F.lit("<!--")))
     out = out.withColumn("d", directives(F.col("text"))).where(F.size("d") > 0).drop("text")
     sets = F.filter("d", lambda d: (d["name"] == "set") & (F.coalesce(d["attrs"]["var"], F.lit("")) != ""))
     out = out.withColumn("sets", sets)

@@ -3,13 +3,16 @@ against fixtures."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vigilspark.operators import discovery, layers
-from vigilspark.operators.taint import classfile, scripts, ssi
+from vigilspark.operators.taint import bytecode, classfile, scripts, ssi
+from vigilspark.plans import class_bytes
+from vigilspark.plans.detection_queries import SHOWN, SIGNED
 from vigilspark.plans.projections import table, view, with_views
 
-#: Inert sources: statements of each language around a document's first words.
+#: Inert sources: statements of each language, which stand before a document's whole text as a comment.
 SCRIPTS = {
     ".php": ["<?php $q = $_GET['q']; system($q); ?>", "<?php $f = 'sys' . 'tem'; $f($_POST['a']); ?>", "<?php echo 'hello'; ?>", "<?php include($_REQUEST['p']); ?>"],
     ".pl": ["#!/usr/bin/perl\nuse CGI;\nmy $v = param('v');\nmy $w = $v;\nsystem($w);\n", "#!/usr/bin/perl\nprint 1;\n"],
@@ -17,14 +20,22 @@ SCRIPTS = {
     ".asp": ['<%\nDim a\na = Request("x")\nExecute a\n%>', '<%\nResponse.Write "x"\n%>'],
     ".jsp": ['<% String c = request.getParameter("c"); Runtime.getRuntime().exec(c); %>', '<% out.println("x"); %>'],
 }
+_COMMENT = {".php": ("<?php /* ", " */ ?>"), ".pl": ("# ", ""), ".py": ("# ", ""), ".asp": ("<% ' ", " %>"), ".jsp": ("<%-- ", " --%>")}
+#: What the passes find in the sources, in order.
+FOUND = [
+    ("phptaint:sink-on-request", "GenericCmdExec", 85, "heuristic"), ("phptaint:dynamic-sink-on-request", "DynamicDispatch", 85, "heuristic"), None, ("phptaint:include-on-request", "GenericInclude", 80, "heuristic"),
+    ("perlpytaint:sink-on-request", "GenericCmdExec", 85, "taint"), None, ("perlpytaint:sink-on-request", "GenericCmdExec", 85, "taint"), None,
+    ("asptaint:sink-on-request", "ClassicASP", 85, "taint"), None, ("javadisk:request-exec", "GenericJSP", 85, "heuristic"), None,
+]
 _SSI = ['<!--#set var="a" value="$QUERY_STRING" --><!--#exec cmd="ls ${a}" -->', '<!--#include virtual="/x/$HTTP_HOST" -->', '<!--#set var="b" value="fixed" --><!--#exec cmd="$b" -->', "<!--#echo var=\"DATE\" -->", "plain"]
 
 
 def _sources(spark, d):
-    flat = [(e, t) for e, texts in SCRIPTS.items() for t in texts]
-    pairs = F.array(*(F.struct(F.lit(e).alias("e"), F.lit(t).alias("t")) for e, t in flat))
-    docs = table(spark, d, "documents").withColumn("s", F.get(pairs, (F.col("doc_id") % len(flat)).cast("int")))
-    return docs.select(F.concat(F.lit("/srv/"), F.col("doc_id").cast("string"), "s.e").alias("path"), F.col("s.t").alias("text"))
+    flat = [(e, t, *_COMMENT[e]) for e, texts in SCRIPTS.items() for t in texts]
+    parts = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("etoc", row, strict=True))) for row in flat))
+    docs = table(spark, d, "documents").withColumn("s", F.get(parts, (F.col("doc_id") % len(flat)).cast("int")))
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z \u00C0-\u024F]", " ")
+    return docs.select(F.concat(F.lit("/srv/"), F.col("doc_id").cast("string"), "s.e").alias("path"), F.concat("s.t", "s.o", words, "s.c").alias("text"))
 
 
 def rot13(spark, d):
@@ -43,8 +54,31 @@ def chr_runs(spark, d):
     return view(spark, d, "v_snippet").select("doc_id", F.array_join(layers.chr_runs(F.col("content")), ",").alias("runs"))
 
 
+#: A letter under each of the seven escapes, around a document's text.
+_ESCAPED = r"\x41\u{42}\u0043\104%45&#x46;&#71;"
+
+
 def escape_normalise(spark, d):
-    return view(spark, d, "v_snippet").select("doc_id", F.sha2(layers.percent_decoded(F.col("content")), 256).alias("digest"))
+    """All escapes undone, by what the layers use: documents without signs of escapes of their own, between escaped letters."""
+    text = F.translate(F.coalesce("text", F.lit("")), "%&\\", "")
+    f = table(spark, d, "documents").select("doc_id", F.concat(F.lit(_ESCAPED), text, F.lit(_ESCAPED)).alias("content"))
+    return layers.normalised(f, "content").select("doc_id", F.sha2("content", 256).alias("digest"))
+
+
+#: Expressions over two words (<w> and <v>; <r>, <b> and <h> are <w> reversed, in base64 and in hex), and what they fold to.
+EXPRESSIONS = [
+    ("$a = '<w>' . '<v>' . \"<w>\";", "$a = '<w><v><w>';"), ("b = '<w>' + '<v>'", "b = '<w><v>'"), ("reverse('<r>')", "'<w>'"), ("'<r>'[::-1]", "'<w>'"), ("decode_base64('<b>')", "'<w>'"), ("base64.b64decode('<b>').decode()", "'<w>'"),
+    ("pack('H*', '<h>') . '<v>'", "'<w><v>'"), ("bytes.fromhex('<h>')", "'<w>'"), ("getattr(<w>, 'x' + '<v>')(1)", "<w>.x<v>(1)"), ("fn = 'x<w>'\nfn(2)", "fn = 'x<w>'\nx<w>(2)"), ("chr(72).chr(0x69) . '<w>'", "'Hi<w>'"), ("f(<w>, '<v>')", "f(<w>, '<v>')"),
+]
+
+
+def fold_expressions(spark, d):
+    w = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]{3,12})"), F.lit(1)), lambda x: x != "")
+    docs = table(spark, d, "documents").withColumn("w", w).withColumn("w1", F.coalesce(F.get("w", 0), F.lit("one"))).withColumn("w2", F.coalesce(F.get("w", 1), F.lit("two")))
+    e = F.get(F.array(*(F.lit(x) for x, _ in EXPRESSIONS)), (F.col("doc_id") % len(EXPRESSIONS)).cast("int"))
+    for sign, value in (("<r>", F.reverse("w1")), ("<b>", F.base64(F.col("w1").cast("binary"))), ("<h>", F.hex("w1")), ("<w>", F.col("w1")), ("<v>", F.col("w2"))):
+        e = F.replace(e, F.lit(sign), value)
+    return layers.folded_text(docs.select("doc_id", e.alias("content")), "content")
 
 
 def decoded_layers(spark, d):
@@ -62,12 +96,47 @@ def script_taint(spark, d):
     return scripts.all_findings(_sources(spark, d)).select("path", "knowledge_ref", "family", "score", "basis", "tier")
 
 
+def pass_admission(spark, d):
+    """How many files each script pass examines: by name, or by sign where the name says nothing."""
+    f = view(spark, d, "v_file").select("path", F.col("content").alias("text"))
+    out = None
+    for name, admitted in scripts.ADMITTED.items():
+        rows = admitted(f).agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("pass"), "files")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def pass_skips(spark, d):
+    """Files that a pass admits and leaves out for their size, under limits that the table reaches."""
+    f = view(spark, d, "v_file").select("path", F.col("content").alias("text"))
+    return scripts.skipped(f, dict.fromkeys(scripts.LIMITS, 4000)).select("path", "pass", "bytes")
+
+
+def _archives(group: pa.Table) -> pa.Table:
+    """One archive of class files from rows path, class, method, owner, name."""
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("class", "method", "owner", "name")), strict=True))
+    classes: dict[str, dict[str, list]] = {}
+    for class_, method, owner, name in rows:
+        classes.setdefault(class_, {}).setdefault(method, []).append(("call", owner, name, "()V", "static"))
+    members = [(f"{c}.class", class_bytes.class_file(c, [(m, "()V", [*dict.fromkeys(calls), "return"]) for m, calls in methods.items()])) for c, methods in classes.items()]
+    return pa.table({"path": [group.column("path")[0].as_py()], "content": pa.array([class_bytes.archive(members)], pa.binary())})
+
+
+def java_semantic(spark, d):
+    """Request data through the bytecode of small archives, a kind of flow for each document."""
+    kinds = {v: class_bytes.archive(class_bytes.flow_classes(v)) for v in class_bytes.FLOWS}
+    content = F.get(F.array(*(F.lit(bytearray(kinds[v])) for v in sorted(kinds))), (F.col("doc_id") % len(kinds)).cast("int"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("/lib/"), F.col("doc_id").cast("string"), F.lit(".war")).alias("path"), content.alias("content"))
+    return bytecode.semantic(files).select("path", "class", "sink", "rule", "family", "score")
+
+
 def java_structural(spark, d):
     apis = sorted(classfile.APIS)
     pair = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(n).alias("n")) for o, n in apis))
     rows = table(spark, d, "lineitem").withColumn("a", F.get(pair, (F.col("l_partkey") % len(apis)).cast("int")))
-    found = rows.select((F.col("l_orderkey") % 300).cast("string").alias("path"), F.lit("a.jar").alias("artifact"), F.concat(F.lit("C"), (F.col("l_orderkey") % 5).cast("string")).alias("class"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit("_"), (F.col("l_orderkey") % 77).cast("string")).alias("method"), F.col("a.o").alias("owner"), F.col("a.n").alias("name"), F.lit("()V").alias("descriptor"))
-    return classfile.structural(found).select("path", "class", "rule", "family", "method", "score")
+    made = rows.select((F.col("l_orderkey") % 300).cast("string").alias("path"), F.concat(F.lit("C"), (F.col("l_orderkey") % 5).cast("string")).alias("class"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit("_"), (F.col("l_orderkey") % 77).cast("string")).alias("method"), F.col("a.o").alias("owner"), F.col("a.n").alias("name")).distinct()
+    files = made.groupBy("path").applyInArrow(_archives, "path string, content binary")
+    return classfile.structural(classfile.calls(files)[0]).select("path", "class", "rule", "family", "method", "score")
 
 
 def discovery_merge(spark, d):
@@ -112,7 +181,7 @@ def exact_duplicate_documents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rot13, hex_runs, base64_runs, chr_runs, escape_normalise, decoded_layers, ssi_taint, script_taint, java_structural, discovery_merge, discovery_subsume, mechanism_credit, discovery_gate,
+        rot13, hex_runs, base64_runs, chr_runs, escape_normalise, fold_expressions, decoded_layers, ssi_taint, script_taint, pass_admission, pass_skips, java_structural, java_semantic, discovery_merge, discovery_subsume, mechanism_credit, discovery_gate,
         diagnostic_summary, artifact_status, exact_duplicate_documents,
     )
 }
@@ -128,12 +197,29 @@ _MERGED = "merged AS (SELECT host, path, CASE max(CASE provenance WHEN 'explicit
 _SUBSUMED = f"{_MERGED}, subsumed AS (SELECT m.host, m.path, m.mechanisms, arg_min(a.path, length(a.path)) AS covered_by FROM merged m LEFT JOIN merged a ON a.host = m.host AND a.path <> m.path AND starts_with(m.path, a.path || '/') GROUP BY ALL)"
 
 
-def _percent() -> str:
-    out = "content"
-    for c in (*range(0x20, 0x25), *range(0x26, 0x7F)):
-        q = {0x27: "''", 0x5C: "\\\\"}.get(c, chr(c))
-        out = f"regexp_replace({out}, '%{c:02x}', '{q}', 'gi')"
-    return out
+def _expressions(column: int) -> str:
+    arms = " ".join(f"WHEN {i} THEN '" + e[column].replace("'", "''") + "'" for i, e in enumerate(EXPRESSIONS))
+    return f"CASE doc_id % {len(EXPRESSIONS)} {arms} END"
+
+
+def _script_rows() -> str:
+    rows = [(i, e, *f) for i, ((e, _), f) in enumerate(zip([(e, t) for e, texts in SCRIPTS.items() for t in texts], FOUND, strict=True)) if f]
+    return ", ".join(f"({i}, '{e}', '{ref}', '{family}', {score}, '{basis}', '{'confirmed' if score >= 85 else 'likely-malicious'}')" for i, e, ref, family, score, basis in rows)
+
+
+_BINARY_OK = "(NOT contains(substr(content, 1, 8000), chr(0)))"
+_PASSES = {"php": ("php",), "asp": ("asp", "aspx"), "ssi": ("shtml",)}
+
+
+def _pass(name: str) -> str:
+    langs = ", ".join(f"'{x}'" for x in _PASSES[name])
+    shown = " OR ".join(SHOWN[x] for x in _PASSES[name])
+    return f"(lang IN ({langs}) OR (lang = 'unknown' AND ({shown}) AND {_BINARY_OK}))"
+
+
+_CGI = f"(lang IN ('perl', 'python', 'cgi') OR (lang = 'unknown' AND {SHOWN['cgi']} AND {_BINARY_OK}))"
+_JAVA = f"(ends_with(lower(path), '.java') OR lang = 'jsp' OR (lang = 'unknown' AND {SHOWN['jsp']} AND {_BINARY_OK}))"
+_ADMITS = {"php": _pass("php"), "cgi": _CGI, "asp": _pass("asp"), "ssi": _pass("ssi"), "java": _JAVA}
 
 
 ORACLES = {
@@ -141,9 +227,16 @@ ORACLES = {
     "hex_runs": with_views(("v_snippet",), "SELECT doc_id, array_to_string([upper(replace(r, '\\x', '')) FOR r IN regexp_extract_all(content, '(?:\\\\x[0-9A-Fa-f]{2}){6,}')], ',') AS runs FROM v_snippet"),
     "base64_runs": with_views(("v_snippet",), "SELECT doc_id, array_to_string([hex(from_base64(r)) FOR r IN regexp_extract_all(content, '[A-Za-z0-9+/]{24,}={0,2}') IF length(r) % 4 = 0 AND regexp_full_match(r, '(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)')], ',') AS runs FROM v_snippet"),
     "chr_runs": with_views(("v_snippet",), "SELECT doc_id, array_to_string([array_to_string([lpad(to_hex(CAST(c AS INT)), 2, '0') FOR c IN regexp_extract_all(r, '[0-9]+')], '') FOR r IN regexp_extract_all(content, '(?i)(?:chr\\s*\\(\\s*(?:0x[0-9a-f]{1,2}|[0-9]{1,3})\\s*\\)\\s*(?:\\.\\s*)?){4,}')], ',') AS runs FROM v_snippet"),
-    "escape_normalise": with_views(("v_snippet",), f"SELECT doc_id, sha256({_percent()}) AS digest FROM v_snippet"),
+    "escape_normalise": "SELECT doc_id, sha256('ABCDEFG' || translate(coalesce(text, ''), '%&\\', '') || 'ABCDEFG') AS digest FROM documents",
+    "fold_expressions": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{3,12}}') AS w FROM documents), x AS (SELECT doc_id, coalesce(w[1], 'one') AS w1, coalesce(w[2], 'two') AS w2 FROM w)
+        SELECT doc_id, replace(replace({_expressions(1)}, '<w>', w1), '<v>', w2) AS content FROM x""",
+    "script_taint": f"""WITH f(i, e, knowledge_ref, family, score, basis, tier) AS (VALUES {_script_rows()})
+        SELECT '/srv/' || doc_id || e AS path, knowledge_ref, family, score, basis, tier FROM documents JOIN f ON i = doc_id % {sum(map(len, SCRIPTS.values()))}""",
+    "pass_admission": with_views(("v_file",), f"WITH {SIGNED} " + " UNION ALL ".join(f"SELECT '{n}' AS pass, count(*) AS files FROM signed WHERE {c}" for n, c in _ADMITS.items())),
+    "pass_skips": with_views(("v_file",), f"WITH {SIGNED} " + " UNION ALL ".join(f"SELECT path, '{n}' AS pass, strlen(content) AS bytes FROM signed WHERE strlen(content) > 4000 AND {c}" for n, c in _ADMITS.items())),
+    "java_semantic": f"SELECT '/lib/' || doc_id || '.war' AS path, 'app/Serve' AS class, 'exec' AS sink, 'javadisk:class-request-exec' AS rule, 'GenericJSP' AS family, 85 AS score FROM documents WHERE doc_id % {len(class_bytes.FLOWS)} IN ({', '.join(str(v) for v, flows in class_bytes.FLOWS.items() if flows)})",
     "ssi_taint": "SELECT '/srv/' || doc_id || '.shtml' AS path, CASE doc_id % 5 WHEN 0 THEN 'SSIExec' ELSE 'SSIInclude' END AS family, CASE doc_id % 5 WHEN 0 THEN 'ssitaint:exec-cmd-on-request' ELSE 'ssitaint:include-virtual-on-request' END AS rule, CASE doc_id % 5 WHEN 0 THEN 'a' ELSE 'HTTP_HOST' END AS via, 85 AS score FROM documents WHERE doc_id % 5 IN (0, 1)",
-    "java_structural": f"WITH apis(i, feature) AS (VALUES {_apis()}), c AS (SELECT CAST(l_orderkey % 300 AS VARCHAR) AS path, 'C' || (l_orderkey % 5) AS class, 'm' || l_linenumber || '_' || (l_orderkey % 77) AS method, feature FROM lineitem JOIN apis ON i = l_partkey % {len(classfile.APIS)}), m AS (SELECT path, class, method, list(DISTINCT feature) AS f FROM c GROUP BY ALL), hits AS ({_RULES}) SELECT path, class, rule, family, min(method) AS method, 60 AS score FROM hits GROUP BY path, class, rule, family",
+    "java_structural": f"WITH apis(i, feature) AS (VALUES {_apis()}), c AS (SELECT CAST(l_orderkey % 300 AS VARCHAR) AS path, 'C' || (l_orderkey % 5) AS class, 'm' || l_linenumber || '_' || (l_orderkey % 77) AS method, feature FROM lineitem JOIN apis ON i = l_partkey % {len(classfile.APIS)}), m AS (SELECT path, class, method, list(DISTINCT feature) AS f FROM c GROUP BY ALL), hits AS ({_RULES}) SELECT path, class, rule, family, min(method || '()V') AS method, 60 AS score FROM hits GROUP BY path, class, rule, family",
     "discovery_merge": with_views(("v_root",), f"WITH {_MERGED} SELECT host, path, provenance, mechanisms FROM merged"),
     "discovery_subsume": with_views(("v_root",), f"WITH {_SUBSUMED} SELECT host, path, covered_by FROM subsumed"),
     "mechanism_credit": with_views(("v_root",), f"WITH {_SUBSUMED} SELECT host, mechanism, count(DISTINCT root) AS roots FROM (SELECT host, coalesce(covered_by, path) AS root, unnest(string_split(mechanisms, ',')) AS mechanism FROM subsumed) GROUP BY 1, 2"),

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from vigilspark.functions import classify
 from vigilspark.functions.tables import EXPECTED_CHILDREN, EXTENSIONS, PIPELINE_CONTRACTS, SCOPE_CONTEXTS, SCOPE_SIGNS, SHELL_CHILDREN, WEB_SOURCE
 from vigilspark.operators import behaviour, memory, rules
-from vigilspark.operators.rules import Hex, Regex, Rule, Text, all_of, any_of, at, at_least_of, count, filesize, rule, unsigned, within
+from vigilspark.packs import own_rules
 from vigilspark.plans.projections import table, view, with_views
 
-#: Rules over the projected files; harmless patterns that exercise the algebra.
-RULES = [
-    Rule("has_import", {"a": Text("import"), "b": Regex(r"use\s+strict")}, any_of(), private=True),
-    Rule("script_marker", {"a": Text("<SCRIPT", nocase=True), "b": Text("runat")}, all_of(), lang="asp-family", score="75", family="GenericASPX"),
-    Rule("many_the", {"a": Regex(r"\bthe\b"), "b": Text("The")}, count("a", lambda n: n >= 12) & any_of("b"), score="45"),
-    Rule("short_file", {"a": Text("e")}, filesize(lambda n: n < 900) & any_of(), score="n/a"),
-    Rule("two_of_three", {"a1": Text("qui"), "a2": Text("der"), "a3": Text("para"), "z": Text("zzzz")}, at_least_of(2, "a*") & ~any_of("z"), score="60", family="Mixed"),
-    Rule("php_start", {"a": Text("<?"), "b": Hex("3C 3F 70 ?? 70")}, at("a", 0) & unsigned(0, 2, lambda v: v == 0x3F3C), lang="php", score="88"),
-    Rule("early_word", {"a": Text("die", fullword=True, nocase=True)}, within("a", 0, 400), lang="web-generic", score="30"),
-    Rule("builds_on", {"a": Text("os")}, rule("has_import") & any_of(), lang="python", score="85", family="ReverseShell"),
-]
+#: A pack over the projected files; harmless patterns that exercise the algebra.
+PACK = r"""
+private rule has_import { strings: $a = "import" $b = /use\s+strict/ condition: any of them }
+rule script_marker { meta: lang = "asp-family" score = 75 family = "GenericASPX" strings: $a = "<SCRIPT" nocase $b = "runat" condition: all of them }
+rule many_the { meta: score = 45 strings: $a = /\bthe\b/ $b = "The" condition: #a >= 12 and $b }
+rule short_file { meta: score = "n/a" strings: $a = "e" condition: filesize < 900 and $a }
+rule two_of_three { meta: score = 60 family = "Mixed" strings: $a1 = "qui" $a2 = "der" $a3 = "para" $z = "zzzz" condition: 2 of ($a*) and not $z }
+rule php_start { meta: lang = "php" score = 88 strings: $a = "<?" $b = { 3C 3F 70 ?? 70 } condition: $a at 0 and uint16(0) == 0x3F3C and ($b or filesize > 0) }
+rule early_word { meta: lang = "web-generic" score = 30 strings: $a = "die" fullword nocase condition: $a in (0..400) }
+rule builds_on { meta: lang = "python" score = 85 family = "ReverseShell" strings: $a = "os" condition: has_import and $a }
+"""
+RULES = rules.rule_set(PACK)
 
 
 def _files(spark, d):
@@ -72,8 +73,44 @@ def rule_validate(spark, d):
     return rules.validate(_files(spark, d), RULES)
 
 
+def pack_from_table(spark, d):
+    """A rule of rule text for each benchmark passage, gathered as a set and run over all documents."""
+    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.col("text"), " "), 1, 5), " ").alias("words"))
+    quoted = F.regexp_replace(F.regexp_replace("words", "\n", r"\\\\n"), '"', r'\\\\"')
+    body = F.concat(F.lit("rule passage_"), F.col("item_id").cast("string"), F.lit(' { strings: $a = "'), quoted, F.lit('" $b = "'), quoted, F.lit('" nocase condition: any of them }'))
+    found = rules.rule_set_of(items.select(body.alias("body")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return rules.matches(docs, found).select("path", "rule", F.array_join("strings", ",").alias("strings"))
+
+
+def thousand_rules(spark, d):
+    """A pack of a rule for each part, in one plan: hits over all documents, by rule."""
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    body = F.concat(F.lit("rule part_"), F.col("p_partkey").cast("string"), F.lit(' { strings: $a = "'), F.get("w", 0), F.lit('" nocase $b = "'), F.get("w", 1), F.lit('" fullword $n = "'), F.col("p_partkey").cast("string"), F.lit('" fullword condition: $a or $b and filesize < 2KB or #n > 1 }'))
+    found = rules.rule_set_of(parts.select(body.alias("body")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return rules.matches(docs, found).groupBy("rule").agg(F.count(F.lit(1)).alias("files"))
+
+
+def compile_check(spark, d):
+    """Rule rows each by itself: sound ones, ones that refer to a rule that is or isn't there, and broken ones."""
+    k = F.col("p_partkey").cast("string")
+    n = F.col("p_partkey") % 5
+    head = F.concat(F.lit("rule r"), k, F.lit(" { "))
+    body = F.when(n == 0, F.concat(head, F.lit('strings: $a = "x" condition: $a }'))).when(n == 1, F.concat(head, F.lit("condition: r"), (F.col("p_partkey") - 1).cast("string"), F.lit(" }")))
+    body = body.when(n == 2, F.concat(head, F.lit("condition: nobody }"))).when(n == 3, F.concat(head, F.lit('strings: $a = "x" condition: $b }'))).otherwise(F.concat(head, F.lit("condition: ")))
+    return rules.compile_status(table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), body.alias("body"))).select("rule_id", "identifier", "status")
+
+
+def own_pack_findings(spark, d):
+    """The engine's own detection rules over all files."""
+    found = own_rules()
+    f = rules.findings(rules.matches(_files(spark, d), found), found)
+    return f.groupBy("rule", "tier", "score", "family").agg(F.count(F.lit(1)).alias("files"))
+
+
 def pattern_summary(spark, d):
-    g = table(spark, d, "lineitem").where("l_linenumber <= 4").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
     return g.select("l_suppkey", classify.bounded_list(F.col("ids"), 6).alias("summary"))
 
 
@@ -191,7 +228,7 @@ def module_merge(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_path, file_context_counts, language_signs, binary_gate, rule_admission, skip_accounting, signature_matches, signature_findings, rule_validate, pattern_summary, file_drop_paths,
+        classify_path, file_context_counts, language_signs, binary_gate, rule_admission, skip_accounting, signature_matches, signature_findings, rule_validate, pack_from_table, thousand_rules, compile_check, own_pack_findings, pattern_summary, file_drop_paths,
         behaviour_viewstate, behaviour_iis, behaviour_w3wp_child, telemetry_coverage, events_top_per_channel, thread_range_join, region_overlap, region_ladder, max_run_length, stomp_classify,
         jvm_ladder, claim_verify, dotnet_ladder, suspicion_rank, probe_coverage, module_merge,
     )
@@ -215,9 +252,9 @@ _LANG = f"""exts(ext, lang, web) AS (VALUES {_values([(e, lang, lang in WEB_SOUR
   suffixes AS (SELECT path, unnest(range(2, len(p) + 1)) AS i, p FROM parts),
   hits AS (SELECT s.path, arg_max(e.lang, s.i) AS lang FROM suffixes s JOIN exts e ON e.ext = s.p[s.i] WHERE s.i = len(s.p) OR e.web GROUP BY s.path),
   named AS (SELECT parts.path, parts.content, parts.p, coalesce(hits.lang, 'unknown') AS lang FROM parts LEFT JOIN hits USING (path))"""
-_SHOWN = {lang: f"regexp_matches(content, '{_re2(p)}')" for lang, p in classify.SIGNS.items()}
-_SHOWN["aspx"], _SHOWN["cgi"] = _SHOWN["asp"], f"({_SHOWN['perl']} OR {_SHOWN['python']})"
-_SIGNED = f"{_LANG}, signed AS (SELECT path, content, lang, concat_ws(',', " + ", ".join(f"CASE WHEN {_SHOWN[x]} THEN '{x}' END" for x in WEB_SOURCE) + ") AS signs FROM named)"
+SHOWN = {lang: f"regexp_matches(content, '{_re2(p)}')" for lang, p in classify.SIGNS.items()}
+SHOWN["aspx"], SHOWN["cgi"] = SHOWN["asp"], f"({SHOWN['perl']} OR {SHOWN['python']})"
+SIGNED = f"{_LANG}, signed AS (SELECT path, content, lang, concat_ws(',', " + ", ".join(f"CASE WHEN {SHOWN[x]} THEN '{x}' END" for x in WEB_SOURCE) + ") AS signs FROM named)"
 _OVERLAP = "len(list_intersect(string_split(signs, ','), string_split(bysign, ','))) > 0"
 _ADMIT = f"""CASE WHEN scope = '' THEN 'undeclared' WHEN (contexts IS NULL AND lang <> 'unknown') OR list_contains(string_split(contexts, ','), lang) THEN 'declared'
    WHEN lang <> 'unknown' THEN 'refused' WHEN coalesce({_OVERLAP}, false) THEN 'unknown-language' ELSE 'refused' END"""
@@ -233,16 +270,17 @@ def _strings(*pairs) -> str:
 
 
 _STRICT = "regexp_matches(content, 'use\\s+strict')"
+_EARLY = "(?is)\\A((?:.*?[^0-9A-Za-z])??)die(?:[^0-9A-Za-z]|\\z)"
 _HOLDS = {
     "script_marker": (f"contains(lower(content), '<script') AND contains(content, 'runat') AND {_admitted('asp-family')}", _strings(("a", "contains(lower(content), '<script')"), ("b", "contains(content, 'runat')"))),
     "many_the": ("len(regexp_extract_all(content, '\\bthe\\b')) >= 12 AND contains(content, 'The')", _strings(("a", "regexp_matches(content, '\\bthe\\b')"), ("b", "contains(content, 'The')"))),
     "short_file": ("strlen(content) < 900 AND contains(content, 'e')", "'a'"),
     "two_of_three": ("CAST(contains(content, 'qui') AS INT) + CAST(contains(content, 'der') AS INT) + CAST(contains(content, 'para') AS INT) >= 2 AND NOT contains(content, 'zzzz')", _strings(("a1", "contains(content, 'qui')"), ("a2", "contains(content, 'der')"), ("a3", "contains(content, 'para')"))),
     "php_start": (f"starts_with(content, '<?') AND {_admitted('php')}", _strings(("a", "contains(content, '<?')"), ("b", "regexp_matches(content, '(?s)<\\?p.p')"))),
-    "early_word": (f"regexp_matches(substr(content, 1, 403), '(?is)(^|[^0-9A-Za-z])die([^0-9A-Za-z]|$)') AND regexp_matches(content, '(?is)\\A.{{0,399}}[^0-9A-Za-z]die([^0-9A-Za-z]|\\z)|\\Adie([^0-9A-Za-z]|\\z)') AND {_admitted('web-generic')}", "'a'"),
+    "early_word": (f"regexp_matches(content, '{_EARLY}') AND strlen(regexp_extract(content, '{_EARLY}', 1)) <= 400 AND {_admitted('web-generic')}", "'a'"),
     "builds_on": (f"(contains(content, 'import') OR {_STRICT}) AND contains(content, 'os') AND {_admitted('python')}", "'a'"),
 }
-_MATCHES = f"{_SIGNED}, matches AS (" + " UNION ALL ".join(f"SELECT path, '{r}' AS rule, {s} AS strings FROM signed WHERE {c}" for r, (c, s) in _HOLDS.items()) + ")"
+_MATCHES = f"{SIGNED}, matches AS (" + " UNION ALL ".join(f"SELECT path, '{r}' AS rule, {s} AS strings FROM signed WHERE {c}" for r, (c, s) in _HOLDS.items()) + ")"
 _FACTS = {"script_marker": ("GenericASPX", 75, "likely-malicious"), "many_the": (None, 45, "suspicious"), "short_file": (None, 70, "likely-malicious"), "two_of_three": ("Mixed", 60, "likely-malicious"), "php_start": (None, 88, "confirmed"), "early_word": (None, 30, "clean"), "builds_on": ("ReverseShell", 85, "confirmed")}
 _PROC = f"""proc AS (SELECT ord, host, regexp_extract(lower(trim(child)), '[^\\\\/]*$', 0) AS c FROM v_event WHERE event_id IN (4688, 1) AND ends_with(lower(parent), '\\w3wp.exe'))"""
 _WIRED = f"contract IN ({_in(PIPELINE_CONTRACTS)})"
@@ -268,14 +306,25 @@ _RUNS = "bytes AS (SELECT DISTINCT l_suppkey % 40 AS k, l_partkey % 1500 AS rva
 ORACLES = {
     "classify_path": with_views(("v_file",), f"WITH {_LANG} SELECT path, lang, CASE WHEN len(p) > 1 THEN '.' || p[len(p)] ELSE '' END AS ext FROM named"),
     "file_context_counts": with_views(("v_file",), f"WITH {_LANG} SELECT lang AS context, count(*) AS files FROM named GROUP BY 1"),
-    "language_signs": with_views(("v_file",), f"WITH {_SIGNED} SELECT path, signs FROM signed"),
+    "language_signs": with_views(("v_file",), f"WITH {SIGNED} SELECT path, signs FROM signed"),
     "binary_gate": "SELECT doc_id, doc_id % 3 = 0 AND strlen(substr(text, 1, CAST(doc_id % 12000 AS INT))) < 8000 AS is_binary FROM documents",
-    "rule_admission": with_views(("v_file",), f"WITH {_SIGNED}, scopes(scope, contexts, bysign) AS (VALUES {_values([('', None, None), *((s, ','.join(SCOPE_CONTEXTS[s]), ','.join(SCOPE_SIGNS[s])) for s in SCOPE_CONTEXTS), ('cobol', None, None)])}) SELECT scope, {_ADMIT} AS admission, count(*) AS files FROM signed, scopes GROUP BY 1, 2"),
-    "skip_accounting": with_views(("v_file",), f"WITH {_SIGNED} SELECT count(DISTINCT path) AS no_language_detector FROM signed WHERE lang = 'unknown' AND signs = ''"),
+    "rule_admission": with_views(("v_file",), f"WITH {SIGNED}, scopes(scope, contexts, bysign) AS (VALUES {_values([('', None, None), *((s, ','.join(SCOPE_CONTEXTS[s]), ','.join(SCOPE_SIGNS[s])) for s in SCOPE_CONTEXTS), ('cobol', None, None)])}) SELECT scope, {_ADMIT} AS admission, count(*) AS files FROM signed, scopes GROUP BY 1, 2"),
+    "skip_accounting": with_views(("v_file",), f"WITH {SIGNED} SELECT count(DISTINCT path) AS no_language_detector FROM signed WHERE lang = 'unknown' AND signs = ''"),
     "signature_matches": with_views(("v_file",), f"WITH {_MATCHES} SELECT path, rule, strings FROM matches"),
     "signature_findings": with_views(("v_file",), f"WITH {_MATCHES}, facts(rule, family, score, tier) AS (VALUES " + ", ".join(f"('{r}', " + ("NULL" if f is None else f"'{f}'") + f", {s}, '{t}')" for r, (f, s, t) in _FACTS.items()) + ") SELECT rule, tier, score, family, count(*) AS files FROM matches JOIN facts USING (rule) GROUP BY ALL"),
     "rule_validate": with_views(("v_file",), f"WITH {_MATCHES}, names(rule) AS (VALUES {', '.join(f"('{r}')" for r in _FACTS)}) SELECT rule, count(m.path) AS hits FROM names LEFT JOIN matches m USING (rule) GROUP BY 1 UNION ALL SELECT 'has_import', count(*) FROM v_file WHERE contains(content, 'import') OR {_STRICT}"),
-    "pattern_summary": "WITH g AS (SELECT l_suppkey, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS ids FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1) SELECT l_suppkey, array_to_string(ids[1:6], ', ') || CASE WHEN len(ids) > 6 THEN ' (+' || (len(ids) - 6) || ' more)' ELSE '' END AS summary FROM g",
+    "pack_from_table": """WITH b AS (SELECT 'passage_' || item_id AS rule, array_to_string(string_split(text, ' ')[1:5], ' ') AS w FROM benchmark),
+        m AS (SELECT CAST(doc_id AS VARCHAR) AS path, rule, contains(text, w) AS a, contains(translate(text, {0}), translate(w, {0})) AS b FROM documents, b)
+        SELECT path, rule, concat_ws(',', CASE WHEN a THEN 'a' END, CASE WHEN b THEN 'b' END) AS strings FROM m WHERE a OR b""".format("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"),
+    "thousand_rules": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, string_split(p_name, ' ') AS w FROM part), d AS (SELECT doc_id AS r, text, strlen(text) AS n, lower(text) AS low FROM documents),
+        firsts AS (SELECT w1, r FROM (SELECT DISTINCT w[1] AS w1 FROM p), d WHERE contains(low, lower(w1))),
+        seconds AS (SELECT w2, r FROM (SELECT DISTINCT w[2] AS w2 FROM p), d WHERE n < 2048 AND contains(text, w2) AND regexp_matches(text, '(^|[^0-9A-Za-z])' || w2 || '([^0-9A-Za-z]|$)')),
+        tokens AS (SELECT doc_id AS r, unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS token FROM documents),
+        numbers AS (SELECT token, r FROM tokens WHERE regexp_full_match(token, '[0-9]+') GROUP BY ALL HAVING count(*) > 1),
+        hits AS (SELECT k, r FROM p JOIN firsts ON w[1] = w1 UNION SELECT k, r FROM p JOIN seconds ON w[2] = w2 UNION SELECT k, r FROM p JOIN numbers ON token = k)
+        SELECT 'part_' || k AS rule, count(*) AS files FROM hits GROUP BY 1""",
+    "compile_check": "SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 5 < 3 THEN 'r' || p_partkey END AS identifier, CASE p_partkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'unresolved' ELSE 'failed' END AS status FROM part",
+    "pattern_summary": "WITH g AS (SELECT l_suppkey, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS ids FROM lineitem GROUP BY 1) SELECT l_suppkey, array_to_string(ids[1:6], ', ') || CASE WHEN len(ids) > 6 THEN ' (+' || (len(ids) - 6) || ' more)' ELSE '' END AS summary FROM g",
     "file_drop_paths": with_views(("v_file",), "SELECT path, concat_ws(',', " + ", ".join(f"CASE WHEN path = '{r}' OR path = '{r.rstrip('/')}' OR starts_with(path, '{r.rstrip('/')}/') THEN '{r}' END" for r in ["/srv", "/srv/d1", "/www/", "/ww", "/srv/d10.txt"]) + ") AS roots FROM v_file"),
     "behaviour_viewstate": with_views(("v_event",), "SELECT ord, host, 'behavioral-context' AS basis, 'asp.net:viewstate-mac-failure' AS identity FROM v_event WHERE event_id = 1316 AND starts_with(lower(provider), 'asp.net') AND contains(lower(detail), 'viewstate')"),
     "behaviour_iis": with_views(("v_event",), "SELECT ord, host, 'server configuration changed, event ' || event_id AS evidence FROM v_event WHERE channel = 'Microsoft-IIS-Configuration/Operational' AND event_id IN (29, 50)"),

@@ -46,7 +46,7 @@ def resolved_count(spark, d):
 
 
 def frozen_members(spark, d):
-    return library.frozen_members(_resolved(spark, d).where("set_id % 10 = 3"), view(spark, d, "v_rule"), view(spark, d, "v_revision")).select("set_id", "rule_id", "revision", "identifier", "layer", "body")
+    return library.frozen_members(_resolved(spark, d), view(spark, d, "v_rule"), view(spark, d, "v_revision")).select("set_id", "rule_id", "revision", "identifier", "layer", "body")
 
 
 def rule_diff(spark, d):
@@ -75,7 +75,7 @@ def exclusion_upsert(spark, d):
 
 
 def dependency_closure(spark, d):
-    return library.dependency_closure(_refs(spark, d)).where("rule_id % 25 = 0")
+    return library.dependency_closure(_refs(spark, d))
 
 
 def facet_layers(spark, d):
@@ -131,7 +131,7 @@ def decisions_with_case(spark, d):
 
 
 def scan_findings_ordered(spark, d):
-    f = view(spark, d, "v_scan_finding").where("scan_id % 1000 = 1")
+    f = view(spark, d, "v_scan_finding")
     return f.orderBy("scan_id", F.desc("score"), "ref").select("scan_id", "ref", "score", "tier", "content_key")
 
 
@@ -197,7 +197,7 @@ ORACLES = {
     "rule_index": with_views(("v_rule", "v_revision"), f"WITH {_LATEST} SELECT r.rule_id, r.identifier, r.layer, r.source_pack, r.score, l.revision, l.meta_score FROM v_rule r JOIN latest l USING (rule_id) WHERE NOT r.deleted"),
     "resolve_selection": with_views(_RES_VIEWS, f"WITH {_RES} SELECT set_id, rule_id, revision FROM resolved"),
     "resolved_count": with_views(_RES_VIEWS, f"WITH {_RES} SELECT set_id, count(*) AS rules FROM resolved GROUP BY 1"),
-    "frozen_members": with_views(_RES_VIEWS, f"WITH {_RES} SELECT m.set_id, m.rule_id, m.revision, r.identifier, r.layer, v.body FROM resolved m JOIN v_rule r USING (rule_id) JOIN v_revision v ON v.rule_id = m.rule_id AND v.revision = m.revision WHERE m.set_id % 10 = 3"),
+    "frozen_members": with_views(_RES_VIEWS, f"WITH {_RES} SELECT m.set_id, m.rule_id, m.revision, r.identifier, r.layer, v.body FROM resolved m JOIN v_rule r USING (rule_id) JOIN v_revision v ON v.rule_id = m.rule_id AND v.revision = m.revision"),
     "rule_diff": with_views(_RES_VIEWS, f"""WITH {_RES}, b AS (SELECT rule_id, CASE WHEN rule_id % 6 = 0 THEN revision - 1 ELSE revision END AS was FROM resolved WHERE set_id = 3), a AS (SELECT rule_id, revision AS now FROM resolved WHERE set_id = 5)
         SELECT rule_id, CAST(was AS INT) AS was, now, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN was <> now THEN 'changed' ELSE 'unchanged' END AS change FROM b FULL OUTER JOIN a USING (rule_id)"""),
     "exclusion_diff": with_views(("v_exclusion",), """SELECT rule_id, 'added' AS change FROM v_exclusion WHERE set_id = 5 AND rule_id NOT IN (SELECT rule_id FROM v_exclusion WHERE set_id = 3)
@@ -205,7 +205,7 @@ ORACLES = {
     "exclusions_named": with_views(("v_exclusion", "v_rule"), "SELECT x.set_id, x.rule_id, r.identifier, x.reason FROM v_exclusion x JOIN v_rule r USING (rule_id)"),
     "exclusion_orphans": with_views(("v_exclusion",), f"SELECT DISTINCT x.set_id, r.rule_id FROM v_exclusion x JOIN ({_REFS_DUCK}) r ON r.depends_on = x.rule_id WHERE NOT EXISTS (SELECT 1 FROM v_exclusion y WHERE y.set_id = x.set_id AND y.rule_id = r.rule_id)"),
     "exclusion_upsert": with_views(("v_exclusion",), "SELECT set_id, rule_id, CASE WHEN rule_id % 6 = 0 THEN 'again' ELSE reason END AS reason FROM v_exclusion"),
-    "dependency_closure": f"WITH RECURSIVE refs AS ({_REFS_DUCK}), c AS (SELECT rule_id, depends_on FROM refs UNION SELECT c.rule_id, r.depends_on FROM c JOIN refs r ON r.rule_id = c.depends_on) SELECT DISTINCT rule_id, depends_on FROM c WHERE rule_id % 25 = 0",
+    "dependency_closure": f"WITH RECURSIVE refs AS ({_REFS_DUCK}), c AS (SELECT rule_id, depends_on FROM refs UNION SELECT c.rule_id, r.depends_on FROM c JOIN refs r ON r.rule_id = c.depends_on) SELECT DISTINCT rule_id, depends_on FROM c",
     "facet_layers": with_views(("v_rule",), "SELECT coalesce(layer, '(none)') AS value, count(*) AS n FROM v_rule GROUP BY 1"),
     "facet_packs": with_views(("v_rule",), "SELECT coalesce(source_pack, '(none)') AS value, count(*) AS n FROM v_rule GROUP BY 1"),
     "rule_filter": with_views(("v_rule",), "SELECT rule_id, score FROM v_rule WHERE contains(lower(identifier), 'rule_1') AND contains(lower(description), '1') AND layer IN ('own', 'community') AND score >= 20"),
@@ -219,7 +219,7 @@ ORACLES = {
     "triage_decisions": with_views(("v_scan_finding", "v_decision"), f"""WITH {_GROUPS}, d AS (SELECT content_key, count(*) AS n, arg_max(verdict, row(decided_at, decision_id)) AS last_verdict, string_agg(DISTINCT verdict, ',' ORDER BY verdict) AS verdicts FROM v_decision GROUP BY 1)
         SELECT content_key, tier, coalesce(n, 0) AS decisions, last_verdict, coalesce(verdicts, '') AS verdicts FROM groups LEFT JOIN d USING (content_key)"""),
     "decisions_with_case": with_views(("v_scan_finding", "v_decision"), "SELECT d.decision_id, d.content_key, d.verdict, c.c_name AS case_name FROM v_decision d LEFT JOIN customer c ON c.c_custkey = d.case_id WHERE d.content_key IN (SELECT content_key FROM v_scan_finding)"),
-    "scan_findings_ordered": with_views(("v_scan_finding",), "SELECT scan_id, ref, score, tier, content_key FROM v_scan_finding WHERE scan_id % 1000 = 1 ORDER BY scan_id, score DESC, ref"),
+    "scan_findings_ordered": with_views(("v_scan_finding",), "SELECT scan_id, ref, score, tier, content_key FROM v_scan_finding ORDER BY scan_id, score DESC, ref"),
     "content_key_groups": "SELECT CASE WHEN event_id % 3 = 0 THEN 'sha256:' || sha256(props) WHEN event_id % 3 = 1 THEN 'artifact:' || event_type ELSE 'finding:' || event_id END AS content_key, count(*) AS n FROM events GROUP BY 1",
     "integrity_label": "SELECT CASE WHEN k % 3 = 0 THEN 'unverified' WHEN k % 5 = 0 THEN 'altered' WHEN k % 7 = 0 THEN 'unverified' ELSE 'verified' END AS integrity, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1",
     "ingest_idempotent": with_views(("v_scan",), "SELECT host, count(DISTINCT run_id) AS runs FROM v_scan WHERE case_id % 3 <> 0 GROUP BY 1"),

@@ -98,7 +98,7 @@ PROJECTIONS: dict[str, str] = {
     "v_root": f"""
         SELECT CAST(o_custkey % 30 AS STRING) AS host, concat('/var/www', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('/', CAST(o_orderkey % 4 AS STRING)) END, CASE WHEN o_orderkey % 5 = 0 THEN '/app' ELSE '' END) AS path,
           {pick("o_orderkey", ["apache-config", "nginx-dump", "iis-config", "tomcat-process", "convention"])} AS mechanism,
-          {pick("o_orderkey", ["config", "config", "config", "explicit", "convention"])} AS provenance FROM {{orders}} WHERE o_orderkey % 2 = 0""",
+          {pick("o_orderkey", ["config", "config", "config", "explicit", "convention"])} AS provenance FROM {{orders}}""",
     "v_snippet": f"""
         SELECT doc_id, concat({pick("doc_id", ["Uryyb jbeyq ", "%41%42 &#65; ", "plain ", "\\\\x41\\\\x42\\\\x43\\\\x44\\\\x45\\\\x46 ", "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ= ", "chr(72).chr(101).chr(108).chr(108).chr(111) "])}, text) AS content FROM {{documents}}""",
 }

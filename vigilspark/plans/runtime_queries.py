@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilspark.operators import clones, layers, rules, runtime, scan
-from vigilspark.operators.rules import Rule, Text
 from vigilspark.plans.projections import table, view, with_views
 
 
@@ -86,7 +85,7 @@ def technique_cells(spark, d):
 
 
 def layer_rescan(spark, d):
-    found = [Rule("hello", {"a": Text("hello world")}, rules.any_of()), Rule("run", {"a": Text("Hello")}, rules.any_of()), Rule("hexed", {"a": Text("ABCDEF")}, rules.any_of())]
+    found = rules.rule_set(*(f'rule {name} {{ strings: $a = "{text}" condition: $a }}' for name, text in (("hello", "hello world"), ("run", "Hello"), ("hexed", "ABCDEF"))))
     f = view(spark, d, "v_snippet").select(F.concat(F.lit("/s/"), F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), F.concat(F.lit("eval("), "content").alias("content"))
     return scan.rescan(f, found)
 

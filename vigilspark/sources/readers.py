@@ -9,6 +9,7 @@ from vigilspark import schemas
 from vigilspark.functions.classify import READ_LIMIT
 
 MATCH_LINE_LIMIT = 16 << 20
+QUARANTINED_CHARS = 4096
 
 
 def files(spark: SparkSession, *roots: str, glob: str | None = None, limit: int = READ_LIMIT) -> DataFrame:
@@ -46,11 +47,14 @@ def skip_counts(gaps: DataFrame) -> DataFrame:
 
 
 def engine_matches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(matches: path, rule, namespace, meta map, string ids; quarantine: lines that don't parse). Meta comes as pairs or as an
+    """(matches: path, rule, namespace, meta map, string ids; quarantine: lines that don't parse, and the beginning of those
+    over the limit). Meta comes as pairs or as an
     object, with scalars of any kind as text."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.octet_length("value") <= MATCH_LINE_LIMIT))
+    every = spark.read.text(path).where(F.trim("value") != "")
+    lines = every.where(F.octet_length("value") <= MATCH_LINE_LIMIT)
     rows = lines.select("value", F.from_json("value", schemas.ENGINE_MATCH, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("m"))
     bad = rows.where("m._corrupt is not null or m.path is null").select(F.col("value").alias("line"))
+    bad = bad.unionByName(every.where(F.octet_length("value") > MATCH_LINE_LIMIT).select(F.substring("value", 1, QUARANTINED_CHARS).alias("line")))
     good = rows.where("m._corrupt is null and m.path is not null").select(F.col("m.path").alias("path"), F.explode("m.rules").alias("r"))
     return good.select("path", F.col("r.identifier").alias("rule"), F.col("r.namespace").alias("namespace"), meta_map(F.col("r.meta")).alias("meta"), F.transform("r.strings", lambda s: s["identifier"]).alias("strings"), F.col("r.strings").alias("hits")), bad
 
