@@ -2,7 +2,9 @@
 template. DataFrame functions only.
 
 A layout's fingerprint is the hash of its nested field paths. The fingerprint of a table's known paths (or of the paths
-of each JSON record) selects a declarative mapping that turns it into canonical turns (role, text).
+of each JSON record) selects a declarative mapping that turns it into canonical turns (role, text). Where the fields of
+more than one layout stand together, the known paths are taken layout by layout, the largest first, and the first part
+whose fingerprint is its layout's selects the mapping.
 
 Template of a turn:  [INST]role[/INST]text</s>
 Control strings inside roles and texts get a backslash after their first character; those that have backslashes there
@@ -10,8 +12,10 @@ already get one more, so unescaping takes one away and every text comes back as
 inside each assistant turn, in code points: it covers that turn's text and nothing of the template.
 
 Cases: null texts are empty, null roles are empty strings; turns with equal numbers are ordered by role and text;
-repeated rows are turns of their own; a null conv_id is a conversation; other columns are ignored; an empty table
-gives an empty result.
+repeated rows are turns of their own; a null conv_id is a conversation; a very long text is one value of one row, whole;
+other columns are ignored, whatever their names; an empty table gives an empty result; a JSON record that no layout fits
+(or that is no JSON) has the layout UNKNOWN and no turns; a record's lists are judged by the fields of all their elements,
+and an empty list fits its layout with no turns.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ OPEN, SHUT, END = "[INST]", "[/INST]", "</s>"
 _ESCAPE = r"([\[<])(\\*)(/?INST\]|/?s>)"
 _UNESCAPE = r"([\[<])\\(\\*)(/?INST\]|/?s>)"
 
-#: Layouts: the nested field paths that make them up, and SQL for their canonical turns.
+#: Layouts: the nested field paths that make them up, and SQL for their canonical turns: of one row, or, where a turn is a
+#: row, of the rows of one key.
 _TURNS = "transform({list}, m -> struct(coalesce(m.{role}, '') as role, coalesce(m.{text}, '') as text))"
 _PAIR = "array(struct('user' as role, coalesce({ask}, '') as text), struct('assistant' as role, coalesce({answer}, '') as text))"
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -36,10 +41,13 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "instruction_only": (("instruction", "output"), _PAIR.format(ask="instruction", answer="output")),
     "prompt_completion": (("completion", "prompt"), _PAIR.format(ask="prompt", answer="completion")),
     "prompt_response": (("prompt", "response"), _PAIR.format(ask="prompt", answer="response")),
+    "turn_rows": (("role", "text", "turn"), "transform(sort_array(collect_list(struct(turn, coalesce(role, '') as role, coalesce(text, '') as text))), m -> struct(m.role as role, m.text as text))"),
 }
-#: The layout of a table with one row per turn.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: Layouts with a row for each turn.
+GROUPED = ("turn_rows",)
+UNKNOWN = "unknown"
 _KNOWN = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
+_LARGEST_FIRST = sorted(LAYOUTS, key=lambda name: (-len(LAYOUTS[name][0]), name))
 
 
 def paths_of(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -59,49 +67,51 @@ FINGERPRINTS = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()
 
 
 def table_layout(df: DataFrame) -> str:
-    """The layout of a table: the fingerprint of its known paths, or of the turn rows'. Unknown columns don't matter."""
+    """The layout that the fingerprint of a table's known paths selects. Unknown columns don't matter."""
     paths = set(paths_of(df.schema))
-    if paths >= set(TURN_ROWS):
-        return "turn_rows"
-    known = paths & set(_KNOWN)
-    name = FINGERPRINTS.get(fingerprint(known))
-    if name is None:  # more than one layout's fields: the largest that is whole
-        whole = [n for n, (p, _) in sorted(LAYOUTS.items(), key=lambda x: (-len(x[1][0]), x[0])) if set(p) <= paths]
-        if not whole:
-            raise ValueError(f"no layout has the field paths {sorted(paths)}")
-        name = whole[0]
-    return name
+    parts = [paths & set(_KNOWN), *(paths & set(LAYOUTS[name][0]) for name in _LARGEST_FIRST)]
+    for part in parts:
+        if fingerprint(part) in FINGERPRINTS:
+            return FINGERPRINTS[fingerprint(part)]
+    raise ValueError(f"no layout has the field paths {sorted(paths)}")
 
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, turns: array<struct<role, text>> for any known layout."""
     name = table_layout(df)
-    if name != "turn_rows":
-        return df.select(key, F.expr(LAYOUTS[name][1]).alias("turns"))
-    entry = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = df.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("t"))
-    return turns.select(key, F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("turns"))
+    turns = F.expr(LAYOUTS[name][1]).alias("turns")
+    return df.groupBy(key).agg(turns) if name in GROUPED else df.select(key, turns)
 
 
 def canonical_json(df: DataFrame, key: str = "conv_id", column: str = "record") -> DataFrame:
-    """key, layout, turns for JSON records of any layouts; the fingerprint of each record's known paths selects the
-    mapping, and records of none keep null turns. A record's lists are judged by their first element."""
+    """key, layout, turns for JSON records of any layouts; the fingerprint of each record's known paths selects the mapping."""
+    single = {name: v for name, v in LAYOUTS.items() if name not in GROUPED}
     top = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
 
     def inner(list_: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(column, f"$.{list_}[0]"))
-        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{list_}."), k)), F.array().cast("array<string>"))
-
-    known = F.filter(F.concat(top, inner("messages"), inner("conversations")), lambda p: p.isin(_KNOWN))
-    print_ = F.sha2(F.array_join(F.sort_array(known), "\n"), 256)
-    layout = F.element_at(F.create_map(*(F.lit(v) for pair in FINGERPRINTS.items() for v in pair)), print_)
-    rows = df.select(key, column).withColumn("layout", layout)
+        """The paths within a list, over all its elements; of an empty list those of its layout."""
+        elements = F.from_json(F.get_json_object(column, f"$.{list_}"), "array<map<string,string>>")
+        keys = F.array_distinct(F.flatten(F.transform(F.filter(elements, lambda m: m.isNotNull()), F.map_keys)))
+        own = F.array(*(F.lit(p) for p in _KNOWN if p.startswith(f"{list_}.")))
+        found = F.when(F.size(elements) == 0, own).otherwise(F.transform(keys, lambda k: F.concat(F.lit(f"{list_}."), k)))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    def selected(fields: list[str]) -> Column:
+        part = F.filter("paths", lambda p: p.isin(fields))
+        prints = F.create_map(*(F.lit(v) for pair in FINGERPRINTS.items() if pair[1] in single for v in pair))
+        return F.element_at(prints, F.sha2(F.array_join(F.sort_array(part), "\n"), 256))
+
+    rows = df.select(key, column, F.concat(top, inner("messages"), inner("conversations")).alias("paths"))
+    fields = sorted({p for paths, _ in single.values() for p in paths})
+    layout = F.coalesce(selected(fields), *(selected(list(single[name][0])) for name in _LARGEST_FIRST if name in single), F.lit(UNKNOWN))
+    rows = rows.select(key, column, layout.alias("layout"))
     schema = "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, instruction string, input string, output string, prompt string, completion string, response string"
     rows = rows.select(key, "layout", F.from_json(column, schema).alias("r")).select(key, "layout", "r.*")
+    none = F.array().cast("array<struct<role:string,text:string>>")
     turns = None
-    for name, (_, sql) in LAYOUTS.items():
+    for name, (_, sql) in single.items():
         turns = F.when(F.col("layout") == name, F.expr(sql)) if turns is None else turns.when(F.col("layout") == name, F.expr(sql))
-    return rows.select(key, "layout", turns.alias("turns"))
+    return rows.select(key, "layout", F.coalesce(turns, none).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -128,7 +138,7 @@ def formatted(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
 def read_back(output: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, turns and loss_text from formatted conversations and their loss masks alone."""
     pieces = F.split("formatted", f"(?<={END})")
-    rows = output.withColumn("_p", F.filter(pieces, lambda p: p != ""))
+    rows = output.select(key, "formatted", "loss_mask", F.filter(pieces, lambda p: p != "").alias("_p"))
     body = lambda p: F.left(p, F.length(p) - len(END))
 
     def turn(p: Column) -> Column:
