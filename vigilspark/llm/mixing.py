@@ -6,18 +6,23 @@ of a source takes its r-th block, and starts over after the last. So at any plac
 their shares, and each source's words come within a few blocks of its target.
 
 Nothing needs one source's rows in one task: running sums over documents and ranks of slots are taken within
-fixed chunks of a source and added to the sums of the chunks before.
+fixed chunks of a source and added to the sums of the chunks before. The order is by a hash of id, text and source and,
+where rows repeat in all three, their number, so neither a null id nor a repeated row crowds a chunk. What works on one
+row per source stands in one task.
 
 Cases: null texts have size 0; size-0 documents are taken 0 times; the null source comes last; sources without words
-get target 0; repeated rows count each; an empty table gives an empty result; equal doc_ids are ordered by size.
+get target 0; repeated rows, null ids and repeated ids count each as a document of its own; a very long text is cut by
+as many blocks as it has; an empty table gives an empty result; other columns pass through mixed_documents, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm.util import WORD_PATTERN, checkpointed
+from vigilspark.llm.identity import marked, numbered, repeated
+from vigilspark.llm.util import WORD_PATTERN, checkpointed, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -29,10 +34,15 @@ SLOT_CHUNK = 1 << 16
 CELLS = 4096
 
 
+def identity(seed: int) -> Column:
+    """A hash of a document's id, text and source."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), marked("doc_id"), F.md5(F.coalesce("text", F.lit(""))), marked("source")))
+
+
 def sized(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """doc_id, source, size (words), and the shuffled order's key."""
+    """doc_id, source, size (words), identity."""
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD_PATTERN))).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("place"))
+    return docs.select("doc_id", "source", size.alias("size"), identity(seed).alias("identity"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -79,15 +89,16 @@ def schedule(sources: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK_WO
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """sizes with sid, source_size, target, blocks, start (words of the source before the document) and row keys."""
+    """sizes (with their place in the order) with sid, source_size, target, blocks, start (words of the source before the
+    document) and row keys."""
     rows = sizes.join(sources.select(F.col("source").alias("_s"), "sid", "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("chunk", F.substring("place", 1, 3))
     sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).drop("n")
-    w = Window.partitionBy("sid", "chunk").orderBy("place", "doc_id", "size")
+    w = Window.partitionBy("sid", "chunk").orderBy("place")
     inner = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rows = rows.withColumn("inner", inner).withColumn("row", F.row_number().over(w))
-    return rows.join(before, ["sid", "chunk"]).withColumn("start", F.col("before") + F.col("inner")).drop("before", "inner", "place")
+    return rows.join(before, ["sid", "chunk"]).withColumn("start", F.col("before") + F.col("inner")).drop("before", "inner")
 
 
 def _block_at(p: str) -> str:
@@ -97,7 +108,7 @@ def _block_at(p: str) -> str:
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted."""
-    rows, slots = _blocks_and_slots(docs, seed)
+    rows, slots, _ = _blocks_and_slots(docs, seed)
     cut = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({_block_at('start')}, {_block_at('(start + size - 1)')})")))
     edge = lambda j: f"(({j}) * q + least({j}, r))"
     cut = cut.withColumn("words", F.expr(f"least(start + size, {edge('block + 1')}) - greatest(start, {edge('block')})"))
@@ -105,22 +116,39 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     return rows.join(taken, ["sid", "chunk", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def _blocks_and_slots(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+def _place(identity: str, number: str) -> Column:
+    return F.when(F.col(number) == 0, F.col(identity)).otherwise(F.md5(F.concat_ws(":", F.col(identity), F.col(number).cast("string"))))
+
+
+def _blocks_and_slots(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Placed documents, slots, and the identities that repeat."""
     sizes = checkpointed(sized(docs, seed))
     sources, slots = schedule(targets(sizes))
-    rows = placed(sizes, sources)
-    return rows.withColumn("q", F.expr("source_size div greatest(blocks, 1)")).withColumn("r", F.expr("source_size % greatest(blocks, 1)")), slots
+    repeats = repeated(sizes, "identity")
+    ordered = numbered(sizes, "identity", repeats, "number").withColumn("place", _place("identity", "number")).drop("identity", "number")
+    rows = placed(ordered, sources)
+    return rows.withColumn("q", F.expr("source_size div greatest(blocks, 1)")).withColumn("r", F.expr("source_size % greatest(blocks, 1)")), slots, repeats
+
+
+def _copies(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """place, copies: how often the mix takes the block in which a document starts."""
+    at = rows.where("size > 0").select("place", "sid", F.expr(_block_at("start")).alias("block"))
+    return at.join(slots.select("sid", "block"), ["sid", "block"]).groupBy("place").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
 def copies(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """doc_id, copies: how often the mix takes the block in which a document starts, for mixes of whole documents."""
-    rows, slots = _blocks_and_slots(docs, seed)
-    at = rows.where("size > 0").select("doc_id", "sid", F.expr(_block_at("start")).alias("block"))
-    return at.join(slots.select("sid", "block"), ["sid", "block"]).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    """doc_id, copies: how often the mix of whole documents takes each row that it takes."""
+    rows, slots, _ = _blocks_and_slots(docs, seed)
+    return rows.select("doc_id", "place").join(_copies(rows, slots), "place").select("doc_id", "copies")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The documents of the mix, whole: a document appears as often as the mix takes its block."""
-    n = copies(docs, seed)
-    out = docs.join(n, docs.doc_id.eqNullSafe(n.doc_id)).drop(n.doc_id)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs.columns))
+    rows, slots, repeats = _blocks_and_slots(docs, seed)
+    own, number, place, times, copy = unused(docs, "identity", "number", "place", "times", "copy")
+    n = _copies(rows, slots).select(F.col("place").alias(place), F.col("copies").alias(times))
+    if repeats is not None:
+        repeats = repeats.withColumnRenamed("identity", own)
+    out = numbered(docs.withColumn(own, identity(seed)), own, repeats, number)
+    out = out.withColumn(place, _place(own, number)).join(n, place)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
