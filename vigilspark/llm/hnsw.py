@@ -409,7 +409,7 @@ def searched(classes: DataFrame, threshold: float) -> DataFrame:
     count = F.create_map(*(F.lit(v) for d, s in shards.items() for v in (d, s)))[F.col("dim")]
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), count))
     names: dict[int, list[str]] = {}
-    for row in dealt.groupBy("dim", "shard").applyInArrow(build, "dim long, name string").orderBy("name").collect():
+    for row in sorted(dealt.groupBy("dim", "shard").applyInArrow(build, "dim long, name string").collect()):
         names.setdefault(row["dim"], []).append(row["name"])
     dims = list(names)
     ends = list(accumulate(len(names[d]) * (len(names[d]) + 1) // 2 for d in dims))

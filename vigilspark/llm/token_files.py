@@ -12,9 +12,9 @@ reports its size; bases come from the prefix sum over the reported parts (one ro
 corpus), and a second pass shifts the small offset files only. Each attempt of a task writes names of its own,
 so a lost or repeated attempt leaves files that no manifest names.
 
-Cases: null texts are documents with the end id alone; rows with a null key are written first, with the
-smallest 64-bit number for a key; repeated keys stay separate documents, ordered by text; an empty table
-gives an empty manifest.
+Cases: null texts are documents with the end id alone; a very long text is encoded whole, in a step of its own; rows with
+a null key are written first, with the smallest 64-bit number for a key; repeated keys stay separate documents, ordered by
+text, in one part, as a part covers a range of keys; other columns are dropped; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm.util import fresh_path, steps
+from vigilspark.llm.util import arrow_folder, fresh_path, qualified, steps
 
 NULL_KEY = -(1 << 63)
 #: Bytes of stored input for each part, where that makes more parts than the session's shuffles have.
@@ -41,13 +41,9 @@ PART_BYTES = 128 << 20
 _MANIFEST = "part int, name string, n_docs long, n_ids long"
 
 
-def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     """A file as an array: mapped into memory where it is a local path, else read."""
-    fs, path = _opened(folder)
+    fs, path = arrow_folder(folder)
     path = f"{path}/{name}"
     if fs.get_file_info(path).size == 0:
         return np.zeros(0, dtype)
@@ -57,6 +53,18 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def lowers_first(normaliser: dict | None) -> bool:
+    """Whether a tokenizer's normaliser lower-cases, after steps that lower-casing ASCII letters before them doesn't change."""
+    steps_ = (normaliser or {}).get("normalizers", [normaliser] if normaliser else [])
+    for step in steps_:
+        if step["type"] == "Lowercase":
+            return True
+        blank = step["type"] == "Replace" and step["pattern"].get("Regex") in (r"\s", r"\s+")
+        if not blank and step["type"] not in ("NFC", "NFD", "NFKC", "NFKD"):
+            return False
+    return False
+
+
 class LibraryEncoder:
     """The tokenizers library behind a cache of words: its split never joins what white space separates,
     so each distinct word is encoded once by the library and a text is the sequence of its words' ids, which are
@@ -76,7 +84,8 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = self.packed([end_id])
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
-        self.lowers = all(ids(w) == ids(w.lower()) for w in ("The", "QUICK", "bRoWn", "I'LL"))
+        with open(path, encoding="utf-8") as f:
+            self.lowers = lowers_first(json.load(f).get("normalizer"))
         marked = ids("7")
         self.mark = marked[0] if len(marked) == 1 and ids("a. 7 b") == [*ids("a."), *marked, *ids("b")] else None
         self.words: dict[bytes, bytes] = {}
@@ -135,6 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Returns the manifest, also written to folder/manifest: part, name, n_docs, n_ids, base."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     if parts is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, by the planner
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES) if size < 1 << 60 else 1)
@@ -145,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         encoder = _encoder(tokenizer_path, end_id)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        fs, top = _opened(folder)
+        fs, top = arrow_folder(folder)
         fs.create_dir(top, recursive=True)
         n_docs = n_ids = 0
         with fs.open_output_stream(f"{top}/{name}.ids") as ids_file, fs.open_output_stream(f"{top}/{name}.loc") as off_file, fs.open_output_stream(f"{top}/{name}.key") as key_file:
@@ -173,7 +183,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     manifest = spark.createDataFrame([(*r, b) for r, b in zip(sizes, bases, strict=True)], f"{_MANIFEST}, base long")
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = _opened(folder)
+        fs, top = arrow_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 moved = _mapped(folder, f"{row['name']}.loc", "<u8") + np.uint64(row["base"])
@@ -191,6 +201,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 def read_token_files(spark: SparkSession, folder: str, vocabulary: int) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian
     unsigned 32-bit integers). One task maps one part at a time."""
+    folder = qualified(spark, folder)
     schema = f"{_MANIFEST}, base long"
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -214,7 +225,7 @@ def read_token_files(spark: SparkSession, folder: str, vocabulary: int) -> DataF
 
 
 def ids_of(folder: str, name: str, base: int, at: int, vocabulary: int) -> np.ndarray:
-    """The ids of the at-th document of a part, straight from the mapped files."""
+    """The ids of the at-th document of a part, straight from the mapped files. folder: a full address."""
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     offsets = _mapped(folder, f"{name}.off", "<u8")
     return _mapped(folder, f"{name}.ids", dtype)[int(offsets[at]) - base : int(offsets[at + 1]) - base]
