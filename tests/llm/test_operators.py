@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vigilspark.llm import bpe, chat, hnsw, language_id, mixing, order_minhash, queries, simhash, substring_dedup, token_files, url_filter
+from vigilspark.llm import bpe, chat, hnsw, language_id, mixing, order_minhash, queries, simhash, substring_dedup, token_files, url_filter, util
 from vigilspark.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -202,10 +202,29 @@ def test_op10_files(spark, docs, texts, tmp_path):
     at = 0
     for p in parts:
         assert p.base == sum(map(len, flat[:at]))
-        assert token_files.ids_of(folder, p.name, p.base, 0, 49408).tolist() == flat[at]
+        assert token_files.ids_of(f"file:{folder}", p.name, p.base, 0, 49408).tolist() == flat[at]
         at += p.n_docs
 
 
+def test_lower_casing_is_read_from_the_file():
+    nfc, blank, lower = {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}
+    assert token_files.lowers_first({"type": "Sequence", "normalizers": [nfc, blank, lower]}) and token_files.lowers_first(lower)
+    other = {"type": "Replace", "pattern": {"String": "A"}, "content": "x"}
+    assert not any(token_files.lowers_first(n) for n in (None, nfc, {"type": "Sequence", "normalizers": [other, lower]}))
+
+
+def test_shared_folders(spark, tmp_path):
+    """A path without a scheme, and one with, come to the same full address, which tasks open."""
+    plain = util.qualified(spark, str(tmp_path))
+    assert plain == util.qualified(spark, f"file:{tmp_path}") == f"file:{tmp_path}" and util.shared_dir(spark).startswith("file:/")
+    fs, path = util.arrow_folder(plain)
+    with fs.open_output_stream(f"{path}/x") as f:
+        f.write(b"y")
+    assert (tmp_path / "x").read_bytes() == b"y" and util.arrow_folder(f"file://{tmp_path}")[1] == path
+    util.discard(spark, plain)
+    assert not tmp_path.exists()
+
+
 def test_op10_odd(spark, odd, empty):
     r = token_files.write_and_read(odd, PATH, 2).collect()
     assert len(r) == odd.count() and min(x.n_tokens for x in r) == 1
@@ -262,21 +281,171 @@ def test_op3_odd(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_op3_recall_with_dense_groups():
-    rng = np.random.default_rng(0)
-    base = hnsw.unit(rng.standard_normal((2500, 48)))
-    group = hnsw.unit(base[0] + 0.02 * rng.standard_normal((500, 48)))
-    x = np.concatenate([base, group])
-    index = hnsw.Hnsw(x)
-    beam = hnsw.audited_beam(index, x, x, 0.95, rng)
-    i, j = hnsw.linked(index, x, x, 0.95, beam)
-    assert len(i) >= 0.999 * (x @ x.T >= 0.95).sum()
-    assert ((x[i] * x[j]).sum(1) >= 0.95).all()
+def test_op3_repeated_and_null_ids(spark):
+    """A vec_id that names two vectors gives each row its own count; null ids count, and are named by a linked vector."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.02]), (None, [-1.0, 0.0]), (3, [0.01, 1.0]), (4, [0.0, 2.0])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def dense_table(n, copies, noise, seed=0, dim=48):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal(dim)
+    x = hnsw.unit(np.concatenate([rng.standard_normal((n - copies, dim)), centre + noise * rng.standard_normal((copies, dim))]))
+    rng.shuffle(x)
+    return x
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.22])
+def test_op3_a_third_near_copies(noise):
+    """Tight groups, and loose ones that the threshold cuts through: counts and components as brute force has them."""
+    x, y = dense_table(1800, 600, noise), dense_table(900, 300, noise)
+    mine, theirs = (hnsw.Shard.build(v, np.arange(len(v)), np.ones(len(v), int)) for v in (y, x))
+    for query in (theirs, mine):
+        beam, recall = theirs.audited_beam(query.x, 0.95, np.random.default_rng(1))
+        assert recall >= 0.99
+        links, label, exact = theirs.fold(query, 0.95, beam)
+        near = hnsw.within(query.x, x, 0.95)
+        if query is theirs:
+            np.fill_diagonal(near, False)
+        truth = near.sum(1) if query is theirs else np.concatenate([near.sum(1), near.sum(0)])
+        assert exact and links.sum() >= 0.999 * truth.sum() and (links <= truth).all()
+        i, j = np.nonzero(near)
+        assert (label == simhash.forest(len(truth), [(i, j + (0 if query is theirs else len(y)))])).mean() > 0.999
+
+
+def test_op3_exact_products_agree(monkeypatch):
+    """Queries answered by blocks of exact products count as those that the graph answers, whichever way a pair is found."""
+    x = dense_table(700, 80, 0.1)
+    shard = hnsw.Shard.build(x, np.arange(len(x)), np.arange(1, len(x) + 1))
+    graph = shard.fold(shard, 0.95, 192)
+    monkeypatch.setattr(hnsw, "BLOCK", 5000)
+    for got in (shard.fold(shard, 0.95, 0), shard.fold(shard, 0.95, 24)):
+        assert (got[0] == graph[0]).all() and (got[1] == graph[1]).all()
+
+
+def test_op3_links_reach_strays():
+    """Nodes that no path reaches are found by every query; a missing file is an error."""
+    x = dense_table(400, 0, 0.1)
+    shard = hnsw.Shard.build(x, np.arange(400), np.ones(400, int))
+    lost = np.flatnonzero(shard.index.level == 0)[:20]
+    for layer in shard.index.links[:1]:
+        layer[np.isin(layer, lost)] = -1
+    shard.strays = shard.index.strays()
+    assert set(lost) <= set(shard.strays.tolist())
+    i, j, _ = shard.sparse_links(x[lost], 0.95, 24)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(k, v) for k, v in enumerate(lost.tolist())]
+
+
+def test_op3_lost_shard_raises(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        hnsw.Shard.load(f"file:{tmp_path}", "1-2-gone")
+
+
+def test_op3_audits_are_reported(spark, tmp_path):
+    x = dense_table(1500, 500, 0.05)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df, audits=f"{tmp_path}/audits").collect()}
+    audits = spark.read.parquet(f"{tmp_path}/audits").collect()
+    assert len(audits) == 6 and all(r.recall >= 0.9 for r in audits)
+    near = hnsw.within(x, x, 0.95)
+    truth = near.sum(1) - 1
+    found = np.array([got[i][0] for i in range(len(x))])
+    assert found.sum() >= 0.99 * truth.sum() and (found <= truth).all()
+    label = simhash.forest(len(x), [np.nonzero(near)])
+    assert np.mean([got[i][1] == label[i] for i in range(len(x))]) > 0.999
 
 
 # -- op4 -------------------------------------------------------------------------------------------
 
 
+def plain_languages(rows, languages=("de", "en", "es", "fr"), pages=()):
+    """id → (language, posterior), from rows (id, text, declared, host) and pages (id, text, declared, suffix, host, domain), by
+    dictionaries of byte trigrams: what `identify` does while every labelled row is in its sample."""
+    classes = [*languages, "und"]
+    slots, fold = language_id.SLOTS, lambda b: b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    word = lambda b: letter(b) or b == 32 or 9 <= b <= 13
+
+    def grams(text):
+        t = (text or "").encode()
+        out = Counter()
+        for x, y, z in zip(t, t[1:], t[2:], strict=False):
+            if word(x) and letter(y) and word(z):
+                out[(((fold(x) << 16 | fold(y) << 8 | fold(z)) * 2654435761) & 0xFFFFFFFF) >> (32 - (slots.bit_length() - 1))] += 1
+        return out
+
+    everything = [(i, grams(t), d, None, h, None) for i, t, d, h in rows] + [(i, grams(t), *rest) for i, t, *rest in pages]
+    counts = {c: Counter() for c in languages}
+    for (_, g, _, _, _, _), (_, t, d, _) in zip(everything, rows, strict=False):
+        if d in counts and t is not None:
+            counts[d].update(g)
+    total = {c: sum(v.values()) for c, v in counts.items()}
+    pooled_all = sum(total.values()) + 0.01 * slots
+
+    def log_p(c, s):
+        pooled = (sum(counts[x][s] for x in languages) + 0.01) / pooled_all
+        return math.log((1 - language_id.UNSEEN) * (counts[c][s] + 200 * pooled) / (total[c] + 200) + language_id.UNSEEN / slots)
+
+    cache = {}
+    evidence = []
+    for _, g, *_ in everything:
+        n = sum(g.values())
+        e = None
+        if n:
+            e = []
+            for c in languages:
+                e.append(sum(k * cache.setdefault((c, s), log_p(c, s)) for s, k in g.items()))
+            e.append(n * math.log(1 / slots))
+            e = [x * min(1.0, language_id.TEXT_WEIGHT / n) for x in e]
+        evidence.append(e)
+    suggested = ["und" if e is None else classes[max(range(5), key=lambda k: (e[k], -k))] for e in evidence]
+    seen = [float(suggested.count(c)) for c in classes]
+    prior_all = [(x + 1) / (sum(seen) + 5) for x in seen]
+
+    def tally(keys):
+        out = defaultdict(lambda: [0.0] * 5)
+        for key, s in zip(keys, suggested, strict=True):
+            if key is not None:
+                out[key][classes.index(s)] += 1
+        return out
+
+    smoothed = lambda own, above: [(x + language_id.HOST_PRIOR * p) / (sum(own) + language_id.HOST_PRIOR) for x, p in zip(own, above, strict=True)]
+    hosted = [r[4] not in (None, "") for r in everything]
+    domains = tally([(r[5],) if ok else None for r, ok in zip(everything, hosted, strict=True)])
+    hosts = tally([(r[4], r[5]) if ok else None for r, ok in zip(everything, hosted, strict=True)])
+    given = {}
+    for column in (2, 3):
+        for value, own in tally([r[column] or None for r in everything]).items():
+            share = sum(own) / max(sum(seen), 1.0)
+            given[column, value] = [math.log((x + language_id.DECLARED_PRIOR * share) / (m + language_id.DECLARED_PRIOR)) for x, m in zip(own, seen, strict=True)]
+    out = {}
+    for r, e, ok in zip(everything, evidence, hosted, strict=True):
+        prior = smoothed(hosts[r[4], r[5]], smoothed(domains[r[5],], prior_all)) if ok else prior_all
+        if e is None:
+            out[r[0]] = ("und", 0.0)
+            continue
+        t = [x + math.log(p) for x, p in zip(e, prior, strict=True)]
+        for column in (2, 3):
+            t = [x + y for x, y in zip(t, given.get((column, r[column] or None), [0.0] * 5), strict=True)]
+        p = [math.exp(x - max(t)) for x in t]
+        k = max(range(5), key=lambda k: (p[k], -k))
+        out[r[0]] = (classes[k], p[k] / sum(p))
+    return out
+
+
+def test_op4_brute_force(spark):
+    """The fused posterior of every document and page, by dictionaries."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    pages = language_id.page_rows(spark.read.parquet(f"{DIR}/pages.parquet")).collect()
+    want = plain_languages([(("d", r.doc_id), r.text, (r.lang or "").lower() or None, r.source) for r in docs], pages=[(("p", r.page_id), r.text, r.declared, r.suffix, r.host, r.domain) for r in pages])
+    got = queries.op4_language_id(spark, DIR).collect()
+    assert len(got) == len(want)
+    for r in got:
+        lang, p = want["d", r.doc_id] if r.doc_id is not None else want["p", r.page_id]
+        assert r.lang == lang and abs(r.confidence - p) < 1e-4 and r.accepted == (lang != "und" and r.confidence >= language_id.LEAST)
+
+
 def test_op4_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
@@ -353,6 +522,45 @@ def test_op5_random(spark):
     assert got == without_repeats(rows)
 
 
+def test_op5_colliding_words(spark):
+    """Two Thue-Morse words agree in any polynomial hash modulo 2**64; the words before them repeat, the windows don't."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    nineteen = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{nineteen} {x}"), (2, f"{nineteen} {y}"), (3, f"{x} {nineteen}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()) == [(1, 20, 0), (2, 20, 0), (3, 20, 0)]
+
+
+def test_op5_word_hashes():
+    """Words of every length: equal words have equal hashes in both halves, unlike words in neither."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 30, 31, 32, 33, 34, 70]))) for _ in range(4000)]
+    words += [w[::-1] for w in words]
+    text = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    got = substring_dedup.Words(*util.text_bytes(pa.array(text)))
+    for half in (got.hash, got.other):
+        assert len(set(zip(words, half.tolist(), strict=True))) == len(set(words)) == len(set(half.tolist()))
+    assert not set(got.hash.tolist()) & set(got.other.tolist())
+
+
+def test_op5_lost_sketch_raises(tmp_path):
+    some = np.arange(1000, dtype=np.uint64)
+    assert not substring_dedup.estimated_repeated(some, f"file:{tmp_path}", {}, 1 << 16).any()
+    with pytest.raises(FileNotFoundError):
+        substring_dedup.estimated_repeated(some, f"file:{tmp_path}", {(0, 0): "gone", (1, 0): "gone"}, 1 << 16)
+
+
+def test_op5_rows_that_share_an_id(spark):
+    """Rows of one id are told apart by their texts: what repeats in itself goes, the other row's spans don't touch it."""
+    a, b = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
+    rows = [(None, f"{a} {a}", 1, 2), (None, f"{b} {b} tail", 3, 4), (None, f"{a} {a}", 5, 6), (5, f"{a} tail", 7, 8), (5, b, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _spans int").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r._key) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(0, 50, 25, 1), (0, 50, 25, 5), (0, 51, 25, 3), (5, 25, 25, 9), (5, 26, 25, 7)]
+
+
 def test_op5_odd(odd, empty):
     r = substring_dedup.remove_repeats(odd).collect()
     assert len(r) == odd.count()
@@ -470,8 +678,48 @@ def test_op7_layouts(spark):
         chat.canonical(spark.createDataFrame([(1, "x")], "conv_id int, odd string"))
     records = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"prompt": "q", "response": "a", "id": 3}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"instruction": "q", "output": "a"}', "broken", None]
     got = chat.canonical_json(spark.createDataFrame(list(enumerate(records)), "conv_id int, record string")).orderBy("conv_id").collect()
-    assert [r.layout for r in got] == ["messages", "prompt_response", "conversations", "instruction_only", None, None]
-    assert all([(m.role, m.text) for m in r.turns] == turns for r in got[:4]) and got[5].turns is None
+    assert [r.layout for r in got] == ["messages", "prompt_response", "conversations", "instruction_only", chat.UNKNOWN, chat.UNKNOWN]
+    assert [[(m.role, m.text) for m in r.turns] for r in got] == [turns] * 4 + [[]] * 2
+
+
+def test_op7_fingerprints_select(spark, monkeypatch):
+    """The hash of the field paths decides, for turn rows too: a renamed field has no layout until its hash is in the table."""
+    turn_rows = spark.createDataFrame([(1, 1, "assistant", "a"), (1, 0, "user", "q")], "conv_id int, turn int, role string, text string")
+    assert chat.table_layout(turn_rows) == chat.FINGERPRINTS[chat.fingerprint(("turn", "role", "text"))] == "turn_rows"
+    renamed = turn_rows.withColumnRenamed("text", "body")
+    with pytest.raises(ValueError):
+        chat.canonical(renamed)
+    paths, sql = chat.LAYOUTS["turn_rows"]
+    monkeypatch.setitem(chat.LAYOUTS, "turn_rows", (("body", "role", "turn"), sql.replace("coalesce(text, '')", "coalesce(body, '')")))
+    monkeypatch.setitem(chat.FINGERPRINTS, chat.fingerprint(("body", "role", "turn")), "turn_rows")
+    monkeypatch.setattr(chat, "_KNOWN", [*chat._KNOWN, "body"])
+    assert [[(m.role, m.text) for m in r.turns] for r in chat.canonical(renamed).collect()] == [[("user", "q"), ("assistant", "a")]]
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(chat, "FINGERPRINTS", {})
+        chat.table_layout(turn_rows)
+
+
+def test_op7_records_of_more_than_one_layout(spark):
+    """Fields of two layouts: the largest whole one. Elements that lack a field, and empty lists, have their layout all the same."""
+    records = [
+        '{"prompt": "p", "messages": [{"role": "user", "content": "q"}]}',
+        '{"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}',
+        '{"messages": []}',
+        '{"messages": [{"role": "user"}]}',
+        '{"instruction": "i", "input": "n", "output": "o", "prompt": "p", "response": "r"}',
+        '[1]',
+    ]
+    got = chat.canonical_json(spark.createDataFrame(list(enumerate(records)), "conv_id int, record string")).orderBy("conv_id").collect()
+    assert [r.layout for r in got] == ["messages", "messages", "messages", chat.UNKNOWN, "instruction", chat.UNKNOWN]
+    assert [[(m.role, m.text) for m in r.turns] for r in got] == [[("user", "q")], [("user", ""), ("assistant", "a")], [], [], [("user", "i\nn"), ("assistant", "o")], []]
+
+
+def test_op7_odd(spark):
+    """A null conv_id, repeated rows, ties of turns, a very long text; clashing names."""
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (1, None, None, None), (2, 3, "b", "t"), (2, 3, "a", "u"), (2, 3, "a", "t"), (3, 0, "assistant", LONG + " </s>")]
+    df = spark.createDataFrame([(*r, "f", "p", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, _p string, turns int")
+    got = {r.conv_id: [(m.role, m.text) for m in r.turns] for r in chat.read_back(chat.formatted(chat.canonical(df))).collect()}
+    assert got == {None: [("user", "x")] * 2, 1: [("", "")], 2: [("a", "t"), ("a", "u"), ("b", "t")], 3: [("assistant", LONG + " </s>")]}
 
 
 # -- op8 -------------------------------------------------------------------------------------------
@@ -596,6 +844,30 @@ def test_op9_odd(odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
 
 
+def test_op9_null_and_repeated_ids_stay_rows(spark):
+    """Rows with a null id, rows of one id and rows equal in all but another column: each is a document of its own."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(5, 40)))
+    rows = [(None, text(), "s0", 1, 1) for _ in range(1000)] + [(7, text(), "s1", 1, 1) for _ in range(1000)]
+    rows += [(8, "the same text", "s0", 1, i) for i in range(1000)] + [(100 + i, text(), f"s{i % 3}", 1, 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _copy int").repartition(7)
+    want = sum(t.target for t in mixing.targets(mixing.sized(docs)).collect())
+    mix = mixing.mix(docs).collect()
+    assert len(mix) == 4000 and all(0 <= r.taken <= 2 * r.size for r in mix)
+    assert abs(sum(r.taken for r in mix) - want) < 0.02 * want
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    times = Counter(tuple(r) for r in out.collect())
+    have = Counter(rows)
+    assert all(0 < n <= 2 * have[r] for r, n in times.items())
+    assert abs(sum(n * len(split(r[1])) for r, n in times.items()) - want) < 0.1 * want
+    again = Counter(tuple(r) for r in mixing.mixed_documents(docs.repartition(3)).select("doc_id", "text", "source").collect())
+    by_text = Counter()
+    for r, n in times.items():
+        by_text[r[:3]] += n
+    assert again == by_text
+
+
 def test_op9_blocks_cover_each_word_once(spark):
     """With weight for two passes over everything each document is taken twice."""
     df = spark.createDataFrame([(i, "w " * (i % 37), f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string")

@@ -1,18 +1,66 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import DOCS, LONG, PATH, prints, reach, split, without_repeats
-from vigilspark.llm import language_id, mixing
+from test_operators import DOCS, LONG, PATH, plain_languages, plain_targets, prints, reach, split, without_repeats
+from vigilspark.llm import language_id, mixing, near_copies
 
 DIR = "/root/testdata/sf0.001"
 
 
+def five_word_runs(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_copies(docs):
+    """How often a mix of whole documents takes each: blocks of the sources' shuffled words under golden-ratio slots."""
+    size = {i: len(split(r.text)) for i, r in docs.items()}
+    total = Counter()
+    for i, r in docs.items():
+        total[r.source] += size[i]
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    target = plain_targets(total)
+    blocks = {s: min(total[s], max(-(-total[s] // mixing.BLOCK_WORDS), mixing.LEAST_BLOCKS)) for s in names}
+    want = {s: target[s] * blocks[s] / total[s] if blocks[s] else 0.0 for s in names}
+    ends, at = {}, 0.0
+    for s in names:
+        at += want[s]
+        ends[s] = at
+    taken = {s: [] for s in names}
+    for slot in range(round(at)):
+        u = (slot + 0.5) * mixing.GOLDEN
+        u -= math.floor(u)
+        s = next(s for s in names if u < ends[s] / at)
+        taken[s].append(len(taken[s]))
+    times = {s: Counter(t % blocks[s] for t in turns if t < 2 * blocks[s]) for s, turns in taken.items()}
+
+    def place(i, r):
+        parts = ["42", f"={i}", hashlib.md5((r.text or "").encode()).hexdigest(), "" if r.source is None else f"={r.source}"]
+        return hashlib.md5(":".join(parts).encode()).hexdigest()
+
+    out = {}
+    for s in names:
+        q, rest = divmod(total[s], max(blocks[s], 1))
+        start = 0
+        for i, r in sorted(((i, r) for i, r in docs.items() if r.source == s), key=lambda x: place(*x)):
+            if size[i]:
+                block = start // (q + 1) if start < rest * (q + 1) else rest + (start - rest * (q + 1)) // max(q, 1)
+                if times[s][block]:
+                    out[i] = times[s][block]
+            start += size[i]
+    return out
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns = docs.columns
@@ -23,12 +71,15 @@ def test_stages(spark, tmp_path):
         out = spark.read.parquet(str(tmp_path / str(k)))
         rows = out.collect()
         if name == "language ID":
-            good = {r.doc_id for r in language_id.identify(docs).where("accepted").collect()}
+            fused = plain_languages([(i, r.text, (r.lang or "").lower(), r.source) for i, r in before.items()])
+            good = {i for i, (lang, p) in fused.items() if lang != "und" and p >= language_id.LEAST}
             assert {r.doc_id for r in rows} == good and len(good) >= 0.97 * len(before)
         if name == "SimHash near-dedup":
             ids = sorted(before)
             fp = [prints(before[i].text) for i in ids]
-            least = reach([{j for j in range(len(ids)) if j != i and (fp[i] ^ fp[j]).bit_count() <= 2} for i in range(len(ids))])
+            runs = [five_word_runs(before[i].text) for i in ids]
+            linked = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 2 or 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j]) > 0
+            least = reach([{j for j in range(len(ids)) if j != i and linked(i, j)} for i in range(len(ids))])
             assert sorted(r.doc_id for r in rows) == sorted({ids[x] for x in least})
         if name == "substring dedup":
             want = without_repeats([(i, r.text) for i, r in before.items()])
@@ -38,7 +89,7 @@ def test_stages(spark, tmp_path):
                 assert hashlib.sha256(b" ".join(split(r.text))).hexdigest() == digest and r.n_chars == len(r.text)
                 assert gone or r.text == before[r.doc_id].text
         if name == "source mix":
-            copies = {r.doc_id: r.copies for r in mixing.copies(docs).collect()}
+            copies = plain_copies(before)
             kept = {r.doc_id: 0 for r in rows}
             for r in rows:
                 kept[r.doc_id] += 1
@@ -87,6 +138,64 @@ def test_stages_take_odd_rows(spark, tmp_path):
         docs = out
 
 
+def test_stages_take_clashing_names_and_rows_without_ids(spark, tmp_path):
+    """Columns named like the stages' own, a thousand rows without an id and a thousand of one id: each is judged by itself."""
+    rng = random.Random(8)
+    known = "the and of to in is that for it was on with as his they be at one have this".split()
+    text = lambda: " ".join(rng.choice(known) + rng.choice(known) if rng.random() < 0.5 else rng.choice(known) for _ in range(40))
+    names = ("_id", "copies", "_copy", "_key", "_spans", "_identity", "_number", "identity", "place", "row", "_hash")
+    unlike = [text() for _ in range(2000)]
+    rows = [(None, t, "en", "s", 1, *[k] * len(names)) for k, t in enumerate(unlike[:1000])] + [(5, t, "en", "t", 1, *[k] * len(names)) for k, t in enumerate(unlike[1000:])]
+    rows += [(None, unlike[0], "en", "s", 1, *[9] * len(names))] * 300 + [(None, "", "en", "s", 0, *[9] * len(names))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)).repartition(5)
+    words = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        words[name] = out.selectExpr("sum(size(split(text, ' ')))").first()[0]
+        assert out.columns == docs.columns
+        if name == "language ID":
+            assert out.where("text = ''").count() == 0 and out.count() >= 2200
+        if name == "SimHash near-dedup":
+            assert {r.text for r in out.collect()} == set(unlike) and out.count() == 2000
+        if name == "substring dedup":
+            assert out.count() == 2000
+        docs = out
+    assert words["source mix"] <= 2 * words["substring dedup"] and docs.count() <= 4000
+
+
+def test_near_copies_in_one_bucket(spark):
+    """Groups that share runs with one another without being alike: all links within, none between; by brute force."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common = [word() for _ in range(120)]
+    texts = []
+    for _ in range(12):  # groups alike in 120 of 190 words
+        own = common + [word() for _ in range(70)]
+        for _ in range(6):
+            near = own.copy()
+            near[rng.randrange(10, 180)] = word()
+            texts.append(" ".join(near))
+    runs = [five_word_runs(t) for t in texts]
+    least = reach([{j for j in range(len(texts)) if j != i and 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j])} for i in range(len(texts))])
+    assert len(set(least)) == 12
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()} == set(least)
+
+
+def test_across_is_exact_on_minima():
+    rng = np.random.default_rng(5)
+    n = 60
+    marks = rng.integers(0, 3, (n, 96), dtype=np.uint8)
+    marks[1::2] = marks[::2]
+    marks[1::4, :50] = 9
+    group = pa.table({"node": np.arange(n), "component": np.arange(n) % 20, "n": rng.integers(80, 100, n), "marks": pa.array([m.tobytes() for m in marks], pa.binary())})
+    got = near_copies._across((), group)
+    size, c = group.column("n").to_numpy(), group.column("component").to_numpy()
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if c[i] != c[j] and (marks[i] == marks[j]).sum() >= near_copies.LEAST_ALIKE and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    assert set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) == want and want
+
+
 def test_near_copies_go(spark):
     """Five-word similarity of 0.8 or more, fingerprints beyond two bits; and pairs just under 0.8 stay."""
     rng = random.Random(3)

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.util import checkpointed, steps, text_bytes
+from vigilspark.llm.identity import marked
+from vigilspark.llm.util import checkpointed, steps, text_bytes, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Labelled rows that the text model is fitted on, at most (about; chosen by hash).
@@ -161,9 +162,10 @@ def fuse(rows: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFram
     return out.withColumn("text_lang", F.col("suggested")).withColumn("accepted", wanted).drop("_t", "_e", "prior", "suggested", "evidence", "_declared_given", "_suffix_given")
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as rows of evidence: the lang column is what is declared, the source stands for the host."""
-    return docs.select(F.col("doc_id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
+def document_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Documents as rows of evidence: the lang column is what is declared, the source stands for the host. row: a column
+    that comes along."""
+    return docs.select(F.col("doc_id"), *([F.col(row).alias("row")] if row else []), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -190,6 +192,11 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, languages=LANGUAGE
 
 
 def accepted_documents(docs: DataFrame, languages=LANGUAGES, least: float = LEAST) -> DataFrame:
-    """The documents whose language is accepted, with their columns."""
-    good = identify(docs, None, languages, least).where("accepted").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The documents whose language is accepted, with their columns. Each row is judged by itself, also where ids repeat."""
+    identity = F.md5(F.concat_ws(":", marked("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.length(marked("lang")).cast("string"), marked("lang"), marked("source")))
+    (own,) = unused(docs, "identity")
+    keyed = docs.withColumn(own, identity)
+    rows = document_rows(keyed, own)
+    out = fuse(text_evidence(rows, fit_text(labelled_documents(docs), languages)), languages, least)
+    good = checkpointed(out.where("accepted").select(F.col("row").alias(own)).distinct())
+    return keyed.join(good, own, "left_semi").select(*docs.columns)

@@ -1,12 +1,17 @@
-"""Near copies by the text itself: pairs of documents whose sets of five-word runs have a Jaccard similarity of 0.8 or more.
-
-MinHash bands propose pairs, the sets decide. Each document gets 96 minima under as many permutations, in 24 bands of four;
-a pair at exactly 0.8 shares no band with a probability of 3 in a million. Documents with equal sets are one node. In each
-bucket all nodes are first compared with one of them, another in each band; then the pairs of a bucket that no link has yet
-brought together are compared as well. That spares a large group of near copies most of its square, but a bucket of many
-unlike documents is compared in full; what this costs on a table with large groups is not measured.
-
-Cases: null and empty texts have no runs and no links; fewer than five words are one run; a null key is kept as NULL_KEY.
+"""Near copies among texts, for the pipeline's SimHash stage: fingerprints within a budget of bits, by the trie join, and
+texts whose sets of five-word runs have a Jaccard similarity of 0.8 or more.
+
+Such texts differ in some ten of 64 fingerprint bits, and a trie join with that budget visits nearly all pairs (README),
+so minima under random permutations propose the second kind: 96 minima, in 24 bands of four; a pair at exactly 0.8 shares
+no band with a probability of 3 in a million. Texts with equal sets are one node. In each bucket all nodes are first
+compared with one of them; buckets whose nodes are then in more than one component are looked through for further pairs.
+A pair is compared in full, by its sets, unless the minima differ in so many places that a similarity of 0.8 is out of the
+question (under LEAST_ALIKE of 96: 4.4 standard deviations). Links within a large group of near copies are thus links to
+a few of them, and the shuffles carry band keys and minima, not texts; sets travel for proposed pairs only.
+
+Cases: null and empty texts have no runs; they share the fingerprint zero and are linked by it; fewer than five words are
+one run; rows that repeat an id are rows of their own, told apart by the text; where they repeat that too, one stays.
+A very long text is one step of a task, whole.
 """
 
 from __future__ import annotations
@@ -18,85 +23,167 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.llm import simhash
 from vigilspark.llm.components import connected_components
-from vigilspark.llm.simhash import shingle_hashes
-from vigilspark.llm.util import checkpointed, mix64, steps
+from vigilspark.llm.identity import marked, numbered, repeated
+from vigilspark.llm.util import checkpointed, discard, fresh_path, mix64, steps, unused
 
 WIDTH = 5
 BANDS, ROWS = 24, 4
-#: Stands for a null key, so that its links can be told from those of other rows.
-NULL_KEY = (1 << 63) - 1
+LEAST_ALIKE = 60
+#: Entries of a block of comparisons within a bucket.
+BLOCK = 4_000_000
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def run_sets(texts: list[bytes], seed: int) -> list[np.ndarray]:
-    return [np.unique(np.array(shingle_hashes(t, WIDTH, seed), np.uint64)) for t in texts]
+    return [np.unique(np.array(simhash.shingle_hashes(t, WIDTH, seed), np.uint64)) for t in texts]
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One key for each set (none empty) and band; keys of unlike bands don't meet."""
+def minima(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (none empty) a key for each band, and a byte of each minimum; keys of unlike bands don't meet."""
     flat = np.concatenate(sets)
     lengths = np.array([len(s) for s in sets])
     begins = np.cumsum(lengths) - lengths
     keys = np.zeros((len(sets), BANDS), np.uint64)
+    marks = np.zeros((len(sets), BANDS * ROWS), np.uint8)
     for k, seed in enumerate(_SEEDS):
         least = np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), begins)
         keys[:, k // ROWS] = mix64(keys[:, k // ROWS] * np.uint64(1_000_003) + least + np.uint64(k))
-    return keys
+        marks[:, k] = mix64(least) >> np.uint64(56)
+    return keys, marks
 
 
-def _nodes(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
-    """node, n (runs), same (equal for equal sets), keys."""
+def described(docs: DataFrame, seed: int) -> DataFrame:
+    """identity, doc_id, text -> identity, doc_id, fp (SimHash), n (runs), same (equal for equal sets), keys, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in steps(whole, text):
-                sets = run_sets([t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()], seed)
+            for batch in steps(whole, "text"):
+                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                sets = run_sets(texts, seed)
                 some = [i for i, s in enumerate(sets) if len(s)]
+                same, keys, marks = np.zeros(len(sets), np.uint64), [None] * len(sets), [None] * len(sets)
                 if some:
-                    sets = [sets[i] for i in some]
-                    keys = band_keys(sets)
-                    same = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(some)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same.view(np.int64)), lists], names=["node", "n", "same", "keys"])
+                    same[some] = [mix64(sets[i]).sum(dtype=np.uint64) for i in some]
+                    for i, k, m in zip(some, *minima([sets[i] for i in some]), strict=True):
+                        keys[i], marks[i] = k.view(np.int64), m.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("identity"),
+                        batch.column("doc_id"),
+                        pa.array(simhash.fingerprints(texts, 3, seed).view(np.int64)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(same.view(np.int64)),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(marks, pa.binary()),
+                    ],
+                    names=["identity", "doc_id", "fp", "n", "same", "keys", "marks"],
+                )
+
+    return docs.mapInArrow(run, "identity string, doc_id long, fp long, n long, same long, keys array<long>, marks binary")
+
+
+def _fits(x: str, y: str) -> str:
+    return f"5 * least({x}, {y}) >= 4 * greatest({x}, {y})"
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs a, b those whose sizes and minima allow a similarity of 0.8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_ALIKE))
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias(key), text).mapInArrow(run, "node long, n long, same long, keys array<long>")
+    both = pairs
+    for end, mark, n in (("a", "x", "na"), ("b", "y", "nb")):
+        both = both.join(nodes.select(F.col("node").alias(end), F.col("marks").alias(mark), F.col("n").alias(n)), end)
+    return both.where(_fits("na", "nb")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
-    """The pairs a, b with a similarity of 0.8 or more."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """The pairs a, b (checkpointed) with a similarity of 0.8 or more, by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in steps(whole, text):
-                sets = run_sets([t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()], seed)
+            for batch in steps(whole, "text"):
+                sets = run_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], seed)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "runs"])
 
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("node"), text).join(wanted, "node", "left_semi")
-    sets = checkpointed(texts.mapInArrow(run, "node long, runs array<long>").distinct())
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "identity"), "node")
+    # rows of one identity have one text
+    texts = docs.join(wanted, "identity").select("node", "text")
+    sets = checkpointed(texts.mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
-
-
-def similar_links(docs: DataFrame, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links a, b between keys that join all documents of a similarity of 0.8 or more."""
-    nodes = checkpointed(_nodes(docs, key, text, seed))
-    classes = checkpointed(nodes.groupBy("same", "n").agg(F.min("node").alias("node"), F.first("keys").alias("keys")))
-    copies = nodes.select("same", "n", F.col("node").alias("b")).join(classes.select("same", "n", F.col("node").alias("a")), ["same", "n"]).where("a <> b").select("a", "b").distinct()
-    rows = classes.select("node", "n", F.explode("keys").alias("key"))
-    first = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n"))
-    buckets = rows.groupBy("key").agg(first.alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = checkpointed(rows.join(buckets.select("key", F.col("f.node").alias("pivot"), F.col("f.n").alias("pivot_n")), "key"))
-    fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = checkpointed(members.where("node <> pivot").where(fits("n", "pivot_n")).select(*pair("node", "pivot")).distinct())
-    found = checkpointed(_verified(tried, docs, key, text, seed).unionAll(copies))
-    named = members.join(connected_components(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    apart = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = checkpointed(named.join(apart, "key", "left_semi"))
-    other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = left.join(other, "key").where("c < c2").where(fits("n", "n2")).select(*pair("node", "node2")).distinct()
-    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    return found.unionAll(_verified(rest, docs, key, text, seed))
+    return checkpointed(both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def _across(key: tuple, group: pa.Table) -> pa.Table:
+    """Pairs of a bucket, of unlike components, whose sizes and minima allow a similarity of 0.8."""
+    group = group.combine_chunks()
+    node, c, n = (group.column(x).to_numpy() for x in ("node", "component", "n"))
+    marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, BLOCK // (len(node) * BANDS * ROWS))
+    for at in range(0, len(node), step):
+        own = slice(at, at + step)
+        near = (c[own, None] < c) & (5 * np.minimum(n[own, None], n) >= 4 * np.maximum(n[own, None], n))
+        i, j = np.nonzero(near)
+        for part in np.array_split(np.arange(len(i)), max(1, len(i) * BANDS * ROWS // BLOCK)):
+            ok = part[(marks[at + i[part]] == marks[j[part]]).sum(1) >= LEAST_ALIKE]
+            a.append(np.minimum(node[at + i[ok]], node[j[ok]]))
+            b.append(np.maximum(node[at + i[ok]], node[j[ok]]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def components(rows: DataFrame, docs: DataFrame, budget: int, seed: int) -> DataFrame:
+    """node, component (smallest node reachable) of the rows that have a link. rows: `described`, with node; docs: identity, text."""
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("node").alias("first")))
+    sets = checkpointed(rows.where("n > 0").groupBy("same", "n").agg(F.min("node").alias("node"), F.first("identity").alias("identity"), F.first("keys").alias("keys"), F.first("marks").alias("marks")))
+    by_print = rows.select("node", "fp").join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    by_set = rows.select("same", "n", F.col("node").alias("a")).join(sets.select("same", "n", F.col("node").alias("b")), ["same", "n"]).where("a <> b").select("a", "b")
+    links = checkpointed(by_print.unionAll(by_set).unionAll(simhash.trie_links(prints.select("fp", F.col("first").alias("node")), budget)))
+
+    banded = sets.select("node", F.explode("keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("key", "pivot")
+    members = checkpointed(banded.join(buckets, "key"))
+    tried = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    found = _verified(checkpointed(_alike(tried, sets)), sets, docs, seed)
+    reached = checkpointed(connected_components(links.unionAll(found)))
+    named = members.join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = named.join(apart, "key", "left_semi").join(sets.select("node", "n", "marks"), "node")
+    more = left.groupBy("key").applyInArrow(_across, "a long, b long").distinct()
+    further = _verified(checkpointed(more), sets, docs, seed)
+    if further.isEmpty():
+        return reached
+    return connected_components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(further))
+
+
+def distinct_documents(docs: DataFrame, budget: int = 2, seed: int = 42) -> DataFrame:
+    """The documents, with their columns, less all but one of each group: the one with the smallest doc_id stays (null ids
+    come last; of rows that share the id, the one whose text has the smallest hash)."""
+    spark = docs.sparkSession
+    own, number = unused(docs, "identity", "number")
+    identity = F.md5(F.concat_ws(":", marked("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(own, identity)
+    slim = docs.select(identity.alias("identity"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    path = fresh_path(spark, "described")
+    described(slim, seed).select(F.monotonically_increasing_id().alias("node"), "*").write.parquet(path)
+    rows = spark.read.parquet(path)
+    repeats = repeated(rows, "identity")
+    reached = components(rows, slim.select("identity", "text"), budget, seed)
+    grouped = rows.select("node", "identity", "doc_id").join(reached, "node")
+    grouped = checkpointed(grouped.select("identity", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "identity").alias("rank")))
+    first = grouped.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = grouped.join(first, "component").where("identity <> first.identity").select(F.col("identity").alias(own)).distinct()
+    gone = checkpointed(gone)
+    discard(spark, path)
+    kept = keyed.join(gone, own, "left_anti")
+    if repeats is not None:
+        kept = numbered(kept, own, repeats.withColumnRenamed("identity", own), number).where(F.col(number) == 0)
+    return kept.select(*docs.columns)
