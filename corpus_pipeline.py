@@ -8,8 +8,9 @@
 5. BPE: each document of the mix is encoded, and decoded again.
 
 Cases: null, empty and letterless texts go in stage 1; a null lang or source is no evidence, and the null source comes last in
-stage 4; rows that repeat a doc_id stay or go together, a null doc_id is an id like any other; n_chars changes only where
-words were cut; further columns pass through stages 1 to 4, whatever their names; empty tables give empty tables.
+stage 4; rows that repeat a doc_id or have none are documents of their own, told apart by their texts; of rows that repeat both,
+one stays in stage 2; very long texts are taken whole by every stage; n_chars changes only where words were cut; further columns
+pass through stages 1 to 4, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bpe, language_id, mixing, near_copies, simhash, substring_dedup
-from vigilspark.llm.components import connected_components
+from vigilspark.llm import bpe, language_id, mixing, near_copies, substring_dedup
 from vigilspark.llm.queries import TOKENIZER
-from vigilspark.llm.util import checkpointed, fresh_path
+from vigilspark.llm.util import discard, fresh_path
 from vigilspark.shipping import ship
 
 
@@ -32,13 +32,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    prints = checkpointed(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct())
-    similar = checkpointed(near_copies.similar_links(docs))
-    of_null = F.col("b") == near_copies.NULL_KEY  # the largest key, so it is never a
-    links = prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    later = connected_components(links.unionAll(similar.where(~of_null))).where("node <> component").select(F.col("node").alias("_id"))
-    nulls = prints.where("doc_id is null and component_id is not null").select("doc_id").unionAll(similar.where(of_null).select(F.lit(None).cast("long")))
-    return docs.join(later.unionAll(nulls.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return near_copies.distinct_documents(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
