@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import json
 import random
 import struct
 import zipfile
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import classify
 from vigilspark.operators import folding, layers, rules
-from vigilspark.operators.taint import classfile, scripts, ssi
+from vigilspark.operators.taint import archive, classcode, classfile, php, scripts, ssi
 
 
 def test_names(spark):
@@ -42,7 +43,7 @@ def test_binary_needs_a_strong_marker(spark):
 RULES = """
 private rule base { strings: $a = "alpha" condition: $a }
 rule word { strings: $a = "cat" fullword nocase condition: $a }
-rule wide { strings: $a = "ab" wide condition: $a }
+rule wide_text { strings: $a = "ab" wide condition: $a }
 rule hex { strings: $a = { 61 ?? 63 } condition: any of them }
 rule twice { strings: $a = /x+/ condition: #a == 3 }
 rule refers { strings: $b = "beta" condition: base and not any of them }
@@ -54,7 +55,7 @@ rule php { meta: lang = "php" strings: $a = "q" condition: $a }
 
 def test_rule_algebra(spark):
     found = rules.rule_set(RULES)
-    texts = {"a Cat.": {"word"}, "concat": set(), "xa\x00b\x00": {"wide"}, "1abc2": {"hex"}, "xx-x": {"twice"}, "alpha": {"refers"}, "alpha beta": set(), "012zz": {"placed"}, "01234567zz": set(), "0123456zz": {"placed"}, "MZ..": {"number"}, "q": set()}
+    texts = {"a Cat.": {"word"}, "concat": set(), "xa\x00b\x00": {"wide_text"}, "1abc2": {"hex"}, "xx-x": {"twice"}, "alpha": {"refers"}, "alpha beta": set(), "012zz": {"placed"}, "01234567zz": set(), "0123456zz": {"placed"}, "MZ..": {"number"}, "q": set()}
     df = spark.createDataFrame([(f"/{i}.txt", t) for i, t in enumerate(texts)] + [("/q.php", "q"), ("/q.bin", "<?php q"), ("/q.jsp", "<?php q"), ("/null.php", None)], "path string, text string")
     got, how = {}, {}
     for r in rules.matches(df, found).collect():
@@ -298,11 +299,20 @@ SCRIPTS = [
     ("a.jsp", '<% String a = request.getParameter("a"); String b = a.trim(); new ProcessBuilder(b).start(); %>', "javadisk:request-exec"),
     ("a.jsp", '<% /* request.getParameter("a") */ Runtime.getRuntime().exec("date"); %>', None),
     ("a.jsp", '<% byte[] d = decode(request.getParameter("a")); defineClass(d, 0, d.length); %>', "javadisk:dynamic-classload"),
-    ("a.php", "<?php $x = $_POST['x']; $y = base64_decode($x); eval($y); ?>", "phptaint:eval-on-request"),
-    ("a.php", "<?php $f = 'ass' . 'ert'; $f($_GET['c']); ?>", "phptaint:dynamic-sink-on-request"),
+    ("a.php", "<?php $x = $_POST['x']; $y = base64_decode($x); eval($y); ?>", "phptaint:sink-on-request"),
+    ("a.php", "<?php $f = 'ass' . 'ert'; $f($_GET['c']); ?>", "phptaint:sink-on-request"),
     ("a.php", "<?php // eval($_GET['x']);\necho 'eval($_GET)'; ?>", None),
     ("a.php", "<?php $o->system($_GET['x']); ?>", None),
-    ("a.php", "<?php file_put_contents($_GET['f'], $_POST['d']); ?>", "phptaint:write-on-request"),
+    ("a.php", "<?php file_put_contents($_GET['f'], $_POST['d']); ?>", "phptaint:file-drop-on-request"),
+    ("note.txt", "<?php system($_GET['x']); ?>", "phptaint:sink-on-request"),
+    ("note.txt", "system($_GET['x'])", None),
+    ("a.jsp", "<?php system($_GET['x']); ?>", None),
+    ("run", "#!/usr/bin/perl\nuse CGI;\nsystem(param('x'));\n", "perlpytaint:sink-on-request"),
+    ("a.pl", "read(STDIN, my $buf, $ENV{CONTENT_LENGTH});\n@p = split(/&/, $buf);\nforeach $x (@p) { my $r = `$x`; }\n", "perlpytaint:sink-on-request"),
+    ("a.pl", "my $c = $ENV{'QUERY_STRING'};\nopen(F, \"$c|\");\n", "perlpytaint:sink-on-request"),
+    ("a.pl", "my $c = $ENV{QUERY_STRING};\nprint \"$c\";\n", None),
+    ("a.py", "import os, subprocess\nx = os.environ['QUERY_STRING']\ny = subprocess.check_output(x.split('=')[1], shell=True)\n", "perlpytaint:sink-on-request"),
+    ("a.py", "q = request.args.get('c')\nobj.eval(q)\n", None),
 ]
 
 
@@ -314,6 +324,67 @@ def test_scripts(spark, i):
     assert got == ({rule} if rule else set())
 
 
+PHP = [
+    ("sink-on-request", 85, """<?php $f="system"; $f($_GET["c"]);"""),
+    ("sink-on-request", 85, """<?php $f=chr(115).chr(121)."stem"; $f($_GET["c"]);"""),
+    ("sink-on-request", 85, """<?php $item['k']='assert'; $item['k']($_POST['d']);"""),
+    ("sink-on-request", 85, """<?php ${"c"} = $_POST["x"]; system($c);"""),
+    ("sink-on-request", 90, """<?php eval(${"_P"."O"."S"."T"}["c"]);"""),
+    ("sink-on-request", 85, """<?=`$_GET[1]`;"""),
+    ("sink-on-request", 80, """<?php include($_REQUEST['p']);"""),
+    ("sink-on-request", 85, """<?php (new ReflectionFunction($_GET['a']))->invoke($_GET['b']);"""),
+    ("sink-on-request", 85, """<?php $c = getenv("HTTP_CMD"); system($c);"""),
+    ("sink-on-request", 90, """<?php $h = getallheaders(); eval($h['x']);"""),
+    ("sink-on-request", 90, """<?php eval(file_get_contents("php://input"));"""),
+    ("sink-on-request", 85, """<?php $f = ("!"^"@").("3"^"@").("3"^"@").("%"^"@").("2"^"@").("4"^"@"); $f($_POST["x"]);"""),
+    ("sink-on-request", 85, """<?php $f = ~~assert; $f($_POST["x"]);"""),
+    ("sink-on-request", 85, """<?php $x = <<<EOT\nls {$_GET['c']}\nEOT;\nsystem($x);"""),
+    ("sink-on-request", 85, """<?php class A { function f(int $a = 3): ?string { return shell_exec($_POST['c']); } }"""),
+    ("sink-on-request", 85, """<?php if ($a): system($_GET['x']); endif;"""),
+    ("sink-on-request", 85, """<?php broken ( ; system($_GET['x']);"""),
+    ("dynamic-dispatch-on-request", 75, """<?php $f=some_func(); $f($_GET['c']);"""),
+    ("forwarder-obfuscated-callee", 80, """<?php $w = substr($_SERVER['HTTP_REFERER'], -7, -4); forward_static_call_array($w . 'ert', array($_REQUEST['p']));"""),
+    ("forwarder-obfuscated-callee", 80, """<?php $k = substr(__FILE__, -5, -4); $f = pack("H*", "6173736572") ^ $k; array_intersect_uassoc(array($_REQUEST['p'] => ""), array(1), $f);"""),
+    ("nibble-assembler-loop", 70, """<?php while (@ord($e[$o])) { $d .= chr(($h[$e[$o]] << 4) | $h[$e[++$o]]); }"""),
+    ("unbound-callback-dispatch", 75, """<?php $a = array($_POST['p']); array_udiff($a, array(1), $e);"""),
+    ("callback-on-request", 85, """<?php array_udiff_assoc(array($_REQUEST['x']), array(1), "assert");"""),
+    ("request-tainted-callback", 78, """<?php call_user_func($_GET['f'], $_GET['x']);"""),
+    ("com-exec-on-request", 90, """<?php $ws = new COM('WScript.Shell'); $ws->exec('cmd /c '.$_GET['c']);"""),
+    ("sql-registered-callable", 85, """<?php $db->createFunction('x', $_GET['f']);"""),
+    ("file-drop-on-request", 70, """<?php file_put_contents("shell.php", $_POST["code"]);"""),
+    ("arbitrary-file-write", 85, """<?php $f=fopen($_GET['p'],'w'); fwrite($f,$_POST['d']);"""),
+    ("decode-loop-dispatch", 80, """<?php function dec($s){ $o=''; for($i=0;$i<strlen($s);$i++){ $o .= chr(ord($s[$i]) ^ 3); } return $o; } eval(dec('abc'));"""),
+    (None, 0, """<?php call_user_func_array('array_sum', array($_GET['nums']));"""),
+    (None, 0, """<?php system(getenv("PATH")); $f = file_get_contents("config.json"); eval($f);"""),
+    (None, 0, """<?php $cb = fn($a,$b) => strcmp($a,$b); array_udiff($_POST['a'], array(1), $cb);"""),
+    (None, 0, """<?php function s($cb){ return array_map($cb, $_POST['x']); }"""),
+    (None, 0, """<?php foreach ($cbs as $cb) { array_map($cb, $_POST['x']); } try { x(); } catch (E $c) { array_map($c, $_POST['x']); }"""),
+    (None, 0, """<?php list($a, $cb) = $pair; array_map($cb, $_POST['x']); extract($cfg); array_map($cd, $_POST['x']);"""),
+    (None, 0, """<?php call_user_func($registry[$_GET['id']], $_GET['x']);"""),
+    (None, 0, """<?php move_uploaded_file($_FILES['f']['tmp_name'], "uploads/".basename($_FILES['f']['name']));"""),
+    (None, 0, """<?php $q=$_GET['x']; $q='safe'; system($q); $db->exec('select '.$_GET['c']);"""),
+    (None, 0, """<?php assert($x instanceof Y && $_GET['a'] == 1); $out .= chr(1 << 4);"""),
+    (None, 0, """<?php // eval($_GET['x']);\necho 'eval($_GET)'; # system($_GET['x'])\n/* `$_GET[1]` */"""),
+    (None, 0, ""),
+]
+
+
+@pytest.mark.parametrize("i", range(len(PHP)))
+def test_php(i):
+    rule, score, text = PHP[i]
+    got = {(r.split(":")[1], n) for r, _, n, _ in php.analyse(text)}
+    assert (rule, score) in got if rule else not got
+
+
+def test_php_takes_anything():
+    rng = random.Random(6)
+    bits = ["<?php ", "$a", "$_GET['x']", "(", ")", "{", "}", "[", "]", ";", "system", "eval", "'", '"', "`", "=", ".=", "=>", "->", "::", "function", "if", "else", "foreach", "as", "new", "<<<EOT\n", "EOT;", "?>", "\\", "$", "1", "<<", "case", "class", "//", "/*", "fn", "match", "static", ",", "&"]
+    for _ in range(3000):
+        list(php.analyse("<?php " + " ".join(rng.choices(bits, k=rng.randint(0, 25)))))
+    list(php.analyse("<?php $a = " + "(" * 5000 + "1" + ")" * 5000 + "; system($_GET['x']);"))
+    assert list(php.analyse("<?php " + "$a = 'x' . $a;\n" * 20_000 + "system($_GET['x']);"))
+
+
 def utf(s):
     raw = s.encode()
     return b"\x01" + struct.pack(">H", len(raw)) + raw
@@ -349,6 +420,135 @@ def test_class_files(spark):
     assert classfile.exploded(classfile.RATIO_FLOOR * 300, classfile.RATIO_FLOOR) and not classfile.exploded(classfile.RATIO_FLOOR * 200, classfile.RATIO_FLOOR)
 
 
+def zipped(*members, **kw):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", **kw) as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return held.getvalue()
+
+
+def test_archives_are_read_strictly():
+    good = zipped(("b.txt", b"two"), ("A.class", b"one" * 500), ("a/", b""), compression=zipfile.ZIP_DEFLATED)
+    found = archive.members(good, lambda n: not n.endswith(".class"))
+    assert [(m.name, m.error) for m in found] == [("A.class", None), ("a/", None), ("b.txt", None)]
+    assert archive.read(good, found[0]) == b"one" * 500 and archive.read(good, found[2]) == b"two"
+
+    class Pipe(io.RawIOBase):  # no seeking: sizes come after the data
+        def __init__(self):
+            self.held = b""
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.held += bytes(b)
+            return len(b)
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.txt", b"streamed" * 20)
+    m = archive.members(pipe.held)[0]
+    assert m.flags & archive.DESCRIBED and m.error is None and archive.read(pipe.held, m) == b"streamed" * 20
+    at = pipe.held.rfind(archive.DESCRIPTOR)
+    assert archive.members(pipe.held[: at + 4] + b"\x01" + pipe.held[at + 5 :])[0].error == "descriptor disagrees"
+
+    plain = zipped(("x.txt", b"payload"))
+    local, central = plain.find(archive.LOCAL), plain.find(archive.CENTRAL)
+    swap = lambda data, at, new: data[:at] + new + data[at + len(new) :]
+    assert archive.members(swap(plain, local + 30, b"y"))[0].error == "headers disagree"
+    assert archive.members(swap(plain, local + 22, b"\x08"))[0].error == "headers disagree"
+    assert archive.members(swap(plain, local, b"XX"))[0].error == "no local header"
+    m = archive.members(swap(plain, local + 35, b"Q"))[0]
+    with pytest.raises(ValueError):
+        archive.read(swap(plain, local + 35, b"Q"), m)
+    for bad in (b"", b"PK", plain[:-1], plain + plain[plain.find(archive.END) :], swap(plain, central, b"XX"), swap(plain, len(plain) - 14, b"\x07"), plain + b"x"):
+        with pytest.raises(archive.BadArchive):
+            archive.members(bad)
+    two = zipped(("x.txt", b"payload"), ("y.txt", b"payload"))
+    second = two.find(archive.CENTRAL, two.find(archive.CENTRAL) + 1)
+    assert {m.error for m in archive.members(swap(two, second + 42, b"\0\0\0\0"))} <= {"headers disagree", "members overlap", None}
+    big = zipped(("x.bin", b"z" * 100))
+    with zipfile.ZipFile(io.BytesIO(), "w"):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z, z.open("x.bin", "w", force_zip64=True) as f:
+            f.write(b"z" * 100)
+    m = archive.members(held.getvalue())[0]
+    assert m.error is None and archive.read(held.getvalue(), m) == b"z" * 100 and archive.members(big)[0].size == 100
+
+
+def test_colliding_names_are_one_error():
+    data = class_file("a/B", "c")
+    jar = zipped(("X.class", data), ("x.class", data), ("Y.class", data))
+    got = list(classfile.classes_in(jar, "j"))
+    assert [(a, raw is not None, p) for a, raw, p in got] == [("j!/X.class", False, "java-artifact-read-failed"), ("j!/Y.class", True, None)]
+
+
+def test_contracts_are_checked():
+    from vigilspark.operators import memory
+
+    good = {"java": {"pipeline_contracts": ["a.B"], "type_needles": ["x"], "string_needles": ["y"]}, "dotnet": {"pipeline_contracts": ["I"], "capability_apis": ["p"], "string_needles": ["q"]}}
+    assert memory.load_contracts(json.dumps(good))["java"]["pipeline_contracts"] == ("a.B",)
+    bad = json.loads(json.dumps(good))
+    bad["java"]["type_needles"], bad["dotnet"]["capability_apis"] = [], [" "]
+    del bad["dotnet"]["string_needles"]
+    with pytest.raises(ValueError, match="java.type_needles is empty; dotnet.capability_apis holds an empty entry; dotnet.string_needles is empty"):
+        memory.load_contracts(json.dumps(bad))
+    for text in ("{", "[]", "{}"):
+        with pytest.raises(ValueError):
+            memory.load_contracts(text)
+
+
+def test_generated_classes(spark):
+    rows = [
+        ("a$$EnhancerBySpringCGLIB$$1", ["CGLIB$x"], ["com.A", "java.lang.Object"], [], False, False, True),
+        ("a$$EnhancerBySpringCGLIB$$1", ["x"], ["com.A"], [], False, False, False),
+        ("a$$EnhancerBySpringCGLIB$$1", ["CGLIB$x"], ["java.lang.Object"], [], False, False, False),
+        ("a$$FastClassByGuice$$1", ["GUICE$T"], ["java.lang.Object"], [], False, False, True),
+        ("p_jsp", ["_jspService"], ["org.apache.jasper.runtime.HttpJspBase"], [], False, False, True),
+        ("p_jsp", [], ["org.apache.jasper.runtime.HttpJspBase"], [], False, False, False),
+        ("G", ["$getStaticMetaClass"], [], ["groovy.lang.GroovyObject"], False, False, True),
+        ("P", [], [], [], True, False, True),
+        ("N", None, None, None, False, False, False),
+    ]
+    df = spark.createDataFrame(rows, "name string, members array<string>, superclasses array<string>, interfaces array<string>, proxy boolean, hidden boolean, want boolean")
+    got = df.select("want", classcode.verified_generated(*(F.col(c) for c in df.columns[:6])).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_large_regions_make_few_rows(spark):
+    from vigilspark.operators import memory
+
+    regions = spark.createDataFrame([(1, 0, 1 << 40), (1, 1 << 41, 4096), (2, (1 << 62) - 5, 1 << 60), (1, 3, 1)], "pid int, base long, size long")
+    points = spark.createDataFrame([(1, 5), (1, (1 << 40) - 1), (1, 1 << 40), (1, (1 << 41) + 4095), (1, (1 << 41) + 4096), (2, 1 << 62), (1, 3)], "pid int, at long")
+    got = memory.interval_join(regions, points, ["pid"], "base", "size", "at")
+    assert {(r.base, r.at) for r in got.collect()} == {(0, 5), (0, (1 << 40) - 1), (0, 3), (3, 3), (1 << 41, (1 << 41) + 4095), ((1 << 62) - 5, 1 << 62)}
+    rows = regions.where(F.col("size") == 1 << 40)
+    level = memory._level("size", memory.BUCKET)
+    spread = rows.select(F.size(F.sequence(memory._bucket("base", memory.BUCKET, level), memory._bucket("base + size - 1", memory.BUCKET, level))).alias("n")).first().n
+    assert spread <= 2
+    a = regions.select("pid", F.col("base").alias("l_start"), (F.col("base") + F.col("size")).alias("l_end"))
+    b = regions.select("pid", F.col("base").alias("r_start"), (F.col("base") + F.col("size")).alias("r_end"))
+    pairs = sorted((r.l_start, r.r_start) for r in memory.overlap_join(a, b, ["pid"]).collect())
+    assert pairs == sorted([(0, 0), (0, 3), (3, 0), (3, 3), (1 << 41, 1 << 41), ((1 << 62) - 5, (1 << 62) - 5)])
+
+
+def test_long_match_lines_are_quarantined(spark, tmp_path, monkeypatch):
+    from vigilspark.sources import readers
+
+    monkeypatch.setattr(readers, "MATCH_LINE_LIMIT", 200)
+    good = '{"path": "/a", "rules": [{"identifier": "r", "namespace": "n", "meta": [], "strings": []}]}'
+    (tmp_path / "m.ndjson").write_text(good + "\nbroken\n" + '{"path": "' + "x" * 300 + '"}\n')
+    found, bad = readers.engine_matches(spark, str(tmp_path / "m.ndjson"))
+    assert [r.rule for r in found.collect()] == ["r"] and sorted(r.line[:9] for r in bad.collect()) == ["broken", '{"path": ']
+
+
+def test_over_limit_files_are_told(spark):
+    files = spark.createDataFrame([("/a.php", "<?php " + "x" * 100), ("/b.pl", "y" * 100), ("/c.html", "z" * 100), ("/d.txt", "<?php " + "x" * 100)], "path string, text string")
+    got = {(r.path, r["pass"], r.bytes) for r in scripts.skipped(files, dict.fromkeys(scripts.LIMITS, 50)).collect()}
+    assert got == {("/a.php", "php", 106), ("/b.pl", "cgi", 100), ("/d.txt", "php", 106)}
+
+
 def test_resolved_calls():
     got = dict(layers.decode(b"<?php $a = 'sys' . 'tem'; $a($_GET['x']); ?>").found)
     assert b"system($_GET['x'])" in got["php-resolved:system"]

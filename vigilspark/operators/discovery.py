@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.checkpoints import checkpointed
 from vigilspark.functions.tables import PROVENANCE_RANK, STATUS_RANK, rank
 
 MAX_LISTED = 100
@@ -115,6 +116,50 @@ def gate(hosts: DataFrame, roots: DataFrame) -> DataFrame:
     return hosts.join(n, "host", "left").select("host", F.when(F.coalesce("n", F.lit(0)) == 0, "failed").otherwise("ran").alias("status"))
 
 
+MAX_HOPS = 40
+
+
+def resolve_links(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """paths (host, path) with resolved and problem, as the scanned file system would resolve them, its root being the
+    host's: links (host, path, target) are followed from the left, relative targets from their directory, absolute ones from
+    the root. A path that leaves the root or goes through more than MAX_HOPS links has no resolved path but a problem.
+
+    Every round follows one link of every path that still has one, by a join on the path's beginnings; there are as many
+    rounds as the longest chain has links. A path that comes back to what it was before goes round for ever."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+    targets = links.select(F.col("host").alias("_h"), F.concat(F.lit("/"), F.array_join(parts("path"), "/")).alias("_link"), F.col("target").alias("_target")).groupBy("_h", "_link").agg(F.min("_target").alias("_target"))
+
+    def cleaned(done: Column, todo: Column) -> Column:
+        """Takes components over to the done ones; a step above the root leaves null."""
+        step = lambda kept, p: F.when(p != "..", F.array_append(kept, p)).when(F.size(kept) > 0, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        return F.aggregate(todo, done, step)
+
+    empty = F.array().cast("array<string>")
+    rows = checkpointed(paths.select("host", "path", parts("path").alias("todo"), F.lit(None).cast("string").alias("problem"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("seen"), F.monotonically_increasing_id().alias("_row")))
+    for hop in range(MAX_HOPS + 1):
+        open_ = rows.where("not done")
+        # what stands before the first link: beginnings whose components are all plain
+        at = open_.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.size("todo"), F.lit(1)))))
+        at = at.withColumn("_begin", cleaned(empty, F.slice("todo", 1, F.col("_n")))).withColumn("_named", F.concat(F.lit("/"), F.array_join("_begin", "/")))
+        hit = at.where((F.col("_begin").isNotNull()) & (F.get("todo", F.col("_n") - 1) != "..")).join(targets, (F.col("host") == F.col("_h")) & (F.col("_named") == F.col("_link")))
+        first = hit.groupBy("_row").agg(F.min(F.struct("_n", "_target", "_begin")).alias("f"))
+        joined = open_.join(first, "_row", "left")
+        escaped = F.exists(F.sequence(F.lit(1), F.greatest(F.coalesce("f._n", F.size("todo")), F.lit(1))), lambda n: cleaned(empty, F.slice("todo", 1, n)).isNull())
+        parent = F.slice(F.col("f._begin"), 1, F.greatest(F.size("f._begin") - 1, F.lit(0)))
+        base = F.when(F.col("f._target").startswith("/"), empty).otherwise(parent)
+        rest = F.slice("todo", F.coalesce("f._n", F.lit(0)) + 1, F.size("todo") + 1)
+        now = F.array_join("todo", "/")
+        again = F.array_contains("seen", now) | F.lit(hop == MAX_HOPS)
+        problem = F.when(escaped, "escapes the root").when(F.col("f").isNotNull() & again, "too many links")
+        todo = F.when(F.col("f").isNull(), cleaned(empty, F.col("todo"))).otherwise(F.concat(base, parts("f._target"), rest))
+        after = joined.select("host", "path", todo.alias("todo"), problem.alias("problem"), (problem.isNotNull() | F.col("f").isNull()).alias("done"), F.array_append("seen", now).alias("seen"), "_row")
+        rows = checkpointed(rows.where("done").unionByName(after))
+        if rows.where("not done").isEmpty():
+            break
+    resolved = F.when(F.col("problem").isNull(), F.concat(F.lit("/"), F.array_join("todo", "/")))
+    return rows.select("host", "path", resolved.alias("resolved"), "problem")
+
+
 # -- Java diagnostics -------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,14 +131,41 @@ def stomp_class(modified: Column, total: Column, max_run: Column) -> Column:
     return F.when((total <= 0) | (modified <= 0), "clean").when(wholesale, "stomped").otherwise("patched")
 
 
-def pipeline_wired(contracts: Column) -> Column:
-    return F.arrays_overlap(contracts, F.array(*map(F.lit, PIPELINE_CONTRACTS)))
+#: What a dictionary of contracts must hold, for each runtime.
+CONTRACT_LISTS = {"java": ("pipeline_contracts", "type_needles", "string_needles"), "dotnet": ("pipeline_contracts", "capability_apis", "string_needles")}
+
+
+def load_contracts(text: str) -> dict[str, dict[str, tuple[str, ...]]]:
+    """A dictionary of contracts and needles from JSON. ValueError names everything that is wrong with it: lists that are
+    missing or empty, and entries that are no text or blank."""
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"contracts: {e}") from None
+    issues, out = [], {}
+    for runtime, names in CONTRACT_LISTS.items():
+        section = found.get(runtime) if isinstance(found, dict) else None
+        for name in names:
+            values = section.get(name) if isinstance(section, dict) else None
+            if not isinstance(values, list) or not values:
+                issues.append(f"{runtime}.{name} is empty")
+            elif not all(isinstance(v, str) and v.strip() for v in values):
+                issues.append(f"{runtime}.{name} holds an empty entry")
+            else:
+                out.setdefault(runtime, {})[name] = tuple(values)
+    if issues:
+        raise ValueError("contracts: " + "; ".join(issues))
+    return out
+
+
+def pipeline_wired(contracts: Column, wanted: tuple[str, ...] = PIPELINE_CONTRACTS) -> Column:
+    return F.arrays_overlap(contracts, F.array(*map(F.lit, wanted)))
 
 
-def jvm_ladder(classes: DataFrame) -> DataFrame:
+def jvm_ladder(classes: DataFrame, wanted: tuple[str, ...] = PIPELINE_CONTRACTS) -> DataFrame:
     """Findings of classes (status, contracts, capabilities, out_of_contract, generated, contradiction): the first rung that
     holds; a loader that contradicts the disk adds 5. Other classes are no finding."""
-    wired = pipeline_wired(F.col("contracts"))
+    wired = pipeline_wired(F.col("contracts"), wanted)
     acts = F.exists("capabilities", lambda c: c.isin("exec", "tunnel"))
     n = F.size("capabilities")
     status, outside = F.col("status"), F.col("out_of_contract")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import io
 import struct
-import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.functions.tables import literal_map
+from vigilspark.operators.taint import archive
 
 SCORE = 60
 MAX_CLASS, MAX_DEPTH, MAX_RATIO, MAX_MEMBERS, MAX_TOTAL = 8 << 20, 2, 200, 20_000, 256 << 20
@@ -74,7 +75,7 @@ def parse(data: bytes) -> tuple[dict[int, tuple], str, list[tuple[int, str, str,
             pool[i] = (1, modified_utf8(s.read(u(2))))
         elif tag in _FIXED:
             raw = s.read(_FIXED[tag])
-            pool[i] = (tag, int.from_bytes(raw[:2], "big"), int.from_bytes(raw[2:4], "big"))
+            pool[i] = (tag, int.from_bytes(raw[:2], "big"), int.from_bytes(raw[2:4], "big"), raw)
         else:
             raise Malformed(f"java-class-malformed: tag {tag}")
         i += 2 if tag in (5, 6) else 1
@@ -185,35 +186,40 @@ def classes_in(data: bytes, artifact: str, depth: int = 0) -> Iterator[tuple[str
         yield artifact, data, None
         return
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-        members = sorted(z.infolist(), key=lambda m: (not m.filename.endswith(".class"), m.filename))
-    except (zipfile.BadZipFile, ValueError, NotImplementedError, struct.error):
+        found = archive.members(data, lambda name: not name.endswith(".class"))
+    except (archive.BadArchive, struct.error, OverflowError):
         yield artifact, None, "java-artifact-read-failed"
         return
-    names = [m.filename.replace("\\", "/").lower() for m in members]
+    names = Counter(m.name.replace("\\", "/").lower() for m in found)
+    told: set[str] = set()
     total = 0
-    for m, low in zip(members[:MAX_MEMBERS], names, strict=False):
-        inner = f"{artifact}!/{m.filename}"
+    for m in found[:MAX_MEMBERS]:
+        low = m.name.replace("\\", "/").lower()
+        inner = f"{artifact}!/{m.name}"
         nested = low.endswith((".jar", ".war", ".ear", ".zip"))
-        if m.is_dir() or not (low.endswith(".class") or nested):
+        if m.is_dir or not (low.endswith(".class") or nested):
             continue
-        if not safe_member(m.filename) or names.count(low) > 1:
+        if names[low] > 1:  # names that collide are one entry, and none of them is read
+            if low not in told:
+                told.add(low)
+                yield inner, None, "java-artifact-read-failed"
+        elif not safe_member(m.name) or m.error:
             yield inner, None, "java-artifact-read-failed"
-        elif m.flag_bits & 1 or m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        elif m.flags & archive.ENCRYPTED or m.method not in (archive.STORED, archive.DEFLATED):
             yield inner, None, "java-class-version-unsupported"
-        elif exploded(m.file_size, m.compress_size) or m.file_size > (MAX_TOTAL if nested else MAX_CLASS) or total + m.file_size > MAX_TOTAL:
+        elif exploded(m.size, m.packed) or m.size > (MAX_TOTAL if nested else MAX_CLASS) or total + m.size > MAX_TOTAL:
             yield inner, None, "java-archive-budget-exhausted"
         elif nested and depth >= MAX_DEPTH:
             yield inner, None, "java-archive-budget-exhausted"
         else:
-            total += m.file_size
+            total += m.size
             try:
-                raw = z.read(m)
-            except (zipfile.BadZipFile, ValueError, OSError, EOFError, RuntimeError):
+                raw = archive.read(data, m)
+            except ValueError:
                 yield inner, None, "java-artifact-read-failed"
                 continue
             yield from classes_in(raw, inner, depth + 1)
-    if len(members) > MAX_MEMBERS:
+    if len(found) > MAX_MEMBERS:
         yield artifact, None, "java-archive-budget-exhausted"
 
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vigilspark.operators import discovery, layers
-from vigilspark.operators.taint import bytecode, classfile, scripts, ssi
+from vigilspark.operators import discovery, layers, rules
+from vigilspark.operators.taint import bytecode, classcode, classfile, scripts, ssi
+from vigilspark.packs import own_rules
 from vigilspark.plans import class_bytes
 from vigilspark.plans.detection_queries import SHOWN, SIGNED
 from vigilspark.plans.projections import table, view, with_views
@@ -23,7 +24,7 @@ SCRIPTS = {
 _COMMENT = {".php": ("<?php /* ", " */ ?>"), ".pl": ("# ", ""), ".py": ("# ", ""), ".asp": ("<% ' ", " %>"), ".jsp": ("<%-- ", " --%>")}
 #: What the passes find in the sources, in order.
 FOUND = [
-    ("phptaint:sink-on-request", "GenericCmdExec", 85, "heuristic"), ("phptaint:dynamic-sink-on-request", "DynamicDispatch", 85, "heuristic"), None, ("phptaint:include-on-request", "GenericInclude", 80, "heuristic"),
+    ("phptaint:sink-on-request", "DynamicDispatch", 85, "heuristic"), ("phptaint:sink-on-request", "DynamicDispatch", 85, "heuristic"), None, ("phptaint:sink-on-request", "GenericEval", 80, "heuristic"),
     ("perlpytaint:sink-on-request", "GenericCmdExec", 85, "taint"), None, ("perlpytaint:sink-on-request", "GenericCmdExec", 85, "taint"), None,
     ("asptaint:sink-on-request", "ClassicASP", 85, "taint"), None, ("javadisk:request-exec", "GenericJSP", 85, "heuristic"), None,
 ]
@@ -96,6 +97,16 @@ def script_taint(spark, d):
     return scripts.all_findings(_sources(spark, d)).select("path", "knowledge_ref", "family", "score", "basis", "tier")
 
 
+#: What the engine's own rules find in the sources: place in the list, rule, family, score.
+OWN_FOUND = [(1, "php_name_from_pieces", "DynamicDispatch", 70), (3, "php_includes_request", "GenericInclude", 75), (6, "python_request_to_shell", "GenericCmdExec", 78), (10, "jsp_request_to_process", "GenericJSP", 78)]
+
+
+def own_pack_findings(spark, d):
+    """The engine's own detection rules over the sources."""
+    found = own_rules()
+    return rules.findings(rules.matches(_sources(spark, d), found), found).select("path", "rule", "family", "score", "tier", "admission")
+
+
 def pass_admission(spark, d):
     """How many files each script pass examines: by name, or by sign where the name says nothing."""
     f = view(spark, d, "v_file").select("path", F.col("content").alias("text"))
@@ -130,6 +141,36 @@ def java_semantic(spark, d):
     return bytecode.semantic(files).select("path", "class", "sink", "rule", "family", "score")
 
 
+def _pairs_of_classes(spark, d):
+    """Classes in memory and on disk: the same in another order, with another constant, without a disk copy, no class at all."""
+    say = lambda text: [("text", text), "pop", "return"]
+    here, there = [("a", "()V", say("x")), ("b", "()V", say("y"))], [("b", "()V", say("y")), ("a", "()V", say("x"))]
+    kinds = [(class_bytes.class_file("C", here), class_bytes.class_file("C", there)), (class_bytes.class_file("C", here), class_bytes.class_file("C", [("a", "()V", say("x")), ("b", "()V", say("z"))])), (class_bytes.class_file("C", here), None), (b"no class", class_bytes.class_file("C", here))]
+    both = F.get(F.array(*(F.struct(F.lit(m and bytearray(m)).cast("binary").alias("m"), F.lit(s and bytearray(s)).cast("binary").alias("s")) for m, s in kinds)), (F.col("event_id") % len(kinds)).cast("int"))
+    return table(spark, d, "events").withColumn("k", both).select(F.col("event_id").cast("string").alias("path"), F.col("k.m").alias("memory"), F.col("k.s").alias("source"))
+
+
+def class_compare(spark, d):
+    return classcode.compare(_pairs_of_classes(spark, d)).groupBy("result").agg(F.count(F.lit(1)).alias("classes"))
+
+
+def class_clones(spark, d):
+    f = _pairs_of_classes(spark, d).select("path", F.coalesce("source", "memory").alias("content"))
+    return classcode.clone_groups(f).select("first_path", "files")
+
+
+#: Links of each host's file system.
+_LINKS = [("/var/www", "/srv/web"), ("/srv/web/current", "releases/2"), ("/srv/web/up", "../../etc"), ("/loop/a", "b"), ("/loop/b", "/loop/a"), ("/out", "../../..")]
+_PATHS = [("/var/www/current/x.php", "/srv/web/releases/2/x.php", None), ("/srv//web/./y", "/srv/web/y", None), ("/var/www/up/passwd", "/etc/passwd", None), ("/loop/a/z", None, "too many links"), ("/out/z", None, "escapes the root"), ("/a/../b/../../c", None, "escapes the root"), ("/plain/../file", "/file", None)]
+
+
+def resolved_links(spark, d):
+    hosts = table(spark, d, "nation").select(F.col("n_name").alias("host"))
+    links = hosts.withColumn("l", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("target")) for p, t in _LINKS)))).select("host", "l.path", "l.target")
+    paths = table(spark, d, "customer").select((F.col("c_custkey") % len(_PATHS)).cast("int").alias("k"), "c_nationkey").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("host"), F.get(F.array(*(F.lit(p) for p, _, _ in _PATHS)), F.col("k")).alias("path"))
+    return discovery.resolve_links(paths, links).groupBy("host", "path", "resolved", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def java_structural(spark, d):
     apis = sorted(classfile.APIS)
     pair = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(n).alias("n")) for o, n in apis))
@@ -181,7 +222,7 @@ def exact_duplicate_documents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rot13, hex_runs, base64_runs, chr_runs, escape_normalise, fold_expressions, decoded_layers, ssi_taint, script_taint, pass_admission, pass_skips, java_structural, java_semantic, discovery_merge, discovery_subsume, mechanism_credit, discovery_gate,
+        rot13, hex_runs, base64_runs, chr_runs, escape_normalise, fold_expressions, decoded_layers, ssi_taint, script_taint, own_pack_findings, pass_admission, pass_skips, java_structural, java_semantic, class_compare, class_clones, resolved_links, discovery_merge, discovery_subsume, mechanism_credit, discovery_gate,
         diagnostic_summary, artifact_status, exact_duplicate_documents,
     )
 }
@@ -232,8 +273,13 @@ ORACLES = {
         SELECT doc_id, replace(replace({_expressions(1)}, '<w>', w1), '<v>', w2) AS content FROM x""",
     "script_taint": f"""WITH f(i, e, knowledge_ref, family, score, basis, tier) AS (VALUES {_script_rows()})
         SELECT '/srv/' || doc_id || e AS path, knowledge_ref, family, score, basis, tier FROM documents JOIN f ON i = doc_id % {sum(map(len, SCRIPTS.values()))}""",
+    "own_pack_findings": f"""WITH f(i, rule, family, score) AS (VALUES {", ".join(map(str, OWN_FOUND))}), e(i, ext) AS (VALUES {", ".join(str((i, e)) for i, e in enumerate(e for e, texts in SCRIPTS.items() for _ in texts))})
+        SELECT '/srv/' || doc_id || ext AS path, rule, family, score, 'likely-malicious' AS tier, 'declared' AS admission FROM documents JOIN f ON f.i = doc_id % {sum(map(len, SCRIPTS.values()))} JOIN e ON e.i = f.i""",
     "pass_admission": with_views(("v_file",), f"WITH {SIGNED} " + " UNION ALL ".join(f"SELECT '{n}' AS pass, count(*) AS files FROM signed WHERE {c}" for n, c in _ADMITS.items())),
     "pass_skips": with_views(("v_file",), f"WITH {SIGNED} " + " UNION ALL ".join(f"SELECT path, '{n}' AS pass, strlen(content) AS bytes FROM signed WHERE strlen(content) > 4000 AND {c}" for n, c in _ADMITS.items())),
+    "class_compare": "SELECT CASE event_id % 4 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'MISMATCH' ELSE 'NO_SOURCE' END AS result, count(*) AS classes FROM events GROUP BY 1",
+    "class_clones": "SELECT min(CAST(event_id AS VARCHAR)) AS first_path, count(*) AS files FROM events GROUP BY event_id % 4 = 1 HAVING count(*) > 1",
+    "resolved_links": "WITH p(k, path, resolved, problem) AS (VALUES " + ", ".join(f"({k}, '{p}', " + (f"'{r}'" if r else "NULL") + ", " + (f"'{x}'" if x else "NULL") + ")" for k, (p, r, x) in enumerate(_PATHS)) + f") SELECT n_name AS host, path, resolved, problem, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN p ON k = c_custkey % {len(_PATHS)} GROUP BY ALL",
     "java_semantic": f"SELECT '/lib/' || doc_id || '.war' AS path, 'app/Serve' AS class, 'exec' AS sink, 'javadisk:class-request-exec' AS rule, 'GenericJSP' AS family, 85 AS score FROM documents WHERE doc_id % {len(class_bytes.FLOWS)} IN ({', '.join(str(v) for v, flows in class_bytes.FLOWS.items() if flows)})",
     "ssi_taint": "SELECT '/srv/' || doc_id || '.shtml' AS path, CASE doc_id % 5 WHEN 0 THEN 'SSIExec' ELSE 'SSIInclude' END AS family, CASE doc_id % 5 WHEN 0 THEN 'ssitaint:exec-cmd-on-request' ELSE 'ssitaint:include-virtual-on-request' END AS rule, CASE doc_id % 5 WHEN 0 THEN 'a' ELSE 'HTTP_HOST' END AS via, 85 AS score FROM documents WHERE doc_id % 5 IN (0, 1)",
     "java_structural": f"WITH apis(i, feature) AS (VALUES {_apis()}), c AS (SELECT CAST(l_orderkey % 300 AS VARCHAR) AS path, 'C' || (l_orderkey % 5) AS class, 'm' || l_linenumber || '_' || (l_orderkey % 77) AS method, feature FROM lineitem JOIN apis ON i = l_partkey % {len(classfile.APIS)}), m AS (SELECT path, class, method, list(DISTINCT feature) AS f FROM c GROUP BY ALL), hits AS ({_RULES}) SELECT path, class, rule, family, min(method || '()V') AS method, 60 AS score FROM hits GROUP BY path, class, rule, family",

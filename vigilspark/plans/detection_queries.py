@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vigilspark.functions import classify
 from vigilspark.functions.tables import EXPECTED_CHILDREN, EXTENSIONS, PIPELINE_CONTRACTS, SCOPE_CONTEXTS, SCOPE_SIGNS, SHELL_CHILDREN, WEB_SOURCE
 from vigilspark.operators import behaviour, memory, rules
-from vigilspark.packs import own_rules
 from vigilspark.plans.projections import table, view, with_views
 
 #: A pack over the projected files; harmless patterns that exercise the algebra.
@@ -102,13 +101,6 @@ def compile_check(spark, d):
     return rules.compile_status(table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), body.alias("body"))).select("rule_id", "identifier", "status")
 
 
-def own_pack_findings(spark, d):
-    """The engine's own detection rules over all files."""
-    found = own_rules()
-    f = rules.findings(rules.matches(_files(spark, d), found), found)
-    return f.groupBy("rule", "tier", "score", "family").agg(F.count(F.lit(1)).alias("files"))
-
-
 def pattern_summary(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
     return g.select("l_suppkey", classify.bounded_list(F.col("ids"), 6).alias("summary"))
@@ -228,7 +220,7 @@ def module_merge(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_path, file_context_counts, language_signs, binary_gate, rule_admission, skip_accounting, signature_matches, signature_findings, rule_validate, pack_from_table, thousand_rules, compile_check, own_pack_findings, pattern_summary, file_drop_paths,
+        classify_path, file_context_counts, language_signs, binary_gate, rule_admission, skip_accounting, signature_matches, signature_findings, rule_validate, pack_from_table, thousand_rules, compile_check, pattern_summary, file_drop_paths,
         behaviour_viewstate, behaviour_iis, behaviour_w3wp_child, telemetry_coverage, events_top_per_channel, thread_range_join, region_overlap, region_ladder, max_run_length, stomp_classify,
         jvm_ladder, claim_verify, dotnet_ladder, suspicion_rank, probe_coverage, module_merge,
     )
