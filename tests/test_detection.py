@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import classify
 from vigilspark.operators import folding, layers, rules
-from vigilspark.operators.taint import archive, classcode, classfile, php, scripts, ssi
+from vigilspark.operators.taint import archive, asp, classcode, classfile, php, scripts, ssi
 
 
 def test_names(spark):
@@ -325,47 +325,48 @@ def test_scripts(spark, i):
 
 
 PHP = [
-    ("sink-on-request", 85, """<?php $f="system"; $f($_GET["c"]);"""),
-    ("sink-on-request", 85, """<?php $f=chr(115).chr(121)."stem"; $f($_GET["c"]);"""),
-    ("sink-on-request", 85, """<?php $item['k']='assert'; $item['k']($_POST['d']);"""),
-    ("sink-on-request", 85, """<?php ${"c"} = $_POST["x"]; system($c);"""),
-    ("sink-on-request", 90, """<?php eval(${"_P"."O"."S"."T"}["c"]);"""),
-    ("sink-on-request", 85, """<?=`$_GET[1]`;"""),
-    ("sink-on-request", 80, """<?php include($_REQUEST['p']);"""),
-    ("sink-on-request", 85, """<?php (new ReflectionFunction($_GET['a']))->invoke($_GET['b']);"""),
-    ("sink-on-request", 85, """<?php $c = getenv("HTTP_CMD"); system($c);"""),
-    ("sink-on-request", 90, """<?php $h = getallheaders(); eval($h['x']);"""),
-    ("sink-on-request", 90, """<?php eval(file_get_contents("php://input"));"""),
-    ("sink-on-request", 85, """<?php $f = ("!"^"@").("3"^"@").("3"^"@").("%"^"@").("2"^"@").("4"^"@"); $f($_POST["x"]);"""),
-    ("sink-on-request", 85, """<?php $f = ~~assert; $f($_POST["x"]);"""),
-    ("sink-on-request", 85, """<?php $x = <<<EOT\nls {$_GET['c']}\nEOT;\nsystem($x);"""),
-    ("sink-on-request", 85, """<?php class A { function f(int $a = 3): ?string { return shell_exec($_POST['c']); } }"""),
-    ("sink-on-request", 85, """<?php if ($a): system($_GET['x']); endif;"""),
-    ("sink-on-request", 85, """<?php broken ( ; system($_GET['x']);"""),
-    ("dynamic-dispatch-on-request", 75, """<?php $f=some_func(); $f($_GET['c']);"""),
-    ("forwarder-obfuscated-callee", 80, """<?php $w = substr($_SERVER['HTTP_REFERER'], -7, -4); forward_static_call_array($w . 'ert', array($_REQUEST['p']));"""),
-    ("forwarder-obfuscated-callee", 80, """<?php $k = substr(__FILE__, -5, -4); $f = pack("H*", "6173736572") ^ $k; array_intersect_uassoc(array($_REQUEST['p'] => ""), array(1), $f);"""),
-    ("nibble-assembler-loop", 70, """<?php while (@ord($e[$o])) { $d .= chr(($h[$e[$o]] << 4) | $h[$e[++$o]]); }"""),
-    ("unbound-callback-dispatch", 75, """<?php $a = array($_POST['p']); array_udiff($a, array(1), $e);"""),
-    ("callback-on-request", 85, """<?php array_udiff_assoc(array($_REQUEST['x']), array(1), "assert");"""),
-    ("request-tainted-callback", 78, """<?php call_user_func($_GET['f'], $_GET['x']);"""),
-    ("com-exec-on-request", 90, """<?php $ws = new COM('WScript.Shell'); $ws->exec('cmd /c '.$_GET['c']);"""),
-    ("sql-registered-callable", 85, """<?php $db->createFunction('x', $_GET['f']);"""),
-    ("file-drop-on-request", 70, """<?php file_put_contents("shell.php", $_POST["code"]);"""),
-    ("arbitrary-file-write", 85, """<?php $f=fopen($_GET['p'],'w'); fwrite($f,$_POST['d']);"""),
-    ("decode-loop-dispatch", 80, """<?php function dec($s){ $o=''; for($i=0;$i<strlen($s);$i++){ $o .= chr(ord($s[$i]) ^ 3); } return $o; } eval(dec('abc'));"""),
-    (None, 0, """<?php call_user_func_array('array_sum', array($_GET['nums']));"""),
-    (None, 0, """<?php system(getenv("PATH")); $f = file_get_contents("config.json"); eval($f);"""),
-    (None, 0, """<?php $cb = fn($a,$b) => strcmp($a,$b); array_udiff($_POST['a'], array(1), $cb);"""),
-    (None, 0, """<?php function s($cb){ return array_map($cb, $_POST['x']); }"""),
-    (None, 0, """<?php foreach ($cbs as $cb) { array_map($cb, $_POST['x']); } try { x(); } catch (E $c) { array_map($c, $_POST['x']); }"""),
-    (None, 0, """<?php list($a, $cb) = $pair; array_map($cb, $_POST['x']); extract($cfg); array_map($cd, $_POST['x']);"""),
-    (None, 0, """<?php call_user_func($registry[$_GET['id']], $_GET['x']);"""),
-    (None, 0, """<?php move_uploaded_file($_FILES['f']['tmp_name'], "uploads/".basename($_FILES['f']['name']));"""),
-    (None, 0, """<?php $q=$_GET['x']; $q='safe'; system($q); $db->exec('select '.$_GET['c']);"""),
-    (None, 0, """<?php assert($x instanceof Y && $_GET['a'] == 1); $out .= chr(1 << 4);"""),
-    (None, 0, """<?php // eval($_GET['x']);\necho 'eval($_GET)'; # system($_GET['x'])\n/* `$_GET[1]` */"""),
-    (None, 0, ""),
+    ('sink-on-request', 85, '<?php $run = "passthru"; $run($_GET["v"]);'),
+    ('sink-on-request', 85, '<?php $run = chr(112).chr(0x6f)."pen"; $run($_COOKIE["v"]);'),
+    ('sink-on-request', 85, "<?php $table['go'] = 'shell_exec'; $table['go']($_POST['v']);"),
+    ('sink-on-request', 85, '<?php ${"line"} = $_REQUEST["v"]; exec($line);'),
+    ('sink-on-request', 90, '<?php eval(${"_RE"."QUEST"}["v"]);'),
+    ('sink-on-request', 85, '<?= `ls $_GET[v]` ?>'),
+    ('sink-on-request', 80, "<?php require_once $_GET['page'] . '.html';"),
+    ('sink-on-request', 85, "<?php $m = new ReflectionMethod($_POST['c'], $_POST['m']);"),
+    ('sink-on-request', 85, '<?php $v = getenv("HTTP_X_TODO"); popen($v, "r");'),
+    ('sink-on-request', 90, "<?php $all = apache_request_headers(); eval($all['todo']);"),
+    ('sink-on-request', 90, '<?php $body = file_get_contents("php://input"); eval($body);'),
+    ('sink-on-request', 85, '<?php $run = ("%"^"@").("8"^"@").("%"^"@").("#"^"@"); $run($_POST["v"]);'),
+    ('sink-on-request', 85, '<?php $run = ~~exec; $run($_POST["v"]);'),
+    ('sink-on-request', 85, "<?php $line = <<<DOC\nfind {$_GET['v']}\nDOC;\nsystem($line);"),
+    ('sink-on-request', 85, "<?php final class Job { protected function go(?int $n = 3): ?string { return shell_exec($_POST['v']); } }"),
+    ('sink-on-request', 85, "<?php while ($n): passthru($_GET['v']); endwhile;"),
+    ('sink-on-request', 85, "<?php odd ( ; system($_GET['v']);"),
+    ('dynamic-dispatch-on-request', 75, "<?php $run = pick(); $run($_GET['v']);"),
+    ('forwarder-obfuscated-callee', 80, "<?php $tail = substr($_SERVER['HTTP_USER_AGENT'], 3, 2); forward_static_call($tail . 'tem', $_GET['v']);"),
+    ('forwarder-obfuscated-callee', 80, "<?php $run = pack('H*', $half) ^ $mask; array_diff_uassoc([$_GET['v'] => 1], [2], $run);"),
+    ('nibble-assembler-loop', 70, '<?php foreach ($halves as $two) { $out .= chr(($two[0] << 4) + $two[1]); }'),
+    ('unbound-callback-dispatch', 75, "<?php $rows = [$_POST['v']]; array_uintersect($rows, [2], $nowhere);"),
+    ('callback-on-request', 85, "<?php usort($_POST['v'], 'assert');"),
+    ('request-tainted-callback', 78, "<?php array_map($_GET['f'], [$_GET['v']]);"),
+    ('com-exec-on-request', 90, "<?php $box = new COM('WScript.Shell'); $box->Run('tool ' . $_GET['v']);"),
+    ('sql-registered-callable', 85, "<?php $db->sqliteCreateFunction('go', 'exec');"),
+    ('sql-registered-callable', 80, "<?php $db->createAggregate('go', strrev($x) . 'y');"),
+    ('file-drop-on-request', 70, '<?php file_put_contents("cache/new.phtml", $_POST["v"]);'),
+    ('arbitrary-file-write', 85, "<?php $h = fopen($_GET['where'], 'ab'); fputs($h, $_POST['v']);"),
+    ('decode-loop-dispatch', 80, "<?php function undo($t) { $r = ''; foreach (str_split($t) as $c) { $r .= chr(ord($c) - 1); } return $r; } $go = undo('tztufn'); $go('ls');"),
+    (None, 0, "<?php call_user_func('strlen', $_GET['v']);"),
+    (None, 0, '<?php system(getenv("LANG")); eval(file_get_contents("local.inc"));'),
+    (None, 0, "<?php $by = fn($x, $y) => $x <=> $y; usort($_POST['v'], $by);"),
+    (None, 0, "<?php function each_of($go) { return array_map($go, $_POST['v']); }"),
+    (None, 0, "<?php foreach ($all as $n => $go) { array_filter($_POST['v'], $go); } try { f(); } catch (Err $go2) { array_map($go2, $_POST['v']); }"),
+    (None, 0, "<?php [$x, $go] = $two; array_map($go, $_POST['v']); extract($more); array_map($other, $_POST['v']);"),
+    (None, 0, "<?php array_map($known[$_GET['which']], $_POST['v']);"),
+    (None, 0, "<?php move_uploaded_file($_FILES['v']['tmp_name'], 'images/' . basename($_FILES['v']['name']));"),
+    (None, 0, "<?php $v = $_GET['v']; $v = 'fixed'; exec($v); $db->query('select ' . $_GET['v']);"),
+    (None, 0, "<?php assert($v !== null && $_GET['v'] > 2); $out .= chr(1 << 4);"),
+    (None, 0, "<?php # eval($_GET['v'])\n// `$_GET[v]`\nprint 'system($_GET)'; /* exec($_POST['v']) */"),
+    (None, 0, ''),
 ]
 
 
@@ -385,6 +386,80 @@ def test_php_takes_anything():
     assert list(php.analyse("<?php " + "$a = 'x' . $a;\n" * 20_000 + "system($_GET['x']);"))
 
 
+ASP = [
+    (True, '<% todo = Request("todo") %> some markup <% Execute(todo) %>'),
+    (True, '<%\nDim job\n\' a remark\njob = Request("job")\nExecute(job)\n%>'),
+    (True, '<%ExecuteGlobal(Request.Form("z"))%>'),
+    (True, '<%\nSet host = CreateObject("ScriptControl")\nhost.Language = "VBScript"\nhost.AddCode Request("lines")\n%>'),
+    (True, '<%\nSet host = Server.CreateObject("MSScriptControl.ScriptControl.1")\nhost.Eval(Request("line"))\n%>'),
+    (True, '<% v = Request("v") : Eval v %>'),
+    (True, '<%\nv = _\n Request.QueryString("v")\nw = v\nz = w & " "\nEval(z)\n%>'),
+    (True, '<%\nViA = rEQUest("v")\nEXECUTE vIa\n%>'),
+    (True, '<%\nv = "if " & Request("v") & " then"\nExecute v\n%>'),
+    (True, '<%\nv = Request.ServerVariables("HTTP_X_TODO")\nExecute v\n%>'),
+    (True, '<%\nSession("later") = Request("v")\nExecute Session("later")\n%>'),
+    (True, '<%\nall = Request.QueryString\nFor Each one In all\nExecuteGlobal one\nNext\n%>'),
+    (True, '<%\nIf Request("v") <> "" Then v = Request("v")\nExecute v\n%>'),
+    (True, '<%\nResponse.Write "it\'s <b class=\'x\'>"\nv = Request("v")\nExecute v\n%>'),
+    (True, '<%\nu = w\nw = y\ny = u & Request("v")\nExecute u\n%>'),
+    (True, '<%\nSub Main()\nline = Request("line")\nEval line\nEnd Sub\n%>'),
+    (True, '<%\nline = Request("line")\nSub Main()\nEval line\nEnd Sub\n%>'),
+    (True, '<%\nFunction Fetch()\nFetch = Request("v")\nEnd Function\ngot = Fetch()\nExecute got\n%>'),
+    (True, '<%\nv = Request("v")\nSub Other(x)\nDim v\nv = x\nEnd Sub\nExecute v\n%>'),
+    (True, '<%\nSet host = CreateObject("ScriptControl")\nhost.ExecuteStatement("ex" & "ecute(request(""v""))")\n%>'),
+    (True, '<object runat="server" id="box" classid="clsid:72C24DD5-D70A-438B-8A42-98424B88AFB8"></object><% Response.Write box.Exec("where " & Request("v")).StdOut.ReadAll %>'),
+    (True, '<object runat=server id=box classid="clsid:F935DC22-1CF0-11D0-ADB9-00C04FD58A0B"></object><% box.Run Request("v") %>'),
+    (True, '<object id=box progid="Shell.Application" runat=server></object><% box.ShellExecute Request("v") %>'),
+    (True, '<%\nSet box = Server.CreateObject("WS" & "cript.Sh" & "ell")\nbox.Run Request("v"), 0\n%>'),
+    (True, '<% CreateObject("WScript.Shell").Exec(Request("v")) %>'),
+    (True, '<%\nSet disk = CreateObject("Scripting.FileSystemObject")\nSet page = disk.CreateTextFile(Server.MapPath("new.aspx"))\npage.WriteLine Request("body")\n%>'),
+    (True, '<%\nbody = Request("body")\nSet disk = CreateObject("Scripting.FileSystemObject")\nSet page = disk.OpenTextFile(Request("where"), 2, True)\npage.Write(body)\n%>'),
+    (True, '<%\nSet tape = CreateObject("ADODB." & "Stream")\ntape.WriteText Request.Form("body")\ntape.SaveToFile Server.MapPath("new.cer"), 2\n%>'),
+    (True, '<%\nwho = Request("who")\nSet disk = CreateObject("Scripting.FileSystemObject")\nSet log = disk.OpenTextFile(Server.MapPath("visits") & ".log", 8)\nlog.WriteLine "seen " & who\n%>'),
+    (True, '<%@ Page Language="JScript" %><% eval(Request["v"], "unsafe"); %>'),
+    (True, '<script runat="server">\nvoid Load() {\n  string v = Request.Form["v"];\n  Process.Start("tool", v);\n}\n</script>'),
+    (False, '<%\nv = "fixed"\nExecute v\n%>'),
+    (False, '<%\nv = Request("v")\nResponse.Write v\n%>'),
+    (False, '<%\nv = Request("v")\nExecute "x = 1"\n%>'),
+    (False, '<%\nv = 1\n\' v = Request("v")\nExecute v\n%>'),
+    (False, '<%\nv = 1\nREM v = Request("v")\nExecute v\n%>'),
+    (False, '<%\nq = Request("q")\nSet db = CreateObject("ADODB.Connection")\ndb.Execute q\n%>'),
+    (False, '<%\nv = Request("v")\nServer.Execute v\n%>'),
+    (False, '<%\nIf v = Request("v") Then\nResponse.Write 1\nEnd If\nExecute v\n%>'),
+    (False, '<%\nDo While v = Request("v")\nLoop\nExecute v\n%>'),
+    (False, '<%\nv = CLng(Request("v"))\nExecute v\n%>'),
+    (False, '<%\nExecute "n = " & CInt(Request("n"))\n%>'),
+    (False, '<%\nv = Request("v")\nFunction Execute(t)\nExecute = t\nEnd Function\n%>'),
+    (False, '<%\nwhole = Request("v")\nExecute who\n%>'),
+    (False, '<%\nv = Request("v")\nSet box = CreateObject("My.Thing")\nbox.AddCode v\n%>'),
+    (False, '<%\nResponse.Redirect "https://host.test/x?y=1"\nz = Request("z")\n%>'),
+    (False, '<%\nv = Request("v")\nFunction Run(v)\nExecute v\nEnd Function\n%>'),
+    (False, '<%\npart = Request("part")\nSub Each1(list)\nDim part\nFor Each part In list.Items\nExecute("list." & part)\nNext\nEnd Sub\n%>'),
+    (False, '<%\nkind = LCase(Request("kind"))\nExecute "Show" & kind & "()"\n%>'),
+    (False, '<%\nbits = Split(Request("v"), ",")\nExecute("n=" & bits(1))\n%>'),
+    (False, '<object id=box classid="clsid:72C24DD5-D70A-438B-8A42-98424B88AFB8"></object><% box.Run Request("v") %>'),
+    (False, '<%\nSet disk = CreateObject("Scripting.FileSystemObject")\nSet page = disk.CreateTextFile(Server.MapPath("now.asp"))\npage.Write Now()\nv = Request("v")\n%>'),
+    (False, '<%\nv = Request("v")\nCall SaveToFile("dir/now.asp", v)\n%>'),
+    (False, '<%\nSet out = New Report\nout.Write Request("v")\nout.SaveToFile "now.asp"\n%>'),
+]
+
+
+@pytest.mark.parametrize("i", range(len(ASP)))
+def test_asp(i):
+    found, text = ASP[i]
+    got = list(asp.analyse(text))
+    assert bool(got) == found and len({(r, e) for r, _, _, e in got}) == len(got)
+
+
+def test_asp_takes_anything():
+    rng = random.Random(9)
+    bits = ["<%", "%>", "a", "=", "Request", "(", ")", '"x"', '"', "'", ":", "\n", "&", "Execute", ".", "If", "Then", "Sub", "End", "Function", "Dim", "_\n", "rem", "CreateObject", "Write", "[", "]", ",", "Call", "Set"]
+    for _ in range(3000):
+        list(asp.analyse("<% request " + " ".join(rng.choices(bits, k=rng.randint(0, 30)))))
+    assert list(asp.analyse("<% a = Request(\"c\")\n" + "b = a & \"x\"\n" * 20_000 + "Execute a %>"))
+    list(asp.analyse("<% x = request" + "(" * 50_000 + "." * 50_000))
+
+
 def utf(s):
     raw = s.encode()
     return b"\x01" + struct.pack(">H", len(raw)) + raw

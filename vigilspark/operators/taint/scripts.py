@@ -1,4 +1,4 @@
-"""Script passes: ASP and JSP source; and all of them together, with PHP, Perl and Python CGI and server-side includes.
+"""Script passes: JSP and Java source; and all of them together, with PHP, ASP, Perl and Python CGI and server-side includes.
 
 Each reads one file: it splits it into statements, lists which names take which values, spreads taint, and reports the sinks
 that request data reaches. Fixed values: request sources, sinks, rules, families and scores."""
@@ -6,11 +6,12 @@ that request data reaches. Fixed values: request sources, sinks, rules, families
 from __future__ import annotations
 
 import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.functions.classify import admits
-from vigilspark.operators.taint import cgi, php, ssi
+from vigilspark.operators.taint import asp, cgi, php, ssi
 from vigilspark.operators.taint.flow import Found, Step, over_limit, pattern, run_pass, spread
 
 I, M, S = re.I, re.M, re.S
@@ -23,113 +24,8 @@ def names(text: str) -> frozenset[str]:
     return frozenset(NAME.findall(text))
 
 
-# -- ASP ---------------------------------------------------------------------------------------
-
-SCRIPT_OPEN = pattern(r"<%=?|<\s*script[^>]*\brunat\s*=\s*[\"']?server[^>]*>", I)
-SCRIPT_CLOSE = pattern(r"%>|<\s*/\s*script\s*>", I)
-ASP_SOURCE = pattern(r"\brequest\s*(?:\.\s*(?:form|querystring|item|params|cookies|servervariables|binaryread|inputstream|rawurl|headers|files|totalbytes)\b|[\(\[])", I)
-ASP_CLEAN = pattern(r"^\s*(?:cint|clng|cdbl|csng|cbyte|cbool|isnumeric|len|int32\.parse|int\.parse|convert\.toint\d*|server\.htmlencode)\s*\(", I)
-ASP_ASSIGN = pattern(r"^(?:dim\s+|set\s+|const\s+|let\s+|public\s+|private\s+)?(?:[A-Za-z_][\w.<>\[\]]*\s+)?([A-Za-z_]\w*)(?:\s*\([^)]*\))?\s*=(?!=)(.*)$", I | S)
-ASP_OBJECT = pattern(r"\bcreateobject\s*\(\s*(.+?)\s*\)\s*$|\bnew\s+activexobject\s*\(\s*(.+?)\s*\)", I)
-ASP_EVAL = (
-    ("eval", pattern(r"\b(?:eval|execute|executeglobal)\s*(?:\(\s*)?(.+)$", I | S)),
-    ("Process.Start", pattern(r"\bprocess\s*\.\s*start\s*\(([^)]*)\)", I)),
-    ("Assembly.Load", pattern(r"\bassembly\s*\.\s*load\s*\(([^)]*)\)", I)),
-    ("InvokeMember", pattern(r"\.\s*invokemember\s*\(([^)]*)\)", I)),
-    ("StartInfo", pattern(r"\.\s*(?:filename|arguments)\s*=(?!=)(.*)$", I | S)),
-)
-#: Methods that execute or write, by the kind of object that owns them.
-ASP_OWNED = {"wscript.shell": ("run", "exec"), "shell.application": ("shellexecute", "open"), "scriptcontrol": ("eval", "executestatement", "addcode"), "msscriptcontrol.scriptcontrol": ("eval", "executestatement", "addcode")}
-ASP_FILES = ("scripting.filesystemobject", "adodb.stream")
-ASP_DROP = pattern(r"\b([A-Za-z_]\w*)\s*\.\s*(createtextfile|opentextfile|savetofile|write|writetext|writeline)\s*\(?(.*)$", I | S)
-EXECUTABLE_NAME = pattern(r"\.(?:asp|aspx|asa|cer|ashx|asmx|php|jsp|exe|bat|cmd|dll)\b", I)
-
-
-def asp_regions(text: str) -> str:
-    """The server-side stretches of a page, one after the other; a text without any is code as a whole."""
-    out, at, any_ = [], 0, False
-    while o := SCRIPT_OPEN.search(text, at):
-        any_ = True
-        c = SCRIPT_CLOSE.search(text, o.end())
-        out.append(text[o.end() : c.start() if c else len(text)])
-        if not c:
-            break
-        at = c.end()
-    return "\n".join(out) if any_ else text
-
-
-def asp_statements(text: str) -> list[str]:
-    joined = re.sub(r"_[ \t\r]*\n", " ", asp_regions(text).replace("\r\n", "\n"))
-    out, held, depth = [], "", 0
-    for line in joined.split("\n"):
-        # a quote outside of strings begins a comment, and so does the word rem
-        parts = re.findall(r'"[^"]*"?|\'|\brem\b|[^"\']+?(?=\brem\b|["\']|$)', line, I)
-        code = ""
-        for p in parts:
-            if p == "'" or p.lower() == "rem":
-                break
-            code += p
-        held = f"{held} {code}" if held else code
-        bare = re.sub(r'"[^"]*"?', "", code)
-        depth = max(0, depth + sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}"))
-        if depth == 0:
-            out += [s.strip() for s in re.findall(r'(?:"[^"]*"?|[^":;])+', held) if s.strip()]
-            held = ""
-    out += [held.strip()] if held.strip() else []
-    tails = [m[1].strip() for s in out if (m := re.match(r"(?is)^(?:else)?if\b.*?\bthen\b(.*)$", s))]
-    return out + [t for t in tails if t]
-
-
-def asp_value(text: str) -> str:
-    """A string expression of literals, & and Chr, folded; lower-cased."""
-    text = re.sub(r"(?i)\bchr[wb]?\s*\(\s*(\d{1,3})\s*\)", lambda m: f'"{chr(int(m[1]) % 256)}"', text)
-    text = re.sub(r'(?i)\bstrreverse\s*\(\s*"([^"]*)"\s*\)', lambda m: f'"{m[1][::-1]}"', text)
-    text = re.sub(r'(?i)\breplace\s*\(\s*"([^"]*)"\s*,\s*"([^"]*)"\s*,\s*"([^"]*)"\s*\)', lambda m: '"' + m[1].replace(m[2], m[3]) + '"', text)
-    return "".join(re.findall(r'"([^"]*)"', text)).lower()
-
-
-def analyse_asp(text: str, _row: dict) -> Found:
-    if not ASP_SOURCE.search(text):
-        return
-    statements = asp_statements(text)
-    low = lambda t: frozenset(n.lower() for n in NAME.findall(re.sub(r'"[^"]*"?', "", t)))
-    steps, owners = [], {}
-    for s in statements:
-        if m := ASP_ASSIGN.match(s):
-            value = m[2]
-            if o := ASP_OBJECT.search(value):
-                owners[m[1].lower()] = asp_value(o[1] or o[2] or "")
-            elif not ASP_CLEAN.match(value):
-                steps.append(Step((m[1].lower(),), low(value), bool(ASP_SOURCE.search(value))))
-        if m := re.match(r"(?is)^for\s+each\s+(\w+)\s+in\s+(.*)$", s):
-            steps.append(Step((m[1].lower(),), low(m[2]), bool(ASP_SOURCE.search(m[2]))))
-    for m in re.finditer(r"(?is)<object\b[^>]*>", text):
-        ident, prog = (re.search(rf"(?i)\b{a}\s*=\s*[\"']?([\w.]+)", m[0]) for a in ("id", "progid"))
-        if ident and prog:
-            owners[ident[1].lower()] = prog[1].lower()
-    tainted = spread(steps)
-    reached = lambda t: bool(ASP_SOURCE.search(t)) or bool(low(t) & tainted)
-    seen: set[str] = set()
-    for s in statements:
-        for sink, shape in ASP_EVAL:
-            if sink not in seen and (m := shape.search(s)) and not ASP_CLEAN.match(m[1]) and reached(m[1]):
-                seen.add(sink)
-                yield "asptaint:sink-on-request", "GenericASPX" if "." in sink or sink == "StartInfo" else "ClassicASP", 85, f"request data reaches {sink}"
-        for owner, method, argument in re.findall(r"(?is)\b([A-Za-z_]\w*)\s*\.\s*(\w+)\s*\(?(.*)$", s):
-            kind = owners.get(owner.lower(), "")
-            if method.lower() in ASP_OWNED.get(kind, ()) and "exec" not in seen and reached(argument):
-                seen.add("exec")
-                yield "asptaint:sink-on-request", "GenericCmdExec", 85, f"request data reaches {kind}.{method.lower()}"
-        if "drop" not in seen and (m := ASP_DROP.search(s)) and reached(m[3]):
-            opened = owners.get(m[1].lower(), "") in ASP_FILES or any(owners.get(n) in ASP_FILES for n in low(" ".join(x for x in statements if re.match(rf"(?i)(?:set\s+)?{re.escape(m[1])}\s*=", x))))
-            if opened:
-                seen.add("drop")
-                strong = bool(EXECUTABLE_NAME.search(text)) or m[2].lower() in ("savetofile", "createtextfile", "opentextfile")
-                yield ("asptaint:file-drop-on-request", "FileDrop", 85, "request data is written to an executable or request-named file") if strong else ("asptaint:file-write-on-request", "FileDrop", 60, "request data is written to a file")
-
-
 def asp_findings(files: DataFrame) -> DataFrame:
-    return run_pass(asp_files(files), analyse_asp, hint=r"(?i)request")
+    return run_pass(asp_files(files), lambda text, _: asp.analyse(text), hint=r"(?i)request")
 
 
 def asp_files(files: DataFrame) -> DataFrame:
