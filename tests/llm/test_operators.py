@@ -601,9 +601,13 @@ def test_op6_trie_join(budget):
         assert sorted((int(p), int(q)) for f, g in got for p, q in zip(f, g, strict=True)) == sorted(zip(i.tolist(), j.tolist(), strict=True))
 
 
-def test_op6_dealt_subtrees_lose_nothing(spark):
+@pytest.mark.parametrize("subtree,crowded", [(8192, 1 << 18), (8, 1 << 18), (16, 20), (1 << 20, 30)])
+def test_op6_dealt_subtrees_lose_nothing(spark, monkeypatch, subtree, crowded):
+    monkeypatch.setattr(simhash, "SUBTREE", subtree)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(5)
-    fps = sorted({x ^ (1 << rng.randrange(64)) for x in [rng.getrandbits(64) for _ in range(60)] for _ in range(6)})
+    fps = {x ^ (1 << rng.randrange(64)) for x in [rng.getrandbits(64) for _ in range(60)] for _ in range(6)}
+    fps = sorted(fps | {(0x123456789 << 28) ^ rng.getrandbits(12) << rng.choice([0, 8, 20]) for _ in range(120)})  # a crowded prefix
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, node long")
     got = {r.node: r.component for r in connected_components(simhash.trie_links(df, 2)).collect()}
     least = reach([{j for j in range(len(fps)) if j != i and (fps[i] ^ fps[j]).bit_count() <= 2} for i in range(len(fps))])
@@ -800,6 +804,32 @@ def test_op8_scores_by_exact_counts(spark):
         assert abs(got[i].score - total / len(text)) < 1e-9
 
 
+def test_op8_threshold(spark):
+    """The cut that splits the held-out labelled URLs best, by trying every cut; verdicts follow it."""
+    rows = queries.op8_url_filter(spark, DIR).collect()
+    labelled = spark.createDataFrame([(r.page_id, r.host + r.path) for r in rows if r.rule], "page_id long, text string")
+    held = {r.page_id for r in labelled.where(f"pmod(xxhash64(text), {url_filter.HELD_OUT}) = 0").collect()}
+    bins = url_filter.BINS
+    at = lambda r: min(max(math.floor((r.score + 4) * (bins / 8)), 0), bins)
+    good, bad = ([at(r) for r in rows if r.page_id in held and r.verdict == v] for v in ("allow", "block"))
+    assert good and bad
+    wrong = {c: sum(b < c for b in good) / len(good) + sum(b >= c for b in bad) / len(bad) for c in range(bins + 2)}
+    least = min(wrong.values())
+    best = min((c * 8.0 / bins - 4 for c, w in wrong.items() if w <= least + 1e-12), key=abs)
+    assert {r.threshold for r in rows} == {best}
+    assert all(r.verdict == ("allow" if r.score >= best else "block") for r in rows if not r.rule)
+
+
+def test_op8_odd(spark):
+    """Repeated rows, null ids and URLs, a very long URL; other columns with clashing names."""
+    urls = [(None, "http://a.com/en/1"), (1, None), (2, "http://a.com/en/1"), (2, "http://a.com/en/1"), (3, "http://x.info/" + "ab" * 50_000), (None, "http://y.info/q"), (None, "http://y.info/q"), (4, "no url")]
+    df = spark.createDataFrame([(*r, "t", 1, 2.0) for r in urls], "page_id long, url string, text string, id int, score double")
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(urls) and Counter(r.page_id for r in got) == Counter(i for i, _ in urls)
+    assert all(r.rule == "com/en/" and r.verdict == "block" for r in got if r.host == "a.com")
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
 # -- op9 -------------------------------------------------------------------------------------------
 
 

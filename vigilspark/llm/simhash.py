@@ -1,24 +1,23 @@
 """SimHash near-duplicates: fingerprints of word shingles, joined with themselves over a binary trie.
 
-Fingerprints that are equal make one class (a group of copies costs one node). The trie's top levels deal
-node pairs out to tasks: for each pair of prefixes that differ in few enough bits, one task traverses the
-two subtrees together, carries the bits that differ so far and drops a node pair as soon as they exceed
-the budget. Each task returns a spanning forest of the links it found, never all pairs.
-
-Cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal
-texts share a class; null keys keep a fingerprint and a null component unless a class gives them one;
-other columns are dropped; an empty table gives an empty result.
+Fingerprints that are equal make one class (a group of copies costs one node). Subtrees of the trie are dealt
+out to tasks, for each turn of the fingerprint that puts another of its blocks first; a task traverses its
+subtree with itself, node pair by node pair, carries the bits that differ so far and drops a node pair as soon
+as they exceed the budget. Each task returns a spanning forest of the links it found, never all pairs.
+
+Cases: null and empty texts have fingerprint zero and are linked like any other; a very long text is hashed
+whole, in a step of its own; repeated rows and equal texts share a class; null keys keep a fingerprint and a
+null component unless a class gives them one; other columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.components import connected_components
@@ -28,6 +27,8 @@ from vigilspark.llm.util import checkpointed, steps
 LEAF_PAIRS = 32
 #: Node pairs held at once; more wait on a stack.
 FRONTIER = 400_000
+#: Fingerprints of a subtree, about, and how many make it be dealt anew.
+SUBTREE, CROWDED = 8192, 1 << 18
 #: Shingles whose bits are spread out at once.
 SPREAD = 1 << 18
 
@@ -155,31 +156,48 @@ def forest(n: int, pairs) -> np.ndarray:
     return label
 
 
+def _leading(fp: Column, start: int, bits: int) -> Column:
+    """`bits` bits of a fingerprint from `start` on, as a long."""
+    return F.shiftrightunsigned(F.shiftleft(fp, start), 64 - bits)
+
+
 def trie_links(classes: DataFrame, budget: int) -> DataFrame:
-    """Links a, b between the nodes of classes (columns fp, node; fingerprints distinct) that join all
-    fingerprints within `budget` differing bits: a spanning forest for each pair of subtrees."""
-    n = classes.count()
-    depth = max(2, min((n >> 14).bit_length(), max(8, (n >> 18).bit_length())))
-    masks = [sum(1 << i for i in chosen) for k in range(min(budget, depth) + 1) for chosen in combinations(range(depth), k)]
+    """Links a, b between the nodes of classes (columns fp, node; fingerprints distinct) that join all fingerprints within
+    `budget` differing bits: a spanning forest for each subtree.
 
-    def run(group: pa.Table) -> pa.Table:
+    Of budget + 1 blocks of a fingerprint one has no differing bit, so subtrees of the trie are dealt out for each turn of the
+    fingerprint that begins with another block: budget + 1 rows for each fingerprint, whatever the table. A subtree has
+    the depth that leaves it some SUBTREE fingerprints; one that holds more than CROWDED is dealt anew by its whole block and,
+    turn for turn, the blocks of what is left."""
+    n = classes.count()
+    blocks = budget + 1
+    width = 64 // blocks
+    depth = max(1, min(width, (n // SUBTREE).bit_length()))
+    turns = F.array(*(F.struct(F.lit(r).alias("turn"), _leading(F.col("fp"), r * width, depth).alias("prefix")) for r in range(blocks)))
+    dealt = classes.select("fp", "node", F.explode(turns).alias("t")).select("fp", "node", "t.turn", "t.prefix", F.lit(-1).alias("again"), F.lit(0).cast("long").alias("rest"))
+    crowded = checkpointed(dealt.groupBy("turn", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("turn", "prefix"))
+    if not crowded.isEmpty():
+        left = 64 - width
+        inner = max(1, left // blocks)
+        turned = lambda r: F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * width)) if r else F.col("fp")
+        whole = F.coalesce(*(F.when(F.col("turn") == r, turned(r)) for r in range(blocks)))
+        many = dealt.join(crowded, ["turn", "prefix"], "left_semi").withColumn("w", whole)
+        again = F.array(*(F.struct(F.lit(k).alias("again"), _leading(F.col("w"), width + k * inner, inner).alias("rest")) for k in range(blocks)))
+        many = many.select("fp", "node", "turn", _leading(F.col("w"), 0, width).alias("prefix"), F.explode(again).alias("x")).select("fp", "node", "turn", "prefix", "x.again", "x.rest")
+        dealt = dealt.join(crowded, ["turn", "prefix"], "left_anti").unionByName(many)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
         node = group.column("node").to_numpy()
-        right = group.column("other").to_numpy()
-        order = np.lexsort((fp, right))
-        fp, node, right = fp[order], node[order], right[order]
-        cut = int(np.searchsorted(right, 1))
-        if group.column("mask")[0].as_py() == 0:
-            label = forest(len(fp), trie_pairs(fp, fp, budget, True, depth))
-        else:
-            label = forest(len(fp), ((i, j + cut) for i, j in trie_pairs(fp[:cut], fp[cut:], budget, False, depth)))
+        turn = key[0].as_py() * width
+        fp = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
+        order = np.argsort(fp, kind="stable")
+        fp, node = fp[order], node[order]
+        label = forest(len(fp), trie_pairs(fp, fp, budget, True))
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return pa.table({"a": pa.array(node[linked], pa.int64()), "b": pa.array(node[label[linked]], pa.int64())})
 
-    prefix = F.shiftrightunsigned(F.col("fp"), 64 - depth)
-    dealt = classes.select("fp", "node", prefix.alias("p"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    dealt = dealt.select("fp", "node", "mask", F.least("p", F.col("p").bitwiseXOR(F.col("mask"))).alias("low"), (F.col("p") > F.col("p").bitwiseXOR(F.col("mask"))).cast("int").alias("other"))
-    return dealt.groupBy("low", "mask").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("turn", "prefix", "again", "rest").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
