@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -164,8 +165,10 @@ def test_stages_take_clashing_names_and_rows_without_ids(spark, tmp_path):
     assert words["source mix"] <= 2 * words["substring dedup"] and docs.count() <= 4000
 
 
-def test_near_copies_in_one_bucket(spark):
+@pytest.mark.parametrize("members", [4096, 7])
+def test_near_copies_in_one_bucket(spark, monkeypatch, members):
     """Groups that share runs with one another without being alike: all links within, none between; by brute force."""
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     common = [word() for _ in range(120)]
@@ -183,17 +186,44 @@ def test_near_copies_in_one_bucket(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()} == set(least)
 
 
-def test_across_is_exact_on_minima():
-    rng = np.random.default_rng(5)
-    n = 60
-    marks = rng.integers(0, 3, (n, 96), dtype=np.uint8)
-    marks[1::2] = marks[::2]
-    marks[1::4, :50] = 9
-    group = pa.table({"node": np.arange(n), "component": np.arange(n) % 20, "n": rng.integers(80, 100, n), "marks": pa.array([m.tobytes() for m in marks], pa.binary())})
-    got = near_copies._across((), group)
-    size, c = group.column("n").to_numpy(), group.column("component").to_numpy()
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if c[i] != c[j] and (marks[i] == marks[j]).sum() >= near_copies.LEAST_ALIKE and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
-    assert set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) == want and want
+def test_similar():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        x, y = (np.unique(rng.integers(0, 30, rng.integers(1, 30)).astype(np.uint64)) for _ in range(2))
+        assert near_copies.similar(x, y) == (5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y)))
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_across_joins_what_is_similar(blocks):
+    """Links join the components of all similar pairs (between the blocks, where there are two), and no others."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [str(rng.random()) for _ in range(150)]
+        for _ in range(5):
+            near = base.copy()
+            for _ in range(rng.choice([1, 3, 6])):
+                near[rng.randrange(150)] = str(rng.random())
+            texts.append(" ".join(near).encode())
+    sets = near_copies.run_sets(texts, 42)
+    marks = near_copies.minima(sets)[1]
+    n, own = len(texts), np.arange(len(texts)) % blocks
+    component = np.arange(n) // 2 * 2
+    group = pa.table({"node": np.arange(n), "component": component, "n": [len(s) for s in sets], "own": own, "marks": pa.array([m.tobytes() for m in marks], pa.binary()), "runs": pa.array([s.tobytes() for s in sets], pa.binary())})
+    got = near_copies._across(group)
+    pairs = list(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+    alike = {(i, j) for i in range(n) for j in range(i + 1, n) if near_copies.similar(sets[i], sets[j])}
+    wanted = {(i, j) for i, j in alike if blocks == 1 or own[i] != own[j]}
+    assert pairs and set(pairs) <= wanted and len(pairs) < n
+
+    def merged(links):
+        joined = [{j for j in range(n) if j != i and component[i] == component[j]} for i in range(n)]
+        for i, j in links:
+            joined[i].add(j)
+            joined[j].add(i)
+        return reach(joined)
+
+    assert merged(pairs) == merged(wanted)
 
 
 def test_near_copies_go(spark):

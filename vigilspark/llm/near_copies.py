@@ -4,10 +4,12 @@ texts whose sets of five-word runs have a Jaccard similarity of 0.8 or more.
 Such texts differ in some ten of 64 fingerprint bits, and a trie join with that budget visits nearly all pairs (README),
 so minima under random permutations propose the second kind: 96 minima, in 24 bands of four; a pair at exactly 0.8 shares
 no band with a probability of 3 in a million. Texts with equal sets are one node. In each bucket all nodes are first
-compared with one of them; buckets whose nodes are then in more than one component are looked through for further pairs.
+compared with one of them, its pivot. Buckets whose nodes are then in more than one component are looked through by a task
+each, or by one for each pair of blocks of MEMBERS where a bucket is larger; it compares pairs of unlike components, and
+returns a link for two of them that it joins. So a large group of near copies makes links in proportion to its members.
 A pair is compared in full, by its sets, unless the minima differ in so many places that a similarity of 0.8 is out of the
-question (under LEAST_ALIKE of 96: 4.4 standard deviations). Links within a large group of near copies are thus links to
-a few of them, and the shuffles carry band keys and minima, not texts; sets travel for proposed pairs only.
+question (under LEAST_ALIKE of 96: 4.4 standard deviations). Sets travel for proposed pairs and to the buckets that are
+looked through, and nowhere else.
 
 Cases: null and empty texts have no runs; they share the fingerprint zero and are linked by it; fewer than five words are
 one run; rows that repeat an id are rows of their own, told apart by the text; where they repeat that too, one stays.
@@ -31,8 +33,8 @@ from vigilspark.llm.util import checkpointed, discard, fresh_path, mix64, steps,
 WIDTH = 5
 BANDS, ROWS = 24, 4
 LEAST_ALIKE = 60
-#: Entries of a block of comparisons within a bucket.
-BLOCK = 4_000_000
+#: Entries of a block of comparisons within a bucket, and nodes of a bucket that one task compares with as many others.
+BLOCK, MEMBERS = 4_000_000, 4096
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -102,42 +104,79 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(_fits("na", "nb")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """The pairs a, b (checkpointed) with a similarity of 0.8 or more, by their sets."""
+def _sets(nodes: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """node, runs (its sorted set) for nodes (node, identity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
                 sets = run_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], seed)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "runs"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "runs"])
+
+    # rows of one identity have one text
+    return checkpointed(docs.join(nodes, "identity").select("node", "text").mapInArrow(run, "node long, runs binary").dropDuplicates(["node"]))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 0.8 or more."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    common = int((x[at] == y).sum())
+    return 9 * common >= 4 * (len(x) + len(y))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """Of the pairs a, b those with a similarity of 0.8 or more, by their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "identity"), "node")
-    # rows of one identity have one text
-    texts = docs.join(wanted, "identity").select("node", "text")
-    sets = checkpointed(texts.mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"]))
+    sets = _sets(wanted, docs, seed)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return checkpointed(both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _across(key: tuple, group: pa.Table) -> pa.Table:
-    """Pairs of a bucket, of unlike components, whose sizes and minima allow a similarity of 0.8."""
+def _across(group: pa.Table) -> pa.Table:
+    """Links between nodes of a bucket, of unlike components: one for any two components that they join. own: the node's block;
+    where a task has two blocks, pairs are of one of each."""
     group = group.combine_chunks()
-    node, c, n = (group.column(x).to_numpy() for x in ("node", "component", "n"))
+    node, c, n, own = (group.column(x).to_numpy() for x in ("node", "component", "n", "own"))
     marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    runs = [np.frombuffer(r.as_py(), np.uint64) for r in group.column("runs")]
+    parent = {int(x): int(x) for x in np.unique(c)}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    mixed = own.min() != own.max()
+    a, b = [], []
     step = max(1, BLOCK // (len(node) * BANDS * ROWS))
     for at in range(0, len(node), step):
-        own = slice(at, at + step)
-        near = (c[own, None] < c) & (5 * np.minimum(n[own, None], n) >= 4 * np.maximum(n[own, None], n))
+        rows = slice(at, at + step)
+        near = (c[rows, None] < c) & (5 * np.minimum(n[rows, None], n) >= 4 * np.maximum(n[rows, None], n))
+        if mixed:
+            near &= own[rows, None] != own
         i, j = np.nonzero(near)
         for part in np.array_split(np.arange(len(i)), max(1, len(i) * BANDS * ROWS // BLOCK)):
-            ok = part[(marks[at + i[part]] == marks[j[part]]).sum(1) >= LEAST_ALIKE]
-            a.append(np.minimum(node[at + i[ok]], node[j[ok]]))
-            b.append(np.maximum(node[at + i[ok]], node[j[ok]]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            alike = (marks[at + i[part]] == marks[j[part]]).sum(1)
+            order = np.argsort(-alike, kind="stable")  # the likeliest first: they spare others
+            for k in order[: int((alike >= LEAST_ALIKE).sum())].tolist():
+                x, y = int(at + i[part[k]]), int(j[part[k]])
+                p, q = top(int(c[x])), top(int(c[y]))
+                if p != q and similar(runs[x], runs[y]):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(rows: DataFrame, docs: DataFrame, budget: int, seed: int) -> DataFrame:
@@ -156,9 +195,16 @@ def components(rows: DataFrame, docs: DataFrame, budget: int, seed: int) -> Data
     reached = checkpointed(connected_components(links.unionAll(found)))
     named = members.join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = named.join(apart, "key", "left_semi").join(sets.select("node", "n", "marks"), "node")
-    more = left.groupBy("key").applyInArrow(_across, "a long, b long").distinct()
-    further = _verified(checkpointed(more), sets, docs, seed)
+    left = checkpointed(named.join(apart, "key", "left_semi"))
+    if left.isEmpty():
+        return reached
+    wanted = left.select("node").distinct().join(sets.select("node", "identity", "n", "marks"), "node")
+    held = wanted.drop("identity").join(_sets(wanted.select("node", "identity"), docs, seed), "node")
+    sizes = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = left.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    further = checkpointed(dealt.join(held, "node").groupBy("key", "low", "high").applyInArrow(_across, "a long, b long"))
     if further.isEmpty():
         return reached
     return connected_components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(further))
