@@ -107,13 +107,17 @@ def clone_groups(files: DataFrame, content: str = "content") -> DataFrame:
     return rows.groupBy("structure").agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("files")).where("files > 1")
 
 
+def _begins(prefix: str):
+    return lambda m: m.startswith(prefix)
+
+
 def verified_generated(name: Column, members: Column, superclasses: Column, interfaces: Column, proxy: Column, hidden: Column) -> Column:
     """Whether a class is generated by something that can't be forged by its name: the JVM says so, or the generator's own
     members stand beside its name, superclass or interface."""
     out = proxy | hidden
     for marker, prefix, enhanced in GENERATED_NAMES:
         real = F.exists(superclasses, lambda s: s != "java.lang.Object") if enhanced else F.lit(True)
-        out = out | (F.contains(name, F.lit(marker)) & real & F.exists(members, lambda m, p=prefix: m.startswith(p)))
+        out = out | (F.contains(name, F.lit(marker)) & real & F.exists(members, _begins(prefix)))
     for where, what, member in GENERATED_PARENTS:
         held = superclasses if where == "superclasses" else interfaces
         out = out | (F.array_contains(held, what) & F.array_contains(members, member))
