@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vigilspark.operators import behaviour, discovery, library, memory, triage
@@ -184,3 +186,31 @@ def test_settings():
     for text in ('{"a": "x", "a": "y"}', '{"z": 1}', '{"a": "q"}', "[1]"):
         with pytest.raises(ValueError):
             scan.load_settings(text, {"a": ("x", "y")})
+
+
+def test_layer_archives(spark, tmp_path):
+    """Out and in again; the same bytes whatever the order; what was tampered with is refused."""
+    import tarfile
+
+    from vigilspark.sources import layer_archive
+
+    rows = [("own", "a", "rule a { condition: true }"), ("own", "b", "rule b { condition: a }"), ("community", "a", "rule a { condition: false }")]
+    one, two = str(tmp_path / "one.tgz"), str(tmp_path / "two.tgz")
+    digest = layer_archive.export_layers(spark.createDataFrame(rows, layer_archive.COLUMNS), one)
+    assert digest == layer_archive.export_layers(spark.createDataFrame(rows[::-1], layer_archive.COLUMNS).repartition(3), two)
+    assert sorted(map(tuple, layer_archive.import_layers(spark, one).collect())) == sorted(rows)
+    empty = str(tmp_path / "empty.tgz")
+    layer_archive.export_layers(spark.createDataFrame([], layer_archive.COLUMNS), empty)
+    assert layer_archive.import_layers(spark, empty).count() == 0
+    for bad in ([("own", "../x", "t")], [rows[0], rows[0]], [("a/b", "c", "t")]):
+        with pytest.raises(ValueError):
+            layer_archive.export_layers(spark.createDataFrame(bad, layer_archive.COLUMNS), str(tmp_path / "bad.tgz"))
+    with tarfile.open(one) as tar:
+        files = [(m.name, tar.extractfile(m).read()) for m in tar]
+    for changed in ([(n, d + b" " if n == "own/a.yar" else d) for n, d in files], files[:-1], [*files, ("own/c.yar", b"x")], [*files, ("../../etc/x.yar", b"x")], [f for f in files if f[0] != layer_archive.MANIFEST]):
+        (tmp_path / "bad.tgz").write_bytes(layer_archive.deterministic_tar(changed))
+        with pytest.raises(ValueError):
+            layer_archive.import_layers(spark, str(tmp_path / "bad.tgz"))
+    (tmp_path / "bad.tgz").write_bytes(b"no archive")
+    with pytest.raises(ValueError):
+        layer_archive.import_layers(spark, str(tmp_path / "bad.tgz"))
