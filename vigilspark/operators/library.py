@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vigilspark.checkpoints import checkpointed
 
+#: Blocks that the sets of like layers are dealt into.
+BLOCKS = 64
+
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
     """Each rule's highest revision; combined before the shuffle."""
@@ -27,11 +30,41 @@ def rule_index(rules: DataFrame, revisions: DataFrame) -> DataFrame:
 def resolve(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, rules: DataFrame, revisions: DataFrame) -> DataFrame:
     """set_id, rule_id, revision: live rules of a set's layers or names, less its exclusions, at their latest revision.
     selected_layers: set_id, layer; selected_rules: set_id, rule_id."""
-    live = rules.where(~F.col("deleted")).select("rule_id", "layer")
-    by_layer = selected_layers.join(live, "layer").select("set_id", "rule_id")
-    by_name = selected_rules.join(live.select("rule_id"), "rule_id", "left_semi").select("set_id", "rule_id")
-    wanted = by_layer.union(by_name).distinct().join(exclusions, ["set_id", "rule_id"], "left_anti")
-    return wanted.join(latest_revision(revisions).select("rule_id", "revision"), "rule_id").select("set_id", "rule_id", "revision")
+    return _dealt(selected_layers, selected_rules, exclusions, checkpointed(_offered(rules, revisions))).select("set_id", "rule_id", "revision")
+
+
+def _offered(rules: DataFrame, revisions: DataFrame) -> DataFrame:
+    """rule_id, revision, within: live rules at their latest revision, with their layers as an array."""
+    live = rules.where(~F.col("deleted")).groupBy("rule_id").agg(F.sort_array(F.collect_set("layer")).alias("within"))
+    return live.join(revisions.groupBy("rule_id").agg(F.max("revision").alias("revision")), "rule_id")
+
+
+def _takers(selected_layers: DataFrame) -> DataFrame:
+    """set_id, wanted: the layers of each set that takes any."""
+    return selected_layers.where("layer is not null").groupBy("set_id").agg(F.sort_array(F.collect_set("layer")).alias("wanted"))
+
+
+def _named(selected_rules: DataFrame, exclusions: DataFrame, offered: DataFrame, takers: DataFrame) -> DataFrame:
+    """offered, with set_id: rules that a set names, doesn't exclude and doesn't take by a layer."""
+    left = selected_rules.select("set_id", "rule_id").distinct().join(exclusions, ["set_id", "rule_id"], "left_anti").join(offered, "rule_id")
+    same = F.col("set_id").eqNullSafe(F.col("taker"))
+    return left.join(takers.withColumnRenamed("set_id", "taker"), same & F.arrays_overlap("wanted", "within"), "left_anti")
+
+
+def _dealt(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, offered: DataFrame) -> DataFrame:
+    """offered, with set_id, a row for each set that takes the rule. Sets and rules meet as blocks of sets against rules that carry
+    the sets they are excluded from, and a pair is a row only when it is final: pairs, by far the most rows, are never shuffled."""
+    takers = _takers(selected_layers)
+    block = F.pmod(F.xxhash64("set_id"), F.lit(BLOCKS))
+    blocks = takers.groupBy("wanted", block.alias("block")).agg(F.transform(F.collect_list(F.struct("set_id")), lambda x: x["set_id"]).alias("sets"))
+    parts = max(BLOCKS, int(offered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks.select("wanted", "sets", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    barred = exclusions.where("set_id is not null").groupBy("rule_id").agg(F.collect_set("set_id").alias("barred"))
+    rules = offered.join(barred, "rule_id", "left").withColumn("part", F.pmod(F.xxhash64("rule_id"), F.lit(parts)).cast("int"))
+    met = rules.join(blocks, (rules["part"] == blocks["part"]) & F.arrays_overlap("wanted", "within"))
+    taken = F.when(F.col("barred").isNull(), F.col("sets")).otherwise(F.array_except("sets", "barred"))
+    by_layer = met.select(F.explode(taken).alias("set_id"), *offered.columns)
+    return by_layer.unionByName(_named(selected_rules, exclusions, offered, takers).select("set_id", *offered.columns))
 
 
 def frozen_members(frozen: DataFrame, rules: DataFrame, revisions: DataFrame) -> DataFrame:
