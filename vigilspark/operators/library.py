@@ -33,6 +33,19 @@ def resolve(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: D
     return _dealt(selected_layers, selected_rules, exclusions, checkpointed(_offered(rules, revisions))).select("set_id", "rule_id", "revision")
 
 
+def resolved_counts(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, rules: DataFrame, revisions: DataFrame) -> DataFrame:
+    """set_id, rules: the number of rows of `resolve` for each set that has any, without making them: the rules of its layers,
+    less exclusions among these, and named rules beyond them."""
+    offered = checkpointed(_offered(rules, revisions))
+    takers = _takers(selected_layers)
+    kinds = offered.groupBy("within").agg(F.count(F.lit(1)).alias("n"))
+    met = takers.select("wanted").distinct().join(kinds, F.arrays_overlap("wanted", "within")).groupBy("wanted").agg(F.sum("n").alias("n"))
+    by_layer = takers.join(met, "wanted").select("set_id", "n")
+    gone = exclusions.select("set_id", "rule_id").distinct().join(offered, "rule_id").join(takers, "set_id").where(F.arrays_overlap("wanted", "within"))
+    by_name = _named(selected_rules, exclusions, offered, takers)
+    return by_layer.unionAll(gone.select("set_id", F.lit(-1).cast("long"))).unionAll(by_name.select("set_id", F.lit(1).cast("long"))).groupBy("set_id").agg(F.sum("n").alias("rules")).where("rules > 0")
+
+
 def _offered(rules: DataFrame, revisions: DataFrame) -> DataFrame:
     """rule_id, revision, within: live rules at their latest revision, with their layers as an array."""
     live = rules.where(~F.col("deleted")).groupBy("rule_id").agg(F.sort_array(F.collect_set("layer")).alias("within"))
