@@ -33,6 +33,12 @@ def resolve(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: D
     return _dealt(selected_layers, selected_rules, exclusions, checkpointed(_offered(rules, revisions))).select("set_id", "rule_id", "revision")
 
 
+def resolved_members(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, rules: DataFrame, revisions: DataFrame) -> DataFrame:
+    """`frozen_members` of `resolve`: rules get their names and texts once, before they are dealt to sets."""
+    offered = checkpointed(frozen_members(_offered(rules, revisions), rules, revisions))
+    return _dealt(selected_layers, selected_rules, exclusions, offered).drop("within")
+
+
 def resolved_counts(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, rules: DataFrame, revisions: DataFrame) -> DataFrame:
     """set_id, rules: the number of rows of `resolve` for each set that has any, without making them: the rules of its layers,
     less exclusions among these, and named rules beyond them."""
