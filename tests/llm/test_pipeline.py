@@ -249,3 +249,21 @@ def test_near_copies_go(spark):
     kept.add(80)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()} == kept
+
+
+def test_near_dedup_leaves_no_shuffle_files(spark):
+    """The stage's many queries give their shuffle files back as they end, so that its disk is that of one of them."""
+    import gc
+    import time
+
+    files = lambda: sum(str(b).startswith("shuffle_") for b in manager.getAllBlocks().mkString(",").split(","))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    docs = spark.createDataFrame([(i, f"word{i % 7} two three four five six seven w{i % 11}") for i in range(60)], "doc_id long, text string")
+    gc.collect()
+    before = files()
+    kept = near_copies.distinct_documents(docs)
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before and kept.count() > 0

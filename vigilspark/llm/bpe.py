@@ -47,7 +47,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A tokenizer read from a tokenizers-library file: NFC, lower case, split, byte-level BPE with word ends."""
 
-    CACHE_WORDS = 400_000
+    CACHE_WORDS = 100_000
     CACHE_LENGTH = 48
 
     def __init__(self, path: str):

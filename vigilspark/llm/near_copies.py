@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vigilspark.llm import simhash
 from vigilspark.llm.components import connected_components
 from vigilspark.llm.identity import marked, numbered, repeated
-from vigilspark.llm.util import checkpointed, discard, fresh_path, mix64, steps, unused
+from vigilspark.llm.util import checkpointed, discard, fresh_path, mix64, steps, swept, unused
 
 WIDTH = 5
 BANDS, ROWS = 24, 4
@@ -213,6 +213,11 @@ def components(rows: DataFrame, docs: DataFrame, budget: int, seed: int) -> Data
 def distinct_documents(docs: DataFrame, budget: int = 2, seed: int = 42) -> DataFrame:
     """The documents, with their columns, less all but one of each group: the one with the smallest doc_id stays (null ids
     come last; of rows that share the id, the one whose text has the smallest hash)."""
+    with swept(docs.sparkSession):
+        return _distinct_documents(docs, budget, seed)
+
+
+def _distinct_documents(docs: DataFrame, budget: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     own, number = unused(docs, "identity", "number")
     identity = F.md5(F.concat_ws(":", marked("doc_id"), F.md5(F.coalesce("text", F.lit("")))))

@@ -27,6 +27,8 @@ from vigilspark.llm.util import checkpointed, steps
 LEAF_PAIRS = 32
 #: Node pairs held at once; more wait on a stack.
 FRONTIER = 400_000
+#: Leaf pairs compared at once, about.
+LEAVES = 500_000
 #: Fingerprints of a subtree, about, and how many make it be dealt anew.
 SUBTREE, CROWDED = 8192, 1 << 18
 #: Shingles whose bits are spread out at once.
@@ -111,7 +113,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, depth: int
         small = (n <= LEAF_PAIRS) | (level == 64)
         if small.any():
             at = np.flatnonzero(small)
-            for part in np.split(at, np.searchsorted(np.cumsum(n[at]), np.arange(2_000_000, int(n[at].sum()), 2_000_000))):
+            for part in np.split(at, np.searchsorted(np.cumsum(n[at]), np.arange(LEAVES, int(n[at].sum()), LEAVES))):
                 count = n[part]
                 row = np.repeat(part, count)
                 k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a query go when it ends, and don't stay on the executors' disks until the driver happens
+    to collect its garbage. For operators of many queries whose results are written or checkpointed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, one for each of names."""
     taken, out = {c.lower() for c in df.columns}, []
