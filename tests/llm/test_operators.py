@@ -919,3 +919,10 @@ def test_op9_sources_stay_near_their_shares(spark):
     for n in (100, 500, len(s)):
         c = Counter(r.sid for r in s[:n])
         assert all(abs(c[k] - n * share[k] / total) < 6 for k in share)
+
+
+def test_word_caches_leave_room_for_more_workers():
+    """Two generations of some 200 bytes a word in each Python worker, of which an executor may hold more than it has cores."""
+    from vigilspark.llm import bpe, token_files
+
+    assert all(2 * 200 * kind.CACHE_WORDS <= 100 << 20 for kind in (bpe.WordBpe, token_files.LibraryEncoder))

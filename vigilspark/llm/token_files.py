@@ -70,7 +70,7 @@ class LibraryEncoder:
     so each distinct word is encoded once by the library and a text is the sequence of its words' ids, which are
     kept as the bytes that go to the file."""
 
-    CACHE_WORDS = 600_000
+    CACHE_WORDS = 250_000
     CACHE_LENGTH = 48
 
     def __init__(self, path: str, end_id: int):
