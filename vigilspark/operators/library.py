@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vigilspark.checkpoints import checkpointed
 
-#: Blocks that the sets of like layers are dealt into.
-BLOCKS = 64
+#: Sets of a block and rules of a task, about, when sets of like layers meet rules.
+BLOCK, CHUNK = 256, 4096
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
@@ -71,18 +71,23 @@ def _named(selected_rules: DataFrame, exclusions: DataFrame, offered: DataFrame,
 
 
 def _dealt(selected_layers: DataFrame, selected_rules: DataFrame, exclusions: DataFrame, offered: DataFrame) -> DataFrame:
-    """offered, with set_id, a row for each set that takes the rule. Sets and rules meet as blocks of sets against rules that carry
-    the sets they are excluded from, and a pair is a row only when it is final: pairs, by far the most rows, are never shuffled."""
-    takers = _takers(selected_layers)
-    block = F.pmod(F.xxhash64("set_id"), F.lit(BLOCKS))
-    blocks = takers.groupBy("wanted", block.alias("block")).agg(F.transform(F.collect_list(F.struct("set_id")), lambda x: x["set_id"]).alias("sets"))
-    parts = max(BLOCKS, int(offered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = blocks.select("wanted", "sets", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    """offered, with set_id, a row for each set that takes the rule. Chunks of like rules meet blocks of like sets, and a pair is a
+    row only when it is final: pairs, by far the most rows, are never shuffled. Within a chunk a block's sets come in one order for
+    rule after rule, and a task has few rules, so that what is written of the pairs repeats itself and takes little disk."""
+    takers = checkpointed(_takers(selected_layers))
+    n = max(1, -(-takers.count() // BLOCK))
+    parts = max(offered.sparkSession.sparkContext.defaultParallelism, -(-offered.count() // CHUNK))
+    block = lambda s: F.pmod(F.xxhash64(s), F.lit(n)).cast("int")
+    sets = F.transform(F.sort_array(F.collect_list(F.struct("set_id"))), lambda x: x["set_id"])
+    blocks = takers.groupBy("wanted", block("set_id").alias("block")).agg(sets.alias("sets"))
+    blocks = blocks.select("wanted", "block", "sets", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     barred = exclusions.where("set_id is not null").groupBy("rule_id").agg(F.collect_set("set_id").alias("barred"))
-    rules = offered.join(barred, "rule_id", "left").withColumn("part", F.pmod(F.xxhash64("rule_id"), F.lit(parts)).cast("int"))
-    met = rules.join(blocks, (rules["part"] == blocks["part"]) & F.arrays_overlap("wanted", "within"))
-    taken = F.when(F.col("barred").isNull(), F.col("sets")).otherwise(F.array_except("sets", "barred"))
-    by_layer = met.select(F.explode(taken).alias("set_id"), *offered.columns)
+    rules = offered.join(barred, "rule_id", "left").withColumn("part", F.pmod(F.xxhash64("rule_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    met = F.array_distinct(F.transform("barred", block))
+    rules = rules.withColumn("barred", F.map_from_arrays(met, F.transform(met, lambda b: F.filter("barred", lambda s: block(s) == b))))
+    pairs = blocks.hint("merge").join(rules, (blocks["part"] == rules["part"]) & F.arrays_overlap("wanted", "within"))
+    gone = F.col("barred")[F.col("block")]
+    by_layer = pairs.select(F.explode(F.when(gone.isNull(), F.col("sets")).otherwise(F.array_except("sets", gone))).alias("set_id"), *offered.columns)
     return by_layer.unionByName(_named(selected_rules, exclusions, offered, takers).select("set_id", *offered.columns))
 
 
